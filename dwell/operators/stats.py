@@ -29,3 +29,230 @@ def stats_by_split(df: DataFrame, split_col: str, target: str, order: Sequence[s
                     _r6(F.col("m")).alias("mean"), _r6(F.col("med")).alias("median"),
                     _r6(F.col("mx")).alias("max"))
             .orderBy("ordinal"))
+
+
+DESCRIBE_PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def describe(df: DataFrame, column: str, percentiles: Sequence[float] = DESCRIBE_PERCENTILES) -> DataFrame:
+    """Count, mean, sample std, min, percentiles (exact, linear), max — one aggregate."""
+    names = [f"p{int(round(p * 100))}" for p in percentiles]
+    q = F.percentile(column, F.array(*[F.lit(p) for p in percentiles]))
+    agg = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"),
+                 F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("__q"),
+                 F.max(column).alias("max"))
+    return agg.select(F.col("count").cast("long"), *[_r6(F.col(c)).alias(c) for c in ("mean", "std", "min")],
+                      *[_r6(F.col("__q")[i]).alias(n) for i, n in enumerate(names)], _r6(F.col("max")).alias("max"))
+
+
+def grouped_describe(df: DataFrame, group: str, column: str) -> DataFrame:
+    """Mean, median, max per group (nulls in the group key dropped, N6)."""
+    return (df.filter(F.col(group).isNotNull()).groupBy(group)
+            .agg(_r6(F.avg(column)).alias("mean"), _r6(F.percentile(column, F.lit(0.5))).alias("median"),
+                 _r6(F.max(column)).alias("max")))
+
+
+def by_dimensions(df: DataFrame, dimensions: Sequence[str], column: str) -> DataFrame:
+    """Count / median / mean of ``column`` per value of each dimension, null category kept.
+
+    One pass: every row is exploded to one (dimension, value) pair per dimension (values cast to
+    text), then a single group-by — equivalent to GROUPING SETS over the dimensions."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
+                                for d in dimensions]))
+    long = df.select(pairs.alias("p"), F.col(column).alias("__y")).select("p.dimension", "p.value", "__y")
+    return long.groupBy("dimension", "value").agg(
+        F.count("__y").cast("long").alias("count"), _r6(F.percentile("__y", F.lit(0.5))).alias("median"),
+        _r6(F.avg("__y")).alias("mean"))
+
+
+def per_group_summary(df: DataFrame, group: str, column: str) -> DataFrame:
+    """Per group count / median / mean, ordered by median (null keys dropped)."""
+    return (df.filter(F.col(group).isNotNull()).groupBy(group)
+            .agg(F.count(column).cast("long").alias("count"), _r6(F.percentile(column, F.lit(0.5))).alias("median"),
+                 _r6(F.avg(column)).alias("mean"))
+            .orderBy("median", group))
+
+
+def split_audit(df: DataFrame, split_col: str, success_col: str, date_col: str, order: Sequence[str]) -> DataFrame:
+    """Listings, successes, failures, success %, first and last date per split; an empty
+    split has 0 rows and a null rate."""
+    spark = df.sparkSession
+    s = F.col(success_col)
+    agg = df.groupBy(split_col).agg(
+        F.count(F.lit(1)).alias("listings"), F.count_if(s).alias("successes"), F.count_if(~s).alias("failures"),
+        F.min(date_col).alias("first_date"), F.max(date_col).alias("last_date"))
+    names = spark.createDataFrame([(x, i) for i, x in enumerate(order)], f"{split_col} string, ordinal int")
+    return (F.broadcast(names).join(agg, split_col, "left")
+            .select(split_col, "ordinal",
+                    *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("listings", "successes", "failures")],
+                    _r6(F.try_divide(F.col("successes").cast("double") * 100, F.col("listings"))).alias("success_pct"),
+                    "first_date", "last_date"))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Counts per value, descending (null values dropped as in pandas)."""
+    return (df.filter(F.col(column).isNotNull()).groupBy(column)
+            .agg(F.count(F.lit(1)).cast("long").alias("count")).orderBy(F.desc("count"), column))
+
+
+def monthly_trend(df: DataFrame, date_col: str, column: str) -> DataFrame:
+    """Median and count per calendar month (months without rows absent)."""
+    return (df.groupBy(F.trunc(F.to_date(date_col), "month").alias("month"))
+            .agg(_r6(F.percentile(column, F.lit(0.5))).alias("median"), F.count(column).cast("long").alias("count"))
+            .orderBy("month"))
+
+
+def tukey(df: DataFrame, column: str) -> DataFrame:
+    """A10: q1, q3, iqr and upper fence q3 + 1.5·(q3 − q1) (one row)."""
+    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
+    return (df.agg(q.alias("__q"))
+            .select(F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("q3"))
+            .withColumn("iqr", F.col("q3") - F.col("q1"))
+            .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
+
+
+def exceedance(df: DataFrame, column: str, limits: Sequence[float] = (26, 52, 104)) -> DataFrame:
+    """Rows with value > each limit and > the Tukey upper fence, long (threshold, rows).
+
+    The fence is a scalar subquery (planned once, no driver round trip)."""
+    fence = tukey(df, column).select("upper_fence").scalar()
+    x = F.col(column)
+    aggs = [F.count_if(x > F.lit(float(v))).alias(f"gt_{int(v)}") for v in limits] + \
+           [F.count_if(x > fence).alias("gt_upper_fence")]
+    wide = df.agg(*aggs)
+    names = [f"gt_{int(v)}" for v in limits] + ["gt_upper_fence"]
+    return wide.unpivot([], names, "threshold", "rows").select("threshold", F.col("rows").cast("long"))
+
+
+def coverage(df: DataFrame, column: str, limit: float = 52) -> DataFrame:
+    """% of rows with value <= limit; count of value = 0."""
+    x = F.col(column)
+    return df.agg(_r6(F.avg(F.when(x <= limit, 1.0).otherwise(0.0)) * 100).alias("pct_within"),
+                  F.count_if(x == 0).cast("long").alias("zero_rows"))
+
+
+def adjusted_skewness(df: DataFrame, column: str) -> DataFrame:
+    """Bias-adjusted Fisher–Pearson skewness = g1 · sqrt(n(n−1)) / (n−2)."""
+    n = F.count(column).cast("double")
+    return df.agg((F.skewness(column) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew")) \
+        .select(_r6(F.col("skew")).alias("skewness"))
+
+
+def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All pairs in one aggregate, long (row, col, corr); pairwise-complete by construction."""
+    pairs = [(a, b) for a in columns for b in columns]
+    wide = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    names = [str(i) for i in range(len(pairs))]
+    spark = df.sparkSession
+    keys = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(pairs)], "k string, row string, col string")
+    long = wide.unpivot([], names, "k", "corr")
+    return long.join(F.broadcast(keys), "k").select("row", "col", _r6(F.col("corr")).alias("corr"))
+
+
+def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Spearman (average ranks, pairwise-complete nulls), long (row, col, corr).
+
+    Every pair (a, b) ranks a and b inside the rows where both are non-null. Pairs are grouped by
+    that subset: the subset is identified by the set of *nullable* columns of the pair, so all
+    pairs of complete columns share one ranking. Ranks come from ``average_ranks`` (distributed,
+    range-partitioned); rows are then re-assembled per key and every pair's correlation is one
+    aggregate."""
+    from dwell.operators.ranking import average_ranks
+
+    cols = list(columns)
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
+    nullable = {c for c in cols if nulls[c]}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    subsets: dict[tuple[str, ...], set[str]] = {}
+    for a, b in pairs:
+        subsets.setdefault(tuple(sorted({a, b} & nullable)), set()).update((a, b))
+    subset_id = {s: i for i, s in enumerate(sorted(subsets))}
+    # long (key, subset, column, value) rows for the rows inside each subset
+    entries = []
+    for s, members in subsets.items():
+        keep = F.lit(True)
+        for c in s:
+            keep = keep & F.col(c).isNotNull()
+        for c in sorted(members):
+            entries.append(F.when(keep, F.struct(F.lit(subset_id[s]).alias("subset"), F.lit(c).alias("column"),
+                                                   F.col(c).cast("double").alias("value"))))
+    long = (df.select(key, F.explode(F.array(*entries)).alias("e")).filter(F.col("e").isNotNull())
+            .select(key, "e.subset", "e.column", "e.value"))
+    ranks = average_ranks(long, ["subset", "column"], "value")
+    ranked = long.join(ranks.select("subset", "column", "value", "avg_rank"), ["subset", "column", "value"])
+    wide = ranked.groupBy(key, "subset").pivot("column", cols).agg(F.first("avg_rank"))
+    aggs = []
+    for a, b in pairs:
+        sid = subset_id[tuple(sorted({a, b} & nullable))]
+        aggs.append(F.corr(F.when(F.col("subset") == sid, F.col(a)), F.when(F.col("subset") == sid, F.col(b)))
+                    .alias(f"{a}|{b}"))
+    corr = wide.agg(*aggs)
+    long_corr = corr.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
+    upper = long_corr.select(F.split("pair", r"\|")[0].alias("row"), F.split("pair", r"\|")[1].alias("col"), "corr")
+    lower = upper.select(F.col("col").alias("row"), F.col("row").alias("col"), "corr")
+    diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "row string, col string, corr double")
+    return upper.unionByName(lower).unionByName(diag).select("row", "col", _r6(F.col("corr")).alias("corr"))
+
+
+def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """Equal-width bins over [min, max], the last bin closed; empty bins appear with 0.
+
+    min / max are scalar subqueries; the bin list is ``range(bins)`` (size set by the caller)."""
+    spark = df.sparkSession
+    lo = df.select(F.min(column).cast("double")).scalar()
+    hi = df.select(F.max(column).cast("double")).scalar()
+    width = (hi - lo) / bins
+    x = F.col(column).cast("double")
+    b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("long")
+    counts = df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    edges = spark.range(bins).select(F.col("id").alias("bin"), (lo + F.col("id") * width).alias("lower"),
+                                     (lo + (F.col("id") + 1) * width).alias("upper"))
+    return (edges.join(counts, "bin", "left")
+            .select("bin", _r6(F.col("lower")).alias("lower"), _r6(F.col("upper")).alias("upper"),
+                    F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+
+
+def grouped_density(df: DataFrame, group: str, column: str, bins: int) -> DataFrame:
+    """Shared-edge bins over the whole range, each group normalised to area 1:
+    density = count / (n_group · width). The bin grid is generated per group by ``sequence``."""
+    lo = df.select(F.min(column).cast("double")).scalar()
+    hi = df.select(F.max(column).cast("double")).scalar()
+    width = (hi - lo) / bins
+    x = F.col(column).cast("double")
+    b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("long")
+    counts = df.filter(x.isNotNull()).groupBy(group, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    sizes = df.filter(x.isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    grid = sizes.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")).alias("bin"))
+    return (grid.join(counts, [group, "bin"], "left")
+            .select(group, "bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+                    _r6(F.coalesce("count", F.lit(0)) / (F.col("n") * width)).alias("density")))
+
+
+def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
+    """q1, median, q3, whiskers (furthest values inside 1.5 IQR) and outlier count per group.
+    Per-group quartiles are joined back to the rows (one row per group)."""
+    q = df.filter(F.col(column).isNotNull()).groupBy(group).agg(
+        F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
+    q = q.select(group, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
+    x = F.col(column)
+    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    joined = df.select(group, column).filter(x.isNotNull()).join(q, group)
+    return joined.groupBy(group, "q1", "median", "q3").agg(
+        F.min(F.when(x >= lo, x)).alias("whisker_low"), F.max(F.when(x <= hi, x)).alias("whisker_high"),
+        F.count_if((x < lo) | (x > hi)).cast("long").alias("outliers"), F.count(F.lit(1)).cast("long").alias("count"),
+    ).select(group, *[_r6(F.col(c)).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")],
+             "outliers", "count")
+
+
+def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Null count per column — one aggregate, unpivoted to (column, nulls)."""
+    wide = df.agg(*[F.count_if(F.col(c).isNull()).cast("long").alias(c) for c in columns])
+    return wide.unpivot([], list(columns), "column", "nulls")
+
+
+def sizes_with_zero(dim: DataFrame, fact: DataFrame, key: str) -> DataFrame:
+    """Group size per dimension key, missing groups as 0 (dimension left join)."""
+    counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return dim.select(key).distinct().join(counts, key, "left") \
+        .select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
