@@ -7,30 +7,8 @@ from pyspark.sql import functions as F
 from dwell.operators import stats
 from dwell.plans import features as feat
 from dwell.plans.registry import query, r6, tables
-
-TTL_CTE = """
-ttl AS (
-  SELECT l.listing_id, l.unit_id, l.project_id, l.date_listed,
-    CASE WHEN l.date_listed <= DATE '1998-12-31' THEN 'train' WHEN l.date_listed <= DATE '1999-03-31' THEN 'validation'
-         WHEN l.date_listed <= DATE '1999-06-30' THEN 'test' ELSE 'post_test' END AS data_split,
-    l.floor, l.size_sqm, l.room_type, l.view, l.furnished, l.first_asking_rent, l.project_name, l.university,
-    l.distance_to_campus_m, l.facility_count, l.season_listed,
-    year(l.date_listed) AS listing_year, month(l.date_listed) AS listing_month,
-    m.occupancy AS market_occupancy,
-    CAST(m.n_searchers AS DOUBLE) / nullif(m.n_listings_open, 0) AS market_demand_pressure,
-    m.median_asking_rent AS market_median_asking_rent,
-    l.first_asking_rent / nullif(m.median_asking_rent, 0) AS rent_to_market_ratio,
-    (m.occupancy IS NULL OR CAST(m.n_searchers AS DOUBLE) / nullif(m.n_listings_open, 0) IS NULL
-      OR m.median_asking_rent IS NULL) AS missing_market_history,
-    CAST(l.weeks_on_market AS DOUBLE) AS weeks_on_market, m.week AS market_history_week
-  FROM listings l LEFT JOIN weekly_market m ON m.project_id = l.project_id AND m.week + 1 = l.week_listed
-  WHERE NOT coalesce(ends_with(l.listing_id, '-B'), false) AND coalesce(l.leased, false))
-"""
-
-
-def ttl(spark, sf_dir, **kw):
-    return feat.lease_time_dataset(tables(spark, sf_dir), **kw)
-
+from dwell.plans.catalog.common import (ANALYSIS_CTE, EDA, PEARSON_COLUMNS, SPEARMAN_COLUMNS, TTL_CTE, _p, _w, analysis,
+                                       eda, price_train, ttl)
 
 # A05 ---------------------------------------------------------------------------------------
 def a05(spark, sf_dir):
@@ -48,46 +26,6 @@ SELECT s.data_split, CAST(s.ordinal AS INTEGER) AS ordinal, CAST(coalesce(a.n, 0
 FROM splits s LEFT JOIN agg a ON a.data_split = s.data_split
 """)(a05)
 
-EDA = "eda AS (SELECT * FROM ttl WHERE data_split = 'train')"
-PRICE_CTE = """
-price AS (
-  SELECT le.date_start, u.floor, u.size_sqm, u.room_type, u.view, u.furnished, le.lease_months, le.is_renewal,
-    p.project_name, p.university, p.distance_to_campus_m, p.facility_count,
-    year(le.date_start) AS start_year, month(le.date_start) AS start_month, le.rent,
-    CASE WHEN le.date_start < DATE '2000-01-01' THEN 'train' WHEN le.date_start < DATE '2000-04-01' THEN 'validation'
-         ELSE 'test' END AS split
-  FROM leases le LEFT JOIN units u ON u.unit_id = le.unit_id LEFT JOIN projects p ON p.project_id = le.project_id),
-price_train AS (SELECT * FROM price WHERE split = 'train')
-"""
-SPEARMAN_COLUMNS = ("weeks_on_market", "first_asking_rent", "rent_to_market_ratio", "size_sqm", "floor",
-                    "distance_to_campus_m", "facility_count", "market_occupancy", "market_demand_pressure",
-                    "market_median_asking_rent")
-PEARSON_COLUMNS = ("rent", "floor", "size_sqm", "lease_months", "distance_to_campus_m", "facility_count")
-
-
-def eda(spark, sf_dir):
-    return ttl(spark, sf_dir).filter(F.col("data_split") == "train")
-
-
-def price_split(spark, sf_dir):
-    from dwell.operators import splits
-    from dwell.sources import binding
-    return splits.chronological_split(feat.price_dataset(tables(spark, sf_dir)), feat.PRICE_DATE,
-                                      binding.PRICE_TRAIN_END, binding.PRICE_VALIDATION_END, validate=False)
-
-
-def price_train(spark, sf_dir):
-    return price_split(spark, sf_dir).filter(F.col("split") == "train")
-
-
-def _w(body: str, *ctes: str) -> str:
-    return ",\n".join([TTL_CTE.strip(), *[c.strip() for c in ctes]]) + "\n" + body
-
-
-def _p(body: str, *ctes: str) -> str:
-    return ",\n".join([PRICE_CTE.strip(), *[c.strip() for c in ctes]]) + "\n" + body
-
-
 # A01 -----------------------------------------------------------------------------------------
 query("a01", sql=_w("""
 SELECT CAST(count(weeks_on_market) AS BIGINT) AS count, round(avg(weeks_on_market), 6) AS mean,
@@ -120,25 +58,6 @@ SELECT project_name, CAST(count(weeks_on_market) AS BIGINT) AS count, round(quan
 
 
 # A06 -----------------------------------------------------------------------------------------
-def analysis(spark, sf_dir):
-    """Primary listings (leased or not) with their matured split label."""
-    from dwell.functions.scalars import is_alternative_id, lenient_flag
-    from dwell.operators import splits
-    from dwell.sources import binding
-    lst = tables(spark, sf_dir)["listings"]
-    return (lst.filter(~is_alternative_id("listing_id"))
-            .withColumn("leased", lenient_flag("leased", dict(lst.dtypes)["leased"]))
-            .withColumn("data_split", splits.matured_label(F.col("date_listed").cast("timestamp"),
-                                                           binding.TTL_TRAIN_END, binding.TTL_VALIDATION_END,
-                                                           binding.TTL_TEST_END)))
-
-
-ANALYSIS_CTE = """
-analysis AS (
-  SELECT *, CASE WHEN date_listed <= DATE '1998-12-31' THEN 'train' WHEN date_listed <= DATE '1999-03-31' THEN 'validation'
-         WHEN date_listed <= DATE '1999-06-30' THEN 'test' ELSE 'post_test' END AS data_split
-  FROM listings WHERE NOT coalesce(ends_with(listing_id, '-B'), false))
-"""
 query("a06", sql=ANALYSIS_CTE.strip() + """,
 splits AS (SELECT * FROM (VALUES ('train', 0), ('validation', 1), ('test', 2), ('post_test', 3)) s(data_split, ordinal)),
 agg AS (SELECT data_split, count(*) AS listings, count(*) FILTER (WHERE leased) AS successes,
