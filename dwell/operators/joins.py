@@ -85,10 +85,9 @@ def point_in_time_audit(joined: DataFrame, available_after_days: int = 7) -> Dat
 
 
 # J04/J05 shared event columns (fixed values).
-ALTERNATIVE_EVENT_COLUMNS = ("unit_id", "project_id", "week_listed", "date_listed", "leased",
-                             "week_leased", "weeks_on_market", "first_asking_rent")
-ALTERNATIVE_CHECK_COLUMNS = ("unit_id", "week_listed", "date_listed", "leased", "week_leased",
-                             "weeks_on_market")
+ALTERNATIVE_EVENT_COLUMNS = ("unit_id", "project_id", "week_listed", "date_listed", "first_asking_rent",
+                             "weeks_on_market", "leased", "week_leased")
+ALTERNATIVE_CHECK_COLUMNS = ("unit_id", "project_id", "date_listed", "leased", "weeks_on_market", "week_leased")
 
 
 def alternative_pairs(listings: DataFrame, columns: Sequence[str] = ALTERNATIVE_EVENT_COLUMNS,
