@@ -57,13 +57,13 @@ _F05_NAMES = list(dict.fromkeys([*feat.TTL_FEATURES, *feat.LEAKAGE_COLUMNS, feat
     f"SELECT '{c}' AS \"column\", {str(c in (*feat.LEAKAGE_COLUMNS, feat.TTL_TARGET, 'outcome_known_date')).lower()} AS forbidden, "
     f"{str(c in (*feat.TTL_IDS, *feat.TTL_FEATURES, feat.TTL_TARGET)).lower()} AS present, "
     f"{str(c in feat.TTL_FEATURES).lower()} AS candidate, "
-    + (f"CAST(count({c}) AS BIGINT)" if c in (*feat.TTL_IDS, *feat.TTL_FEATURES, feat.TTL_TARGET) else "max(CAST(NULL AS BIGINT))")
+    + (f"CAST(count({c}) AS DOUBLE)" if c in (*feat.TTL_IDS, *feat.TTL_FEATURES, feat.TTL_TARGET) else "max(CAST(NULL AS DOUBLE))")
     + " AS non_null FROM ttl" for c in _F05_NAMES) + ")"))
 def f05(spark, sf):
     data = ttl(spark, sf)
     guard = feat.leakage_guard(data)
     present = [c for c in _F05_NAMES if c in data.columns]
-    counts = data.agg(*[F.count(c).cast("long").alias(c) for c in present]).unpivot([], present, "column", "non_null")
+    counts = data.agg(*[F.count(c).cast("double").alias(c) for c in present]).unpivot([], present, "column", "non_null")
     return guard.join(counts, "column", "left").select("column", "forbidden", "present", "candidate", "non_null")
 
 
