@@ -4,13 +4,15 @@
 value within its group:
 
 1. ``groupBy(group, value).count()`` — partial aggregation, a hot value collapses map-side;
-2. ``repartitionByRange(P, group, value)`` — contiguous value ranges, so a hot *group* with many
-   distinct values is spread across partitions instead of landing in one task;
-3. a window over (partition id, group) for the running count inside each range partition
-   (each task holds at most one range partition);
-4. per (partition, group) totals — at most P × groups rows — give each range its offset.
+2. per group, approximate quantiles of the *distinct* values (a mergeable sketch) cut the value
+   axis into B contiguous buckets, so a hot group with many distinct values is spread over B
+   window partitions instead of landing in one task. The bucket is a pure function of
+   (group, value): recomputation after an executor loss gives the same layout;
+3. a window over (group, bucket) ordered by value gives the running count inside each bucket;
+4. per (group, bucket) totals — at most groups × B rows — give each bucket its offset.
 
-avg_rank = offset + count_before + (count + 1) / 2.
+avg_rank = offset + count_before + (count + 1) / 2. The quantile sketch only decides bucket
+boundaries; ranks are exact.
 """
 
 from __future__ import annotations
@@ -31,18 +33,26 @@ def average_ranks(pairs: DataFrame, group_cols: Sequence[str], value_col: str,
                   partitions: int | None = None) -> DataFrame:
     """(group…, value) rows -> (group…, value, n, avg_rank, group_n). Null values are skipped."""
     g = list(group_cols)
+    buckets = max(1, _partitions(pairs, partitions))
     counts = (pairs.filter(F.col(value_col).isNotNull())
               .groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("n")))
-    ranged = (counts.repartitionByRange(_partitions(pairs, partitions), *g, value_col)
-              .withColumn("__pid", F.spark_partition_id()))
-    inside = Window.partitionBy("__pid", *g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("__before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    totals = ranged.groupBy("__pid", *g).agg(F.sum("n").alias("__part_n"))
-    across = Window.partitionBy(*g).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.withColumn("__offset", F.coalesce(F.sum("__part_n").over(across), F.lit(0)))
-               .withColumn("group_n", F.sum("__part_n").over(Window.partitionBy(*g)))
-               .select("__pid", *g, "__offset", "group_n"))
-    return (ranged.join(offsets, ["__pid", *g])
+    probs = [i / buckets for i in range(1, buckets)]
+    if probs:
+        bounds = counts.groupBy(*g).agg(
+            F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), 10000).alias("__bounds"))
+        bucket = F.size(F.filter("__bounds", lambda b: b < F.col(value_col)))
+        bucketed = counts.join(bounds, g).withColumn("__bucket", bucket).drop("__bounds") if g else \
+            counts.crossJoin(bounds).withColumn("__bucket", bucket).drop("__bounds")
+    else:
+        bucketed = counts.withColumn("__bucket", F.lit(0))
+    inside = Window.partitionBy(*g, "__bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = bucketed.withColumn("__before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    totals = bucketed.groupBy(*g, "__bucket").agg(F.sum("n").alias("__bucket_n"))
+    across = Window.partitionBy(*g).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (totals.withColumn("__offset", F.coalesce(F.sum("__bucket_n").over(across), F.lit(0)))
+               .withColumn("group_n", F.sum("__bucket_n").over(Window.partitionBy(*g)))
+               .select(*g, "__bucket", "__offset", "group_n"))
+    return (bucketed.join(offsets, [*g, "__bucket"])
             .select(*g, value_col, "n",
                     (F.col("__offset") + F.col("__before") + (F.col("n") + 1) / 2.0).alias("avg_rank"),
                     "group_n"))

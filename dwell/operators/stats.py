@@ -160,6 +160,8 @@ def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFram
     from dwell.operators.ranking import average_ranks
 
     cols = list(columns)
+    # pandas semantics: NaN is missing
+    df = df.select(key, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
     nullable = {c for c in cols if nulls[c]}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
