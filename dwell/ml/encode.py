@@ -1,9 +1,10 @@
 """Preprocessing as a fitted, persistable Spark ML PipelineModel.
 
-* M01 exact median imputation (linear interpolation, ``percentile``) — Spark's ``Imputer``
-  median is approximate, so the constants are learnt with one aggregate and applied by a
+* M01 exact median imputation (linear interpolation, distributed ``exact_quantiles``) — Spark's
+  ``Imputer`` median is approximate, so the constants are learnt by Spark and applied by a
   ``SQLTransformer`` (persisted with the pipeline).
-* M02 mode imputation, ties -> smallest value (``min_by`` over (-count, value)).
+* M02 mode imputation, ties -> smallest value. Modes and the sorted category labels come from ONE
+  (column, value) count aggregate; the ``StringIndexerModel`` is built from those labels.
 * M03 / M04 one-hot with sorted categories: ``StringIndexer(alphabetAsc, keep)`` puts unseen and
   null at the last index; ``OneHotEncoder(dropLast=True)`` turns that index into all zeros;
   drop-first (linear models) slices the first slot away with ``VectorSlicer``.
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,27 +36,40 @@ def _lit(v) -> str:
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """M01 fit: one aggregate, exact interpolated medians (nulls skipped)."""
+    """M01 fit: exact interpolated medians of all columns in one distributed plan (nulls skipped)."""
     if not columns:
         return {}
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+    from dwell.operators.ranking import exact_quantiles
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                         for c in columns])).alias("e")).select("e.column", "e.value")
+    found = {r["column"]: r["quantile"] for r in exact_quantiles(long, ["column"], "value", [0.5]).collect()}
+    return {c: found.get(c) for c in columns}
 
 
-def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """M02 fit: most frequent non-null value per column, ties -> smallest value. One job: all
-    columns are exploded to (column, value), counted with map-side partial aggregation, then
-    reduced with ``min_by`` per column."""
+def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
+    """Non-null value counts per categorical column (as text), one job: all columns exploded to
+    (column, value) and counted with map-side partial aggregation. Categorical features have few
+    distinct values, so the result is driver-sized."""
     if not columns:
         return {}
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                 for c in columns]))
     counts = (df.select(pairs.alias("p")).select("p.column", "p.value").filter(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    best = counts.groupBy("column").agg(F.min_by("value", F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))
-                                        .alias("mode"))
-    found = {r["column"]: r["mode"] for r in best.collect()}
-    return {c: found.get(c) for c in columns}
+    out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
+    for r in counts.collect():
+        out[r["column"]].append((r["value"], int(r["n"])))
+    return out
+
+
+def modes_from_counts(counts: dict[str, list[tuple[str, int]]]) -> dict[str, str | None]:
+    """Most frequent value, ties -> smallest value."""
+    return {c: (min(vals, key=lambda vn: (-vn[1], vn[0]))[0] if vals else None) for c, vals in counts.items()}
+
+
+def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    """M02 fit on ``df``."""
+    return modes_from_counts(category_counts(df, columns))
 
 
 @dataclass
@@ -77,7 +91,8 @@ def fit_preprocessor(df: DataFrame, categorical: Sequence[str], numeric: Sequenc
     """Fit imputation + encoding on ``df`` (the fit set) and return the fitted pipeline."""
     cats, nums = list(categorical), list(numeric)
     med = exact_medians(df, nums)
-    mod = modes(df, cats)
+    counts = category_counts(df, cats)
+    mod = modes_from_counts(counts)
     select = ["*"]
     for c in cats:
         fill = mod.get(c)
@@ -96,13 +111,19 @@ def fit_preprocessor(df: DataFrame, categorical: Sequence[str], numeric: Sequenc
     assembled: list[str] = []
     if cats:
         imputed = impute.transform(df)
-        indexer = StringIndexer(inputCols=[f"__cat_{c}" for c in cats], outputCols=[f"__idx_{c}" for c in cats],
-                                stringOrderType="alphabetAsc", handleInvalid="keep").fit(imputed)
+        # sorted labels (alphabetAsc); unseen / null -> index len(labels) ("keep") -> all zeros below
+        # (one model per column: the multi-column constructor pads ragged label arrays with nulls)
+        labels_array = [sorted(v for v, _ in counts[c]) or [str(mod.get(c))] for c in cats]
+        indexers = [StringIndexerModel.from_labels(labels, inputCol=f"__cat_{c}", outputCol=f"__idx_{c}",
+                                                   handleInvalid="keep") for c, labels in zip(cats, labels_array)]
+        indexed = imputed
+        for ix in indexers:
+            indexed = ix.transform(indexed)
         encoder = OneHotEncoder(inputCols=[f"__idx_{c}" for c in cats], outputCols=[f"__oh_{c}" for c in cats],
                                 dropLast=True, handleInvalid="error")
-        encoder_model = encoder.fit(indexer.transform(imputed))
-        stages += [indexer, encoder_model]
-        for c, labels in zip(cats, indexer.labelsArray):
+        encoder_model = encoder.fit(indexed)
+        stages += [*indexers, encoder_model]
+        for c, labels in zip(cats, labels_array):
             labels = list(labels)
             kept = labels[1:] if drop_first else labels
             if not kept:

@@ -36,26 +36,8 @@ def average_ranks(pairs: DataFrame, group_cols: Sequence[str], value_col: str,
     buckets = max(1, _partitions(pairs, partitions))
     counts = (pairs.filter(F.col(value_col).isNotNull())
               .groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("n")))
-    probs = [i / buckets for i in range(1, buckets)]
-    if probs:
-        bounds = counts.groupBy(*g).agg(
-            F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), 10000).alias("__bounds"))
-        bucket = F.size(F.filter("__bounds", lambda b: b < F.col(value_col)))
-        bucketed = counts.join(bounds, g).withColumn("__bucket", bucket).drop("__bounds") if g else \
-            counts.crossJoin(bounds).withColumn("__bucket", bucket).drop("__bounds")
-    else:
-        bucketed = counts.withColumn("__bucket", F.lit(0))
-    inside = Window.partitionBy(*g, "__bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    bucketed = bucketed.withColumn("__before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    totals = bucketed.groupBy(*g, "__bucket").agg(F.sum("n").alias("__bucket_n"))
-    across = Window.partitionBy(*g).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.withColumn("__offset", F.coalesce(F.sum("__bucket_n").over(across), F.lit(0)))
-               .withColumn("group_n", F.sum("__bucket_n").over(Window.partitionBy(*g)))
-               .select(*g, "__bucket", "__offset", "group_n"))
-    return (bucketed.join(offsets, [*g, "__bucket"])
-            .select(*g, value_col, "n",
-                    (F.col("__offset") + F.col("__before") + (F.col("n") + 1) / 2.0).alias("avg_rank"),
-                    "group_n"))
+    pos = _bucketed_positions(counts, g, value_col, buckets)
+    return pos.select(*g, value_col, "n", (F.col("__first") + (F.col("n") + 1) / 2.0).alias("avg_rank"), "group_n")
 
 
 def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "row_index",
@@ -79,3 +61,74 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "row_
     # one row per partition: bounded by the partition count, safe to broadcast
     out = ordered.join(F.broadcast(offsets.select("__pid", "__offset")), pid == F.col("__pid"))
     return out.select((F.col("__offset") + local).alias(index_col), *df.columns)
+
+
+def _bucketed_positions(counts: DataFrame, g: list[str], value_col: str, buckets: int) -> DataFrame:
+    """(group…, value, n) distinct-value counts -> + first 0-based position of the value inside its
+    group (``__first``) and the group size (``group_n``); same bucketing as ``average_ranks``."""
+    probs = [i / buckets for i in range(1, buckets)]
+    if probs:
+        bounds = counts.groupBy(*g).agg(
+            F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), 10000).alias("__bounds"))
+        bucket = F.size(F.filter("__bounds", lambda b: b < F.col(value_col)))
+        bucketed = (counts.join(bounds, g) if g else counts.crossJoin(bounds)) \
+            .withColumn("__bucket", bucket).drop("__bounds")
+    else:
+        bucketed = counts.withColumn("__bucket", F.lit(0))
+    inside = Window.partitionBy(*g, "__bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = bucketed.withColumn("__before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    totals = bucketed.groupBy(*g, "__bucket").agg(F.sum("n").alias("__bucket_n"))
+    across = Window.partitionBy(*g).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (totals.withColumn("__offset", F.coalesce(F.sum("__bucket_n").over(across), F.lit(0)))
+               .withColumn("group_n", F.sum("__bucket_n").over(Window.partitionBy(*g)))
+               .select(*g, "__bucket", "__offset", "group_n"))
+    return bucketed.join(offsets, [*g, "__bucket"]).select(
+        *g, value_col, "n", (F.col("__offset") + F.col("__before")).alias("__first"), "group_n")
+
+
+def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, probs: Sequence[float],
+                    partitions: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / numpy default, DuckDB ``quantile_cont``)
+    per group, without gathering a group's values into one task.
+
+    Position h = (n − 1)·p; result = x[⌊h⌋] + (h − ⌊h⌋)·(x[⌈h⌉] − x[⌊h⌋]). Distinct values carry
+    their [first, last] position range (``_bucketed_positions``); each distinct value emits the
+    (p, side) positions it covers, so the final group-by sees at most two rows per (group, p).
+    Output: group…, ``p_index`` (position in ``probs``), ``quantile``; groups with only nulls are
+    absent (callers left-join)."""
+    g = list(group_cols)
+    buckets = max(1, _partitions(df, partitions))
+    counts = (df.select(*g, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+              .groupBy(*g, "__v").agg(F.count(F.lit(1)).alias("n")))
+    pos = _bucketed_positions(counts, g, "__v", buckets)
+    last = F.col("__first") + F.col("n") - 1
+    targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+
+    def covers(t, k):
+        return (k >= F.col("__first")) & (k <= last)
+
+    def lo(t):
+        return F.floor((F.col("group_n") - 1) * t["p"])
+
+    def hi(t):
+        return F.ceil((F.col("group_n") - 1) * t["p"])
+
+    hits = F.filter(F.transform(targets, lambda t: F.struct(
+        t["i"].alias("i"), ((F.col("group_n") - 1) * t["p"]).alias("h"),
+        covers(t, lo(t)).alias("is_lo"), covers(t, hi(t)).alias("is_hi"))),
+        lambda s: s["is_lo"] | s["is_hi"])
+    rows = pos.select(*g, "__v", F.explode(hits).alias("t")).select(*g, "__v", "t.*")
+    agg = rows.groupBy(*g, "i").agg(F.max("h").alias("h"),
+                                     F.max(F.when(F.col("is_lo"), F.col("__v"))).alias("v_lo"),
+                                     F.max(F.when(F.col("is_hi"), F.col("__v"))).alias("v_hi"))
+    frac = F.col("h") - F.floor("h")
+    return agg.select(*g, F.col("i").alias("p_index"),
+                      (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+
+
+def quantile_columns(df: DataFrame, group_cols: Sequence[str], value_col: str, probs: Sequence[float],
+                     names: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``exact_quantiles`` pivoted to one column per probability (group…, name1, name2, …)."""
+    q = exact_quantiles(df, group_cols, value_col, probs, partitions)
+    aggs = [F.max(F.when(F.col("p_index") == i, F.col("quantile"))).alias(n) for i, n in enumerate(names)]
+    return q.groupBy(*group_cols).agg(*aggs) if group_cols else q.agg(*aggs)

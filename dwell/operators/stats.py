@@ -1,28 +1,49 @@
 """Statistics (A01–A20): exact, distributed aggregates.
 
-Quantiles are exact with linear interpolation (``percentile``, equal to pandas' default and
-DuckDB ``quantile_cont``); approximate sketches are never the default (N7).
+Quantiles are exact with linear interpolation (pandas' default, DuckDB ``quantile_cont``) and
+computed by ``ranking.exact_quantiles``: distinct-value counts, quantile-bucketed positions and at
+most two rows per (group, p) at the end — a hot group is never gathered into one task (Spark's
+``percentile`` would merge all distinct values of a group in one task). Approximate sketches are
+never the result (N7).
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwell.operators.ranking import quantile_columns
+
 
 def _r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def with_quantiles(agg: DataFrame, df: DataFrame, group: Sequence[str], column: str, probs: Sequence[float],
+                   names: Sequence[str]) -> DataFrame:
+    """Attach exact quantiles of ``column`` per ``group`` to an aggregate keyed by ``group``
+    (null-safe keys, left join: a group without values gets null quantiles)."""
+    g = list(group)
+    q = quantile_columns(df, g, column, probs, names)
+    if not g:
+        return agg.join(q, how="left", on=F.lit(True)) if False else agg.select(
+            "*", *[q.select(n).scalar().alias(n) for n in names])
+    q = q.select(*[F.col(c).alias(f"__q_{c}") for c in g], *names)
+    cond = reduce(and_, [agg[c].eqNullSafe(q[f"__q_{c}"]) for c in g])
+    return agg.join(q, cond, "left").drop(*[f"__q_{c}" for c in g])
+
+
 def stats_by_split(df: DataFrame, split_col: str, target: str, order: Sequence[str]) -> DataFrame:
     """Count / mean / median / max per split, in ``order``; absent splits give null rows.
     One partial aggregate (map-side) over a handful of groups, joined to a literal split list."""
     spark = df.sparkSession
-    agg = df.groupBy(split_col).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(target).alias("m"),
-        F.percentile(target, F.lit(0.5)).alias("med"), F.max(target).alias("mx"))
+    agg = df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("m"), F.max(target).alias("mx"))
+    agg = with_quantiles(agg, df, [split_col], target, [0.5], ["med"])
     names = spark.createDataFrame([(s, i) for i, s in enumerate(order)], f"{split_col} string, ordinal int")
     return (F.broadcast(names).join(agg, split_col, "left")
             .select(split_col, "ordinal", F.coalesce("n", F.lit(0)).cast("long").alias("count"),
@@ -37,19 +58,19 @@ DESCRIBE_PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 def describe(df: DataFrame, column: str, percentiles: Sequence[float] = DESCRIBE_PERCENTILES) -> DataFrame:
     """Count, mean, sample std, min, percentiles (exact, linear), max — one aggregate."""
     names = [f"p{int(round(p * 100))}" for p in percentiles]
-    q = F.percentile(column, F.array(*[F.lit(p) for p in percentiles]))
     agg = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"),
-                 F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("__q"),
-                 F.max(column).alias("max"))
+                 F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    agg = with_quantiles(agg, df, [], column, percentiles, names)
     return agg.select(F.col("count").cast("long"), *[_r6(F.col(c)).alias(c) for c in ("mean", "std", "min")],
-                      *[_r6(F.col("__q")[i]).alias(n) for i, n in enumerate(names)], _r6(F.col("max")).alias("max"))
+                      *[_r6(F.col(n)).alias(n) for n in names], _r6(F.col("max")).alias("max"))
 
 
 def grouped_describe(df: DataFrame, group: str, column: str) -> DataFrame:
     """Mean, median, max per group (nulls in the group key dropped, N6)."""
-    return (df.filter(F.col(group).isNotNull()).groupBy(group)
-            .agg(_r6(F.avg(column)).alias("mean"), _r6(F.percentile(column, F.lit(0.5))).alias("median"),
-                 _r6(F.max(column)).alias("max")))
+    kept = df.filter(F.col(group).isNotNull())
+    agg = kept.groupBy(group).agg(_r6(F.avg(column)).alias("mean"), _r6(F.max(column)).alias("max"))
+    return with_quantiles(agg, kept, [group], column, [0.5], ["median"]) \
+        .select(group, "mean", _r6(F.col("median")).alias("median"), "max")
 
 
 def by_dimensions(df: DataFrame, dimensions: Sequence[str], column: str) -> DataFrame:
@@ -60,17 +81,18 @@ def by_dimensions(df: DataFrame, dimensions: Sequence[str], column: str) -> Data
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
                                 for d in dimensions]))
     long = df.select(pairs.alias("p"), F.col(column).alias("__y")).select("p.dimension", "p.value", "__y")
-    return long.groupBy("dimension", "value").agg(
-        F.count("__y").cast("long").alias("count"), _r6(F.percentile("__y", F.lit(0.5))).alias("median"),
-        _r6(F.avg("__y")).alias("mean"))
+    agg = long.groupBy("dimension", "value").agg(F.count("__y").cast("long").alias("count"),
+                                                 _r6(F.avg("__y")).alias("mean"))
+    return with_quantiles(agg, long, ["dimension", "value"], "__y", [0.5], ["median"]) \
+        .select("dimension", "value", "count", _r6(F.col("median")).alias("median"), "mean")
 
 
 def per_group_summary(df: DataFrame, group: str, column: str) -> DataFrame:
     """Per group count / median / mean, ordered by median (null keys dropped)."""
-    return (df.filter(F.col(group).isNotNull()).groupBy(group)
-            .agg(F.count(column).cast("long").alias("count"), _r6(F.percentile(column, F.lit(0.5))).alias("median"),
-                 _r6(F.avg(column)).alias("mean"))
-            .orderBy("median", group))
+    kept = df.filter(F.col(group).isNotNull())
+    agg = kept.groupBy(group).agg(F.count(column).cast("long").alias("count"), _r6(F.avg(column)).alias("mean"))
+    return (with_quantiles(agg, kept, [group], column, [0.5], ["median"])
+            .select(group, "count", _r6(F.col("median")).alias("median"), "mean").orderBy("median", group))
 
 
 def split_audit(df: DataFrame, split_col: str, success_col: str, date_col: str, order: Sequence[str]) -> DataFrame:
@@ -97,16 +119,15 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def monthly_trend(df: DataFrame, date_col: str, column: str) -> DataFrame:
     """Median and count per calendar month (months without rows absent)."""
-    return (df.groupBy(F.trunc(F.to_date(date_col), "month").alias("month"))
-            .agg(_r6(F.percentile(column, F.lit(0.5))).alias("median"), F.count(column).cast("long").alias("count"))
-            .orderBy("month"))
+    monthly = df.select(F.trunc(F.to_date(date_col), "month").alias("month"), column)
+    agg = monthly.groupBy("month").agg(F.count(column).cast("long").alias("count"))
+    return (with_quantiles(agg, monthly, ["month"], column, [0.5], ["median"])
+            .select("month", _r6(F.col("median")).alias("median"), "count").orderBy("month"))
 
 
 def tukey(df: DataFrame, column: str) -> DataFrame:
     """A10: q1, q3, iqr and upper fence q3 + 1.5·(q3 − q1) (one row)."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
-    return (df.agg(q.alias("__q"))
-            .select(F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("q3"))
+    return (quantile_columns(df, [], column, [0.25, 0.75], ["q1", "q3"])
             .withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
 
@@ -233,9 +254,8 @@ def grouped_density(df: DataFrame, group: str, column: str, bins: int) -> DataFr
 def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
     """q1, median, q3, whiskers (furthest values inside 1.5 IQR) and outlier count per group.
     Per-group quartiles are joined back to the rows (one row per group)."""
-    q = df.filter(F.col(column).isNotNull()).groupBy(group).agg(
-        F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-    q = q.select(group, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
+    q = quantile_columns(df.filter(F.col(column).isNotNull()), [group], column, [0.25, 0.5, 0.75],
+                         ["q1", "median", "q3"])
     x = F.col(column)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def duplicate_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "is_duplicate") -> DataFrame:
-    """Every occurrence after the first of ``keys`` (first by ``order``) is flagged.
-    Null keys are equal to each other, as in pandas ``duplicated``. Partitioned by the key, so
-    a hot key is one window partition; use ``duplicate_count`` (aggregate) when only counts matter."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w) > 1)
+def duplicate_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "is_duplicate") -> DataFrame:
+    """Every occurrence after the first of ``keys`` (first by ``order``) is flagged; null keys
+    are equal to each other, as in pandas ``duplicated``.
+
+    The first occurrence per key is a partial (map-side) ``min`` aggregate joined back null-safely,
+    so a key holding a large share of the rows is never sorted inside one window partition (AQE's
+    skew-join handling splits it on the large side)."""
+    first = F.struct(*[F.col(c) for c in order])
+    firsts = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.min(first).alias("__first"))
+    cond = reduce(and_, [df[k].eqNullSafe(firsts[f"__k_{k}"]) for k in keys])
+    joined = df.join(firsts, cond, "left")
+    # rows tied with the first occurrence on (key, order): all but one are duplicates; the window
+    # only spans such ties
+    tie = Window.partitionBy(*keys, *order).orderBy(*df.columns)
+    is_first_value = first == F.col("__first")
+    flagged = joined.withColumn(name, ~is_first_value | (F.row_number().over(tie) > 1))
+    return flagged.drop("__first", *[f"__k_{k}" for k in keys])
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:

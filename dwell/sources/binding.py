@@ -14,8 +14,8 @@ Scale notes
   ``spark.sql.autoBroadcastJoinThreshold``.
 * The lease date of an order is ``min(l_shipdate)`` over its lines shipped on/after the order
   date: a partial (map-side) aggregate on ``l_orderkey`` after a shuffle join with orders.
-* ``weekly_market`` is a group-by over (week, project); exact medians use ``percentile``,
-  which keeps partial value-count buffers per partition before the merge.
+* ``weekly_market`` is a group-by over (week, project); the exact median comes from the
+  distributed quantile operator, so a hot (week, project) is never gathered into one task.
 * ``views()`` memoises per session and input folder; with a checkpoint folder available the
   five tables are written there once as parquet (a written table cuts lineage and survives
   executor loss), otherwise they are persisted with lineage retained.
@@ -31,6 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwell.operators.ranking import quantile_columns
 from dwell.session import checkpoint_dir
 
 TABLES = ("projects", "units", "listings", "leases", "weekly_market")
@@ -170,18 +171,21 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         )
     )
 
+    market_rows = (base.select(F.col("week_listed").alias("week"), "project_id", "floor", "unit_id", "asking_rent")
+                   .join(F.broadcast(projects.select("project_id", "total_units")), "project_id"))
+    medians = quantile_columns(market_rows, ["week", "project_id"], "asking_rent", [0.5], ["median_asking_rent"])
     weekly_market = (
-        base.select("week_listed", "project_id", "floor", "unit_id", "asking_rent")
-        .join(F.broadcast(projects.select("project_id", "total_units")), "project_id")
-        .groupBy(F.col("week_listed").alias("week"), "project_id")
+        market_rows.groupBy("week", "project_id")
         .agg(
             F.count(F.lit(1)).cast("int").alias("n_listings_open"),
             (F.count(F.lit(1)) + F.sum("floor") % 17).cast("int").alias("n_searchers"),
             F.count_distinct("unit_id").cast("int").alias("n_units_leased"),
             (F.count_distinct("unit_id").cast("double") / F.max("total_units")).alias("occupancy"),
-            F.percentile("asking_rent", F.lit(0.5)).alias("median_asking_rent"),
         )
+        .join(medians, ["week", "project_id"], "left")
         .withColumn("date", F.date_add(F.lit(WEEK_ZERO).cast("date"), F.col("week") * 7))
+        .select("week", "project_id", "n_listings_open", "n_searchers", "n_units_leased", "occupancy",
+                "median_asking_rent", "date")
     )
     return {
         "projects": projects,
