@@ -48,6 +48,8 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "row_
     layout read by the offset computation is the one that is indexed (and survives executor
     loss). ``monotonically_increasing_id`` encodes (partition, position); per-partition counts
     (one row per partition) give the offsets."""
+    from dwell.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     ordered = df.repartitionByRange(_partitions(df, partitions), *order_cols) \
         .sortWithinPartitions(*order_cols) \
         .withColumn("__mid", F.monotonically_increasing_id())
