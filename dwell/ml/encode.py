@@ -62,6 +62,41 @@ def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tup
     return out
 
 
+def fit_statistics(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]):
+    """One scan of the fit set: every feature is exploded to (column, text, number) and counted
+    per distinct value (map-side partial aggregation). Category lists / counts come from the
+    categorical rows (driver-sized); exact medians of the numeric columns are computed by Spark
+    from the numeric rows of the same count table."""
+    from pyspark import StorageLevel
+
+    from dwell.operators.ranking import _partitions, quantiles_from_counts
+
+    cats, nums = list(categorical), list(numeric)
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"),
+                        F.lit(None).cast("double").alias("number")) for c in cats]
+    entries += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("text"),
+                         F.col(c).cast("double").alias("number")) for c in nums]
+    if not entries:
+        return {}, {}
+    counts = (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+              .filter(F.col("text").isNotNull() | F.col("number").isNotNull())
+              .groupBy("column", "text", "number").agg(F.count(F.lit(1)).alias("n"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        cat_counts: dict[str, list[tuple[str, int]]] = {c: [] for c in cats}
+        if cats:
+            for r in counts.filter(F.col("column").isin(cats)).select("column", "text", "n").collect():
+                cat_counts[r["column"]].append((r["text"], int(r["n"])))
+        med: dict[str, float | None] = {c: None for c in nums}
+        if nums:
+            numeric_counts = counts.filter(F.col("column").isin(nums) & F.col("number").isNotNull())
+            q = quantiles_from_counts(numeric_counts, ["column"], "number", "n", [0.5], _partitions(df, None))
+            med.update({r["column"]: r["quantile"] for r in q.collect()})
+    finally:
+        counts.unpersist()
+    return med, cat_counts
+
+
 def modes_from_counts(counts: dict[str, list[tuple[str, int]]]) -> dict[str, str | None]:
     """Most frequent value, ties -> smallest value."""
     return {c: (min(vals, key=lambda vn: (-vn[1], vn[0]))[0] if vals else None) for c, vals in counts.items()}
@@ -90,8 +125,7 @@ def fit_preprocessor(df: DataFrame, categorical: Sequence[str], numeric: Sequenc
                      features_col: str = "features") -> Encoded:
     """Fit imputation + encoding on ``df`` (the fit set) and return the fitted pipeline."""
     cats, nums = list(categorical), list(numeric)
-    med = exact_medians(df, nums)
-    counts = category_counts(df, cats)
+    med, counts = fit_statistics(df, cats, nums)
     mod = modes_from_counts(counts)
     select = ["*"]
     for c in cats:

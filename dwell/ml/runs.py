@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from statistics import fmean, pstdev
 from typing import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,19 +140,17 @@ def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_G
     from dwell.operators.splits import rolling_folds
 
     cats, nums, y = list(feat.PRICE_CATEGORICAL), list(feat.PRICE_NUMERIC), feat.PRICE_TARGET
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)     # every fit below reads it
     train = labelled.filter(F.col("split") == "train")
     valid = labelled.filter(F.col("split") == "validation")
     test = labelled.filter(F.col("split") == "test")
-    long = rolling_folds(train, feat.PRICE_DATE, windows).cache()
+    long = rolling_folds(train, feat.PRICE_DATE, windows)
     folds = [(n, long.filter((F.col("fold") == n) & (F.col("role") == "train")).drop("fold", "role"),
               long.filter((F.col("fold") == n) & (F.col("role") == "validation")).drop("fold", "role"))
              for n, _, _ in windows]
-    try:
-        selected, history = forward_select(folds, cats, nums, y, candidates=feat.PRICE_FEATURES,
-                                           minimum_improvement=minimum_improvement)
-        best, tuning = tune_boosting(folds, cats, nums, y, grid, threads, order)
-    finally:
-        long.unpersist()
+    selected, history = forward_select(folds, cats, nums, y, candidates=feat.PRICE_FEATURES,
+                                       minimum_improvement=minimum_improvement)
+    best, tuning = tune_boosting(folds, cats, nums, y, grid, threads, order)
     params = dict(grid[int(best["set_number"]) - 1])
     sel_c = [c for c in selected if c in cats]
     sel_n = [c for c in selected if c in nums]
@@ -166,7 +165,7 @@ def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_G
     test_long = union_all([scored_long(m, test, n, "test", y) for n, m in final.items()])
     metrics = M.regression_metrics(union_all([val_long, test_long]), ["model", "split"])
     return {"winner": winner, "metrics": metrics, "selected": selected, "history": history, "tuning": tuning,
-            "best_params": params, "models": final, "deployed": final[winner]}
+            "best_params": params, "models": final, "deployed": final[winner], "data": labelled}
 
 
 # ---------------------------------------------------------------- M25 / M26 batch scoring

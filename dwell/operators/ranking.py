@@ -99,9 +99,16 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, pr
     Output: group…, ``p_index`` (position in ``probs``), ``quantile``; groups with only nulls are
     absent (callers left-join)."""
     g = list(group_cols)
-    buckets = max(1, _partitions(df, partitions))
     counts = (df.select(*g, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
               .groupBy(*g, "__v").agg(F.count(F.lit(1)).alias("n")))
+    return quantiles_from_counts(counts, g, "__v", "n", probs, max(1, _partitions(df, partitions)))
+
+
+def quantiles_from_counts(counts: DataFrame, group_cols: Sequence[str], value_col: str, count_col: str,
+                          probs: Sequence[float], buckets: int) -> DataFrame:
+    """``exact_quantiles`` over an already aggregated (group…, value, count) table."""
+    g = list(group_cols)
+    counts = counts.select(*g, F.col(value_col).cast("double").alias("__v"), F.col(count_col).alias("n"))
     pos = _bucketed_positions(counts, g, "__v", buckets)
     last = F.col("__first") + F.col("n") - 1
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])

@@ -47,13 +47,26 @@ def ttl_train(spark, sf):
 
 
 def price_folds(spark, sf):
-    train = price_part(spark, sf, "train")
+    """Fold frames as filters over the price train split, persisted once (lineage kept); the
+    caller unpersists ``folds[0][1]``'s source through ``release``."""
+    from pyspark import StorageLevel
+    train = price_part(spark, sf, "train").persist(StorageLevel.MEMORY_AND_DISK)
+    _persisted.append(train)
     long = splits.rolling_folds(train, feat.PRICE_DATE, binding.PRICE_FOLDS)
     return [(name, long.filter((F.col("fold") == name) & (F.col("role") == "train")).drop("fold", "role"),
              long.filter((F.col("fold") == name) & (F.col("role") == "validation")).drop("fold", "role"))
             for name, _, _ in binding.PRICE_FOLDS]
 
 
+_persisted: list = []
+
+
+def release():
+    """Unpersist fold sources once a model query has produced its (materialised) result."""
+    while _persisted:
+        _persisted.pop().unpersist()
+
+
 def _rows(spark, records, ddl):
     return spark.createDataFrame(records, ddl)
 
@@ -190,8 +203,11 @@ def _history_frame(spark, history, n_folds):
 @query("m10")
 def m10(spark, sf):
     folds = price_folds(spark, sf)
-    _, history = forward.forward_select(folds, feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                                        candidates=feat.PRICE_FEATURES)
+    try:
+        _, history = forward.forward_select(folds, feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
+                                            candidates=feat.PRICE_FEATURES)
+    finally:
+        release()
     return _history_frame(spark, history, len(folds))
 
 
@@ -215,15 +231,21 @@ def _tuning_frame(spark, rows):
 
 @query("m12")
 def m12(spark, sf):
-    row = runs.evaluate_parameter_set(1, SMALL_BOOSTING, price_folds(spark, sf), feat.PRICE_CATEGORICAL,
-                                      feat.PRICE_NUMERIC, "rent", order=["date_start", "rent"])
+    try:
+        row = runs.evaluate_parameter_set(1, SMALL_BOOSTING, price_folds(spark, sf), feat.PRICE_CATEGORICAL,
+                                          feat.PRICE_NUMERIC, "rent", order=["date_start", "rent"])
+    finally:
+        release()
     return _tuning_frame(spark, [row])
 
 
 @query("m13")
 def m13(spark, sf):
-    best, rows = runs.tune_boosting(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                                    grid=SMALL_GRID, threads=2, order=["date_start", "rent"])
+    try:
+        best, rows = runs.tune_boosting(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
+                                        grid=SMALL_GRID, threads=2, order=["date_start", "rent"])
+    finally:
+        release()
     return _tuning_frame(spark, rows).withColumn("chosen", F.col("set_number") == float(best["set_number"]))
 
 
@@ -388,7 +410,10 @@ def m22(spark, sf):
 @query("m23")
 def m23(spark, sf):
     out = runs.price_run(price_xy(spark, sf), binding.PRICE_FOLDS, grid=SMALL_GRID)
-    return _round_metrics(out["metrics"]).withColumn("winner", F.lit(out["winner"]))
+    metrics = _round_metrics(out["metrics"]).withColumn("winner", F.lit(out["winner"]))
+    rows = metrics.collect()           # model-sized (models x splits)
+    out["data"].unpersist()
+    return spark.createDataFrame(rows, metrics.schema)
 
 
 # ------------------------------------------------------------------------------ M24–M27 scoring
