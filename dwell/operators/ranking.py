@@ -34,8 +34,8 @@ def average_ranks(pairs: DataFrame, group_cols: Sequence[str], value_col: str,
     """(group…, value) rows -> (group…, value, n, avg_rank, group_n). Null values are skipped."""
     g = list(group_cols)
     buckets = max(1, _partitions(pairs, partitions))
-    counts = (pairs.filter(F.col(value_col).isNotNull())
-              .groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(pairs.filter(F.col(value_col).isNotNull())
+                         .groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("n")))
     pos = _bucketed_positions(counts, g, value_col, buckets)
     return pos.select(*g, value_col, "n", (F.col("__first") + (F.col("n") + 1) / 2.0).alias("avg_rank"), "group_n")
 
@@ -65,16 +65,32 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "row_
     return out.select((F.col("__offset") + local).alias(index_col), *df.columns)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the session's checkpoint folder (reliable checkpoint, lineage cut) so
+    that a multi-pass algorithm scans its (small) intermediate instead of re-running the input
+    plan in every branch."""
+    from dwell.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _bucketed_positions(counts: DataFrame, g: list[str], value_col: str, buckets: int) -> DataFrame:
     """(group…, value, n) distinct-value counts -> + first 0-based position of the value inside its
     group (``__first``) and the group size (``group_n``); same bucketing as ``average_ranks``."""
     probs = [i / buckets for i in range(1, buckets)]
     if probs:
-        bounds = counts.groupBy(*g).agg(
-            F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), 10000).alias("__bounds"))
-        bucket = F.size(F.filter("__bounds", lambda b: b < F.col(value_col)))
-        bucketed = (counts.join(bounds, g) if g else counts.crossJoin(bounds)) \
-            .withColumn("__bucket", bucket).drop("__bounds")
+        sketch = F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), 10000)
+        if g:
+            bounds = counts.groupBy(*g).agg(sketch.alias("__bounds"))
+            bucket = F.size(F.filter("__bounds", lambda b: b < F.col(value_col)))
+            bucketed = counts.join(bounds, g).withColumn("__bucket", bucket).drop("__bounds")
+        else:
+            # one global group: bounds are a scalar subquery (no join); the bucket is the number of
+            # bounds below the value = its first position in the sorted (bounds + value) array
+            bounds = counts.select(sketch).scalar()
+            v = F.col(value_col)
+            bucket = F.array_position(F.sort_array(F.concat(bounds, F.array(v))), v) - 1
+            bucketed = counts.withColumn("__bucket", bucket.cast("int"))
     else:
         bucketed = counts.withColumn("__bucket", F.lit(0))
     inside = Window.partitionBy(*g, "__bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +124,7 @@ def quantiles_from_counts(counts: DataFrame, group_cols: Sequence[str], value_co
                           probs: Sequence[float], buckets: int) -> DataFrame:
     """``exact_quantiles`` over an already aggregated (group…, value, count) table."""
     g = list(group_cols)
-    counts = counts.select(*g, F.col(value_col).cast("double").alias("__v"), F.col(count_col).alias("n"))
+    counts = materialize(counts.select(*g, F.col(value_col).cast("double").alias("__v"), F.col(count_col).alias("n")))
     pos = _bucketed_positions(counts, g, "__v", buckets)
     last = F.col("__first") + F.col("n") - 1
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])

@@ -80,6 +80,22 @@ def matured_split(df: DataFrame, date_column: str, train_end: str, validation_en
     return df.withColumn(label, matured_label(parse_timestamp(date_column), train_end, validation_end, test_end))
 
 
+def matured_range(date_col: str, split: str, train_end: str, validation_end: str, test_end: str) -> Column:
+    """K02 as a date-range predicate on a DATE column (same rows as ``matured_label == split``),
+    in a form that reaches the parquet scan and prunes row groups of date-sorted data."""
+    d = F.col(date_col)
+    c1, c2, c3 = (F.lit(x[:10]).cast("date") for x in (train_end, validation_end, test_end))
+    return {"train": d <= c1, "validation": (d > c1) & (d <= c2), "test": (d > c2) & (d <= c3),
+            "post_test": d > c3}[split]
+
+
+def chronological_range(date_col: str, split: str, train_end: str, validation_end: str) -> Column:
+    """K01 as a date-range predicate on a DATE column (whole cut-off days included)."""
+    d = F.col(date_col)
+    c1, c2 = (F.lit(x[:10]).cast("date") for x in (train_end, validation_end))
+    return {"train": d <= c1, "validation": (d > c1) & (d <= c2), "test": d > c2}[split]
+
+
 def fold_windows(windows: Sequence[tuple[str, str, str]]) -> Column:
     """The (fold, train_end, validation_end) list as a literal array of structs."""
     return F.array(*[

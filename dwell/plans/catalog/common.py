@@ -49,7 +49,11 @@ PEARSON_COLUMNS = ("rent", "floor", "size_sqm", "lease_months", "distance_to_cam
 
 
 def eda(spark, sf_dir):
-    return ttl(spark, sf_dir).filter(F.col("data_split") == "train")
+    """Matured train split of F02, selected by a date predicate that reaches the scan."""
+    from dwell.operators import splits
+    from dwell.sources import binding
+    return ttl(spark, sf_dir).filter(splits.matured_range("date_listed", "train", binding.TTL_TRAIN_END,
+                                                          binding.TTL_VALIDATION_END, binding.TTL_TEST_END))
 
 
 def price_split(spark, sf_dir):
@@ -60,7 +64,11 @@ def price_split(spark, sf_dir):
 
 
 def price_train(spark, sf_dir):
-    return price_split(spark, sf_dir).filter(F.col("split") == "train")
+    """Chronological train split of F01, selected by a date predicate that reaches the scan."""
+    from dwell.operators import splits
+    from dwell.sources import binding
+    return price_split(spark, sf_dir).filter(splits.chronological_range(
+        "date_start", "train", binding.PRICE_TRAIN_END, binding.PRICE_VALIDATION_END))
 
 
 def _join(parts, body: str) -> str:

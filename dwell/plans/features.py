@@ -112,8 +112,16 @@ def price_features_and_target(df: DataFrame, keep: tuple[str, ...] = ()) -> Data
 
 # ============================================================== F02 time-to-lease dataset
 def completed_primary(listings: DataFrame) -> DataFrame:
-    """Primary listing (id does not end in -B; null id is primary) and lenient leased = true."""
-    return listings.filter(~is_alternative_id("listing_id") & lenient_flag("leased", _dtype(listings, "leased")))
+    """Primary listing (id does not end in -B; null id is primary) and lenient leased = true.
+
+    Written in a form the parquet reader accepts as pushed filters (``leased = true`` for a
+    boolean column, ``id IS NULL OR NOT endswith``) — same truth table as the coalesce form."""
+    primary = F.col("listing_id").isNull() | ~F.col("listing_id").cast("string").endswith("-B")
+    if _dtype(listings, "leased") == "boolean":
+        done = F.col("leased") == F.lit(True)
+    else:
+        done = lenient_flag("leased", _dtype(listings, "leased"))
+    return listings.filter(primary & done)
 
 
 def target_invariants(modeling: DataFrame) -> DataFrame:
