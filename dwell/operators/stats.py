@@ -31,8 +31,8 @@ def with_quantiles(agg: DataFrame, df: DataFrame, group: Sequence[str], column:
     g = list(group)
     q = quantile_columns(df, g, column, probs, names)
     if not g:
-        return agg.join(q, how="left", on=F.lit(True)) if False else agg.select(
-            "*", *[q.select(n).scalar().alias(n) for n in names])
+        # one global row: the quantiles are (merged) scalar subqueries
+        return agg.select("*", *[q.select(n).scalar().alias(n) for n in names])
     q = q.select(*[F.col(c).alias(f"__q_{c}") for c in g], *names)
     cond = reduce(and_, [agg[c].eqNullSafe(q[f"__q_{c}"]) for c in g])
     return agg.join(q, cond, "left").drop(*[f"__q_{c}" for c in g])
