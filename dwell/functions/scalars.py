@@ -150,3 +150,19 @@ def resolve_alias(df_columns, *names: str, dtype: str = "double") -> Column:
     if not present:
         return F.lit(None).cast(dtype)
     return F.coalesce(*[F.col(n) for n in present]).cast(dtype)
+
+
+def require_strict_boolean(df, column: str):
+    """X01 error path: parse ``column`` strictly; raise ``ValueError`` listing at most five
+    distinct invalid values (found by a distributed distinct + limit, U04). Returns ``df`` with
+    the column replaced by its parsed boolean."""
+    from dwell.operators.sets import invalid_examples
+
+    dtype = dict(df.dtypes).get(column)
+    if dtype is None:
+        raise KeyError(f"column not found: {column}")
+    parsed, invalid = strict_boolean(column, dtype)
+    bad = [r[0] for r in invalid_examples(df, column, invalid, 5).collect()]
+    if bad or df.filter(invalid).limit(1).count():
+        raise ValueError(f"{column} has values that are not booleans: {bad}")
+    return df.withColumn(column, parsed)

@@ -94,3 +94,16 @@ def test_resolve_alias(spark):
     assert [r[0] for r in df.select(X.resolve_alias(df.columns, "market_occupancy", "occupancy")).collect()] == [0.8, 0.7]
     assert df.select(X.resolve_alias(df.columns, "absent")).first()[0] is None
     assert not math.isnan(0.0)
+
+
+def test_require_strict_boolean_lists_bad_values(spark):
+    import pytest
+    ok = spark.createDataFrame([("true",), ("0",)], "v string")
+    assert [r[0] for r in X.require_strict_boolean(ok, "v").collect()] == [True, False]
+    bad = spark.createDataFrame([(s,) for s in ["yes", "2", "maybe", "1.0", "x", "y", "true"]], "v string")
+    with pytest.raises(ValueError) as err:
+        X.require_strict_boolean(bad, "v")
+    assert "'1.0'" in str(err.value) and str(err.value).count("'") == 10   # five values quoted
+    nulls = spark.createDataFrame([(None,)], "v string")
+    with pytest.raises(ValueError):
+        X.require_strict_boolean(nulls, "v")
