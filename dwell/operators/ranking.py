@@ -23,10 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_BUCKETS = 1024   # value-range buckets per group (parallelism inside a hot group)
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
+    """Buckets per group: the caller's choice, else the shuffle parallelism capped at
+    ``MAX_BUCKETS`` (each bucket boundary costs sketch memory per group)."""
     if partitions:
         return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def average_ranks(pairs: DataFrame, group_cols: Sequence[str], value_col: str,

@@ -173,6 +173,23 @@ def market_gate(market: DataFrame, test_end: str, min_weeks: int = MIN_FOLLOW_UP
     return int(row["rows"])
 
 
+_gates: dict[tuple, tuple] = {}
+
+
+def _validated(listings: DataFrame, market: DataFrame, test_end: str, chosen: DataFrame) -> int:
+    """Run the builder's gates (K06 follow-up, J07 market key, F03 target invariants) once per
+    pair of input DataFrame objects and cut-off; DataFrames are immutable plans, so the result is
+    reused by every later build on the same inputs. Returns the market row count."""
+    key = (id(listings), id(market), test_end)
+    hit = _gates.get(key)
+    if hit is not None and hit[0] is listings and hit[1] is market:
+        return hit[2]
+    rows = market_gate(market, test_end)
+    check_target_invariants(chosen)
+    _gates[key] = (listings, market, rows)
+    return rows
+
+
 def market_features(df: DataFrame) -> DataFrame:
     """F04 / X10 / N15 over J02 output."""
     return (df.withColumn("market_demand_pressure", safe_ratio("n_searchers", "n_listings_open"))
@@ -192,11 +209,8 @@ def lease_time_dataset(tables: Mapping[str, DataFrame],
     require_columns(listings, TTL_LISTING_COLUMNS, "listings")
     require_columns(market, TTL_MARKET_COLUMNS, "weekly_market")
     splits._check_order(train_end, validation_end, test_end)
-    market_rows = market_gate(market, test_end) if validate else None
-
     chosen = completed_primary(listings).select(*TTL_LISTING_COLUMNS)
-    if validate:
-        check_target_invariants(chosen)
+    market_rows = _validated(listings, market, test_end, chosen) if validate else None
     date = parse_date(TTL_DATE)
     modeling = chosen.select(
         *[c for c in TTL_LISTING_COLUMNS if c not in (TTL_DATE, TTL_TARGET)],
