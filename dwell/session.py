@@ -39,10 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the session's checkpoint folder; only when it is unset (tests, local bench) create one."""
-    existing = checkpoint_dir(spark)
-    if existing:
-        spark.sparkContext.setCheckpointDir(existing)
-        return existing
+    active = spark.sparkContext.getCheckpointDir()
+    if active:
+        return active
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        spark.sparkContext.setCheckpointDir(configured)
+        return spark.sparkContext.getCheckpointDir() or configured
     local = tempfile.mkdtemp(prefix="dwell-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     try:
