@@ -14,7 +14,7 @@ ttl AS (
          WHEN l.date_listed <= DATE '1999-06-30' THEN 'test' ELSE 'post_test' END AS data_split,
     l.floor, l.size_sqm, l.room_type, l.view, l.furnished, l.first_asking_rent, l.project_name, l.university,
     l.distance_to_campus_m, l.facility_count, l.season_listed,
-    year(l.date_listed) AS listing_year, month(l.date_listed) AS listing_month,
+    CAST(year(l.date_listed) AS INTEGER) AS listing_year, CAST(month(l.date_listed) AS INTEGER) AS listing_month,
     m.occupancy AS market_occupancy,
     CAST(m.n_searchers AS DOUBLE) / nullif(m.n_listings_open, 0) AS market_demand_pressure,
     m.median_asking_rent AS market_median_asking_rent,
@@ -36,7 +36,7 @@ PRICE_CTE = """
 price AS (
   SELECT le.date_start, u.floor, u.size_sqm, u.room_type, u.view, u.furnished, le.lease_months, le.is_renewal,
     p.project_name, p.university, p.distance_to_campus_m, p.facility_count,
-    year(le.date_start) AS start_year, month(le.date_start) AS start_month, le.rent,
+    CAST(year(le.date_start) AS INTEGER) AS start_year, CAST(month(le.date_start) AS INTEGER) AS start_month, le.rent,
     CASE WHEN le.date_start < DATE '2000-01-01' THEN 'train' WHEN le.date_start < DATE '2000-04-01' THEN 'validation'
          ELSE 'test' END AS split
   FROM leases le LEFT JOIN units u ON u.unit_id = le.unit_id LEFT JOIN projects p ON p.project_id = le.project_id),

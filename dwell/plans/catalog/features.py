@@ -89,7 +89,7 @@ rooms AS (SELECT l.*, m.occupancy, m.median_asking_rent, m.n_searchers, m.n_list
 
 
 @query("f06", sql=ROOMS_SQL.strip() + """
-SELECT listing_id, year(date_listed) AS listing_year, month(date_listed) AS listing_month, round(occupancy, 6) AS market_occupancy,
+SELECT listing_id, CAST(year(date_listed) AS INTEGER) AS listing_year, CAST(month(date_listed) AS INTEGER) AS listing_month, round(occupancy, 6) AS market_occupancy,
   round(CAST(n_searchers AS DOUBLE) / nullif(n_listings_open, 0), 6) AS market_demand_pressure,
   round(median_asking_rent, 6) AS market_median_asking_rent, round(first_asking_rent / nullif(median_asking_rent, 0), 6) AS rent_to_market_ratio,
   (occupancy IS NULL OR CAST(n_searchers AS DOUBLE) / nullif(n_listings_open, 0) IS NULL OR median_asking_rent IS NULL) AS missing_market_history,
@@ -102,7 +102,7 @@ def f06(spark, sf):
 
 
 @query("f07", sql=f"""
-SELECT lease_id, year(date_start) AS start_year, month(date_start) AS start_month, true AS date_is_valid
+SELECT lease_id, CAST(year(date_start) AS INTEGER) AS start_year, CAST(month(date_start) AS INTEGER) AS start_month, true AS date_is_valid
 FROM leases WHERE date_start > DATE '{binding.PRICE_VALIDATION_END}'""")
 def f07(spark, sf):
     le = tables(spark, sf)["leases"]

@@ -366,7 +366,7 @@ def m18(spark, sf):
         .withColumn("term", clean_encoded_name("term"))
 
 
-@query("m19", sql=_w("SELECT CAST(count(*) AS BIGINT) AS n_features, 1.0 AS total FROM (SELECT DISTINCT feature FROM (VALUES "
+@query("m19", sql=_w("SELECT CAST(count(*) AS BIGINT) AS n_features, CAST(1.0 AS DOUBLE) AS total FROM (SELECT DISTINCT feature FROM (VALUES "
                      + ", ".join(f"('{c}')" for c in (*feat.TTL_CATEGORICAL, *feat.TTL_NUMERIC)) + ") v(feature)) "
                      "WHERE (SELECT count(*) FROM eda) > 0", EDA))
 def m19(spark, sf):
@@ -377,7 +377,7 @@ def m19(spark, sf):
 
 
 @query("m20", sql=_p("SELECT CAST((SELECT count(*) FROM cat_counts) + " + str(len(feat.PRICE_NUMERIC))
-                     + " AS BIGINT) AS n_columns, 1.0 AS total", PRICE_CAT_COUNTS))
+                     + " AS BIGINT) AS n_columns, CAST(1.0 AS DOUBLE) AS total", PRICE_CAT_COUNTS))
 def m20(spark, sf):
     model = ML.fit_boosting(price_part(spark, sf, "train"), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
                             SMALL_BOOSTING, order=["date_start", "rent"])
@@ -481,7 +481,7 @@ def m27(spark, sf):
 
 
 # ------------------------------------------------------------------------------ S07 persistence
-@query("s07", sql=_p("SELECT CAST(count(*) AS BIGINT) AS rows, 0.0 AS max_abs_diff FROM price WHERE split = 'validation'"))
+@query("s07", sql=_p("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM price WHERE split = 'validation'"))
 def s07(spark, sf):
     from pyspark.ml import PipelineModel
     train, valid = price_part(spark, sf, "train"), price_part(spark, sf, "validation")
