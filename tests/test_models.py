@@ -119,3 +119,39 @@ def test_boosting_and_scoring(spark):
     linear = ML.fit_linear(df, [], ["size_sqm"], "rent")
     rec = runs.recommend_price(linear, rooms, keep=("i",)).collect()
     assert all(r["recommended_rent"] == max(0.0, round(r["predicted_rent"])) for r in rec)
+
+
+def test_price_dataset_column_order(spark):
+    leases = spark.createDataFrame([("C1", 1, 7, "2025-02-03", 6, 9000.0, True)],
+                                   "lease_id string, unit_id bigint, project_id int, date_start string, lease_months int, "
+                                   "rent double, is_renewal boolean")
+    units = spark.createDataFrame([(1, 7, 3, 25.0, "studio", "city", None)],
+                                  "unit_id bigint, project_id int, floor int, size_sqm double, room_type string, "
+                                  "view string, furnished boolean")
+    projects = spark.createDataFrame([(7, "P", "U", 300, 20)], "project_id int, project_name string, university string, "
+                                                             "distance_to_campus_m int, facility_count int")
+    out = feat.price_dataset({"leases": leases, "units": units, "projects": projects})
+    assert out.columns == [feat.PRICE_DATE, *feat.PRICE_FEATURES, feat.PRICE_TARGET]
+    r = out.first()
+    assert (r["start_year"], r["start_month"]) == (2025, 2)
+    text = feat.price_model_input(out).first()
+    assert (text["furnished"], text["is_renewal"], text["start_month"]) == ("nan", "True", "2")
+
+
+def test_tuning_pick_and_price_run(spark):
+    d = F.to_date("date_start")
+    df = price_frame(spark).withColumn("split", F.when(d <= "2025-02-09", "train").when(d <= "2025-02-19", "validation")
+                                       .otherwise("test"))
+    folds = [("f1", df.filter(d <= "2025-01-25"), df.filter((d > "2025-01-25") & (d <= "2025-02-04")))]
+    grid = ({"n_estimators": 3, "learning_rate": 0.1, "max_depth": 2, "min_samples_leaf": 2, "subsample": 1.0},
+            {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 2, "min_samples_leaf": 2, "subsample": 1.0})
+    best, rows = runs.tune_boosting(folds, ["project_name"], ["size_sqm", "floor"], "rent", grid, threads=2,
+                                    order=["date_start"])
+    assert [r["set_number"] for r in rows] == [1, 2]
+    assert best["set_number"] == 1          # identical sets tie on MAE and std -> first set
+    out = runs.price_run(feat.price_features_and_target(df, keep=("split", "date_start")),
+                         (("f1", "2025-01-25", "2025-02-04"),), grid=grid[:1], threads=1)
+    metrics = {(r["model"], r["split"]) for r in out["metrics"].collect()}
+    assert metrics == {(m, s) for m in (runs.STEPWISE, runs.BOOSTING) for s in ("validation", "test")}
+    assert "size_sqm" in out["selected"]
+    out["data"].unpersist()
