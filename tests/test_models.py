@@ -46,6 +46,11 @@ def test_ttl_run_shapes(spark):
     assert out["winner"] == min(val, key=val.get)
     assert out["prediction_table"].count() == 15
     assert out["deployment_training_rows"] == 90 and out["excluded_post_test_rows"] == 0
+    from dwell.ml.outputs import save_ttl_run
+    paths = save_ttl_run(spark, out, tempfile.mkdtemp(prefix="dwell-ttl-"))
+    assert spark.read.option("header", True).csv(paths["predictions"]).count() == 15
+    meta = spark.read.json(paths["metadata"]).first()
+    assert meta["winner"] == out["winner"]
     importance = ML.grouped_importance(out["models"][runs.FOREST])
     assert sum(v for _, v in importance) == pytest.approx(1.0)
     assert {f for f, _ in importance} == set(feat.TTL_CATEGORICAL) | set(feat.TTL_NUMERIC)
@@ -154,4 +159,9 @@ def test_tuning_pick_and_price_run(spark):
     metrics = {(r["model"], r["split"]) for r in out["metrics"].collect()}
     assert metrics == {(m, s) for m in (runs.STEPWISE, runs.BOOSTING) for s in ("validation", "test")}
     assert "size_sqm" in out["selected"]
+    from dwell.ml.outputs import save_price_run
+    folder = tempfile.mkdtemp(prefix="dwell-run-")
+    paths = save_price_run(spark, out, folder)
+    assert spark.read.option("header", True).csv(paths["metrics"]).count() == 4
+    assert PipelineModel.load(paths["model_winner"]) is not None
     out["data"].unpersist()
