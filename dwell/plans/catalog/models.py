@@ -113,8 +113,10 @@ def _indicator_counts(spark, sf, drop_first):
     train = price_part(spark, sf, "train")
     enc = encode.fit_preprocessor(train, feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, drop_first)
     from pyspark.ml.functions import vector_to_array
-    sums = enc.transform(train).select(vector_to_array(enc.features_col).alias("v")) \
-        .select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("ones"))
+    from pyspark.ml.stat import Summarizer
+    # one vector-sum aggregate (JVM side, map-side partial sums) over the encoded rows
+    total = enc.transform(train).select(Summarizer.sum(F.col(enc.features_col)).alias("s"))
+    sums = total.select(F.posexplode(vector_to_array("s")).alias("pos", "ones"))
     names = _rows(spark, [(i, n) for i, n in enumerate(enc.names) if n.startswith("category__")], "pos int, name string")
     return names.join(sums, "pos").select("name", F.col("ones").cast("long").alias("ones"))
 
