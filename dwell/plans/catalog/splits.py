@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dwell.operators import splits
 from dwell.plans import features as feat
-from dwell.plans.catalog.common import _p, _w, price_split, price_train, ttl
+from dwell.plans.catalog.common import PRICE_CTE, _p, _w, price_split, price_train, ttl
 from dwell.plans.registry import query, tables
 from dwell.sources import binding
 
@@ -67,7 +67,7 @@ SELECT d.dataset, d.split, CAST(coalesce(c.n, 0) AS BIGINT) AS rows, coalesce(c.
         ('time_to_lease', 'test')) d(dataset, split)
 LEFT JOIN (SELECT 'price' AS dataset, split, count(*) AS n FROM price GROUP BY split UNION ALL
            SELECT 'time_to_lease', data_split, count(*) FROM ttl GROUP BY data_split) c ON c.dataset = d.dataset AND c.split = d.split""",
-                    __import__("dwell.plans.catalog.common", fromlist=["PRICE_CTE"]).PRICE_CTE))
+                    PRICE_CTE))
 def k05(spark, sf):
     wanted = [("price", s) for s in ("train", "validation", "test")] + [("time_to_lease", s) for s in ("train", "validation", "test")]
     counts = (price_split(spark, sf).groupBy(F.lit("price").alias("dataset"), "split").count()
