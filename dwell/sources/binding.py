@@ -152,11 +152,14 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     line_even = F.col("l_linenumber") % 2 == 0
     start_week = _weeks_since_zero(F.col("l_shipdate"))
+    # orders -> (unit, project) first (an orders-sized shuffle by customer), so the lineitem-sized
+    # side is shuffled once, by order key
+    order_units = (orders.select("o_orderkey", "o_custkey")
+                   .join(units.select("unit_id", "project_id"), F.col("unit_id") == F.col("o_custkey")))
     leases = (
         lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                         "l_extendedprice", "l_returnflag")
-        .join(orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(units.select("unit_id", "project_id"), F.col("unit_id") == F.col("o_custkey"))
+        .join(order_units, F.col("o_orderkey") == F.col("l_orderkey"))
         .select(
             F.concat_ws("-", F.concat(F.lit("C"), F.col("l_orderkey").cast("string")),
                         F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
@@ -232,7 +235,7 @@ def views(spark: SparkSession, sf_dir: str, materialize: bool = True) -> dict[st
         root = checkpoint_dir(spark) if materialize else None
         if root:
             out = {}
-            base = root.rstrip("/") + f"/dwell-binding/v2-{_fingerprint(sf_dir)}"
+            base = root.rstrip("/") + f"/dwell-binding/v3-{_fingerprint(sf_dir)}"
             for name, df in plans.items():
                 path = f"{base}/{name}"
                 if not path_exists(spark, f"{path}/_SUCCESS"):
