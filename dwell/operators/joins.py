@@ -122,11 +122,14 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
 
 
 def lookup(fact: DataFrame, dim: DataFrame, key: str, columns: Sequence[str], prefix: str = "",
-           fact_key: str | None = None, broadcast: bool = False) -> DataFrame:
+           fact_key: str | None = None, broadcast: bool = False, validate: bool = False) -> DataFrame:
     """Attach dimension attributes (``Series.map``); null when the key is unknown.
-    The dimension must be unique on ``key`` (J07) — it is reduced to one row per key here with a
-    deterministic pick so that a duplicated key cannot multiply facts."""
+    The dimension must be unique on ``key`` (a repeated key is an error, as for ``Series.map``);
+    ``validate=True`` checks it first (J07, one grouped count). ``broadcast`` only for a
+    dimension whose size is bounded."""
     fact_key = fact_key or key
+    if validate:
+        require_unique(dim, [key], "lookup dimension")
     dim_small = dim.select(F.col(key).alias("__k"), *[F.col(c).alias(prefix + c) for c in columns])
     if broadcast:
         dim_small = F.broadcast(dim_small)
