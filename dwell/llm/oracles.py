@@ -8,7 +8,7 @@ WITH RECURSIVE texts AS (
     FROM documents),
 sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
-                        ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> list_slice(w, i, i + 3))) END AS s
+                        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: list_slice(w, i, i + 3))) END AS s
     FROM texts),
 sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
 shingles AS (SELECT doc_id, n, unnest(s) AS x FROM sized),
