@@ -88,11 +88,11 @@ def postings(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     table = scratch.stored(items.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).filter(F.col(id_col).isNotNull())
                            .mapInArrow(counts, "item long, word long, n long, length long"), "bm25-counts")
-    lengths = table.groupBy("item").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)).alias("n_items"), F.avg("length").alias("mean"))
+    n_items, mean = table.groupBy("item").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)), F.avg("length")).first()
     df = table.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    weight = F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("n") * (K1 + 1) / (F.col("n") + norm)
-    weighted = table.join(df, "word").crossJoin(F.broadcast(lengths)).withColumn("weight", weight)  # lengths: one row
+    norm = K1 * (1 - B + B * F.col("length") / F.lit(mean))
+    weight = F.log(1 + (F.lit(n_items) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("n") * (K1 + 1) / (F.col("n") + norm)
+    weighted = table.join(df, "word").withColumn("weight", weight)
     full = weighted.groupBy("item").agg(F.sum("weight").alias("full"))
     return scratch.stored(weighted.join(full, "item").select("item", "word", "length", (F.col("weight") / F.col("full")).alias("share")), "bm25-postings")
 
