@@ -137,7 +137,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def cut(raw: bytes, spans: list[bytes]) -> list[tuple[int, int]]:
     """The runs to cut out: repeated chunks side by side, long enough or the whole text."""
-    r = np.sort(np.frombuffer(b"".join(spans), dtype=SPAN), order="start")
+    r = np.unique(np.frombuffer(b"".join(spans), dtype=SPAN))  # repeated rows give their spans twice
     start, end = r["start"].astype(np.int64), r["start"].astype(np.int64) + r["length"]
     border = np.flatnonzero(start[1:] != end[:-1]) + 1
     runs = [(int(start[p[0]]), int(end[p[-1]])) for p in np.split(np.arange(len(r)), border) if len(p)]
