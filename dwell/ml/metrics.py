@@ -12,13 +12,15 @@ from dwell.functions.scalars import clip_zero
 
 def metric_columns(actual: str = "actual", prediction: str = "prediction", clip: bool = False,
                    within: Sequence[float] = ()) -> list[Column]:
-    """MAE, RMSE, R² (= 1 − SSE / (n · var_pop(y))) and % of rows within each tolerance."""
+    """MAE, RMSE, R² (= 1 − SSE / (n · var_pop(y)); of a constant target 1 if all errors are 0, else 0)
+    and % of rows within each tolerance."""
     y = F.col(actual).cast("double")
     p = clip_zero(prediction) if clip else F.col(prediction).cast("double")
     err = y - p
     cols = [F.count(F.lit(1)).cast("long").alias("rows"),
             F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
-            (1 - F.sum(err * err) / (F.var_pop(y) * F.count(y))).alias("r2")]
+            F.coalesce(1 - F.try_divide(F.sum(err * err), F.var_pop(y) * F.count(y)),
+                       F.when(F.sum(err * err) == 0, 1.0).when(F.count(y) > 0, 0.0)).alias("r2")]
     for k in within:
         cols.append((F.avg(F.when(F.abs(err) <= k, 1.0).otherwise(0.0)) * 100).alias(f"within_{int(k)}_pct"))
     return cols

@@ -1,8 +1,7 @@
 """Join operators J01–J08.
 
 Broadcast policy: a side is broadcast only when its size is bounded by the domain (projects:
-one row per project) or was checked at run time against ``max_rows``; anything else is
-left to the planner (sort-merge / shuffle-hash) and to AQE, which re-plans to a broadcast
+one row per project); anything else is left to the planner (sort-merge / shuffle-hash) and to AQE, which re-plans to a broadcast
 join only when the shuffled size turns out to be small and splits skewed partitions.
 """
 
@@ -18,16 +17,6 @@ from pyspark.sql import functions as F
 from dwell.functions.nulls import differs_null_safe
 from dwell.functions.scalars import base_id, is_alternative_id
 
-# Upper bound of rows for an explicit broadcast of a checked side.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, rows: int | None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its checked row count is within ``max_rows``."""
-    if rows is not None and rows <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row with the number of *excess* rows (rows after the first) per key."""
@@ -58,7 +47,7 @@ def leases_with_dimensions(leases: DataFrame, units: DataFrame, projects: DataFr
             .join(F.broadcast(projects.select(*PROJECT_COLUMNS)), "project_id", "left"))
 
 
-def previous_week_market(listings: DataFrame, market: DataFrame, market_rows: int | None = None) -> DataFrame:
+def previous_week_market(listings: DataFrame, market: DataFrame) -> DataFrame:
     """The market row of the week *before* listing (``week + 1 = week_listed``), same project,
     left join. Market columns are renamed ``market_*``; ``market_history_week`` is exposed.
     The caller guarantees (project_id, week) is unique (J07)."""
@@ -70,7 +59,7 @@ def previous_week_market(listings: DataFrame, market: DataFrame, market_rows: in
         F.col("occupancy").alias("market_occupancy"),
         F.col("median_asking_rent").alias("market_median_asking_rent"),
     )
-    return listings.join(bounded_broadcast(history, market_rows), ["project_id", "week_listed"], "left")
+    return listings.join(history, ["project_id", "week_listed"], "left")
 
 
 def point_in_time_audit(joined: DataFrame, available_after_days: int = 7) -> DataFrame:

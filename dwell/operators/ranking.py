@@ -17,6 +17,8 @@ boundaries; ranks are exact.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -70,6 +72,14 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "row_
     return out.select((F.col("__offset") + local).alias(index_col), *df.columns)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null keys meet. All columns of the right side get new
+    attributes, so two plans over one written table never collide."""
+    renamed = right.select(*[F.col(c).alias(f"__right_{c}" if c in keys else c) for c in right.columns])
+    cond = reduce(and_, [left[c].eqNullSafe(renamed[f"__right_{c}"]) for c in keys])
+    return left.join(renamed, cond, how).drop(*[f"__right_{c}" for c in keys])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the session's checkpoint folder (reliable checkpoint, lineage cut) so
     that a multi-pass algorithm scans its (small) intermediate instead of re-running the input
@@ -88,7 +98,7 @@ def _bucketed_positions(counts: DataFrame, g: list[str], value_col: str, buckets
         if g:
             bounds = counts.groupBy(*g).agg(sketch.alias("__bounds"))
             bucket = F.size(F.filter("__bounds", lambda b: b < F.col(value_col)))
-            bucketed = counts.join(bounds, g).withColumn("__bucket", bucket).drop("__bounds")
+            bucketed = join_keys(counts, bounds, g).withColumn("__bucket", bucket).drop("__bounds")
         else:
             # one global group: bounds are a scalar subquery (no join); the bucket is the number of
             # bounds below the value = its first position in the sorted (bounds + value) array
@@ -105,7 +115,7 @@ def _bucketed_positions(counts: DataFrame, g: list[str], value_col: str, buckets
     offsets = (totals.withColumn("__offset", F.coalesce(F.sum("__bucket_n").over(across), F.lit(0)))
                .withColumn("group_n", F.sum("__bucket_n").over(Window.partitionBy(*g)))
                .select(*g, "__bucket", "__offset", "group_n"))
-    return bucketed.join(offsets, [*g, "__bucket"]).select(
+    return join_keys(bucketed, offsets, [*g, "__bucket"]).select(
         *g, value_col, "n", (F.col("__offset") + F.col("__before")).alias("__first"), "group_n")
 
 

@@ -17,7 +17,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwell.operators.ranking import quantile_columns
+from dwell.operators.ranking import join_keys, quantile_columns
 
 
 def _r6(c: Column) -> Column:
@@ -118,8 +118,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def monthly_trend(df: DataFrame, date_col: str, column: str) -> DataFrame:
-    """Median and count per calendar month (months without rows absent)."""
-    monthly = df.select(F.trunc(F.to_date(date_col), "month").alias("month"), column)
+    """Median and count per calendar month (months without rows absent, rows without a date dropped)."""
+    monthly = df.select(F.trunc(F.to_date(date_col), "month").alias("month"), column).filter(F.col("month").isNotNull())
     agg = monthly.groupBy("month").agg(F.count(column).cast("long").alias("count"))
     return (with_quantiles(agg, monthly, ["month"], column, [0.5], ["median"])
             .select("month", _r6(F.col("median")).alias("median"), "count").orderBy("month"))
@@ -153,9 +153,9 @@ def coverage(df: DataFrame, column: str, limit: float = 52) -> DataFrame:
 
 
 def adjusted_skewness(df: DataFrame, column: str) -> DataFrame:
-    """Bias-adjusted Fisher–Pearson skewness = g1 · sqrt(n(n−1)) / (n−2)."""
+    """Bias-adjusted Fisher–Pearson skewness = g1 · sqrt(n(n−1)) / (n−2); null below three values."""
     n = F.count(column).cast("double")
-    return df.agg((F.skewness(column) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew")) \
+    return df.agg(F.when(n > 2, F.try_divide(F.skewness(column) * F.sqrt(n * (n - 1)), n - 2)).alias("skew")) \
         .select(_r6(F.col("skew")).alias("skewness"))
 
 
@@ -259,7 +259,7 @@ def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
     x = F.col(column)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    joined = df.select(group, column).filter(x.isNotNull()).join(q, group)
+    joined = join_keys(df.select(group, column).filter(x.isNotNull()), q, [group])
     return joined.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(x >= lo, x)).alias("whisker_low"), F.max(F.when(x <= hi, x)).alias("whisker_high"),
         F.count_if((x < lo) | (x > hi)).cast("long").alias("outliers"), F.count(F.lit(1)).cast("long").alias("count"),

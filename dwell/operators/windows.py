@@ -53,8 +53,9 @@ def calendar_checks(calendar: DataFrame, week: str = "week", date: str = "date")
 
 def arg_min(df: DataFrame, group: Sequence[str], metric: str, ties: Sequence[str]) -> DataFrame:
     """The row with the smallest ``metric`` per group, ties broken by ``ties`` in order —
-    ``min_by`` over a struct key, an aggregate with partial (map-side) evaluation."""
+    ``min_by`` over a struct key, an aggregate with partial (map-side) evaluation. Rows without a
+    metric are skipped (N17)."""
     key = F.struct(F.col(metric).alias("m"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
     other = [c for c in df.columns if c not in group]
-    agg = df.groupBy(*group).agg(F.min_by(F.struct(*other), key).alias("__best"))
+    agg = df.filter(F.col(metric).isNotNull()).groupBy(*group).agg(F.min_by(F.struct(*other), key).alias("__best"))
     return agg.select(*group, "__best.*")

@@ -158,8 +158,7 @@ def cross_table(t: Mapping[str, DataFrame], base: int = 400) -> DataFrame:
     lea_j = lea.select("unit_id", "project_id").join(unit_dim.select("unit_id", "u_project_id"), "unit_id", "left")
     r_lea = evaluate(lea_j, [Rule("Cross-table", "leases.project_id matches units.project_id",
                                   differs("project_id", "u_project_id"))], base + len(rules))
-    sizes = joins.bounded_broadcast(
-        units.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")), None)
+    sizes = units.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
     per_project = projects.select("project_id", "total_units").join(sizes, "project_id", "left") \
         .select("total_units", F.coalesce("n", F.lit(0)).alias("n"))
     r_cnt = evaluate(per_project, [Rule("Cross-table", "units per project equals projects.total_units",

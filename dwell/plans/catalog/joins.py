@@ -31,9 +31,9 @@ SELECT l.listing_id, CAST(m.week AS DOUBLE) AS market_history_week, CAST(m.n_sea
 FROM listings l LEFT JOIN weekly_market m ON m.project_id = l.project_id AND m.week + 1 = l.week_listed WHERE {PRIMARY_DONE}""")
 def j02(spark, sf):
     t = tables(spark, sf)
-    rows = feat.market_gate(t["weekly_market"], "1999-06-30")
+    feat.market_gate(t["weekly_market"], "1999-06-30")
     j = joins.previous_week_market(feat.completed_primary(t["listings"]).select("listing_id", "project_id", "week_listed"),
-                                   t["weekly_market"], rows)
+                                   t["weekly_market"])
     return j.select("listing_id", *[F.col(c).cast("double").alias(c) for c in ("market_history_week", "n_searchers",
                                                                              "n_listings_open")],
                     r6("market_occupancy").alias("market_occupancy"),
@@ -50,8 +50,8 @@ def j03(spark, sf):
     base = feat.completed_primary(t["listings"]).select("listing_id", "project_id", "week_listed", "date_listed")
     hist = market.select("project_id", (F.col("week") + 1).alias("week_listed"), F.col("week").alias("market_history_week"),
                          "market_date")
-    j = base.join(joins.bounded_broadcast(hist, feat.market_gate(t["weekly_market"], "1999-06-30")),
-                  ["project_id", "week_listed"], "left")
+    feat.market_gate(t["weekly_market"], "1999-06-30")
+    j = base.join(hist, ["project_id", "week_listed"], "left")
     return joins.point_in_time_audit(j)
 
 

@@ -210,7 +210,8 @@ def lease_time_dataset(tables: Mapping[str, DataFrame],
     require_columns(market, TTL_MARKET_COLUMNS, "weekly_market")
     splits._check_order(train_end, validation_end, test_end)
     chosen = completed_primary(listings).select(*TTL_LISTING_COLUMNS)
-    market_rows = _validated(listings, market, test_end, chosen) if validate else None
+    if validate:
+        _validated(listings, market, test_end, chosen)
     date = parse_date(TTL_DATE)
     modeling = chosen.select(
         *[c for c in TTL_LISTING_COLUMNS if c not in (TTL_DATE, TTL_TARGET)],
@@ -218,7 +219,7 @@ def lease_time_dataset(tables: Mapping[str, DataFrame],
         parse_number(TTL_TARGET).alias(TTL_TARGET),
         F.year(date).alias("listing_year"), F.month(date).alias("listing_month"),
     )
-    joined = market_features(joins.previous_week_market(modeling, market, market_rows))
+    joined = market_features(joins.previous_week_market(modeling, market))
     labelled = joined.withColumn(
         "data_split", splits.matured_label(F.col(TTL_DATE).cast("timestamp"), train_end, validation_end, test_end))
     leak = set(LEAKAGE_COLUMNS) & set(TTL_FEATURES)

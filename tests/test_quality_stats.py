@@ -88,3 +88,28 @@ def test_arg_min_tie_break(spark):
     df = spark.createDataFrame([("p", 3, "b"), ("p", 3, "a"), ("p", 4, "c"), ("q", 1, "z")], "g string, m int, id string")
     out = {r["g"]: r["id"] for r in windows.arg_min(df, ["g"], "m", ["id"]).collect()}
     assert out == {"p": "a", "q": "z"}
+
+
+def test_null_group_keeps_its_median(spark):
+    from dwell.operators.ranking import exact_quantiles
+    df = spark.createDataFrame([(None, 5.0), (None, 9.0), (None, 7.0), ("a", 1.0)], "g string, v double")
+    got = {r["g"]: r["quantile"] for r in exact_quantiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == {None: 7.0, "a": 1.0}
+
+
+def test_arg_min_skips_null_metric(spark):
+    from dwell.operators.windows import arg_min
+    df = spark.createDataFrame([("p", 1, None), ("p", 2, 3.0)], "g string, id int, m double")
+    assert [r["id"] for r in arg_min(df, ["g"], "m", ["id"]).collect()] == [2]
+
+
+def test_small_and_constant_samples(spark):
+    from dwell.ml.metrics import regression_metrics
+    from dwell.operators.stats import adjusted_skewness, monthly_trend
+    two = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    assert adjusted_skewness(two, "v").first()[0] is None
+    flat = spark.createDataFrame([(2.0, 2.0, "exact"), (2.0, 2.0, "exact"), (2.0, 3.0, "off"), (2.0, 2.0, "off")],
+                                 "actual double, prediction double, m string")
+    assert {r["m"]: r["r2"] for r in regression_metrics(flat, ["m"]).collect()} == {"exact": 1.0, "off": 0.0}
+    months = spark.createDataFrame([("2024-01-05", 1.0), (None, 2.0)], "d string, v double")
+    assert monthly_trend(months, "d", "v").count() == 1
