@@ -4,9 +4,11 @@ Overlapping heuristics vote good, bad or abstain on every document. The table of
 3 to the number of labellers, is all that expectation-maximisation needs: it estimates each labeller's
 vote probabilities on good and on bad documents, and each pattern's posterior. The posteriors are soft
 labels for a linear scorer over hashed words, word shapes and pairs of shapes, fitted on a sample of
-``SAMPLE`` documents (those with the least hashes of their ids); all documents are scored by it.
+about ``SAMPLE`` documents (those whose hash of id and text is below a share, each row once); all
+documents are scored by it.
 
-Votes are counted over all documents. Each round of fitting runs gradient steps in ``FITTERS`` tasks on
+Texts are read once: votes and features are stored together, and the sample and the scores come from
+them. Votes are counted over all documents. Each round of fitting runs gradient steps in ``FITTERS`` tasks on
 their shares of the sample and averages the weights; the sample's size and the weights (``DIMENSION``
 numbers) are the only things that reach the driver or one task, and both are constants.
 
@@ -21,7 +23,6 @@ from typing import Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +57,22 @@ LIMITS = {
 }
 
 
-def measures(raw: bytes | None, packer) -> list[float]:
+class Split:
+    """A text's bytes, word bounds and word hashes."""
+
+    def __init__(self, raw: bytes | None):
+        self.raw = raw or b""
+        self.b = words.as_bytes(self.raw)
+        self.starts, self.ends = words.bounds(self.b)
+        self.h = words.word_hashes(self.b, self.starts, self.ends)
+
+
+def measures(text: Split, packer) -> list[float]:
     """The labellers' measures, in the order of LIMITS."""
-    raw = raw or b""
-    b = words.as_bytes(raw)
-    starts, ends = words.bounds(b)
+    raw, b, starts, ends, h = text.raw, text.b, text.starts, text.ends, text.h
     n = len(starts)
     if not n:
         return [0.0] * len(LIMITS)
-    h = words.word_hashes(b, starts, ends)
     lines = [line for line in raw.split(b"\n") if line.strip()]
     letters = max(1, int(LETTER[b].sum()))
     plain = np.add.reduceat(words.ALNUM[words.LOWER[b]], starts) == 0  # words without a letter or digit
@@ -82,13 +90,19 @@ def vote(values: list[float]) -> str:
     return "".join(out)
 
 
-def votes(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def patterns(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def examined(text: Column) -> Column:
+    """votes, and the text's features: places (uint16) and times (uint32) as binary, and n_words."""
+    @F.pandas_udf("votes string, places binary, times binary, n_words long")
+    def looked(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=compression_rules.LEVEL)
         for part in parts:
-            yield pd.Series([vote(measures(raw, packer)) for raw in part], dtype=object)
-    return patterns(text.cast("binary"))
+            rows = []
+            for raw in part:
+                split = Split(raw)
+                place, times = features(split)
+                rows.append((vote(measures(split, packer)), place.astype(np.uint16).tobytes(), times.astype(np.uint32).tobytes(), len(split.h)))
+            yield pd.DataFrame(rows, columns=["votes", "places", "times", "n_words"])
+    return looked(text.cast("binary"))
 
 
 class LabelModel(NamedTuple):
@@ -121,21 +135,23 @@ def estimate(patterns: list[str], counts: np.ndarray) -> LabelModel:
     return model
 
 
-def features(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the weights and values (root of the share of the text's words)."""
-    b = words.as_bytes(raw)
-    starts, ends = words.bounds(b)
-    n = len(starts)
-    if not n:
-        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)
-    h = words.word_hashes(b, starts, ends)
-    shape = SHAPE[b]
+def features(text: Split) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the weights, and how often each occurs."""
+    h = text.h
+    if not len(h):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    shape = SHAPE[text.b]
     shape = shape[np.concatenate(([True], shape[1:] != shape[:-1]))]  # a class in a row counts once
     s = words.word_hashes(shape, *words.bounds(shape))
     again = np.concatenate(([False], h[1:] == h[:-1])).astype(np.uint64)
-    kinds = [words.LOWER[b]] and [h, words.mix(s + np.uint64(1)), words.mix(again + np.uint64(2)), words.shingles(words.mix(s + np.uint64(3)), 2)]
-    place, times = np.unique(np.concatenate(kinds) % np.uint64(DIMENSION), return_counts=True)
-    return place.astype(np.int32), np.sqrt(times / n).astype(np.float32)
+    kinds = [h, words.mix(s + np.uint64(1)), words.mix(again + np.uint64(2)), words.shingles(words.mix(s + np.uint64(3)), 2)]
+    return np.unique(np.concatenate(kinds) % np.uint64(DIMENSION), return_counts=True)
+
+
+def unpacked(part: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and values (root of times over the text's words) of stored features."""
+    return [(np.frombuffer(p, dtype=np.uint16), np.sqrt(np.frombuffer(t, dtype=np.uint32) / max(1, n)))
+            for p, t, n in zip(part["places"], part["times"], part["n_words"])]
 
 
 def scores(rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
@@ -161,15 +177,14 @@ def step(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
 
 
 def fit(sample: DataFrame) -> np.ndarray:
-    """sample (part, raw, label): averaged weights of ROUNDS rounds."""
+    """sample (part, order, label and features): averaged weights of ROUNDS rounds."""
     weights = np.zeros(DIMENSION + 1)
     for r in range(ROUNDS):
         now = weights
 
         def fitted(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(["order", "label"])
-            rows = [features(raw) for raw in part["raw"]]
-            new = step(rows, part["label"].to_numpy(), now, r)
+            new = step(unpacked(part), part["label"].to_numpy(), now, r)
             return pd.DataFrame({"n": [len(part)], "weights": [new.astype(np.float64).tobytes()]})
 
         got = sample.groupBy("part").applyInPandas(fitted, "n long, weights binary").collect()  # FITTERS rows
@@ -183,28 +198,24 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, votes, posterior (of its votes), score (of the scorer), kept."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("binary")
-    voted = scratch.stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), votes(text).alias("votes")), "weak-votes")
-    patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3 ** labellers rows
+    seen = scratch.stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), examined(text).alias("x"))
+                          .select("id", "x.*", F.xxhash64(F.col("id").cast("string"), "hash").alias("order")), "weak-seen")
+    patterns = seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3 ** labellers rows
     if not len(patterns):
-        return voted.select(F.col("id").alias(id_col), "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+        return seen.select(F.col("id").alias(id_col), "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     model = estimate(patterns["votes"].tolist(), patterns["n"].to_numpy(dtype=float))
     posterior = dict(zip(patterns["votes"], model.posterior(patterns["votes"].tolist()).tolist()))
     table = F.broadcast(spark.createDataFrame(list(posterior.items()), "votes string, posterior double"))
-    order = F.xxhash64(F.col("id").cast("string"), "hash")
-    chosen = voted.withColumn("order", order).orderBy("order", "votes").limit(SAMPLE).join(table, "votes")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("raw"), F.xxhash64(text).alias("hash"))
-    chosen = chosen.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "order", F.col("posterior").alias("label"))
-    sample = scratch.stored(
-        rows.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
-        .select("order", F.pmod("order", F.lit(FITTERS)).alias("part"), "raw", "label"), "weak-sample")
+    share = min(1.0, SAMPLE / int(patterns["n"].sum()))
+    chosen = seen.filter(F.pmod("order", F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates(["order"]).join(table, "votes")
+    sample = scratch.stored(chosen.select("order", F.pmod(F.shiftright("order", 40), F.lit(FITTERS)).alias("part"), "places", "times",
+                                          "n_words", F.col("posterior").alias("label")), "weak-sample")
     weights = fit(sample)
 
     @F.pandas_udf("double")
-    def scored(raw: pd.Series) -> pd.Series:
-        rows = [features(r) for r in raw]
-        out = scores(rows, weights)
-        return pd.Series(np.where([len(place) > 0 for place, _ in rows], out, 0.0))
+    def scored(places: pd.Series, times: pd.Series, n_words: pd.Series) -> pd.Series:
+        out = scores(unpacked({"places": places, "times": times, "n_words": n_words}), weights)
+        return pd.Series(np.where(n_words > 0, out, 0.0))
 
-    result = docs.select(F.col(id_col).alias("id"), text.alias("raw"))
-    result = result.select("id", votes(F.col("raw")).alias("votes"), scored("raw").alias("score")).join(table, "votes", "left")
+    result = seen.select("id", "votes", scored("places", "times", "n_words").alias("score")).join(table, "votes", "left")
     return result.select(F.col("id").alias(id_col), "votes", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
