@@ -51,9 +51,12 @@ def lenient_flag(c: str | Column, dtype: str | None = None) -> Column:
     return F.coalesce(lenient_boolean(c, dtype), F.lit(False))
 
 
-def parse_date(c: str | Column) -> Column:
-    """X03 coerce: ISO date / timestamp text or date-like value -> DATE, unparseable -> null."""
+def parse_date(c: str | Column, dtype: str | None = None) -> Column:
+    """X03 coerce: ISO date / timestamp text or date-like value -> DATE, unparseable -> null. A column of
+    type date passes through, so filters on it reach the scan."""
     c = col(c)
+    if dtype == "date":
+        return c
     return F.to_date(F.try_to_timestamp(c.cast("string")))
 
 

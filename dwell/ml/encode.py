@@ -69,7 +69,7 @@ def fit_statistics(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
     from the numeric rows of the same count table."""
     from pyspark import StorageLevel
 
-    from dwell.operators.ranking import _partitions, quantiles_from_counts
+    from dwell.operators.ranking import quantiles_from_counts
 
     cats, nums = list(categorical), list(numeric)
     entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"),
@@ -90,7 +90,7 @@ def fit_statistics(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
         med: dict[str, float | None] = {c: None for c in nums}
         if nums:
             numeric_counts = counts.filter(F.col("column").isin(nums) & F.col("number").isNotNull())
-            q = quantiles_from_counts(numeric_counts, ["column"], "number", "n", [0.5], _partitions(df, None))
+            q = quantiles_from_counts(numeric_counts, ["column"], "number", "n", [0.5])
             med.update({r["column"]: r["quantile"] for r in q.collect()})
     finally:
         counts.unpersist()

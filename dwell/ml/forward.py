@@ -10,12 +10,12 @@ evaluates every (candidate, fold) coefficient vector on the validation rows and
 absolute errors per (fold, candidate).
 
 The OLS solution mirrors least squares with an intercept on centred data: β = pinv(Sxx)·Sxy,
-β0 = ȳ − x̄ᵀβ, i.e. the minimum-norm solution when the encoded columns are collinear.
+β0 = ȳ − x̄ᵀβ, on columns scaled to unit spread, so a small-scale feature beside a large one is kept; the
+minimum-norm solution when the encoded columns are collinear.
 """
 
 from __future__ import annotations
 
-from statistics import fmean, pstdev
 from typing import Sequence
 
 import numpy as np
@@ -66,7 +66,9 @@ def ols_from_gram(g: np.ndarray, idx: Sequence[int]) -> tuple[np.ndarray, float]
     xbar, ybar = sx / n, sy / n
     sxx = g[np.ix_(idx, idx)] - n * np.outer(xbar, xbar)
     sxy = g[idx, p] - n * xbar * ybar
-    beta = np.linalg.pinv(sxx, rcond=RCOND, hermitian=True) @ sxy
+    spread = np.diag(sxx)
+    scale = np.where(spread > 1e-12 * np.diag(g)[idx], np.sqrt(np.clip(spread, 0, None)), np.inf)  # constant columns: 0
+    beta = np.linalg.pinv(sxx / np.outer(scale, scale), rcond=RCOND, hermitian=True) @ (sxy / scale) / scale
     return beta, float(ybar - xbar @ beta)
 
 
@@ -112,46 +114,48 @@ def forward_select(folds: Sequence[tuple[str, DataFrame, DataFrame]], categorica
     validation = union(valid_rows).cache()
     fold_names = [n for n, _, _ in folds]
 
-    selected: list[str] = []
-    remaining = list(candidates)
-    history: list[dict] = []
-    best = float("inf")
+    rounds: list[pd.Series] = []      # per accepted round the winner's MAE by fold, named after it
     try:
-        while remaining:
-            coefs = {}
-            for fold in fold_names:
-                rows = []
-                for cand in remaining:
-                    idx = [i for f in [*selected, cand] for i in encs[fold].groups.get(f, [])]
-                    b = np.zeros(widths[fold] + 1)
-                    if idx:
-                        beta, b0 = ols_from_gram(grams[fold], idx)
-                        b[idx] = beta
-                    else:
-                        b0 = grams[fold][-2, -1] / grams[fold][-1, -1]
-                    b[-1] = b0
-                    rows.append(b)
-                coefs[fold] = np.vstack(rows)
-            scored = (validation.mapInPandas(_scorer(coefs), "fold string, candidate long, abs_sum double, n long")
-                      .groupBy("fold", "candidate").agg(F.sum("abs_sum").alias("s"), F.sum("n").alias("n"))
-                      .toPandas())
-            mae = {(r.fold, int(r.candidate)): r.s / r.n for r in scored.itertuples()}
-            scores = []
-            for k, cand in enumerate(remaining):
-                per_fold = [float(mae[(f, k)]) for f in fold_names]
-                scores.append((fmean(per_fold), k, cand, per_fold))
-            mean_mae, _, cand, per_fold = min(scores, key=lambda s: (s[0], s[1]))
-            improvement = best - mean_mae
-            if selected and improvement < minimum_improvement:
+        while len(rounds) < len(candidates):
+            chosen = [r.name for r in rounds]
+            trials = [c for c in candidates if c not in chosen]
+            coefs = {f: np.vstack([_trial(grams[f], encs[f], [*chosen, c]) for c in trials]) for f in fold_names}
+            errors = _trial_errors(validation, coefs, trials)[fold_names]
+            rounds.append(errors.loc[errors.mean(axis=1).idxmin()])       # ties: first in candidate order
+            if len(rounds) > 1 and rounds[-2].mean() - rounds[-1].mean() < minimum_improvement:
+                rounds.pop()
                 break
-            selected.append(cand)
-            remaining.remove(cand)
-            best = mean_mae
-            row = {"step": len(selected), "added_feature": cand, "mean_rolling_mae": mean_mae,
-                   "std_rolling_mae": pstdev(per_fold), "mae_improvement": None if len(selected) == 1 else improvement}
-            for i, v in enumerate(per_fold, 1):
-                row[f"fold_{i}_mae"] = v
-            history.append(row)
     finally:
         validation.unpersist()
-    return selected, history
+    return [r.name for r in rounds], selection_history(rounds)
+
+
+def _trial(gram: np.ndarray, enc: Encoded, features: Sequence[str]) -> np.ndarray:
+    """Coefficients over all encoded columns, then the intercept, of OLS on ``features``."""
+    out = np.zeros(len(enc.names) + 1)
+    idx = [i for f in features for i in enc.groups.get(f, [])]
+    if idx:
+        out[idx], out[-1] = ols_from_gram(gram, idx)
+    else:
+        out[-1] = gram[-2, -1] / gram[-1, -1]
+    return out
+
+
+def _trial_errors(validation: DataFrame, coefs: dict[str, np.ndarray], trials: Sequence[str]) -> pd.DataFrame:
+    """Validation MAE of every trial (rows, in order) on every fold (columns): one scoring job."""
+    sums = (validation.mapInPandas(_scorer(coefs), "fold string, candidate long, abs_sum double, n long")
+            .groupBy("fold", "candidate").agg((F.sum("abs_sum") / F.sum("n")).alias("mae")).toPandas())
+    table = sums.pivot(index="candidate", columns="fold", values="mae").sort_index()
+    return table.set_axis(list(trials), axis=0)
+
+
+def selection_history(rounds: Sequence[pd.Series]) -> list[dict]:
+    """One row per added feature, derived from the winners' MAEs by fold."""
+    if not rounds:
+        return []
+    table = pd.DataFrame([r.to_numpy() for r in rounds], columns=[f"fold_{i}_mae" for i in range(1, len(rounds[0]) + 1)])
+    mean = table.mean(axis=1)
+    out = table.assign(step=range(1, len(rounds) + 1), added_feature=[r.name for r in rounds], mean_rolling_mae=mean,
+                       std_rolling_mae=table.std(axis=1, ddof=0), mae_improvement=-mean.diff())
+    return [{k: None if k == "mae_improvement" and i == 0 else v for k, v in row.items()}
+            for i, row in enumerate(out.to_dict("records"))]

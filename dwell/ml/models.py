@@ -126,7 +126,7 @@ def fit_forest(train: DataFrame, categorical: Sequence[str], numeric: Sequence[s
                                numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
                                minInstancesPerNode=int(p["min_samples_leaf"]),
                                featureSubsetStrategy=str(p["max_features"]), seed=int(p["random_state"]),
-                               subsamplingRate=1.0, bootstrap=True)
+                               subsamplingRate=1.0, bootstrap=bool(p.get("bootstrap", True)))
     model = rf.fit(data.select(enc.features_col, LABEL))
     return FittedModel("forest", PipelineModel(stages=[*enc.model.stages, model]), enc, model)
 
@@ -134,16 +134,21 @@ def fit_forest(train: DataFrame, categorical: Sequence[str], numeric: Sequence[s
 def fit_boosting(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], target: str,
                  params: Mapping | None = None, order: Sequence[str] = ()) -> FittedModel:
     """Gradient-boosted trees (squared loss) on ``y − mean(y)``, shifted back by the mean."""
-    p = {**BOOSTING_DEFAULTS, **(params or {})}
     enc, data = _prepare(_stable(train, order), categorical, numeric, target, drop_first=False)
+    model, mean = boost(data, enc.features_col, params)
+    shift = SQLTransformer(statement=f"SELECT *, __boost + {float(mean)!r} AS prediction FROM __THIS__")
+    return FittedModel("boosting", PipelineModel(stages=[*enc.model.stages, model, shift]), enc, model)
+
+
+def boost(data: DataFrame, features_col: str, params: Mapping | None = None, output: str = "__boost"):
+    """Boosted trees on encoded rows (features, LABEL): the model of ``y − mean(y)`` and the mean."""
+    p = {**BOOSTING_DEFAULTS, **(params or {})}
     mean = data.select(F.avg(LABEL)).first()[0]
-    gbt = GBTRegressor(featuresCol=enc.features_col, labelCol="__residual", predictionCol="__boost",
+    gbt = GBTRegressor(featuresCol=features_col, labelCol="__residual", predictionCol=output,
                        maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
                        minInstancesPerNode=int(p["min_samples_leaf"]), subsamplingRate=float(p["subsample"]),
                        seed=int(p["random_state"]), lossType="squared")
-    model = gbt.fit(data.select(enc.features_col, (F.col(LABEL) - F.lit(mean)).alias("__residual")))
-    shift = SQLTransformer(statement=f"SELECT *, __boost + {float(mean)!r} AS prediction FROM __THIS__")
-    return FittedModel("boosting", PipelineModel(stages=[*enc.model.stages, model, shift]), enc, model)
+    return gbt.fit(data.select(features_col, (F.col(LABEL) - F.lit(mean)).alias("__residual"))), float(mean)
 
 
 def coefficient_table(fitted: FittedModel) -> list[tuple[str, float]]:

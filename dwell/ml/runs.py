@@ -8,16 +8,16 @@ The driver only orders metric rows and picks winners (W04 tie rules).
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from statistics import fmean, pstdev
 from typing import Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwell.functions.scalars import clip_zero, round_half_even
 from dwell.ml import metrics as M
-from dwell.ml.models import FittedModel, fit_boosting, fit_forest, fit_linear
+from dwell.ml.encode import fit_preprocessor
+from dwell.ml.models import LABEL, FittedModel, _stable, boost, fit_boosting, fit_forest, fit_linear
 from dwell.plans import features as feat
 
 LINEAR = "Multiple Linear Regression"
@@ -96,58 +96,72 @@ def ttl_run(modeling: DataFrame, forest_params: Mapping | None = None, order: Se
 
 
 # ---------------------------------------------------------------- M12 / M13 tuning
-def evaluate_parameter_set(number: int, params: Mapping, folds: Sequence[tuple[str, DataFrame, DataFrame]],
-                           categorical, numeric, target, order=()) -> dict:
-    """Fit on every fold; mean train MAE, mean / std validation MAE, mean RMSE, mean R², gap."""
-    rows = []
-    for name, tr, va in folds:
-        m = fit_boosting(tr, categorical, numeric, target, params, order)
-        long = union_all([scored_long(m, tr, "boosting", "train", target), scored_long(m, va, "boosting", "validation",
-                                                                                    target)])
-        got = {r["split"]: r for r in M.regression_metrics(long, ["split"]).collect()}
-        rows.append((name, got["train"]["mae"], got["validation"]["mae"], got["validation"]["rmse"],
-                     got["validation"]["r2"]))
-    val_mae = [r[2] for r in rows]
-    out = {"set_number": number, **{f"param_{k}": float(v) for k, v in params.items()},
-           "mean_train_mae": fmean(r[1] for r in rows), "mean_validation_mae": fmean(val_mae),
-           "std_validation_mae": pstdev(val_mae), "mean_validation_rmse": fmean(r[3] for r in rows),
-           "mean_validation_r2": fmean(r[4] for r in rows)}
-    out["overfit_gap"] = out["mean_validation_mae"] - out["mean_train_mae"]
-    for i, r in enumerate(rows, 1):
-        out[f"fold_{i}_mae"] = r[2]
-    return out
-
-
-def tune_boosting(folds, categorical, numeric, target, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 2,
+def _fold_predictions(fold: tuple[str, DataFrame, DataFrame], grid: Sequence[Mapping], categorical, numeric, target,
+                      order, pool: ThreadPoolExecutor) -> tuple[DataFrame, DataFrame]:
+    """Long (set_number, fold, role, actual, prediction) of every set on one fold, and the fold's encoded rows
+    (persisted; the caller releases them). The fold is encoded once for all sets."""
+    name, train, valid = fold
+    enc = fit_preprocessor(train, categorical, numeric, drop_first=False)
+    rows = union_all([_stable(df, order).withColumn("role", F.lit(role)) for df, role in ((train, "train"), (valid, "validation"))])
+    data = enc.transform(rows.withColumn(LABEL, F.col(target).cast("double"))).select("role", enc.features_col, LABEL)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    own = data.filter(F.col("role") == "train")
+    fits = list(pool.map(lambda ip: boost(own, enc.features_col, ip[1], f"set_{ip[0]}"), enumerate(grid, 1)))
+    scored = data
+    for model, _ in fits:
+        scored = model.transform(scored)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("set_number"), (F.col(f"set_{i}") + mean).alias("prediction"))
+                               for i, (_, mean) in enumerate(fits, 1)]))
+    long = scored.select(F.lit(name).alias("fold"), "role", F.col(LABEL).alias("actual"), each.alias("s"))
+    return long.select("fold", "role", "actual", "s.*"), data
+
+
+def tuning_table(folds: Sequence[tuple[str, DataFrame, DataFrame]], categorical, numeric, target,
+                 grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 4, order=()) -> list[dict]:
+    """One row per parameter set, from one aggregate over the predictions of all sets and folds."""
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:   # submits the Spark fits
+        scored = [_fold_predictions(f, grid, categorical, numeric, target, order, pool) for f in folds]
+    each = M.regression_metrics(union_all([long for long, _ in scored]), ["set_number", "fold", "role"])
+
+    def on(role: str, metric: str):
+        return F.when(F.col("role") == role, F.col(metric))
+
+    summary = each.groupBy("set_number").agg(
+        F.avg(on("train", "mae")).alias("mean_train_mae"), F.avg(on("validation", "mae")).alias("mean_validation_mae"),
+        F.stddev_pop(on("validation", "mae")).alias("std_validation_mae"),
+        F.avg(on("validation", "rmse")).alias("mean_validation_rmse"), F.avg(on("validation", "r2")).alias("mean_validation_r2"),
+        *[F.max(F.when(F.col("fold") == name, on("validation", "mae"))).alias(f"fold_{i}_mae")
+          for i, (name, _, _) in enumerate(folds, 1)])
+    try:
+        rows = summary.withColumn("mae_gap", F.col("mean_validation_mae") - F.col("mean_train_mae")).collect()
+    finally:
+        for _, data in scored:
+            data.unpersist()
+    return [{**r.asDict(), **grid[r["set_number"] - 1]} for r in sorted(rows, key=lambda r: r["set_number"])]
+
+
+def tune_boosting(folds, categorical, numeric, target, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 4,
                   order=()) -> tuple[dict, list[dict]]:
-    """Every set on every fold (a small driver thread pool submits the Spark fits), pick the
-    lowest mean MAE, then lowest std, then set order."""
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        results = list(pool.map(lambda ip: evaluate_parameter_set(ip[0], ip[1], folds, categorical, numeric, target,
-                                                                  order), enumerate(grid, 1)))
-    results.sort(key=lambda r: r["set_number"])
-    best = min(results, key=lambda r: (r["mean_validation_mae"], r["std_validation_mae"], r["set_number"]))
-    return best, results
+    """Every set on every fold; the lowest mean MAE wins, then the lowest deviation, then set order."""
+    rows = tuning_table(folds, categorical, numeric, target, grid, threads, order)
+    return min(rows, key=lambda r: (r["mean_validation_mae"], r["std_validation_mae"], r["set_number"])), rows
 
 
 # ---------------------------------------------------------------- M23 rental price run
-def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 2,
+def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 4,
               minimum_improvement: float = 1.0, order: Sequence[str] = ("date_start", "rent")) -> dict:
     """M23 over the P04 rental input carrying a K01 ``split`` label: folds inside train (K03) ->
     forward selection (M10) and boosting tuning (M13) -> fit both on train, pick by validation
     MAE -> refit both on train+validation -> test once. The deployed winner is not refit on test."""
     from dwell.ml.forward import forward_select
-    from dwell.operators.splits import rolling_folds
+    from dwell.operators.splits import fold_frames
 
     cats, nums, y = list(feat.PRICE_CATEGORICAL), list(feat.PRICE_NUMERIC), feat.PRICE_TARGET
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)     # every fit below reads it
     train = labelled.filter(F.col("split") == "train")
     valid = labelled.filter(F.col("split") == "validation")
     test = labelled.filter(F.col("split") == "test")
-    long = rolling_folds(train, feat.PRICE_DATE, windows)
-    folds = [(n, long.filter((F.col("fold") == n) & (F.col("role") == "train")).drop("fold", "role"),
-              long.filter((F.col("fold") == n) & (F.col("role") == "validation")).drop("fold", "role"))
-             for n, _, _ in windows]
+    folds = fold_frames(train, feat.PRICE_DATE, windows)
     selected, history = forward_select(folds, cats, nums, y, candidates=feat.PRICE_FEATURES,
                                        minimum_improvement=minimum_improvement)
     best, tuning = tune_boosting(folds, cats, nums, y, grid, threads, order)
@@ -169,23 +183,26 @@ def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_G
 
 
 # ---------------------------------------------------------------- M25 / M26 batch scoring
-NOISE_DECIMALS = 9   # predictions are rounded to 9 dp before half-even rounding (solver noise)
+def whole_units(value: Column) -> Column:
+    """max(0, half-even round)."""
+    return F.greatest(round_half_even(value), F.lit(0.0))
+
 
 def score_time_to_lease(model: FittedModel, rooms: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """F06 -> model -> predicted_weeks = max(0, p); estimated weeks / days half-even rounded."""
-    prepared = feat.ttl_model_input(feat.ttl_inference_input(rooms), keep=tuple(keep))
+    prepared = feat.ttl_model_input(feat.require_valid_dates(feat.ttl_inference_input(rooms), feat.TTL_DATE), keep=tuple(keep))
     p = clip_zero("prediction")
     return model.transform(prepared).select(
         *keep, p.alias("predicted_weeks"),
-        F.greatest(round_half_even(F.round(p, NOISE_DECIMALS)), F.lit(0.0)).alias("estimated_weeks"),
-        F.greatest(round_half_even(F.round(p * 7, NOISE_DECIMALS)), F.lit(0.0)).alias("estimated_days"))
+        whole_units(p).alias("estimated_weeks"), whole_units(p * 7).alias("estimated_days"))
 
 
 def recommend_price(model: FittedModel, rooms: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """F07 -> P03 -> model -> predicted_rent, recommended_rent = max(0, half-even round)."""
-    prepared = rooms if {"start_year", "start_month"} <= set(rooms.columns) else feat.price_inference_input(rooms)
+    prepared = rooms if {"start_year", "start_month"} <= set(rooms.columns) else feat.require_valid_dates(
+        feat.price_inference_input(rooms), feat.PRICE_DATE)
     prepared = feat.price_features_and_target(prepared.withColumn(feat.PRICE_TARGET, F.lit(None).cast("double"))
                                               if feat.PRICE_TARGET not in prepared.columns else prepared, keep=tuple(keep))
     return model.transform(prepared).select(
         *keep, F.col("prediction").alias("predicted_rent"),
-        F.greatest(round_half_even(F.round("prediction", NOISE_DECIMALS)), F.lit(0.0)).alias("recommended_rent"))
+        whole_units(F.col("prediction")).alias("recommended_rent"))

@@ -4,15 +4,12 @@
 value within its group:
 
 1. ``groupBy(group, value).count()`` — partial aggregation, a hot value collapses map-side;
-2. per group, approximate quantiles of the *distinct* values (a mergeable sketch) cut the value
-   axis into B contiguous buckets, so a hot group with many distinct values is spread over B
-   window partitions instead of landing in one task. The bucket is a pure function of
-   (group, value): recomputation after an executor loss gives the same layout;
-3. a window over (group, bucket) ordered by value gives the running count inside each bucket;
-4. per (group, bucket) totals — at most groups × B rows — give each bucket its offset.
-
-avg_rank = offset + count_before + (count + 1) / 2. The quantile sketch only decides bucket
-boundaries; ranks are exact.
+2. the counts are written once, range-partitioned by (group, value): a hot group with many distinct
+   values is spread over many ranges, and the written layout survives an executor loss;
+3. a window over (range, group) ordered by value gives the running count inside each piece;
+4. per (range, group) totals give each piece its offset.
+
+avg_rank = offset + count_before + (count + 1) / 2.
 """
 
 from __future__ import annotations
@@ -25,25 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-MAX_BUCKETS = 1024   # value-range buckets per group (parallelism inside a hot group)
-
-
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    """Buckets per group: the caller's choice, else the shuffle parallelism capped at
-    ``MAX_BUCKETS`` (each bucket boundary costs sketch memory per group)."""
-    if partitions:
-        return partitions
-    return min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def average_ranks(pairs: DataFrame, group_cols: Sequence[str], value_col: str,
                   partitions: int | None = None) -> DataFrame:
     """(group…, value) rows -> (group…, value, n, avg_rank, group_n). Null values are skipped."""
     g = list(group_cols)
-    buckets = max(1, _partitions(pairs, partitions))
-    counts = materialize(pairs.filter(F.col(value_col).isNotNull())
-                         .groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("n")))
-    pos = _bucketed_positions(counts, g, value_col, buckets)
+    counts = pairs.filter(F.col(value_col).isNotNull()).groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("n"))
+    pos = _positions(counts, g, value_col, partitions)
     return pos.select(*g, value_col, "n", (F.col("__first") + (F.col("n") + 1) / 2.0).alias("avg_rank"), "group_n")
 
 
@@ -57,8 +41,8 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "row_
     (one row per partition) give the offsets."""
     from dwell.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.repartitionByRange(_partitions(df, partitions), *order_cols) \
-        .sortWithinPartitions(*order_cols) \
+    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    ordered = ranged.sortWithinPartitions(*order_cols) \
         .withColumn("__mid", F.monotonically_increasing_id())
     ordered = ordered.checkpoint(eager=True)
     pid = F.shiftright(F.col("__mid"), 33)
@@ -89,33 +73,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _bucketed_positions(counts: DataFrame, g: list[str], value_col: str, buckets: int) -> DataFrame:
+def _positions(counts: DataFrame, g: list[str], value_col: str, partitions: int | None) -> DataFrame:
     """(group…, value, n) distinct-value counts -> + first 0-based position of the value inside its
-    group (``__first``) and the group size (``group_n``); same bucketing as ``average_ranks``."""
-    probs = [i / buckets for i in range(1, buckets)]
-    if probs:
-        sketch = F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), 10000)
-        if g:
-            bounds = counts.groupBy(*g).agg(sketch.alias("__bounds"))
-            bucket = F.size(F.filter("__bounds", lambda b: b < F.col(value_col)))
-            bucketed = join_keys(counts, bounds, g).withColumn("__bucket", bucket).drop("__bounds")
-        else:
-            # one global group: bounds are a scalar subquery (no join); the bucket is the number of
-            # bounds below the value = its first position in the sorted (bounds + value) array
-            bounds = counts.select(sketch).scalar()
-            v = F.col(value_col)
-            bucket = F.array_position(F.sort_array(F.concat(bounds, F.array(v))), v) - 1
-            bucketed = counts.withColumn("__bucket", bucket.cast("int"))
-    else:
-        bucketed = counts.withColumn("__bucket", F.lit(0))
-    inside = Window.partitionBy(*g, "__bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    bucketed = bucketed.withColumn("__before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    totals = bucketed.groupBy(*g, "__bucket").agg(F.sum("n").alias("__bucket_n"))
-    across = Window.partitionBy(*g).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.withColumn("__offset", F.coalesce(F.sum("__bucket_n").over(across), F.lit(0)))
-               .withColumn("group_n", F.sum("__bucket_n").over(Window.partitionBy(*g)))
-               .select(*g, "__bucket", "__offset", "group_n"))
-    return join_keys(bucketed, offsets, [*g, "__bucket"]).select(
+    group (``__first``) and the group size (``group_n``).
+
+    The table is written once, range-partitioned by (group, value). Running counts inside each (range,
+    group) piece plus the counts of the group's earlier pieces are the positions. A hot group takes as
+    many ranges as its share of the distinct values; there are at most groups + ranges pieces."""
+    ranged = (counts.repartitionByRange(partitions, *g, value_col) if partitions else counts.repartitionByRange(*g, value_col))
+    ranged = materialize(ranged.withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy("__range", *g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    pieces = ranged.groupBy("__range", *g).agg(F.sum("n").alias("__piece_n"))
+    across = Window.partitionBy(*g).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(*g, "__range", F.coalesce(F.sum("__piece_n").over(across), F.lit(0)).alias("__offset"),
+                            F.sum("__piece_n").over(Window.partitionBy(*g)).alias("group_n"))
+    return join_keys(placed, offsets, [*g, "__range"]).select(
         *g, value_col, "n", (F.col("__offset") + F.col("__before")).alias("__first"), "group_n")
 
 
@@ -125,22 +98,22 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, pr
     per group, without gathering a group's values into one task.
 
     Position h = (n − 1)·p; result = x[⌊h⌋] + (h − ⌊h⌋)·(x[⌈h⌉] − x[⌊h⌋]). Distinct values carry
-    their [first, last] position range (``_bucketed_positions``); each distinct value emits the
+    their [first, last] position range (``_positions``); each distinct value emits the
     (p, side) positions it covers, so the final group-by sees at most two rows per (group, p).
     Output: group…, ``p_index`` (position in ``probs``), ``quantile``; groups with only nulls are
     absent (callers left-join)."""
     g = list(group_cols)
     counts = (df.select(*g, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
               .groupBy(*g, "__v").agg(F.count(F.lit(1)).alias("n")))
-    return quantiles_from_counts(counts, g, "__v", "n", probs, max(1, _partitions(df, partitions)))
+    return quantiles_from_counts(counts, g, "__v", "n", probs, partitions)
 
 
 def quantiles_from_counts(counts: DataFrame, group_cols: Sequence[str], value_col: str, count_col: str,
-                          probs: Sequence[float], buckets: int) -> DataFrame:
+                          probs: Sequence[float], partitions: int | None = None) -> DataFrame:
     """``exact_quantiles`` over an already aggregated (group…, value, count) table."""
     g = list(group_cols)
-    counts = materialize(counts.select(*g, F.col(value_col).cast("double").alias("__v"), F.col(count_col).alias("n")))
-    pos = _bucketed_positions(counts, g, "__v", buckets)
+    counts = counts.select(*g, F.col(value_col).cast("double").alias("__v"), F.col(count_col).alias("n"))
+    pos = _positions(counts, g, "__v", partitions)
     last = F.col("__first") + F.col("n") - 1
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
 

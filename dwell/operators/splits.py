@@ -26,6 +26,13 @@ def _day(value: str) -> Column:
     return F.to_timestamp(F.lit(value[:10]))
 
 
+def _timestamp(df: DataFrame, column: str) -> Column:
+    """The column as a timestamp; text that does not parse is null."""
+    if dict(df.dtypes)[column] in ("date", "timestamp"):
+        return F.col(column).cast("timestamp")
+    return parse_timestamp(column)
+
+
 def _check_column(df: DataFrame, column: str) -> None:
     if column not in df.columns:
         raise KeyError(f"Date column was not found: {column}")
@@ -39,7 +46,7 @@ def _check_order(*cutoffs: str) -> None:
 
 def unparseable_dates(df: DataFrame, column: str) -> int:
     """Count of non-null-input rows whose date does not parse (plus null inputs) — one aggregate."""
-    return df.select(F.count_if(parse_timestamp(column).isNull()).alias("n")).first()["n"]
+    return df.select(F.count_if(_timestamp(df, column).isNull()).alias("n")).first()["n"]
 
 
 def chronological_label(ts: Column, train_end: str, validation_end: str) -> Column:
@@ -58,7 +65,7 @@ def chronological_split(df: DataFrame, date_column: str, train_end: str, validat
         bad = unparseable_dates(df, date_column)
         if bad:
             raise ValueError(f"{date_column} contains {bad} unparseable values")
-    return df.withColumn(label, chronological_label(parse_timestamp(date_column), train_end, validation_end))
+    return df.withColumn(label, chronological_label(_timestamp(df, date_column), train_end, validation_end))
 
 
 def matured_label(ts: Column, train_end: str, validation_end: str, test_end: str) -> Column:
@@ -77,7 +84,7 @@ def matured_split(df: DataFrame, date_column: str, train_end: str, validation_en
         bad = unparseable_dates(df, date_column)
         if bad:
             raise ValueError(f"{date_column} contains unparseable dates")
-    return df.withColumn(label, matured_label(parse_timestamp(date_column), train_end, validation_end, test_end))
+    return df.withColumn(label, matured_label(_timestamp(df, date_column), train_end, validation_end, test_end))
 
 
 def matured_range(date_col: str, split: str, train_end: str, validation_end: str, test_end: str) -> Column:
@@ -105,12 +112,15 @@ def fold_windows(windows: Sequence[tuple[str, str, str]]) -> Column:
 
 
 def rolling_folds(df: DataFrame, date_column: str, windows: Sequence[tuple[str, str, str]],
-                  fold: str = "fold", role: str = "role") -> DataFrame:
+                  fold: str = "fold", role: str = "role", validate: bool = True) -> DataFrame:
     """Long (fold, role, row) form. A row is in fold k's train when ts <= train_end and in its
     validation when train_end < ts <= validation_end. Expressed as a per-row ``explode`` over the
-    literal window list: no join, no shuffle, output is at most |windows| × input."""
+    literal window list: no join, no shuffle, output is at most |windows| × input. Dates that do not
+    parse and empty fold sides are errors (``check_folds``)."""
     _check_column(df, date_column)
-    ts = parse_timestamp(date_column)
+    if validate:
+        check_folds(df, date_column, windows)
+    ts = _timestamp(df, date_column)
     memberships = F.transform(
         fold_windows(windows),
         lambda w: F.struct(
@@ -123,6 +133,28 @@ def rolling_folds(df: DataFrame, date_column: str, windows: Sequence[tuple[str,
     return df.select("*", F.inline(kept))
 
 
+def check_folds(df: DataFrame, date_column: str, windows: Sequence[tuple[str, str, str]]) -> None:
+    """K03 gate, one aggregate: no unparseable date, rows on both sides of every fold."""
+    ts = _timestamp(df, date_column)
+    sides = [((name, role), F.count_if(rows)) for name, train_end, validation_end in windows for role, rows in (
+        ("train", ts <= _day(train_end)), ("validation", (ts > _day(train_end)) & (ts <= _day(validation_end))))]
+    bad, *counts = df.agg(F.count_if(ts.isNull()), *[n for _, n in sides]).first()
+    if bad:
+        raise ValueError(f"{date_column} contains {bad} unparseable values")
+    empty = [f"{name} ({role})" for ((name, role), _), n in zip(sides, counts) if not n]
+    if empty:
+        raise ValueError("empty folds: " + ", ".join(empty))
+
+
+def fold_frames(df: DataFrame, date_column: str, windows: Sequence[tuple[str, str, str]]) -> list[tuple[str, DataFrame, DataFrame]]:
+    """K03 as (fold, train, validation) frames: date ranges over ``df``, nothing is exploded."""
+    _check_column(df, date_column)
+    check_folds(df, date_column, windows)
+    ts = _timestamp(df, date_column)
+    return [(name, df.filter(ts <= _day(train_end)), df.filter((ts > _day(train_end)) & (ts <= _day(validation_end))))
+            for name, train_end, validation_end in windows]
+
+
 def fold_summary(long_folds: DataFrame, windows: Sequence[tuple[str, str, str]],
                  fold: str = "fold", role: str = "role") -> DataFrame:
     """Name, cut-offs, train rows, validation rows (one aggregate; windows joined as literals)."""

@@ -2,12 +2,16 @@
 
 Oracles use closed forms (SURVEY §7.3): OLS on one categorical predicts the group mean, OLS on one
 numeric is ``regr_slope`` / ``regr_intercept``, importances sum to 1, one-hot rows are indicator
-counts. Tree ensembles, selection and tuning are rows-only checks; registered queries keep trees
-small (the library defaults are the full sizes).
+counts. Tree ensembles, selection and tuning have full sizes and rows-only checks; their ``_closed``
+twins run the same code where a closed form exists (one tree of depth 2 on one categorical predicts
+group means). Tuning queries run two of the grid's twelve sets; ``BOOSTING_GRID`` is the default.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from dwell.functions.scalars import clean_encoded_name
@@ -23,10 +27,8 @@ from dwell.plans.catalog.sets import MEAN_MODELS_SQL, mean_models
 from dwell.plans.registry import query, r6, tables
 from dwell.sources import binding, io
 
-SMALL_FOREST = {"n_estimators": 10, "max_depth": 4, "min_samples_leaf": 5, "max_features": 0.8, "random_state": 42}
-SMALL_BOOSTING = {"n_estimators": 10, "learning_rate": 0.1, "max_depth": 2, "min_samples_leaf": 10, "subsample": 1.0,
-                  "random_state": 42}
-SMALL_GRID = (SMALL_BOOSTING, {**SMALL_BOOSTING, "max_depth": 3, "learning_rate": 0.05})
+NOISE = 9            # decimals the queries keep before half-even rounding: solver noise, as in the oracles
+TUNED_SETS = runs.BOOSTING_GRID[5:6] + runs.BOOSTING_GRID[7:8]   # 250 trees of depth 2 each; the whole grid has 12 sets
 
 
 def price_xy(spark, sf):
@@ -35,7 +37,9 @@ def price_xy(spark, sf):
 
 
 def price_part(spark, sf, *names):
-    return price_xy(spark, sf).filter(F.col("split").isin(*names))
+    """The named splits, as date ranges that reach the scan."""
+    ranges = [splits.chronological_range(feat.PRICE_DATE, n, binding.PRICE_TRAIN_END, binding.PRICE_VALIDATION_END) for n in names]
+    return price_xy(spark, sf).filter(reduce(or_, ranges))
 
 
 def ttl_xy(spark, sf):
@@ -43,7 +47,8 @@ def ttl_xy(spark, sf):
 
 
 def ttl_train(spark, sf):
-    return ttl_xy(spark, sf).filter(F.col("data_split") == "train")
+    return ttl_xy(spark, sf).filter(splits.matured_range(feat.TTL_DATE, "train", binding.TTL_TRAIN_END,
+                                                         binding.TTL_VALIDATION_END, binding.TTL_TEST_END))
 
 
 def price_folds(spark, sf):
@@ -52,10 +57,7 @@ def price_folds(spark, sf):
     from pyspark import StorageLevel
     train = price_part(spark, sf, "train").persist(StorageLevel.MEMORY_AND_DISK)
     _persisted.append(train)
-    long = splits.rolling_folds(train, feat.PRICE_DATE, binding.PRICE_FOLDS)
-    return [(name, long.filter((F.col("fold") == name) & (F.col("role") == "train")).drop("fold", "role"),
-             long.filter((F.col("fold") == name) & (F.col("role") == "validation")).drop("fold", "role"))
-            for name, _, _ in binding.PRICE_FOLDS]
+    return splits.fold_frames(train, feat.PRICE_DATE, binding.PRICE_FOLDS)
 
 
 _persisted: list = []
@@ -177,7 +179,7 @@ def m07(spark, sf):
 def m08(spark, sf):
     data = ttl_xy(spark, sf)
     model = ML.fit_forest(data.filter(F.col("data_split") == "train"), feat.TTL_CATEGORICAL, feat.TTL_NUMERIC,
-                          feat.TTL_TARGET, SMALL_FOREST, order=["listing_id"])
+                          feat.TTL_TARGET, order=["listing_id"])
     long = runs.scored_long(model, data.filter(F.col("data_split") == "validation"), "forest", "validation", feat.TTL_TARGET)
     return M.ttl_metrics(long)
 
@@ -185,7 +187,7 @@ def m08(spark, sf):
 @query("m09")
 def m09(spark, sf):
     model = ML.fit_boosting(price_part(spark, sf, "train"), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                            SMALL_BOOSTING, order=["date_start", "rent"])
+                            order=["date_start", "rent"])
     long = runs.scored_long(model, price_part(spark, sf, "validation"), "boosting", "validation", "rent")
     return M.regression_metrics(long, ["model", "split"])
 
@@ -216,9 +218,7 @@ def m10(spark, sf):
 @query("m11")
 def m11(spark, sf):
     train = price_part(spark, sf, "train")
-    long = splits.rolling_folds(train, feat.PRICE_DATE, binding.PRICE_FOLDS[:1])
-    fold = [(binding.PRICE_FOLDS[0][0], long.filter(F.col("role") == "train").drop("fold", "role"),
-             long.filter(F.col("role") == "validation").drop("fold", "role"))]
+    fold = splits.fold_frames(train, feat.PRICE_DATE, binding.PRICE_FOLDS[:1])
     _, history = forward.forward_select(fold, feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
                                         candidates=feat.PRICE_FEATURES)
     return _history_frame(spark, history, 1)
@@ -234,8 +234,8 @@ def _tuning_frame(spark, rows):
 @query("m12")
 def m12(spark, sf):
     try:
-        row = runs.evaluate_parameter_set(1, SMALL_BOOSTING, price_folds(spark, sf), feat.PRICE_CATEGORICAL,
-                                          feat.PRICE_NUMERIC, "rent", order=["date_start", "rent"])
+        row, = runs.tuning_table(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
+                                 grid=[ML.BOOSTING_DEFAULTS], order=["date_start", "rent"])
     finally:
         release()
     return _tuning_frame(spark, [row])
@@ -245,12 +245,96 @@ def m12(spark, sf):
 def m13(spark, sf):
     try:
         best, rows = runs.tune_boosting(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                                        grid=SMALL_GRID, threads=2, order=["date_start", "rent"])
+                                        grid=TUNED_SETS, order=["date_start", "rent"])
     finally:
         release()
     return _tuning_frame(spark, rows).withColumn("chosen", F.col("set_number") == float(best["set_number"]))
 
 
+# ------------------------------------------------------------------------------ closed forms of M08–M13
+ONE_TREE = {"n_estimators": 1, "learning_rate": 1.0, "max_depth": 4, "min_samples_leaf": 1, "subsample": 1.0, "random_state": 42}
+ONE_FOREST_TREE = {"n_estimators": 1, "max_depth": 4, "min_samples_leaf": 1, "max_features": 1.0, "random_state": 42, "bootstrap": False}
+FOLD_MEANS_SQL = ("folds AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, DATE '{tr}', DATE '{va}')" for i, (_, tr, va) in enumerate(binding.PRICE_FOLDS, 1)) + """) v(i, train_end, validation_end)),
+fold_fit AS (SELECT i, room_type, avg(rent) AS m FROM price_train JOIN folds ON date_start <= train_end GROUP BY i, room_type),
+fold_mae AS (SELECT f.i, avg(CASE WHEN p.date_start <= f.train_end THEN abs(p.rent - m.m) END) AS train_mae,
+                    avg(CASE WHEN p.date_start > f.train_end THEN abs(p.rent - m.m) END) AS mae
+             FROM price_train p JOIN folds f ON p.date_start <= f.validation_end
+             JOIN fold_fit m ON m.i = f.i AND m.room_type = p.room_type GROUP BY f.i)""")
+
+
+@query("m08_closed", sql=_w("""
+fit AS (SELECT season_listed, avg(weeks_on_market) AS m FROM ttl WHERE data_split = 'train' GROUP BY season_listed)
+SELECT t.season_listed, CAST(count(*) AS BIGINT) AS rows, round(avg(f.m), 6) AS prediction
+FROM ttl t JOIN fit f ON f.season_listed = t.season_listed WHERE t.data_split = 'validation' GROUP BY t.season_listed"""))
+def m08_closed(spark, sf):
+    """M08 with one unbootstrapped tree on one categorical: group means."""
+    data = ttl_xy(spark, sf)
+    model = ML.fit_forest(ttl_train(spark, sf), ["season_listed"], [], feat.TTL_TARGET, ONE_FOREST_TREE, order=["listing_id"])
+    scored = model.predict(data.filter(F.col("data_split") == "validation"), keep=["season_listed"])
+    return scored.groupBy("season_listed").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("prediction"), 6).alias("prediction"))
+
+
+@query("m09_closed", sql=_p("""
+SELECT v.room_type, CAST(count(*) AS BIGINT) AS rows, round(avg(f.m), 4) AS prediction FROM price v
+JOIN (SELECT room_type, avg(rent) AS m FROM price_train GROUP BY room_type) f ON f.room_type = v.room_type
+WHERE v.split = 'validation' GROUP BY v.room_type"""))
+def m09_closed(spark, sf):
+    """M09 with one tree at rate 1 on one categorical: group means."""
+    model = ML.fit_boosting(price_part(spark, sf, "train"), ["room_type"], [], "rent", ONE_TREE, order=["date_start", "rent"])
+    scored = model.predict(price_part(spark, sf, "validation"), keep=["room_type"])
+    return scored.groupBy("room_type").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("prediction"), 4).alias("prediction"))
+
+
+SELECTED_SQL = "SELECT CAST(1 AS BIGINT) AS step, 'room_type' AS added_feature, round(avg(mae), 4) AS mean_rolling_mae, round(stddev_pop(mae), 4) AS std_rolling_mae FROM fold_mae"
+
+
+def _selected(spark, history):
+    return _rows(spark, [(h["step"], h["added_feature"], round(h["mean_rolling_mae"], 4), round(h["std_rolling_mae"], 4)) for h in history],
+                 "step bigint, added_feature string, mean_rolling_mae double, std_rolling_mae double")
+
+
+@query("m10_closed", sql=_p(SELECTED_SQL, FOLD_MEANS_SQL))
+def m10_closed(spark, sf):
+    """M10 with one categorical candidate: errors of the folds' group means."""
+    try:
+        return _selected(spark, forward.forward_select(price_folds(spark, sf), ["room_type"], [], "rent")[1])
+    finally:
+        release()
+
+
+@query("m11_closed", sql=_p(SELECTED_SQL + " WHERE i = 1", FOLD_MEANS_SQL))
+def m11_closed(spark, sf):
+    fold = splits.fold_frames(price_part(spark, sf, "train"), feat.PRICE_DATE, binding.PRICE_FOLDS[:1])
+    return _selected(spark, forward.forward_select(fold, ["room_type"], [], "rent")[1])
+
+
+def _tuned_sql(sets):
+    return " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS set_number, round(avg(train_mae), 4) AS mean_train_mae, round(avg(mae), 4) "
+                              "AS mean_validation_mae, round(stddev_pop(mae), 4) AS std_validation_mae FROM fold_mae" for i in range(1, sets + 1))
+
+
+def _tuned(spark, sf, grid):
+    try:
+        rows = runs.tuning_table(price_folds(spark, sf), ["room_type"], [], "rent", grid=grid, order=["date_start", "rent"])
+    finally:
+        release()
+    cols = ("mean_train_mae", "mean_validation_mae", "std_validation_mae")
+    return _rows(spark, [(r["set_number"], *[round(r[c], 4) for c in cols]) for r in rows],
+                 "set_number bigint, " + ", ".join(f"{c} double" for c in cols))
+
+
+@query("m12_closed", sql=_p(_tuned_sql(1), FOLD_MEANS_SQL))
+def m12_closed(spark, sf):
+    """M12 with one tree on one categorical: errors of the folds' group means."""
+    return _tuned(spark, sf, [ONE_TREE])
+
+
+@query("m13_closed", sql=_p(_tuned_sql(2), FOLD_MEANS_SQL))
+def m13_closed(spark, sf):
+    return _tuned(spark, sf, [ONE_TREE, {**ONE_TREE, "max_depth": 3}])
+
+
 # ------------------------------------------------------------------------------ M14–M17 metrics
 def _metric_sql(pred_col, model, source, split=None):
     return (f"SELECT '{model}' AS model, {'' if split is None else repr(split) + ' AS split, '}"
@@ -372,7 +456,7 @@ def m18(spark, sf):
                      + ", ".join(f"('{c}')" for c in (*feat.TTL_CATEGORICAL, *feat.TTL_NUMERIC)) + ") v(feature)) "
                      "WHERE (SELECT count(*) FROM eda) > 0", EDA))
 def m19(spark, sf):
-    model = ML.fit_forest(ttl_train(spark, sf), feat.TTL_CATEGORICAL, feat.TTL_NUMERIC, feat.TTL_TARGET, SMALL_FOREST,
+    model = ML.fit_forest(ttl_train(spark, sf), feat.TTL_CATEGORICAL, feat.TTL_NUMERIC, feat.TTL_TARGET,
                           order=["listing_id"])
     imp = ML.grouped_importance(model)
     return _rows(spark, [(len(imp), round(sum(v for _, v in imp), 6))], "n_features bigint, total double")
@@ -382,7 +466,7 @@ def m19(spark, sf):
                      + " AS BIGINT) AS n_columns, CAST(1.0 AS DOUBLE) AS total", PRICE_CAT_COUNTS))
 def m20(spark, sf):
     model = ML.fit_boosting(price_part(spark, sf, "train"), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                            SMALL_BOOSTING, order=["date_start", "rent"])
+                            order=["date_start", "rent"])
     imp = ML.encoded_importance(model)
     return _rows(spark, [(len(imp), round(sum(v for _, v in imp), 6))], "n_columns bigint, total double")
 
@@ -391,7 +475,7 @@ def m20(spark, sf):
 def m21(spark, sf):
     """Top-15 forest importances and top-15 OLS coefficients, prefixes stripped, re-sorted."""
     data = ttl_train(spark, sf)
-    forest = ML.fit_forest(data, feat.TTL_CATEGORICAL, feat.TTL_NUMERIC, feat.TTL_TARGET, SMALL_FOREST, order=["listing_id"])
+    forest = ML.fit_forest(data, feat.TTL_CATEGORICAL, feat.TTL_NUMERIC, feat.TTL_TARGET, order=["listing_id"])
     linear = ML.fit_linear(data, feat.TTL_CATEGORICAL, feat.TTL_NUMERIC, feat.TTL_TARGET)
     rows = [("importance", n, v) for n, v in ML.encoded_importance(forest)[:15]]
     coefs = sorted(ML.coefficient_table(linear)[1:], key=lambda kv: -abs(kv[1]))[:15]
@@ -402,7 +486,7 @@ def m21(spark, sf):
 # ------------------------------------------------------------------------------ M22 / M23 runs (rows-only)
 @query("m22")
 def m22(spark, sf):
-    out = runs.ttl_run(ttl(spark, sf), forest_params=SMALL_FOREST)
+    out = runs.ttl_run(ttl(spark, sf))
     metrics = _round_metrics(out["metrics"]).withColumn("winner", F.lit(out["winner"]))
     rows = metrics.collect()           # model-sized (models x splits)
     out["data"].unpersist()
@@ -411,7 +495,7 @@ def m22(spark, sf):
 
 @query("m23")
 def m23(spark, sf):
-    out = runs.price_run(price_xy(spark, sf), binding.PRICE_FOLDS, grid=SMALL_GRID)
+    out = runs.price_run(price_xy(spark, sf), binding.PRICE_FOLDS, grid=TUNED_SETS)
     metrics = _round_metrics(out["metrics"]).withColumn("winner", F.lit(out["winner"]))
     rows = metrics.collect()           # model-sized (models x splits)
     out["data"].unpersist()
@@ -443,8 +527,9 @@ FROM rooms r LEFT JOIN fit f ON f.season_listed = r.season_listed"""))
 def m25(spark, sf):
     model = ML.fit_linear(ttl_train(spark, sf), ["season_listed"], [], feat.TTL_TARGET)
     out = runs.score_time_to_lease(model, rooms(spark, sf), keep=("listing_id",))
-    return out.select("listing_id", F.round("predicted_weeks", 4).alias("predicted_weeks"), "estimated_weeks",
-                      "estimated_days")
+    return out.select("listing_id", F.round("predicted_weeks", 4).alias("predicted_weeks"),
+                      runs.whole_units(F.round("predicted_weeks", NOISE)).alias("estimated_weeks"),
+                      runs.whole_units(F.round(F.col("predicted_weeks") * 7, NOISE)).alias("estimated_days"))
 
 
 RECOMMEND_SQL = """
@@ -465,7 +550,8 @@ def recommendations(spark, sf):
                                                         "facility_count")), "project_id", "left")
                  .withColumn("date_start", F.col("date_start").cast("string"))
                  .withColumnRenamed("rent", "actual"))
-    return runs.recommend_price(model, room_rows, keep=("lease_id", "actual"))
+    out = runs.recommend_price(model, room_rows, keep=("lease_id", "actual"))
+    return out.withColumn("recommended_rent", runs.whole_units(F.round("predicted_rent", NOISE)))
 
 
 @query("m26", sql=_p(RECOMMEND_SQL.strip() + "\nSELECT lease_id, round(predicted_rent, 2) AS predicted_rent, recommended_rent FROM rec"))

@@ -62,7 +62,7 @@ def price_dataset(tables: Mapping[str, DataFrame]) -> DataFrame:
     """leases ⟕ units ⟕ projects (J01), start_year / start_month (X08);
     columns = date_start + 13 features + rent, every lease kept."""
     joined = joins.leases_with_dimensions(tables["leases"], tables["units"], tables["projects"])
-    start = parse_date(PRICE_DATE)
+    start = parse_date(PRICE_DATE, _dtype(joined, PRICE_DATE))
     return joined.select(
         start.alias(PRICE_DATE),
         *[c for c in PRICE_FEATURES if c not in ("start_year", "start_month")],
@@ -212,7 +212,7 @@ def lease_time_dataset(tables: Mapping[str, DataFrame],
     chosen = completed_primary(listings).select(*TTL_LISTING_COLUMNS)
     if validate:
         _validated(listings, market, test_end, chosen)
-    date = parse_date(TTL_DATE)
+    date = parse_date(TTL_DATE, _dtype(chosen, TTL_DATE))
     modeling = chosen.select(
         *[c for c in TTL_LISTING_COLUMNS if c not in (TTL_DATE, TTL_TARGET)],
         date.alias(TTL_DATE),
@@ -284,6 +284,14 @@ def ttl_inference_input(rooms: DataFrame) -> DataFrame:
     return out
 
 
+def require_valid_dates(inputs: DataFrame, date_column: str) -> DataFrame:
+    """F06 / F07 gate: a room whose date is missing or does not parse is an error, not a scored row."""
+    bad = inputs.filter(~F.col("date_is_valid")).select(F.col(date_column).cast("string")).limit(5).collect()
+    if bad:
+        raise ValueError(f"{date_column} has values that are not dates: {[r[0] for r in bad]}")
+    return inputs
+
+
 def price_inference_input(rooms: DataFrame) -> DataFrame:
     """rooms -> start_year / start_month from date_start; invalid dates flagged."""
     if PRICE_DATE not in rooms.columns:
