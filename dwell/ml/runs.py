@@ -96,31 +96,39 @@ def ttl_run(modeling: DataFrame, forest_params: Mapping | None = None, order: Se
 
 
 # ---------------------------------------------------------------- M12 / M13 tuning
-def _fold_predictions(fold: tuple[str, DataFrame, DataFrame], grid: Sequence[Mapping], categorical, numeric, target,
-                      order, pool: ThreadPoolExecutor) -> tuple[DataFrame, DataFrame]:
-    """Long (set_number, fold, role, actual, prediction) of every set on one fold, and the fold's encoded rows
-    (persisted; the caller releases them). The fold is encoded once for all sets."""
-    name, train, valid = fold
+def _encoded_fold(train: DataFrame, valid: DataFrame, categorical, numeric, target, order) -> tuple[DataFrame, str]:
+    """Both sides of a fold as (role, features, label), encoded once for all sets and persisted, and the
+    name of the features column."""
     enc = fit_preprocessor(train, categorical, numeric, drop_first=False)
     rows = union_all([_stable(df, order).withColumn("role", F.lit(role)) for df, role in ((train, "train"), (valid, "validation"))])
     data = enc.transform(rows.withColumn(LABEL, F.col(target).cast("double"))).select("role", enc.features_col, LABEL)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    own = data.filter(F.col("role") == "train")
-    fits = list(pool.map(lambda ip: boost(own, enc.features_col, ip[1], f"set_{ip[0]}"), enumerate(grid, 1)))
+    return data.persist(StorageLevel.MEMORY_AND_DISK), enc.features_col
+
+
+def _predictions(fold: str, data: DataFrame, fits: Sequence[tuple]) -> DataFrame:
+    """Long (set_number, fold, role, actual, prediction) of every set's model on a fold's rows."""
     scored = data
     for model, _ in fits:
         scored = model.transform(scored)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("set_number"), (F.col(f"set_{i}") + mean).alias("prediction"))
                                for i, (_, mean) in enumerate(fits, 1)]))
-    long = scored.select(F.lit(name).alias("fold"), "role", F.col(LABEL).alias("actual"), each.alias("s"))
-    return long.select("fold", "role", "actual", "s.*"), data
+    long = scored.select(F.lit(fold).alias("fold"), "role", F.col(LABEL).alias("actual"), each.alias("s"))
+    return long.select("fold", "role", "actual", "s.*")
 
 
 def tuning_table(folds: Sequence[tuple[str, DataFrame, DataFrame]], categorical, numeric, target,
-                 grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 4, order=()) -> list[dict]:
+                 grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 8, order=()) -> list[dict]:
     """One row per parameter set, from one aggregate over the predictions of all sets and folds."""
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:   # submits the Spark fits
-        scored = [_fold_predictions(f, grid, categorical, numeric, target, order, pool) for f in folds]
+    encoded = [_encoded_fold(train, valid, categorical, numeric, target, order) for _, train, valid in folds]
+
+    def fit(job: tuple[int, int]):
+        data, features = encoded[job[0]]
+        return boost(data.filter(F.col("role") == "train"), features, grid[job[1]], f"set_{job[1] + 1}")
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:   # submits the independent Spark fits
+        fits = list(pool.map(fit, [(f, k) for f in range(len(folds)) for k in range(len(grid))]))
+    scored = [(_predictions(name, data, fits[f * len(grid):(f + 1) * len(grid)]), data)
+              for f, ((name, _, _), (data, _)) in enumerate(zip(folds, encoded))]
     each = M.regression_metrics(union_all([long for long, _ in scored]), ["set_number", "fold", "role"])
 
     def on(role: str, metric: str):
@@ -140,7 +148,7 @@ def tuning_table(folds: Sequence[tuple[str, DataFrame, DataFrame]], categorical,
     return [{**r.asDict(), **grid[r["set_number"] - 1]} for r in sorted(rows, key=lambda r: r["set_number"])]
 
 
-def tune_boosting(folds, categorical, numeric, target, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 4,
+def tune_boosting(folds, categorical, numeric, target, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 8,
                   order=()) -> tuple[dict, list[dict]]:
     """Every set on every fold; the lowest mean MAE wins, then the lowest deviation, then set order."""
     rows = tuning_table(folds, categorical, numeric, target, grid, threads, order)
@@ -148,7 +156,7 @@ def tune_boosting(folds, categorical, numeric, target, grid: Sequence[Mapping] =
 
 
 # ---------------------------------------------------------------- M23 rental price run
-def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 4,
+def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 8,
               minimum_improvement: float = 1.0, order: Sequence[str] = ("date_start", "rent")) -> dict:
     """M23 over the P04 rental input carrying a K01 ``split`` label: folds inside train (K03) ->
     forward selection (M10) and boosting tuning (M13) -> fit both on train, pick by validation

@@ -165,3 +165,33 @@ def test_tuning_pick_and_price_run(spark):
     assert spark.read.option("header", True).csv(paths["metrics"]).count() == 4
     assert PipelineModel.load(paths["model_winner"]) is not None
     out["data"].unpersist()
+
+
+def test_scoring_rejects_invalid_dates(spark):
+    df = price_frame(spark)
+    model = ML.fit_linear(df, [], ["size_sqm"], "rent")
+    rooms = df.drop("start_year", "start_month", "rent").withColumn("date_start", F.when(F.col("floor") == 3, "soon").otherwise(F.col("date_start")))
+    with pytest.raises(ValueError, match="date_start"):
+        runs.recommend_price(model, rooms, keep=("i",))
+
+
+def test_small_scale_feature_is_kept():
+    import numpy as np
+    r = np.random.default_rng(1)
+    big, small = r.normal(0, 1e6, 500), r.normal(0, 1e-3, 500)
+    z = np.column_stack([big, small, np.ones(500) * 7, 2e-6 * big + 3e3 * small, np.ones(500)])
+    beta, b0 = forward.ols_from_gram(z.T @ z, [0, 1, 2])
+    assert beta == pytest.approx([2e-6, 3e3, 0.0], rel=1e-6) and abs(b0) < 1e-6
+
+
+def test_tuning_table_equals_single_fits(spark):
+    d = F.to_date("date_start")
+    df = price_frame(spark)
+    folds = [("f1", df.filter(d <= "2025-01-25"), df.filter((d > "2025-01-25") & (d <= "2025-02-04")))]
+    params = {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 2, "min_samples_leaf": 2, "subsample": 1.0}
+    row, = runs.tuning_table(folds, ["project_name"], ["size_sqm"], "rent", [params], order=["date_start"])
+    model = ML.fit_boosting(folds[0][1], ["project_name"], ["size_sqm"], "rent", params, order=["date_start"])
+    for part, name in ((folds[0][1], "mean_train_mae"), (folds[0][2], "fold_1_mae")):
+        want = model.predict(part, keep=["rent"]).select(F.avg(F.abs(F.col("rent") - F.col("prediction")))).first()[0]
+        assert row[name] == pytest.approx(want)
+    assert row["mae_gap"] == pytest.approx(row["mean_validation_mae"] - row["mean_train_mae"]) and row["n_estimators"] == 3

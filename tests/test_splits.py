@@ -56,3 +56,25 @@ def test_require_nonempty(spark):
     with pytest.raises(ValueError):
         splits.require_nonempty(spark.range(0), "validation")
     assert splits.require_nonempty(spark.range(1), "train").count() == 1
+
+
+def test_folds_reject_bad_dates_and_empty_sides(spark):
+    window = [("f1", "2025-01-30", "2025-02-10")]
+    for dates, what in ((["2025-01-01", "2025-02-01", "soon"], "unparseable"), (["2025-01-01", "2025-03-01"], "validation"),
+                        (["2025-02-01"], "train")):
+        df = spark.createDataFrame([(d,) for d in dates], "date_start string")
+        for make in (splits.rolling_folds, splits.fold_frames):
+            with pytest.raises(ValueError, match=what):
+                make(df, "date_start", window)
+
+
+def test_date_bound_reaches_the_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from dwell.functions.scalars import parse_date
+    path = str(tmp_path / "leases")
+    spark.sql("SELECT DATE '2025-01-01' AS date_start, 1 AS x").write.parquet(path)
+    df = spark.read.parquet(path).select(parse_date("date_start", "date").alias("date_start"), "x")
+    df = df.withColumn("year", F.year("date_start")).filter(splits.chronological_range("date_start", "train", "2025-01-30", "2025-02-10"))
+    plan = df._jdf.queryExecution().executedPlan().verboseStringWithOperatorId()
+    assert "LessThanOrEqual(date_start,2025-01-30)" in plan and df.count() == 1
