@@ -68,7 +68,7 @@ def test_folds_reject_bad_dates_and_empty_sides(spark):
                 make(df, "date_start", window)
 
 
-def test_date_bound_reaches_the_scan(spark, tmp_path):
+def test_date_bound_reaches_the_scan(spark, tmp_path, capsys):
     from pyspark.sql import functions as F
 
     from dwell.functions.scalars import parse_date
@@ -76,5 +76,5 @@ def test_date_bound_reaches_the_scan(spark, tmp_path):
     spark.sql("SELECT DATE '2025-01-01' AS date_start, 1 AS x").write.parquet(path)
     df = spark.read.parquet(path).select(parse_date("date_start", "date").alias("date_start"), "x")
     df = df.withColumn("year", F.year("date_start")).filter(splits.chronological_range("date_start", "train", "2025-01-30", "2025-02-10"))
-    plan = df._jdf.queryExecution().executedPlan().verboseStringWithOperatorId()
-    assert "LessThanOrEqual(date_start,2025-01-30)" in plan and df.count() == 1
+    df.explain("formatted")
+    assert "LessThanOrEqual(date_start,2025-01-30)" in capsys.readouterr().out and df.count() == 1
