@@ -13,7 +13,8 @@ most ``MOST_WORDS`` words each (word counts are checked, larger sets are split b
 part by part), and travel with the function.
 
 Defined results: null or empty texts have no passages, null or wordless items match nothing; equal
-items are all reported; a text with an item at many places gives one row, of its best passage; repeated
+texts under different ids are all reported, and so are different texts under one id (a row each); a row
+that stands twice in the item table counts once; a null id is an id like others; a text with an item at many places gives one row, of its best passage; repeated
 rows are all reported; an empty table of either kind gives no rows; further columns never matter.
 """
 
@@ -58,7 +59,7 @@ def answer_start(raw: bytes, ends: np.ndarray) -> int:
 
 
 class Item(NamedTuple):
-    item_id: int
+    item_id: int | None
     question: np.ndarray   # distinct shingles
     answer: np.ndarray     # distinct words
 
@@ -75,44 +76,48 @@ class Index(NamedTuple):
     span: int                      # words of the longest item
 
 
-def postings(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, word, n, length) of every item, then its share by BM25 over all items."""
+def item_rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, item, raw): the different items, each under a key of its id and text."""
+    rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("raw")).filter(F.col("raw").isNotNull())
+    key = F.concat_ws(":", F.coalesce(F.col("item").cast("string"), F.lit("null")), F.sha2("raw", 256))
+    return rows.select(key.alias("row"), "item", "raw").dropDuplicates(["row"])
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """(row, word, n, length) of every item, then its share by BM25 over all items."""
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("item", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("length", pa.int64())])
+        schema = pa.schema([("row", pa.string()), ("word", pa.int64()), ("n", pa.int64()), ("length", pa.int64())])
         for batch in batches:
-            for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, _, _ = hashes(raw)
                 word, n = np.unique(h.astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), item)), pa.array(word), pa.array(n.astype(np.int64)),
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(word), pa.string()), pa.array(word), pa.array(n.astype(np.int64)),
                                                   pa.array(np.full(len(word), len(h)))], schema=schema)
 
-    table = scratch.stored(items.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).filter(F.col(id_col).isNotNull())
-                           .mapInArrow(counts, "item long, word long, n long, length long"), "bm25-counts")
-    n_items, mean = table.groupBy("item").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)), F.avg("length")).first()
+    table = scratch.stored(rows.select("row", "raw").mapInArrow(counts, "row string, word long, n long, length long"), "bm25-counts")
+    n_items, mean = table.groupBy("row").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)), F.avg("length")).first()
     df = table.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     norm = K1 * (1 - B + B * F.col("length") / F.lit(mean))
     weight = F.log(1 + (F.lit(n_items) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("n") * (K1 + 1) / (F.col("n") + norm)
     weighted = table.join(df, "word").withColumn("weight", weight)
-    full = weighted.groupBy("item").agg(F.sum("weight").alias("full"))
-    return scratch.stored(weighted.join(full, "item").select("item", "word", "length", (F.col("weight") / F.col("full")).alias("share")), "bm25-postings")
+    full = weighted.groupBy("row").agg(F.sum("weight").alias("full"))
+    return scratch.stored(weighted.join(full, "row").select("row", "word", "length", (F.col("weight") / F.col("full")).alias("share")), "bm25-postings")
 
 
-def index_of(items: list[tuple[int, bytes]], table: pd.DataFrame) -> Index:
-    """items: (id, text) with words; table: their postings."""
+def index_of(items: list[tuple[str, int | None, bytes]], table: pd.DataFrame) -> Index:
+    """items: (row, id, text) with words, a row each; table: their postings."""
     parts, span = [], 1
-    for item_id, raw in items:
+    for _, item_id, raw in items:
         h, _, ends = hashes(raw)
         at = answer_start(raw, ends)
         parts.append(Item(item_id, np.unique(words.shingles(h[:at], SHINGLE)), np.unique(h[at:])))
         span = max(span, len(h))
-    slots: dict[int, list[int]] = {}
-    for i, (item_id, _) in enumerate(items):
-        slots.setdefault(item_id, []).append(i)
+    slots = {row: i for i, (row, _, _) in enumerate(items)}
     word = table["word"].to_numpy().astype(np.int64).view(np.uint64)
     codes, code = np.unique(word, return_inverse=True)
     rows: list[list[tuple[int, float]]] = [[] for _ in codes]
-    for c, item, share in zip(code.tolist(), table["item"].tolist(), table["share"].tolist()):
-        rows[c].extend((i, share) for i in slots.get(item, ()))
+    for c, row, share in zip(code.tolist(), table["row"].tolist(), table["share"].tolist()):
+        rows[c].append((slots[row], share))
     rows = [sorted(r) for r in rows]
     shares = [[s for _, s in r] for r in rows]
     common = np.zeros(len(items))
@@ -222,17 +227,16 @@ def leaks(raw: bytes | None, index: Index) -> list[dict]:
 
 
 def _indexes(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
-    table = postings(items, id_col, text_col)
-    total = table.groupBy("item").agg(F.max("length").alias("n")).agg(F.sum("n")).first()[0] or 0
+    rows = item_rows(items, id_col, text_col)
+    table = postings(rows)
+    total = table.groupBy("row").agg(F.max("length").alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = -(-total // MOST_WORDS)
     out = []
     for p in range(parts):
-        own = F.pmod(F.xxhash64("item"), F.lit(parts)) == p
-        rows = table.filter(own).toPandas()       # about MOST_WORDS words
-        texts = (items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("raw"))
-                 .filter(own & F.col("raw").isNotNull()).collect())
-        out.append(index_of([(r["item"], bytes(r["raw"])) for r in sorted(texts, key=lambda r: r["item"])
-                             if r["item"] is not None and len(hashes(bytes(r["raw"]))[0])], rows))
+        own = F.pmod(F.xxhash64("row"), F.lit(parts)) == p
+        shares = table.filter(own).toPandas()       # about MOST_WORDS words
+        texts = [(r["row"], r["item"], bytes(r["raw"])) for r in rows.filter(own).collect()]
+        out.append(index_of([t for t in sorted(texts, key=lambda t: (t[1] is not None, t[1], t[0])) if len(hashes(t[2])[0])], shares))
     return out
 
 

@@ -127,6 +127,20 @@ def test_leaks_are_found_and_clean_texts_left(docs, items, corpus):
     assert decontaminate.contaminated(df, items.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), items).count() == 0
 
 
+def test_items_are_told_apart_by_id_and_text(spark, docs, items, monkeypatch):
+    first, second = (r["text"] for r in items.filter("item_id < 3").orderBy("item_id").collect())
+    third = "Which bridge spans the narrow gorge near the village of Tarn. The iron bridge built by Holm and Vance stands there."
+    table = spark.createDataFrame([(1, first), (1, first), (2, second), (2, third), (None, third), (None, third), (4, first)], items.schema)
+    rows = [(200, "so " * 40 + first), (201, second), (202, third), (203, "so " * 40)]
+    want = [(200, 1), (200, 4), (201, 2), (202, 2), (202, None)]
+    for most in (decontaminate.MOST_WORDS, 20):
+        monkeypatch.setattr(decontaminate, "MOST_WORDS", most)
+        got = decontaminate.contaminated(docs(rows), table).collect()
+        assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=repr) == sorted(want, key=repr)
+        assert all(abs(r["score"] - 1) < 1e-9 for r in got)
+        assert [r["doc_id"] for r in decontaminate.keep_clean(docs(rows), table).collect()] == [203]
+
+
 def test_parts_of_the_index_and_wand_find_all(docs, items, monkeypatch):
     rows = [(i, r["text"]) for i, r in enumerate(items.filter("text <> ''").collect())]
     whole = sorted(map(tuple, decontaminate.contaminated(docs(rows), items).select("doc_id", "item_id").collect()))
