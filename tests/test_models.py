@@ -195,3 +195,23 @@ def test_tuning_table_equals_single_fits(spark):
         want = model.predict(part, keep=["rent"]).select(F.avg(F.abs(F.col("rent") - F.col("prediction")))).first()[0]
         assert row[name] == pytest.approx(want)
     assert row["mae_gap"] == pytest.approx(row["mean_validation_mae"] - row["mean_train_mae"]) and row["n_estimators"] == 3
+
+
+def test_registered_tuning_runs_the_whole_grid(spark, monkeypatch):
+    from dwell.plans.catalog import models as catalog
+    asked = []
+
+    def table(folds, categorical, numeric, target, grid=(), threads=8, order=()):
+        asked.append((len(folds), tuple(grid)))
+        return [{"set_number": i, "mean_validation_mae": float(abs(i - 11)), "std_validation_mae": 0.0, **p} for i, p in enumerate(grid, 1)]
+
+    def run(labelled, windows, grid=(), **kw):
+        asked.append((len(windows), tuple(grid)))
+        frame = spark.createDataFrame([("m", "test", 1, 1.0, 1.0, 1.0)], "model string, split string, rows long, mae double, rmse double, r2 double")
+        return {"metrics": frame, "winner": "m", "data": frame}
+
+    monkeypatch.setattr(runs, "tuning_table", table)
+    monkeypatch.setattr(runs, "price_run", run)
+    chosen = [r["set_number"] for r in catalog.m13(spark, "/root/testdata/sf0.001").filter("chosen").collect()]
+    catalog.m23(spark, "/root/testdata/sf0.001")
+    assert chosen == [11.0] and asked == [(4, runs.BOOSTING_GRID)] * 2 and len(runs.BOOSTING_GRID) == 12
