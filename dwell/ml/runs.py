@@ -162,7 +162,7 @@ def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_G
     forward selection (M10) and boosting tuning (M13) -> fit both on train, pick by validation
     MAE -> refit both on train+validation -> test once. The deployed winner is not refit on test."""
     from dwell.ml.forward import forward_select
-    from dwell.operators.splits import fold_frames
+    from dwell.operators.splits import fold_frames, fold_summary, rolling_folds
 
     cats, nums, y = list(feat.PRICE_CATEGORICAL), list(feat.PRICE_NUMERIC), feat.PRICE_TARGET
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)     # every fit below reads it
@@ -170,6 +170,7 @@ def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_G
     valid = labelled.filter(F.col("split") == "validation")
     test = labelled.filter(F.col("split") == "test")
     folds = fold_frames(train, feat.PRICE_DATE, windows)
+    summary = sorted(fold_summary(rolling_folds(train, feat.PRICE_DATE, windows), windows).collect(), key=lambda r: r["ordinal"])
     selected, history = forward_select(folds, cats, nums, y, candidates=feat.PRICE_FEATURES,
                                        minimum_improvement=minimum_improvement)
     best, tuning = tune_boosting(folds, cats, nums, y, grid, threads, order)
@@ -187,7 +188,7 @@ def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_G
     test_long = union_all([scored_long(m, test, n, "test", y) for n, m in final.items()])
     metrics = M.regression_metrics(union_all([val_long, test_long]), ["model", "split"])
     return {"winner": winner, "metrics": metrics, "selected": selected, "history": history, "tuning": tuning,
-            "best_params": params, "models": final, "deployed": final[winner], "data": labelled}
+            "best_params": params, "folds": summary, "models": final, "deployed": final[winner], "data": labelled}
 
 
 # ---------------------------------------------------------------- M25 / M26 batch scoring

@@ -58,3 +58,33 @@ def test_report_and_metadata_round_trip(spark):
     read = io.read_metadata(spark, io.write_metadata(meta, f"{folder}/meta"))
     assert io.metadata_folds(read).first()["train_rows"] == 3                # S05 inline
     assert io.metadata_params(read).first()["key"] == "max_depth"
+
+
+def test_run_metadata_holds_the_run(spark, monkeypatch):
+    import json
+
+    from pyspark.sql import Row
+
+    from dwell.ml import runs
+    from dwell.plans import registry
+    from dwell.plans.catalog import sources
+    from dwell.sources import binding
+    asked = []
+
+    def run(labelled, windows, grid=(), **kw):
+        asked.append(grid)
+        metrics = [(m, s, 3, 1.0, 2.0, 0.5) for m in (runs.STEPWISE, runs.BOOSTING) for s in ("test", "validation")]
+        folds = [Row(fold=f, train_end=t, validation_end=v, train_rows=5 + i, validation_rows=i, ordinal=i) for i, (f, t, v) in enumerate(windows)]
+        return {"winner": runs.STEPWISE, "selected": ["size_sqm", "floor"], "best_params": dict(grid[9]), "folds": folds, "data": labelled,
+                "metrics": spark.createDataFrame(metrics, "model string, split string, rows long, mae double, rmse double, r2 double")}
+
+    monkeypatch.setattr(runs, "price_run", run)
+    monkeypatch.setattr(sources, "_written", {})
+    got = {q: registry.QUERIES[q](spark, "/root/testdata/sf0.001").collect() for q in ("s04", "s04_run", "s05", "s05_params")}
+    assert asked == [runs.BOOSTING_GRID]
+    assert (got["s04"][0]["winner"], got["s04"][0]["n_folds"], got["s04"][0]["n_features"]) == ("stepwise_linear_regression", 4, 13)
+    out = got["s04_run"][0]
+    assert out["winner"] == runs.STEPWISE and json.loads(out["features"]) == ["size_sqm", "floor"]
+    assert len(json.loads(out["metrics"])) == 4 and json.loads(out["cutoffs"])["train_end"] == binding.PRICE_TRAIN_END
+    assert [tuple(r) for r in got["s05"]] == [(f, t, v, 5 + i, i) for i, (f, t, v) in enumerate(binding.PRICE_FOLDS)]
+    assert {r["key"]: r["value"] for r in got["s05_params"]} == {k: float(v) for k, v in runs.BOOSTING_GRID[9].items()}
