@@ -4,8 +4,10 @@ Test items are indexed by their words (lower-case ASCII, alphanumeric): a postin
 weight of the word as a share of the item's full score, so a passage with all words of an item scores 1.
 Every training text is read as overlapping passages, twice as long as the longest item and half
 overlapping, so each place an item can stand lies in one passage as a whole. Block-max WAND retrieves
-all items whose score reaches ``LEAST_SCORE``; those are verified: ``LEAST_OVERLAP`` of the 5-word
-shingles of the question and of the words of the answer must stand in the passage. The answer is an
+all items whose score reaches ``LEAST_SCORE``; those are verified: ``LEAST_OVERLAP`` of the question and
+of the words of the answer must stand in the passage. The question's overlap is the share of its 5-word
+shingles, or, if that is too small, 1 less the word edits a word that turn it into the nearest stretch of
+the passage: one edit breaks five shingles, but costs a question of 5 words or more a fifth at most. The answer is an
 item's last sentence or line (or last third, if there is one only), the question what stands before it.
 
 One map over the documents, no shuffle. The index is built by Spark from whole items; its parts hold at
@@ -62,6 +64,7 @@ class Item(NamedTuple):
     item_id: int | None
     question: np.ndarray   # distinct shingles
     answer: np.ndarray     # distinct words
+    asked: np.ndarray      # the question's words in order
 
 
 class Index(NamedTuple):
@@ -110,7 +113,7 @@ def index_of(items: list[tuple[str, int | None, bytes]], table: pd.DataFrame) ->
     for _, item_id, raw in items:
         h, _, ends = hashes(raw)
         at = answer_start(raw, ends)
-        parts.append(Item(item_id, np.unique(words.shingles(h[:at], SHINGLE)), np.unique(h[at:])))
+        parts.append(Item(item_id, np.unique(words.shingles(h[:at], SHINGLE)), np.unique(h[at:]), h[:at]))
         span = max(span, len(h))
     slots = {row: i for i, (row, _, _) in enumerate(items)}
     word = table["word"].to_numpy().astype(np.int64).view(np.uint64)
@@ -197,6 +200,16 @@ def likely(half: np.ndarray, word: np.ndarray, n_halves: int, index: Index, leas
     return np.unique(np.concatenate((pairs[score >= least] // len(index.items), sure)))
 
 
+def aligned(question: np.ndarray, passage: np.ndarray) -> float:
+    """1 - (least word edits between the question and any stretch of the passage) / its words."""
+    place = np.arange(len(passage) + 1)
+    cost = np.zeros(len(passage) + 1, dtype=np.int64)
+    for i, word in enumerate(question, 1):
+        step = np.minimum(cost[:-1] + (passage != word), cost[1:] + 1)
+        cost = np.minimum.accumulate(np.concatenate(([i], step)) - place) + place
+    return 1 - int(cost.min()) / len(question)
+
+
 def leaks(raw: bytes | None, index: Index) -> list[dict]:
     """The verified items of a text, each with its best passage."""
     h, _, _ = hashes(raw)
@@ -220,6 +233,8 @@ def leaks(raw: bytes | None, index: Index) -> list[dict]:
             item = index.items[i]
             question = np.isin(item.question, words.shingles(passage, SHINGLE)).mean() if len(item.question) else 1.0
             answer = np.isin(item.answer, passage).mean() if len(item.answer) else 1.0
+            if question < LEAST_OVERLAP <= answer:
+                question = max(question, aligned(item.asked, passage))
             if question >= LEAST_OVERLAP and answer >= LEAST_OVERLAP:
                 best[i] = max(best.get(i, (0.0,)), (float(question + answer), float(score), float(question), float(answer), -p * span))
     return [{"item_id": index.items[i].item_id, "score": s, "question_overlap": q, "answer_overlap": a, "first_word": -w}

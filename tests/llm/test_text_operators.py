@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -127,6 +128,29 @@ def test_leaks_are_found_and_clean_texts_left(docs, items, corpus):
     assert decontaminate.contaminated(df, items.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), items).count() == 0
 
 
+def test_one_word_edits_of_the_question_are_found(docs, items):
+    texts = {i: r["text"] for i, r in enumerate(items.filter("item_id < 3").orderBy("item_id").collect(), 1)}
+    rows, want = [], set()
+    for i, text in texts.items():
+        for k in range(10 if i == 1 else 8):
+            for n, new in enumerate((["zebra"], [], ["zebra", text.split()[k]])):   # changed, left out, put in
+                w = text.replace("\n", " \n ").split(" ")
+                w[k:k + 1] = new + (["."] if i == 1 and k == 9 and not new else [])
+                rows.append((1000 * i + 10 * k + n, "so it is " * 30 + " ".join(w) + " so it is" * 30))
+                want.add((rows[-1][0], i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(rows), items.filter("item_id < 3")).collect()}
+    assert got == want
+    r = random.Random(6)
+    for _ in range(200):
+        q, p = ([r.randrange(4) for _ in range(r.randrange(a, 9))] for a in (1, 0))
+        edits = [[0] * (len(p) + 1)]
+        for x in q:
+            edits.append([edits[-1][0] + 1])
+            for j, y in enumerate(p):
+                edits[-1].append(min(edits[-2][j] + (x != y), edits[-2][j + 1] + 1, edits[-1][j] + 1))
+        assert decontaminate.aligned(np.array(q), np.array(p, dtype=np.int64)) == 1 - min(edits[-1]) / len(q)
+
+
 def test_items_are_told_apart_by_id_and_text(spark, docs, items, monkeypatch):
     first, second = (r["text"] for r in items.filter("item_id < 3").orderBy("item_id").collect())
     third = "Which bridge spans the narrow gorge near the village of Tarn. The iron bridge built by Holm and Vance stands there."
