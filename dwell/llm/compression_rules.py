@@ -1,7 +1,8 @@
 """Quality rules (7): compression bands.
 
 A text that zstandard packs far better than prose repeats itself; one that it can hardly pack is
-not prose. Both the whole text and fixed chunks of it are packed; the limits depend on length,
+not prose. Both the whole text and fixed chunks of it are packed (a rest shorter than a chunk counts
+within the text's last 1,024 bytes; shorter texts are judged as a whole only); the limits depend on length,
 because short input packs worse. Plain counts (words, symbols, repeated lines and windows) come
 from the same pass. One map over the documents, no shuffle; memory is bounded by the longest text.
 
@@ -64,7 +65,10 @@ def bands(raw: bytes, packer) -> tuple[bool, float | None, int, int]:
         return False, None, 0, 0
     ratio = len(packer.compress(raw)) / len(raw)
     low, high = next((lo, hi) for below, lo, hi in BANDS if below is None or len(raw) < below)
-    chunks = [len(packer.compress(raw[i:i + CHUNK])) / CHUNK for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
+    at = list(range(0, len(raw) - CHUNK + 1, CHUNK))
+    if at and len(raw) % CHUNK:
+        at.append(len(raw) - CHUNK)
+    chunks = [len(packer.compress(raw[i:i + CHUNK])) / CHUNK for i in at]
     bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
     good = low <= ratio <= high and (not chunks or bad < BAD_CHUNK_SHARE * len(chunks))
     return good, ratio, bad, len(chunks)

@@ -72,6 +72,16 @@ def test_compression_bands():
     assert not compression_rules.judge(noise.encode(), packer)[6] and not compression_rules.judge(noise.encode(), packer)[5]
 
 
+def test_the_rest_after_the_last_chunk_is_judged():
+    packer = zstandard.ZstdCompressor(level=3)
+    r = random.Random(4)
+    prose = " ".join("".join(r.choices("etaoinshrdlu", k=r.randrange(2, 8))) for _ in range(400))[:1024]
+    assert compression_rules.bands(prose.encode(), packer)[0] and compression_rules.bands(prose.encode(), packer)[3] == 1
+    good, ratio, bad, chunks = compression_rules.bands((prose + "so la " * 170).encode(), packer)
+    assert 0.25 <= ratio <= 0.80 and (good, bad, chunks) == (False, 1, 2)
+    assert compression_rules.bands((prose + prose[::-1]).encode(), packer)[3] == 2 and compression_rules.bands(prose[:900].encode(), packer)[3] == 0
+
+
 def test_keep_good_keeps_columns_and_rows(docs, corpus):
     df = docs(corpus, kept="clash", _rules=1)
     kept = compression_rules.keep_good(df)
