@@ -62,3 +62,96 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN p > 0 AND (upto <= rest OR coalesce(pos = closing_pos, FALSE)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked LEFT JOIN closing ON ranked.k = closing.k
 """
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string of ASCII characters: a character goes in (x >= 0), then eight shifts (-1)."""
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({text}, ''), "
+            "lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), "
+            "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)")
+
+
+def _field(column: str) -> str:
+    return (f"CASE WHEN {column} IS NULL THEN '-' ELSE CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' "
+            f"|| CAST({column} AS VARCHAR) END")
+
+
+def _climb_sql(name: str, start: str) -> str:
+    """Levels of a tree as (g, level, pos, h, n): each run of 16 becomes its hash while n > 1."""
+    return f"""{name} AS (
+    SELECT g, 0 AS level, pos, h, n FROM {start}
+    UNION ALL
+    SELECT g, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM {name} WHERE n > 1
+    GROUP BY g, level, pos // 16, n)"""
+
+
+def _paths_sql(name: str, tree: str) -> str:
+    """For each node of level 0 and each level below the top: the siblings before and after."""
+    return f"""{name} AS (
+    SELECT a.g, a.pos, s.level, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < a.pos // CAST(16 ** s.level AS BIGINT)), '') AS l,
+           coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > a.pos // CAST(16 ** s.level AS BIGINT)), '') AS r
+    FROM {tree} a JOIN {tree} s ON a.level = 0 AND s.g = a.g AND s.n > 1 AND s.pos // 16 = a.pos // CAST(16 ** (s.level + 1) AS BIGINT)
+    GROUP BY a.g, a.pos, s.level)"""
+
+
+#: Trees by recursion over levels; a tampered leaf is folded up its path by list_reduce over the siblings.
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, source, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
+           CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0
+                THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed,
+           lang, n_chars
+    FROM documents),
+placed AS (
+    SELECT doc_id, leaf AS h, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("changed")}) AS changed,
+           coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM leaves),
+{_climb_sql("tree", "placed")},
+tops AS (SELECT g AS of_g, '' AS g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+{_climb_sql("upper", "tops")},
+{_paths_sql("paths", "tree")},
+{_paths_sql("upper_paths", "upper")},
+steps AS (
+    SELECT p.g, p.pos, s.level, s.l, s.r FROM placed p JOIN paths s ON s.g = p.g AND s.pos = p.pos
+    UNION ALL
+    SELECT p.g, p.pos, 100 + s.level, s.l, s.r FROM placed p JOIN tops t ON t.of_g = p.g JOIN upper_paths s ON s.pos = t.pos),
+proofs AS (
+    SELECT g, pos, string_agg(l || r, '' ORDER BY level) AS siblings, list([l, r] ORDER BY level) AS path FROM steps GROUP BY g, pos),
+folded AS (
+    SELECT p.doc_id, p.h AS leaf, t.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+           list_reduce(list_prepend([p.changed, ''], coalesce(path, [])), lambda x, s: [sha256(s[1] || x[1] || s[2]), ''])[1] AS folded_root
+    FROM placed p JOIN tops t ON t.of_g = p.g LEFT JOIN proofs f ON f.g = p.g AND f.pos = p.pos)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+#: Prefixes as strings of fixed-width digests; a node's subtree is what starts with its string.
+TRIE_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tie, strlen(coalesce(text, '')) AS size
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT conv_id, list({{'id': id, 'size': size}} ORDER BY turn NULLS FIRST, tie) AS own, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h
+    FROM turns GROUP BY conv_id),
+rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS t
+    FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+members AS (
+    SELECT conv_id, d, coalesce(list_aggregate(list_transform(t[1:d], lambda x: x.id), 'string_agg', ''), '') AS key,
+           CASE WHEN d > 0 THEN t[d].size ELSE 0 END AS size, d = len(t) AS ends
+    FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT key, d, min(conv_id) AS conv_id, count(*) AS n, max(size) AS size,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY key, d),
+children AS (SELECT left(key, 32 * (d - 1)) AS of_key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (
+    SELECT v.key, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((u.n - 1) * u.size) AS saved
+    FROM nodes v JOIN nodes u ON starts_with(u.key, v.key) LEFT JOIN children c ON c.of_key = u.key GROUP BY v.key)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN below b ON b.key = v.key LEFT JOIN children c ON c.of_key = v.key
+LEFT JOIN nodes p ON v.d > 0 AND p.key = left(v.key, 32 * (v.d - 1))
+"""

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm import (chunk_dedup, compression_rules, decontaminate, licenses, near_dups, pareto_mix, resharding, suffix_dedup,
+from dwell.llm import (chunk_dedup, compression_rules, decontaminate, licenses, merkle, near_dups, pareto_mix, prefix_trie, resharding, suffix_dedup,
                        token_counts, weak_labels)
-from dwell.llm.oracles import MIX_SQL, NEAR_SQL
+from dwell.llm.oracles import MERKLE_SQL, MIX_SQL, NEAR_SQL, TRIE_SQL
 
 SHINGLE_WORDS = 4     # of op2's contract
 SIMILARITY = 80
@@ -65,7 +65,28 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _id_crc(column: str) -> Column:
+    """Unsigned CRC-32 of the id's decimal digits (null: of nothing)."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.conversations(_table(spark, sf_dir, "conversations"))
+    mixed = prefix_trie.rebuilt(convs, F.col("conv_id") - F.col("conv_id") % 5, _id_crc("conv_id") % 9, 8)
+    return prefix_trie.prefix_trie(mixed)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id has the CRC of nothing, 0, so its row is tampered with."""
+    tampered = F.when(_id_crc("doc_id") % 5 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), tampered)
+    proved = found.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"),
+                          merkle.folded(F.coalesce("altered_leaf", "leaf"), F.col("path")).alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_near_duplicates, op3_contaminated, op4_license_scan, op5_reshard, op6_quality_scores, op7_quality_rules,
-    op8_suffix_dedup, op9_chunk_dedup, op10_pareto_mix)}
-ORACLES = {"op2_near_duplicates": NEAR_SQL, "op10_pareto_mix": MIX_SQL}
+    op8_suffix_dedup, op9_chunk_dedup, op10_pareto_mix, op11_prefix_trie, op13_merkle_manifest)}
+ORACLES = {"op2_near_duplicates": NEAR_SQL, "op10_pareto_mix": MIX_SQL,
+           "op11_prefix_trie": TRIE_SQL, "op13_merkle_manifest": MERKLE_SQL}
