@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm import (chunk_dedup, compression_rules, decontaminate, licenses, merkle, near_dups, pareto_mix, prefix_trie, resharding, suffix_dedup,
+from dwell.llm import (chunk_dedup, compression_rules, decontaminate, language_id, licenses, merkle, near_dups, pareto_mix, prefix_trie, resharding, suffix_dedup,
                        token_counts, weak_labels)
 from dwell.llm.oracles import MERKLE_SQL, MIX_SQL, NEAR_SQL, TRIE_SQL
 
@@ -76,6 +76,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(mixed)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id has the CRC of nothing, 0, so its row is not held out."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _id_crc("doc_id") % 3 == 1)
+    model = language_id.fit(docs.filter(~F.col("held_out")).select("lang", "text"))
+    return language_id.predict(docs, model, keep=("doc_id", "held_out"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null doc_id has the CRC of nothing, 0, so its row is tampered with."""
     tampered = F.when(_id_crc("doc_id") % 5 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -87,6 +94,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_near_duplicates, op3_contaminated, op4_license_scan, op5_reshard, op6_quality_scores, op7_quality_rules,
-    op8_suffix_dedup, op9_chunk_dedup, op10_pareto_mix, op11_prefix_trie, op13_merkle_manifest)}
+    op8_suffix_dedup, op9_chunk_dedup, op10_pareto_mix, op11_prefix_trie, op12_language_id,
+    op13_merkle_manifest)}
 ORACLES = {"op2_near_duplicates": NEAR_SQL, "op10_pareto_mix": MIX_SQL,
            "op11_prefix_trie": TRIE_SQL, "op13_merkle_manifest": MERKLE_SQL}
