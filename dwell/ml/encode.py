@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_CATEGORIES = 10_000   # distinct values of a categorical feature; more is an error, before any reach the driver
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -49,16 +52,25 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
 def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
     """Non-null value counts per categorical column (as text), one job: all columns exploded to
     (column, value) and counted with map-side partial aggregation. Categorical features have few
-    distinct values, so the result is driver-sized."""
+    distinct values (``MAX_CATEGORIES`` at most), so the result is driver-sized."""
     if not columns:
         return {}
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                 for c in columns]))
     counts = (df.select(pairs.alias("p")).select("p.column", "p.value").filter(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    return _collected(counts, columns, "value")
+
+
+def _collected(counts: DataFrame, columns: Sequence[str], value: str) -> dict[str, list[tuple[str, int]]]:
+    """Counts (column, value, n) on the driver; more than ``MAX_CATEGORIES`` for a column are an error."""
+    most = len(columns) * MAX_CATEGORIES
     out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
-    for r in counts.collect():
-        out[r["column"]].append((r["value"], int(r["n"])))
+    for r in counts.limit(most + 1).collect():
+        out[r["column"]].append((r[value], int(r["n"])))
+    large = [c for c, v in out.items() if len(v) > MAX_CATEGORIES]
+    if large:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories: {', '.join(large)}")
     return out
 
 
@@ -83,10 +95,7 @@ def fit_statistics(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
               .groupBy("column", "text", "number").agg(F.count(F.lit(1)).alias("n"))
               .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        cat_counts: dict[str, list[tuple[str, int]]] = {c: [] for c in cats}
-        if cats:
-            for r in counts.filter(F.col("column").isin(cats)).select("column", "text", "n").collect():
-                cat_counts[r["column"]].append((r["text"], int(r["n"])))
+        cat_counts = _collected(counts.filter(F.col("column").isin(cats)).select("column", "text", "n"), cats, "text") if cats else {}
         med: dict[str, float | None] = {c: None for c in nums}
         if nums:
             numeric_counts = counts.filter(F.col("column").isin(nums) & F.col("number").isNotNull())

@@ -5,10 +5,10 @@
   from one Gram pass, so rank-deficient encodings never reach the quasi-Newton fallback.
 * Random forest: 150 trees, depth 12, min leaf 5, 80 % of features per split, seed 42.
 * Gradient boosting (squared loss): 250 trees, rate .05, depth 2, min leaf 10, subsample 1.0,
-  seed 42; fitted on ``y − mean(y)`` and shifted back, because the reference starts every
-  ensemble from the mean while Spark's first tree has weight 1.
+  seed 42; grown by ``dwell.ml.boosting``, because Spark's booster takes its first tree whole and fits
+  the others to doubled residuals. The trees are handed to Spark ML's ensemble model for scoring.
 
-Training data is repartitioned by a stable key and sorted within partitions before tree fits, so
+Training data is repartitioned by a stable key and sorted within partitions before forest fits, so
 bootstrap samples do not depend on upstream partitioning.
 """
 
@@ -19,10 +19,11 @@ from typing import Mapping, Sequence
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwell.ml import boosting
 from dwell.ml.encode import Encoded, fit_preprocessor
 
 # Default hyper-parameters.
@@ -38,6 +39,7 @@ class FittedModel:
 
     def __init__(self, kind: str, pipeline: PipelineModel, encoded: Encoded, regressor):
         self.kind, self.pipeline, self.encoded, self.regressor = kind, pipeline, encoded, regressor
+        self.importances: np.ndarray | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)
@@ -132,23 +134,26 @@ def fit_forest(train: DataFrame, categorical: Sequence[str], numeric: Sequence[s
 
 
 def fit_boosting(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], target: str,
-                 params: Mapping | None = None, order: Sequence[str] = ()) -> FittedModel:
-    """Gradient-boosted trees (squared loss) on ``y − mean(y)``, shifted back by the mean."""
-    enc, data = _prepare(_stable(train, order), categorical, numeric, target, drop_first=False)
-    model, mean = boost(data, enc.features_col, params)
-    shift = SQLTransformer(statement=f"SELECT *, __boost + {float(mean)!r} AS prediction FROM __THIS__")
-    return FittedModel("boosting", PipelineModel(stages=[*enc.model.stages, model, shift]), enc, model)
-
-
-def boost(data: DataFrame, features_col: str, params: Mapping | None = None, output: str = "__boost"):
-    """Boosted trees on encoded rows (features, LABEL): the model of ``y − mean(y)`` and the mean."""
-    p = {**BOOSTING_DEFAULTS, **(params or {})}
-    mean = data.select(F.avg(LABEL)).first()[0]
-    gbt = GBTRegressor(featuresCol=features_col, labelCol="__residual", predictionCol=output,
-                       maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
-                       minInstancesPerNode=int(p["min_samples_leaf"]), subsamplingRate=float(p["subsample"]),
-                       seed=int(p["random_state"]), lossType="squared")
-    return gbt.fit(data.select(features_col, (F.col(LABEL) - F.lit(mean)).alias("__residual"))), float(mean)
+                 params: Mapping | None = None) -> FittedModel:
+    """Gradient-boosted trees (squared loss) with true shrinkage, as a persistable pipeline."""
+    spec = boosting.Spec(0, 0, {**BOOSTING_DEFAULTS, **(params or {})})
+    (ensemble,), _ = boosting.fit(train.withColumn("slice", F.lit(0)), categorical, numeric, target, [spec])
+    return boosted_pipeline(train, categorical, numeric, ensemble)
+
+
+def boosted_pipeline(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], ensemble: boosting.Ensemble) -> FittedModel:
+    """Preprocessing fitted on ``train``, the ensemble's trees as a Spark ML model, and its mean added."""
+    enc = fit_preprocessor(train, categorical, numeric, drop_first=False)
+    positions = {(c, None): enc.groups[c][0] for c in numeric}
+    for c in categorical:
+        positions |= {(c, enc.names[i][len(f"category__{c}_"):]): i for i in enc.groups.get(c, [])}
+    model = boosting.spark_model(train.sparkSession, ensemble, positions, len(enc.names), enc.features_col, "__boost")
+    shift = SQLTransformer(statement=f"SELECT *, __boost + {float(ensemble.mean)!r} AS prediction FROM __THIS__")
+    fitted = FittedModel("boosting", PipelineModel(stages=[*enc.model.stages, model, shift]), enc, model)
+    fitted.importances = np.zeros(len(enc.names))
+    for key, share in ensemble.importance().items():
+        fitted.importances[positions[key]] += share
+    return fitted
 
 
 def coefficient_table(fitted: FittedModel) -> list[tuple[str, float]]:
@@ -159,18 +164,22 @@ def coefficient_table(fitted: FittedModel) -> list[tuple[str, float]]:
     return [("intercept", float(m.intercept)), *coefs]
 
 
-def encoded_importance(fitted: FittedModel) -> list[tuple[str, float]]:
-    """Importance per encoded column, descending."""
-    imp = fitted.regressor.featureImportances.toArray().tolist()
+def _importances(fitted: FittedModel) -> list[float]:
+    """Share of the drop of squared error, by encoded column (sums to 1 if anything was split)."""
+    imp = fitted.importances if fitted.importances is not None else fitted.regressor.featureImportances.toArray()
     if len(imp) != len(fitted.encoded.names):
         raise ValueError("importance count does not match encoded columns")
+    return list(map(float, imp))
+
+
+def encoded_importance(fitted: FittedModel) -> list[tuple[str, float]]:
+    """Importance per encoded column, descending."""
+    imp = _importances(fitted)
     return sorted(zip(fitted.encoded.names, imp), key=lambda kv: (-kv[1], kv[0]))
 
 
 def grouped_importance(fitted: FittedModel) -> list[tuple[str, float]]:
     """Importance summed back to source features (sums to 1), descending."""
-    imp = fitted.regressor.featureImportances.toArray().tolist()
-    if len(imp) != len(fitted.encoded.names):
-        raise ValueError("importance count does not match encoded columns")
+    imp = _importances(fitted)
     out = [(f, float(sum(imp[i] for i in pos))) for f, pos in fitted.encoded.groups.items()]
     return sorted(out, key=lambda kv: (-kv[1], kv[0]))

@@ -7,17 +7,19 @@ The driver only orders metric rows and picks winners (W04 tie rules).
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from typing import Mapping, Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwell.functions.scalars import clip_zero, round_half_even
+from dwell.ml import boosting
 from dwell.ml import metrics as M
-from dwell.ml.encode import fit_preprocessor
-from dwell.ml.models import LABEL, FittedModel, _stable, boost, fit_boosting, fit_forest, fit_linear
+from dwell.ml.forward import forward_select
+from dwell.ml.models import BOOSTING_DEFAULTS, FittedModel, boosted_pipeline, fit_forest, fit_linear
+from dwell.operators.splits import SlicedFolds, fold_summary, rolling_folds, sliced_folds
 from dwell.plans import features as feat
 
 LINEAR = "Multiple Linear Regression"
@@ -96,97 +98,73 @@ def ttl_run(modeling: DataFrame, forest_params: Mapping | None = None, order: Se
 
 
 # ---------------------------------------------------------------- M12 / M13 tuning
-def _encoded_fold(train: DataFrame, valid: DataFrame, categorical, numeric, target, order) -> tuple[DataFrame, str]:
-    """Both sides of a fold as (role, features, label), encoded once for all sets and persisted, and the
-    name of the features column."""
-    enc = fit_preprocessor(train, categorical, numeric, drop_first=False)
-    rows = union_all([_stable(df, order).withColumn("role", F.lit(role)) for df, role in ((train, "train"), (valid, "validation"))])
-    data = enc.transform(rows.withColumn(LABEL, F.col(target).cast("double"))).select("role", enc.features_col, LABEL)
-    return data.persist(StorageLevel.MEMORY_AND_DISK), enc.features_col
-
-
-def _predictions(fold: str, data: DataFrame, fits: Sequence[tuple]) -> DataFrame:
-    """Long (set_number, fold, role, actual, prediction) of every set's model on a fold's rows."""
-    scored = data
-    for model, _ in fits:
-        scored = model.transform(scored)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("set_number"), (F.col(f"set_{i}") + mean).alias("prediction"))
-                               for i, (_, mean) in enumerate(fits, 1)]))
-    long = scored.select(F.lit(fold).alias("fold"), "role", F.col(LABEL).alias("actual"), each.alias("s"))
-    return long.select("fold", "role", "actual", "s.*")
-
-
-def tuning_table(folds: Sequence[tuple[str, DataFrame, DataFrame]], categorical, numeric, target,
-                 grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 8, order=()) -> list[dict]:
-    """One row per parameter set, from one aggregate over the predictions of all sets and folds."""
-    encoded = [_encoded_fold(train, valid, categorical, numeric, target, order) for _, train, valid in folds]
-
-    def fit(job: tuple[int, int]):
-        data, features = encoded[job[0]]
-        return boost(data.filter(F.col("role") == "train"), features, grid[job[1]], f"set_{job[1] + 1}")
-
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:   # submits the independent Spark fits
-        fits = list(pool.map(fit, [(f, k) for f in range(len(folds)) for k in range(len(grid))]))
-    scored = [(_predictions(name, data, fits[f * len(grid):(f + 1) * len(grid)]), data)
-              for f, ((name, _, _), (data, _)) in enumerate(zip(folds, encoded))]
-    each = M.regression_metrics(union_all([long for long, _ in scored]), ["set_number", "fold", "role"])
-
-    def on(role: str, metric: str):
-        return F.when(F.col("role") == role, F.col(metric))
-
-    summary = each.groupBy("set_number").agg(
-        F.avg(on("train", "mae")).alias("mean_train_mae"), F.avg(on("validation", "mae")).alias("mean_validation_mae"),
-        F.stddev_pop(on("validation", "mae")).alias("std_validation_mae"),
-        F.avg(on("validation", "rmse")).alias("mean_validation_rmse"), F.avg(on("validation", "r2")).alias("mean_validation_r2"),
-        *[F.max(F.when(F.col("fold") == name, on("validation", "mae"))).alias(f"fold_{i}_mae")
-          for i, (name, _, _) in enumerate(folds, 1)])
-    try:
-        rows = summary.withColumn("mae_gap", F.col("mean_validation_mae") - F.col("mean_train_mae")).collect()
-    finally:
-        for _, data in scored:
-            data.unpersist()
-    return [{**r.asDict(), **grid[r["set_number"] - 1]} for r in sorted(rows, key=lambda r: r["set_number"])]
-
-
-def tune_boosting(folds, categorical, numeric, target, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 8,
-                  order=()) -> tuple[dict, list[dict]]:
+def tuning_table(folds: SlicedFolds, categorical, numeric, target, grid: Sequence[Mapping] = BOOSTING_GRID) -> list[dict]:
+    """One row per parameter set. All models grow together; sets that differ only in their number of
+    trees are stages of one ensemble."""
+    families: dict[tuple, list[int]] = {}
+    for number, p in enumerate(grid):
+        families.setdefault(tuple(sorted((k, v) for k, v in p.items() if k != "n_estimators")), []).append(number)
+    specs, sets = [], []
+    for numbers in families.values():
+        stages = tuple(sorted({int(grid[i]["n_estimators"]) for i in numbers}))
+        for fold, (a, b) in enumerate(folds.ends):
+            specs.append(boosting.Spec(a, b, {**BOOSTING_DEFAULTS, **grid[numbers[0]], "n_estimators": stages[-1]}, stages))
+            sets.append((fold, numbers))
+    _, errors = boosting.fit(folds.rows, categorical, numeric, target, specs, keep=False)
+    found: dict[tuple[int, int, str], dict] = {}
+    for e in errors:
+        fold, numbers = sets[e["spec"]]
+        found |= {(i, fold, e["role"]): e for i in numbers if int(grid[i]["n_estimators"]) == e["step"]}
+    return [_summary(i, [{role: found[i, f, role] for role in boosting.ROLES} for f in range(len(folds.names))]) | dict(p)
+            for i, p in enumerate(grid)]
+
+
+def _summary(number: int, folds: Sequence[Mapping]) -> dict:
+    """A parameter set's errors over its folds."""
+    train, valid = (np.array([[f[role][m] for m in ("mae", "rmse", "r2")] for f in folds]) for role in boosting.ROLES)
+    out = {"set_number": number + 1, "mean_train_mae": train[:, 0].mean(), "mean_validation_mae": valid[:, 0].mean(),
+           "std_validation_mae": valid[:, 0].std(), "mean_validation_rmse": valid[:, 1].mean(), "mean_validation_r2": valid[:, 2].mean(),
+           "mae_gap": valid[:, 0].mean() - train[:, 0].mean(), **{f"fold_{i}_mae": v for i, v in enumerate(valid[:, 0], 1)}}
+    return {k: v if k == "set_number" else float(v) for k, v in out.items()}
+
+
+def tune_boosting(folds: SlicedFolds, categorical, numeric, target, grid: Sequence[Mapping] = BOOSTING_GRID) -> tuple[dict, list[dict]]:
     """Every set on every fold; the lowest mean MAE wins, then the lowest deviation, then set order."""
-    rows = tuning_table(folds, categorical, numeric, target, grid, threads, order)
+    rows = tuning_table(folds, categorical, numeric, target, grid)
     return min(rows, key=lambda r: (r["mean_validation_mae"], r["std_validation_mae"], r["set_number"])), rows
 
 
 # ---------------------------------------------------------------- M23 rental price run
-def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_GRID, threads: int = 8,
-              minimum_improvement: float = 1.0, order: Sequence[str] = ("date_start", "rent")) -> dict:
+def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_GRID, minimum_improvement: float = 1.0) -> dict:
     """M23 over the P04 rental input carrying a K01 ``split`` label: folds inside train (K03) ->
     forward selection (M10) and boosting tuning (M13) -> fit both on train, pick by validation
     MAE -> refit both on train+validation -> test once. The deployed winner is not refit on test."""
-    from dwell.ml.forward import forward_select
-    from dwell.operators.splits import fold_frames, fold_summary, rolling_folds
-
     cats, nums, y = list(feat.PRICE_CATEGORICAL), list(feat.PRICE_NUMERIC), feat.PRICE_TARGET
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)     # every fit below reads it
     train = labelled.filter(F.col("split") == "train")
     valid = labelled.filter(F.col("split") == "validation")
     test = labelled.filter(F.col("split") == "test")
-    folds = fold_frames(train, feat.PRICE_DATE, windows)
-    summary = sorted(fold_summary(rolling_folds(train, feat.PRICE_DATE, windows), windows).collect(), key=lambda r: r["ordinal"])
-    selected, history = forward_select(folds, cats, nums, y, candidates=feat.PRICE_FEATURES,
-                                       minimum_improvement=minimum_improvement)
-    best, tuning = tune_boosting(folds, cats, nums, y, grid, threads, order)
+    train_val = labelled.filter(F.col("split").isin("train", "validation"))
+    folds = sliced_folds(train, feat.PRICE_DATE, windows)
+    summary = sorted(fold_summary(rolling_folds(train, feat.PRICE_DATE, windows, validate=False), windows).collect(), key=lambda r: r["ordinal"])
+    selected, history = forward_select(folds, cats, nums, y, candidates=feat.PRICE_FEATURES, minimum_improvement=minimum_improvement)
+    best, tuning = tune_boosting(folds, cats, nums, y, grid)
     params = dict(grid[int(best["set_number"]) - 1])
     sel_c = [c for c in selected if c in cats]
     sel_n = [c for c in selected if c in nums]
-    fitters = {STEPWISE: lambda d: fit_linear(d, sel_c, sel_n, y),
-               BOOSTING: lambda d: fit_boosting(d, cats, nums, y, params, order)}
-    on_train = {n: f(train) for n, f in fitters.items()}
+    # the chosen set on train and on train + validation, grown together
+    sides = train_val.withColumn("slice", F.when(F.col("split") == "train", 0).otherwise(1))
+    whole = {**BOOSTING_DEFAULTS, **params}
+    ensembles, _ = boosting.fit(sides, cats, nums, y, [boosting.Spec(0, 0, whole), boosting.Spec(1, 1, whole)])
+    on_train, final = ({STEPWISE: fit_linear(rows, sel_c, sel_n, y), BOOSTING: boosted_pipeline(rows, cats, nums, ensemble)}
+                       for rows, ensemble in zip((train, train_val), ensembles))
     val_long = union_all([scored_long(m, valid, n, "validation", y) for n, m in on_train.items()])
-    val_rows = M.regression_metrics(val_long, ["model", "split"]).collect()
-    winner = min(val_rows, key=lambda r: (r["mae"], 0 if r["model"] == STEPWISE else 1))["model"]
-    train_val = labelled.filter(F.col("split").isin("train", "validation"))
-    final = {n: f(train_val) for n, f in fitters.items()}
     test_long = union_all([scored_long(m, test, n, "test", y) for n, m in final.items()])
     metrics = M.regression_metrics(union_all([val_long, test_long]), ["model", "split"])
+    rows = metrics.collect()                                       # models x splits
+    maes = {r["model"]: r["mae"] for r in rows if r["split"] == "validation"}
+    winner = min((STEPWISE, BOOSTING), key=lambda n: maes[n])      # ties: stepwise
+    metrics = labelled.sparkSession.createDataFrame(rows, metrics.schema)
     return {"winner": winner, "metrics": metrics, "selected": selected, "history": history, "tuning": tuning,
             "best_params": params, "folds": summary, "models": final, "deployed": final[winner], "data": labelled}
 

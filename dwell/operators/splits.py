@@ -11,6 +11,7 @@ All three only add columns (narrow transformations): no shuffle, no join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -155,6 +156,26 @@ def fold_frames(df: DataFrame, date_column: str, windows: Sequence[tuple[str, st
             for name, train_end, validation_end in windows]
 
 
+@dataclass(frozen=True)
+class SlicedFolds:
+    """K03 as additive slices: rows with a ``slice`` number that grows with time; fold i trains on the
+    slices up to ends[i][0] and is validated on the later ones up to ends[i][1]."""
+    rows: DataFrame
+    names: tuple[str, ...]
+    ends: tuple[tuple[int, int], ...]
+
+
+def sliced_folds(df: DataFrame, date_column: str, windows: Sequence[tuple[str, str, str]]) -> SlicedFolds:
+    """K03 as ``SlicedFolds``: the slice is the number of cut-offs before the row; nothing is exploded."""
+    _check_column(df, date_column)
+    check_folds(df, date_column, windows)
+    ts = _timestamp(df, date_column)
+    cuts = sorted({end[:10] for _, *ends in windows for end in ends})
+    number = sum((F.when(ts > _day(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    ends = tuple((cuts.index(train_end[:10]), cuts.index(validation_end[:10])) for _, train_end, validation_end in windows)
+    return SlicedFolds(df.withColumn("slice", number), tuple(name for name, _, _ in windows), ends)
+
+
 def fold_summary(long_folds: DataFrame, windows: Sequence[tuple[str, str, str]],
                  fold: str = "fold", role: str = "role") -> DataFrame:
     """Name, cut-offs, train rows, validation rows (one aggregate; windows joined as literals)."""

@@ -50,22 +50,9 @@ def ttl_train(spark, sf):
                                                          binding.TTL_VALIDATION_END, binding.TTL_TEST_END))
 
 
-def price_folds(spark, sf):
-    """Fold frames as filters over the price train split, persisted once (lineage kept); the
-    caller unpersists ``folds[0][1]``'s source through ``release``."""
-    from pyspark import StorageLevel
-    train = price_part(spark, sf, "train").persist(StorageLevel.MEMORY_AND_DISK)
-    _persisted.append(train)
-    return splits.fold_frames(train, feat.PRICE_DATE, binding.PRICE_FOLDS)
-
-
-_persisted: list = []
-
-
-def release():
-    """Unpersist fold sources once a model query has produced its (materialised) result."""
-    while _persisted:
-        _persisted.pop().unpersist()
+def price_folds(spark, sf, n=len(binding.PRICE_FOLDS)):
+    """Folds of the price train split, as slices of one table."""
+    return splits.sliced_folds(price_part(spark, sf, "train"), feat.PRICE_DATE, binding.PRICE_FOLDS[:n])
 
 
 def _rows(spark, records, ddl):
@@ -185,8 +172,7 @@ def m08(spark, sf):
 
 @query("m09")
 def m09(spark, sf):
-    model = ML.fit_boosting(price_part(spark, sf, "train"), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                            order=["date_start", "rent"])
+    model = ML.fit_boosting(price_part(spark, sf, "train"), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent")
     long = runs.scored_long(model, price_part(spark, sf, "validation"), "boosting", "validation", "rent")
     return M.regression_metrics(long, ["model", "split"])
 
@@ -206,19 +192,13 @@ def _history_frame(spark, history, n_folds):
 @query("m10")
 def m10(spark, sf):
     folds = price_folds(spark, sf)
-    try:
-        _, history = forward.forward_select(folds, feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                                            candidates=feat.PRICE_FEATURES)
-    finally:
-        release()
-    return _history_frame(spark, history, len(folds))
+    _, history = forward.forward_select(folds, feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent", candidates=feat.PRICE_FEATURES)
+    return _history_frame(spark, history, len(folds.names))
 
 
 @query("m11")
 def m11(spark, sf):
-    train = price_part(spark, sf, "train")
-    fold = splits.fold_frames(train, feat.PRICE_DATE, binding.PRICE_FOLDS[:1])
-    _, history = forward.forward_select(fold, feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
+    _, history = forward.forward_select(price_folds(spark, sf, 1), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
                                         candidates=feat.PRICE_FEATURES)
     return _history_frame(spark, history, 1)
 
@@ -232,21 +212,13 @@ def _tuning_frame(spark, rows):
 
 @query("m12")
 def m12(spark, sf):
-    try:
-        row, = runs.tuning_table(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                                 grid=[ML.BOOSTING_DEFAULTS], order=["date_start", "rent"])
-    finally:
-        release()
+    row, = runs.tuning_table(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent", grid=[ML.BOOSTING_DEFAULTS])
     return _tuning_frame(spark, [row])
 
 
 @query("m13")
 def m13(spark, sf):
-    try:
-        best, rows = runs.tune_boosting(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                                        grid=runs.BOOSTING_GRID, order=["date_start", "rent"])
-    finally:
-        release()
+    best, rows = runs.tune_boosting(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent", grid=runs.BOOSTING_GRID)
     return _tuning_frame(spark, rows).withColumn("chosen", F.col("set_number") == float(best["set_number"]))
 
 
@@ -280,7 +252,7 @@ JOIN (SELECT room_type, avg(rent) AS m FROM price_train GROUP BY room_type) f ON
 WHERE v.split = 'validation' GROUP BY v.room_type"""))
 def m09_closed(spark, sf):
     """M09 with one tree at rate 1 on one categorical: group means."""
-    model = ML.fit_boosting(price_part(spark, sf, "train"), ["room_type"], [], "rent", ONE_TREE, order=["date_start", "rent"])
+    model = ML.fit_boosting(price_part(spark, sf, "train"), ["room_type"], [], "rent", ONE_TREE)
     scored = model.predict(price_part(spark, sf, "validation"), keep=["room_type"])
     return scored.groupBy("room_type").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("prediction"), 4).alias("prediction"))
 
@@ -296,16 +268,12 @@ def _selected(spark, history):
 @query("m10_closed", sql=_p(SELECTED_SQL, FOLD_MEANS_SQL))
 def m10_closed(spark, sf):
     """M10 with one categorical candidate: errors of the folds' group means."""
-    try:
-        return _selected(spark, forward.forward_select(price_folds(spark, sf), ["room_type"], [], "rent")[1])
-    finally:
-        release()
+    return _selected(spark, forward.forward_select(price_folds(spark, sf), ["room_type"], [], "rent")[1])
 
 
 @query("m11_closed", sql=_p(SELECTED_SQL + " WHERE i = 1", FOLD_MEANS_SQL))
 def m11_closed(spark, sf):
-    fold = splits.fold_frames(price_part(spark, sf, "train"), feat.PRICE_DATE, binding.PRICE_FOLDS[:1])
-    return _selected(spark, forward.forward_select(fold, ["room_type"], [], "rent")[1])
+    return _selected(spark, forward.forward_select(price_folds(spark, sf, 1), ["room_type"], [], "rent")[1])
 
 
 def _tuned_sql(sets):
@@ -314,10 +282,7 @@ def _tuned_sql(sets):
 
 
 def _tuned(spark, sf, grid):
-    try:
-        rows = runs.tuning_table(price_folds(spark, sf), ["room_type"], [], "rent", grid=grid, order=["date_start", "rent"])
-    finally:
-        release()
+    rows = runs.tuning_table(price_folds(spark, sf), ["room_type"], [], "rent", grid=grid)
     cols = ("mean_train_mae", "mean_validation_mae", "std_validation_mae")
     return _rows(spark, [(r["set_number"], *[round(r[c], 4) for c in cols]) for r in rows],
                  "set_number bigint, " + ", ".join(f"{c} double" for c in cols))
@@ -464,8 +429,7 @@ def m19(spark, sf):
 @query("m20", sql=_p("SELECT CAST((SELECT count(*) FROM cat_counts) + " + str(len(feat.PRICE_NUMERIC))
                      + " AS BIGINT) AS n_columns, CAST(1.0 AS DOUBLE) AS total", PRICE_CAT_COUNTS))
 def m20(spark, sf):
-    model = ML.fit_boosting(price_part(spark, sf, "train"), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
-                            order=["date_start", "rent"])
+    model = ML.fit_boosting(price_part(spark, sf, "train"), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent")
     imp = ML.encoded_importance(model)
     return _rows(spark, [(len(imp), round(sum(v for _, v in imp), 6))], "n_columns bigint, total double")
 
