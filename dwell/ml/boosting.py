@@ -226,8 +226,13 @@ def best_splits(layout: Layout, hist: np.ndarray, least: int) -> tuple[np.ndarra
     bin_ = np.where(gain > LEAST_GAIN * np.maximum(total ** 2 / np.maximum(n, 1), 1e-300), best, -1)
     threshold = np.full(len(total), 0.5)
     for k in np.flatnonzero((bin_ >= 0) & layout.numeric[best]):     # half-way to the next value that the node has
-        after = np.flatnonzero(counts[k, best[k] + 1:b[layout.column[best[k]]]])[0] + best[k] + 1
-        threshold[k] = (layout.high[best[k]] + layout.low[after]) / 2
+        at = best[k]
+        after = np.flatnonzero(counts[k, at + 1:b[layout.column[at]]])[0] + at + 1
+        threshold[k] = (layout.high[at] + layout.low[after]) / 2
+        # values that the node does not have stand on their side of the threshold
+        bin_[k] = at + np.searchsorted(layout.high[at:after], threshold[k], side="right") - 1
+        if layout.low[after] < layout.high[after]:
+            threshold[k] = layout.high[bin_[k]]
     return bin_, threshold, gain, total, n, left[0][slots, best], left_n[slots, best]
 
 

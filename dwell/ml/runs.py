@@ -18,7 +18,7 @@ from dwell.functions.scalars import clip_zero, round_half_even
 from dwell.ml import boosting
 from dwell.ml import metrics as M
 from dwell.ml.forward import forward_select
-from dwell.ml.models import BOOSTING_DEFAULTS, FittedModel, boosted_pipeline, fit_forest, fit_linear
+from dwell.ml.models import BOOSTING_DEFAULTS, FOREST_DEFAULTS, FittedModel, boosted_pipeline, fit_forest, fit_linear
 from dwell.operators.splits import SlicedFolds, fold_summary, rolling_folds, sliced_folds
 from dwell.plans import features as feat
 
@@ -61,12 +61,13 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M22 time-to-lease run
-def ttl_run(modeling: DataFrame, forest_params: Mapping | None = None, order: Sequence[str] = ("listing_id",)) -> dict:
+def ttl_run(modeling: DataFrame, forest_params: Mapping | None = None, order: Sequence[str] = ("listing_id",),
+            categorical: Sequence[str] = feat.TTL_CATEGORICAL, numeric: Sequence[str] = feat.TTL_NUMERIC) -> dict:
     """M22 over a K02-labelled F02 dataset. Returns metric rows (DataFrame), winner, models,
     prediction table, split rows and the excluded post_test count."""
     data = feat.ttl_features_and_target(modeling, keep=("listing_id", "unit_id", "project_id", "date_listed",
                                                         "data_split")).cache()
-    cats, nums, y = list(feat.TTL_CATEGORICAL), list(feat.TTL_NUMERIC), feat.TTL_TARGET
+    cats, nums, y = list(categorical), list(numeric), feat.TTL_TARGET
     part = {s: data.filter(F.col("data_split") == s) for s in ("train", "validation", "test")}
     counts = {r["data_split"]: r["count"] for r in data.groupBy("data_split").count().collect()}
     for s in ("train", "validation", "test"):
@@ -80,21 +81,23 @@ def ttl_run(modeling: DataFrame, forest_params: Mapping | None = None, order: Se
     winner = min(val_metrics, key=lambda r: (r["mae"], 0 if r["model"] == LINEAR else 1))["model"]
     train_val = data.filter(F.col("data_split").isin("train", "validation"))
     final = {n: f(train_val) for n, f in fitters.items()}
-    test_long = union_all([scored_long(m, part["test"], n, "test", y, keep=("listing_id", "unit_id", "project_id",
-                                                                              "date_listed"))
-                           for n, m in final.items()])
-    metrics = M.ttl_metrics(union_all([val_long, test_long.drop("listing_id", "unit_id", "project_id", "date_listed")]))
-    wide = (test_long.groupBy("listing_id", "unit_id", "project_id", "date_listed", "actual")
-            .pivot("model", [LINEAR, FOREST]).agg(F.first("prediction")))
-    wide = wide.withColumnRenamed(LINEAR, "linear").withColumnRenamed(FOREST, "forest")
-    table = M.prediction_table(wide, ["listing_id", "unit_id", "project_id", "date_listed"], "actual",
-                               ["linear", "forest"])
+    ids = ["listing_id", "unit_id", "project_id", "date_listed"]
+    wide = part["test"]
+    for n, name in ((LINEAR, "linear"), (FOREST, "forest")):       # one row stays one row: no join, no pivot
+        wide = final[n].transform(wide).select(*part["test"].columns, *[c for c in ("linear",) if c in wide.columns],
+                                               F.col("prediction").alias(name))
+    wide = wide.withColumn("actual", F.col(y).cast("double"))
+    test_long = wide.select("actual", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.lit("test").alias("split"), F.col(c).alias("prediction")) for n, c in ((LINEAR, "linear"), (FOREST, "forest"))])))
+    metrics = M.ttl_metrics(val_long.unionByName(test_long))
+    table = M.prediction_table(wide, ids, "actual", ["linear", "forest"])
     matured = data.filter(F.col("data_split").isin("train", "validation", "test"))
     deployment = fitters[winner](matured)
     return {"winner": winner, "metrics": metrics, "prediction_table": table, "deployment_model": deployment,
             "models": final, "split_rows": counts,
             "deployment_training_rows": counts["train"] + counts["validation"] + counts["test"],
-            "excluded_post_test_rows": counts.get("post_test", 0), "data": data}
+            "excluded_post_test_rows": counts.get("post_test", 0), "data": data, "features": [*cats, *nums],
+            "forest_params": {**FOREST_DEFAULTS, **(forest_params or {})}}
 
 
 # ---------------------------------------------------------------- M12 / M13 tuning
@@ -135,11 +138,13 @@ def tune_boosting(folds: SlicedFolds, categorical, numeric, target, grid: Sequen
 
 
 # ---------------------------------------------------------------- M23 rental price run
-def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_GRID, minimum_improvement: float = 1.0) -> dict:
+def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_GRID, minimum_improvement: float = 1.0,
+              categorical: Sequence[str] = feat.PRICE_CATEGORICAL, numeric: Sequence[str] = feat.PRICE_NUMERIC) -> dict:
     """M23 over the P04 rental input carrying a K01 ``split`` label: folds inside train (K03) ->
     forward selection (M10) and boosting tuning (M13) -> fit both on train, pick by validation
     MAE -> refit both on train+validation -> test once. The deployed winner is not refit on test."""
-    cats, nums, y = list(feat.PRICE_CATEGORICAL), list(feat.PRICE_NUMERIC), feat.PRICE_TARGET
+    cats, nums, y = list(categorical), list(numeric), feat.PRICE_TARGET
+    candidates = [c for c in feat.PRICE_FEATURES if c in (*cats, *nums)]
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)     # every fit below reads it
     train = labelled.filter(F.col("split") == "train")
     valid = labelled.filter(F.col("split") == "validation")
@@ -147,7 +152,7 @@ def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_G
     train_val = labelled.filter(F.col("split").isin("train", "validation"))
     folds = sliced_folds(train, feat.PRICE_DATE, windows)
     summary = sorted(fold_summary(rolling_folds(train, feat.PRICE_DATE, windows, validate=False), windows).collect(), key=lambda r: r["ordinal"])
-    selected, history = forward_select(folds, cats, nums, y, candidates=feat.PRICE_FEATURES, minimum_improvement=minimum_improvement)
+    selected, history = forward_select(folds, cats, nums, y, candidates=candidates, minimum_improvement=minimum_improvement)
     best, tuning = tune_boosting(folds, cats, nums, y, grid)
     params = dict(grid[int(best["set_number"]) - 1])
     sel_c = [c for c in selected if c in cats]
@@ -166,7 +171,8 @@ def price_run(labelled: DataFrame, windows, grid: Sequence[Mapping] = BOOSTING_G
     winner = min((STEPWISE, BOOSTING), key=lambda n: maes[n])      # ties: stepwise
     metrics = labelled.sparkSession.createDataFrame(rows, metrics.schema)
     return {"winner": winner, "metrics": metrics, "selected": selected, "history": history, "tuning": tuning,
-            "best_params": params, "folds": summary, "models": final, "deployed": final[winner], "data": labelled}
+            "best_params": params, "folds": summary, "models": final, "deployed": final[winner], "data": labelled,
+            "features": candidates}
 
 
 # ---------------------------------------------------------------- M25 / M26 batch scoring

@@ -147,15 +147,6 @@ def check_folds(df: DataFrame, date_column: str, windows: Sequence[tuple[str, st
         raise ValueError("empty folds: " + ", ".join(empty))
 
 
-def fold_frames(df: DataFrame, date_column: str, windows: Sequence[tuple[str, str, str]]) -> list[tuple[str, DataFrame, DataFrame]]:
-    """K03 as (fold, train, validation) frames: date ranges over ``df``, nothing is exploded."""
-    _check_column(df, date_column)
-    check_folds(df, date_column, windows)
-    ts = _timestamp(df, date_column)
-    return [(name, df.filter(ts <= _day(train_end)), df.filter((ts > _day(train_end)) & (ts <= _day(validation_end))))
-            for name, train_end, validation_end in windows]
-
-
 @dataclass(frozen=True)
 class SlicedFolds:
     """K03 as additive slices: rows with a ``slice`` number that grows with time; fold i trains on the

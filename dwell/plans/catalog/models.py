@@ -1,10 +1,12 @@
 """Model queries M01–M27, S07 and A18.
 
 Oracles use closed forms (SURVEY §7.3): OLS on one categorical predicts the group mean, OLS on one
-numeric is ``regr_slope`` / ``regr_intercept``, importances sum to 1, one-hot rows are indicator
-counts. Tree ensembles, selection and tuning have full sizes and rows-only checks; their ``_closed``
-twins run the same code where a closed form exists (one tree of depth 2 on one categorical predicts
-group means). Tuning queries run ``BOOSTING_GRID``, all twelve sets.
+numeric is ``regr_slope`` / ``regr_intercept``, one-hot rows are indicator counts. Tree ensembles,
+selection and tuning have full sizes and rows-only checks. Their twins run the same code where a closed
+form exists: trees that tell all groups of one categorical apart predict group means (``_closed``), n of
+them at a rate predict ``mean + (1 - (1 - rate)^n) * (group mean - mean)`` (``_rate``), the first round of
+selection is the best of one-feature fits (``_first``), a stump takes the largest drop of squared error
+(``_stump``). Tuning queries run ``BOOSTING_GRID``, all twelve sets.
 """
 
 from __future__ import annotations
@@ -299,6 +301,209 @@ def m13_closed(spark, sf):
     return _tuned(spark, sf, [ONE_TREE, {**ONE_TREE, "max_depth": 3}])
 
 
+# ------------------------------------------------------------------------------ M09, M12, M13 at their own rates
+#: depth 4 and one row a leaf tell all groups of one categorical apart; trees and rates are those of the models
+def _separating(params):
+    return {**params, "max_depth": 4, "min_samples_leaf": 1, "subsample": 1.0}
+
+
+def _shrunk(n, rate, group="g.m", mean="a.m"):
+    return f"({mean} + (1 - power(1 - {rate}, {n})) * ({group} - {mean}))"
+
+
+@query("m09_rate", sql=_p(f"""
+a AS (SELECT avg(rent) AS m FROM price_train), g AS (SELECT room_type, avg(rent) AS m FROM price_train GROUP BY room_type)
+SELECT v.room_type, CAST(count(*) AS BIGINT) AS rows,
+  round(avg({_shrunk(ML.BOOSTING_DEFAULTS["n_estimators"], ML.BOOSTING_DEFAULTS["learning_rate"])}), 4) AS prediction,
+  round(avg({_shrunk(3, 0.1)}), 4) AS after_3_trees
+FROM price v JOIN g ON g.room_type = v.room_type CROSS JOIN a WHERE v.split = 'validation' GROUP BY v.room_type"""))
+def m09_rate(spark, sf):
+    """M09 with its 250 trees at rate 0.05, and with 3 trees at 0.1."""
+    train, valid = price_part(spark, sf, "train"), price_part(spark, sf, "validation")
+    full, three = (ML.fit_boosting(train, ["room_type"], [], "rent", _separating(p)) for p in (
+        ML.BOOSTING_DEFAULTS, {**ML.BOOSTING_DEFAULTS, "n_estimators": 3, "learning_rate": 0.1}))
+    scored = three.predict(full.predict(valid, keep=["room_type"]).withColumnRenamed("prediction", "long"), keep=["room_type", "long"])
+    return scored.groupBy("room_type").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("long"), 4).alias("prediction"),
+                                           F.round(F.avg("prediction"), 4).alias("after_3_trees"))
+
+
+def _rate_sql(grid):
+    """Errors of shrunk group means of every set on every fold, then the table of sets."""
+    sets = ", ".join(f"({i}, {p['n_estimators']}, {p['learning_rate']})" for i, p in enumerate(grid, 1))
+    return f"""folds AS (SELECT * FROM (VALUES {", ".join(f"({i}, DATE '{tr}', DATE '{va}')" for i, (_, tr, va) in enumerate(binding.PRICE_FOLDS, 1))}) v(i, train_end, validation_end)),
+sets AS (SELECT * FROM (VALUES {sets}) v(set_number, n, rate)),
+a AS (SELECT i, avg(rent) AS m FROM price_train JOIN folds ON date_start <= train_end GROUP BY i),
+g AS (SELECT i, room_type, avg(rent) AS m FROM price_train JOIN folds ON date_start <= train_end GROUP BY i, room_type),
+errors AS (SELECT s.set_number, f.i, p.date_start <= f.train_end AS fitted, p.rent, p.rent - {_shrunk("s.n", "s.rate")} AS e
+           FROM price_train p JOIN folds f ON p.date_start <= f.validation_end JOIN a ON a.i = f.i
+           JOIN g ON g.i = f.i AND g.room_type = p.room_type CROSS JOIN sets s),
+each AS (SELECT set_number, i, avg(abs(e)) FILTER (fitted) AS train_mae, avg(abs(e)) FILTER (NOT fitted) AS mae,
+                sqrt(avg(e * e) FILTER (NOT fitted)) AS rmse,
+                1 - (sum(e * e) FILTER (NOT fitted)) / ((var_pop(rent) FILTER (NOT fitted)) * (count(*) FILTER (NOT fitted))) AS r2
+         FROM errors GROUP BY set_number, i),
+tuned AS (SELECT CAST(set_number AS BIGINT) AS set_number, avg(train_mae) AS train_mae, avg(mae) AS mae, stddev_pop(mae) AS std, avg(rmse) AS rmse, avg(r2) AS r2
+          FROM each GROUP BY set_number),
+best AS (SELECT set_number FROM tuned ORDER BY mae, std, set_number LIMIT 1)"""
+
+
+RATE_COLUMNS_SQL = """SELECT set_number, round(train_mae, 4) AS mean_train_mae, round(mae, 4) AS mean_validation_mae, round(std, 4) AS std_validation_mae,
+  round(rmse, 4) AS mean_validation_rmse, round(r2, 6) AS mean_validation_r2"""
+
+
+def _rate_rows(spark, rows, *more):
+    digits = {"mean_train_mae": 4, "mean_validation_mae": 4, "std_validation_mae": 4, "mean_validation_rmse": 4, "mean_validation_r2": 6}
+    ddl = "set_number bigint, " + ", ".join(f"{c} double" for c in digits) + "".join(f", {m}" for m in more)
+    return [(r["set_number"], *[round(r[c], d) for c, d in digits.items()]) for r in rows], ddl
+
+
+@query("m12_rate", sql=_p(RATE_COLUMNS_SQL + " FROM tuned", _rate_sql([ML.BOOSTING_DEFAULTS])))
+def m12_rate(spark, sf):
+    """M12 with 250 trees at rate 0.05 on one categorical."""
+    rows = runs.tuning_table(price_folds(spark, sf), ["room_type"], [], "rent", [_separating(ML.BOOSTING_DEFAULTS)])
+    return _rows(spark, *_rate_rows(spark, rows))
+
+
+@query("m13_rate", sql=_p(RATE_COLUMNS_SQL + ", set_number = (SELECT set_number FROM best) AS chosen FROM tuned", _rate_sql(runs.BOOSTING_GRID)))
+def m13_rate(spark, sf):
+    """M13 with the trees and rates of all twelve sets on one categorical, and the set that is chosen."""
+    best, rows = runs.tune_boosting(price_folds(spark, sf), ["room_type"], [], "rent", [_separating(p) for p in runs.BOOSTING_GRID])
+    records, ddl = _rate_rows(spark, rows, "chosen boolean")
+    return _rows(spark, [(*r, r[0] == best["set_number"]) for r in records], ddl)
+
+
+# ------------------------------------------------------------------------------ M10, M11: the first round
+def _first_sql(n_folds):
+    """The best one-feature fit: group means (an unseen category counts as the first one) or a line."""
+    folds = ", ".join(f"({i}, DATE '{tr}', DATE '{va}')" for i, (_, tr, va) in enumerate(binding.PRICE_FOLDS[:n_folds], 1))
+    fits = [f"""SELECT {feat.PRICE_FEATURES.index(c)} AS ord, '{c}' AS feature, f.i, avg(abs(p.rent - coalesce(g.m, first.m))) AS mae
+        FROM price_train p JOIN folds f ON p.date_start > f.train_end AND p.date_start <= f.validation_end
+        LEFT JOIN (SELECT i, {_rental_text(c)} AS v, avg(rent) AS m FROM price_train JOIN folds ON date_start <= train_end GROUP BY 1, 2) g
+          ON g.i = f.i AND g.v = {_rental_text(c).replace(c, "p." + c) if c not in ("furnished", "is_renewal") else _rental_text(c)}
+        JOIN (SELECT i, arg_min(m, v) AS m FROM (SELECT i, {_rental_text(c)} AS v, avg(rent) AS m FROM price_train JOIN folds ON date_start <= train_end
+              GROUP BY 1, 2) GROUP BY i) first ON first.i = f.i GROUP BY f.i""" for c in feat.PRICE_CATEGORICAL]
+    fits += [f"""SELECT {feat.PRICE_FEATURES.index(c)}, '{c}', f.i, avg(abs(p.rent - (l.b + l.s * p.{c})))
+        FROM price_train p JOIN folds f ON p.date_start > f.train_end AND p.date_start <= f.validation_end
+        JOIN (SELECT i, regr_slope(rent, {c}) AS s, regr_intercept(rent, {c}) AS b FROM price_train JOIN folds ON date_start <= train_end GROUP BY i) l
+          ON l.i = f.i GROUP BY f.i""" for c in feat.PRICE_NUMERIC]
+    return f"folds AS (SELECT * FROM (VALUES {folds}) v(i, train_end, validation_end)), fits AS ({' UNION ALL '.join(fits)})"
+
+
+FIRST_SQL = """SELECT CAST(1 AS BIGINT) AS step, feature AS added_feature, round(avg(mae), 4) AS mean_rolling_mae, round(stddev_pop(mae), 4) AS std_rolling_mae
+FROM fits GROUP BY ord, feature ORDER BY round(avg(mae), 6), ord LIMIT 1"""
+
+
+@query("m10_first", sql=_p(FIRST_SQL, _first_sql(len(binding.PRICE_FOLDS))))
+def m10_first(spark, sf):
+    """M10 over all 13 candidates, stopped after its first round by the improvement it asks for."""
+    return _selected(spark, forward.forward_select(price_folds(spark, sf), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
+                                                   candidates=feat.PRICE_FEATURES, minimum_improvement=float("inf"))[1])
+
+
+@query("m11_first", sql=_p(FIRST_SQL, _first_sql(1)))
+def m11_first(spark, sf):
+    return _selected(spark, forward.forward_select(price_folds(spark, sf, 1), feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent",
+                                                   candidates=feat.PRICE_FEATURES, minimum_improvement=float("inf"))[1])
+
+
+# ------------------------------------------------------------------------------ M19, M20: stumps
+def _stump_sql(source, target, texts):
+    """The category that one split takes: the largest drop of squared error of one against the rest."""
+    sides = " UNION ALL ".join(f"SELECT '{c}' AS feature, {text} AS v, count(*) AS n, avg({target}) AS m FROM {source} GROUP BY 2" for c, text in texts)
+    return f"""whole AS (SELECT count(*) AS n, avg({target}) AS m FROM {source}), sides AS ({sides}),
+drops AS (SELECT s.feature, s.v, s.n * (w.n - s.n) / w.n * power(s.m - (w.m * w.n - s.m * s.n) / (w.n - s.n), 2) AS gain
+          FROM sides s CROSS JOIN whole w WHERE s.n < w.n),
+best AS (SELECT * FROM drops ORDER BY gain DESC LIMIT 1)"""
+
+
+@query("m20_stump", sql=_p("SELECT 'category__' || feature || '_' || v AS name, 1.0 AS importance FROM best",
+                           _stump_sql("price_train", "rent", [(c, _rental_text(c)) for c in feat.PRICE_CATEGORICAL])))
+def m20_stump(spark, sf):
+    """M20 of one tree with one split: all importance lies on the encoded column with the largest drop."""
+    model = ML.fit_boosting(price_part(spark, sf, "train"), feat.PRICE_CATEGORICAL, [], "rent", {**ONE_TREE, "max_depth": 1})
+    return _rows(spark, [(n, v) for n, v in ML.encoded_importance(model) if v > 0], "name string, importance double")
+
+
+@query("m19_stump", sql=_w("SELECT feature, 1.0 AS importance FROM best", EDA,
+                           _stump_sql("eda", "weeks_on_market", [(c, _ttl_text(c)) for c in feat.TTL_CATEGORICAL])))
+def m19_stump(spark, sf):
+    """M19 of one unbootstrapped tree with one split: all importance lies on the split's feature."""
+    model = ML.fit_forest(ttl_train(spark, sf), feat.TTL_CATEGORICAL, [], feat.TTL_TARGET, {**ONE_FOREST_TREE, "max_depth": 1}, order=["listing_id"])
+    return _rows(spark, [(n, v) for n, v in ML.grouped_importance(model) if v > 0], "feature string, importance double")
+
+
+# ------------------------------------------------------------------------------ M22, M23 on one categorical
+CLOSED_GRID = tuple({"n_estimators": n, "learning_rate": rate, "max_depth": 4, "min_samples_leaf": 1, "subsample": 1.0, "random_state": 42}
+                    for n, rate in ((20, 0.1), (60, 0.05), (350, 0.02)))
+
+
+def closed_price_run(spark, sf):
+    """M23 on room_type alone: the stepwise model predicts group means, boosting shrunk ones."""
+    return runs.price_run(price_xy(spark, sf), binding.PRICE_FOLDS, grid=CLOSED_GRID, categorical=["room_type"], numeric=[])
+
+
+def _price_run_sql():
+    metric = """CAST(count(*) AS BIGINT) AS rows, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - sum(e * e) / (var_pop(rent) * count(*)) AS r2"""
+    return f"""{_rate_sql(CLOSED_GRID)},
+chosen AS (SELECT s.* FROM sets s JOIN best b ON b.set_number = s.set_number),
+fit_rows AS (SELECT 'validation' AS split, rent, room_type FROM price WHERE split = 'train'
+             UNION ALL SELECT 'test', rent, room_type FROM price WHERE split IN ('train', 'validation')),
+fit_all AS (SELECT split, avg(rent) AS m FROM fit_rows GROUP BY split),
+fit_group AS (SELECT split, room_type, avg(rent) AS m FROM fit_rows GROUP BY split, room_type),
+run_errors AS (SELECT p.split, p.rent, p.rent - g.m AS linear, p.rent - {_shrunk("s.n", "s.rate")} AS boosted
+               FROM price p JOIN fit_all a ON a.split = p.split JOIN fit_group g ON g.split = p.split AND g.room_type = p.room_type CROSS JOIN chosen s),
+run_metrics AS (SELECT '{runs.STEPWISE}' AS model, split, {metric} FROM (SELECT *, linear AS e FROM run_errors) GROUP BY split
+                UNION ALL SELECT '{runs.BOOSTING}', split, {metric} FROM (SELECT *, boosted AS e FROM run_errors) GROUP BY split),
+run_winner AS (SELECT model AS winner FROM run_metrics WHERE split = 'validation' ORDER BY mae, model = '{runs.BOOSTING}' LIMIT 1)"""
+
+
+PRICE_RUN_SQL = _price_run_sql()
+
+
+@query("m23_closed", sql=_p("SELECT model, split, rows, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 6) AS r2, winner FROM run_metrics "
+                            "CROSS JOIN run_winner", PRICE_RUN_SQL))
+def m23_closed(spark, sf):
+    out = closed_price_run(spark, sf)
+    out["data"].unpersist()
+    return out["metrics"].select("model", "split", "rows", *[F.round(c, d).alias(c) for c, d in (("mae", 4), ("rmse", 4), ("r2", 6))],
+                                 F.lit(out["winner"]).alias("winner"))
+
+
+LONE_LEAF = {"n_estimators": 1, "max_depth": 0, "min_samples_leaf": 1, "max_features": 1.0, "random_state": 42, "bootstrap": False}
+
+
+def closed_ttl_run(spark, sf):
+    """M22 on season_listed alone: the linear model predicts group means, a forest of one leaf the mean."""
+    return runs.ttl_run(ttl(spark, sf), LONE_LEAF, categorical=["season_listed"], numeric=[])
+
+
+def _ttl_run_sql():
+    metric = """CAST(count(*) AS BIGINT) AS rows, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2,
+  100 * avg(CASE WHEN abs(e) <= 1 THEN 1.0 ELSE 0.0 END) AS within_1_pct, 100 * avg(CASE WHEN abs(e) <= 2 THEN 1.0 ELSE 0.0 END) AS within_2_pct"""
+    return f"""fit_rows AS (SELECT 'validation' AS split, weeks_on_market AS y, season_listed FROM ttl WHERE data_split = 'train'
+             UNION ALL SELECT 'test', weeks_on_market, season_listed FROM ttl WHERE data_split IN ('train', 'validation')),
+fit_all AS (SELECT split, avg(y) AS m FROM fit_rows GROUP BY split),
+fit_group AS (SELECT split, season_listed, avg(y) AS m FROM fit_rows GROUP BY split, season_listed),
+run_errors AS (SELECT t.data_split AS split, t.weeks_on_market AS y, t.weeks_on_market - greatest(g.m, 0) AS linear, t.weeks_on_market - greatest(a.m, 0) AS mean
+               FROM ttl t JOIN fit_all a ON a.split = t.data_split JOIN fit_group g ON g.split = t.data_split AND g.season_listed = t.season_listed),
+run_metrics AS (SELECT '{runs.LINEAR}' AS model, split, {metric} FROM (SELECT *, linear AS e FROM run_errors) GROUP BY split
+                UNION ALL SELECT '{runs.FOREST}', split, {metric} FROM (SELECT *, mean AS e FROM run_errors) GROUP BY split),
+run_winner AS (SELECT model AS winner FROM run_metrics WHERE split = 'validation' ORDER BY mae, model = '{runs.FOREST}' LIMIT 1)"""
+
+
+TTL_RUN_SQL = _ttl_run_sql()
+
+
+@query("m22_closed", sql=_w("SELECT model, split, rows, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 6) AS r2, round(within_1_pct, 4) AS within_1_pct, "
+                            "round(within_2_pct, 4) AS within_2_pct, winner FROM run_metrics CROSS JOIN run_winner", TTL_RUN_SQL))
+def m22_closed(spark, sf):
+    out = closed_ttl_run(spark, sf)
+    rows = out["metrics"].select("model", "split", "rows", *[F.round(c, d).alias(c) for c, d in (
+        ("mae", 4), ("rmse", 4), ("r2", 6), ("within_1_pct", 4), ("within_2_pct", 4))], F.lit(out["winner"]).alias("winner"))
+    done = spark.createDataFrame(rows.collect(), rows.schema)      # models x splits
+    out["data"].unpersist()
+    return done
+
+
 # ------------------------------------------------------------------------------ M14–M17 metrics
 def _metric_sql(pred_col, model, source, split=None):
     return (f"SELECT '{model}' AS model, {'' if split is None else repr(split) + ' AS split, '}"

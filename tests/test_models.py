@@ -9,7 +9,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from dwell.ml import encode, forward, metrics as M, models as ML, runs
+from dwell.operators import splits
 from dwell.plans import features as feat
+from dwell.sources import io
 
 SMALL_FOREST = {"n_estimators": 10, "max_depth": 4, "min_samples_leaf": 5, "max_features": 0.8, "random_state": 42}
 
@@ -49,8 +51,10 @@ def test_ttl_run_shapes(spark):
     from dwell.ml.outputs import save_ttl_run
     paths = save_ttl_run(spark, out, tempfile.mkdtemp(prefix="dwell-ttl-"))
     assert spark.read.option("header", True).csv(paths["predictions"]).count() == 15
-    meta = spark.read.json(paths["metadata"]).first()
-    assert meta["winner"] == out["winner"]
+    meta = io.read_metadata(spark, paths["metadata"]).first()
+    assert meta["winner"] == out["winner"] and meta["params"]["max_depth"] == 4 and meta["excluded_post_test_rows"] == 0
+    assert meta["features"] == [*feat.TTL_CATEGORICAL, *feat.TTL_NUMERIC] and meta["minimum_follow_up_weeks"] == 52
+    assert {(m["model"], m["split"]) for m in meta["metrics"]} == {(r["model"], r["split"]) for r in metrics}
     importance = ML.grouped_importance(out["models"][runs.FOREST])
     assert sum(v for _, v in importance) == pytest.approx(1.0)
     assert {f for f, _ in importance} == set(feat.TTL_CATEGORICAL) | set(feat.TTL_NUMERIC)
@@ -79,10 +83,8 @@ def price_frame(spark):
 
 
 def test_forward_selection_finds_size(spark):
-    df = price_frame(spark).cache()
-    d = F.to_date("date_start")
-    folds = [("f1", df.filter(d <= "2025-01-30"), df.filter((d > "2025-01-30") & (d <= "2025-02-09"))),
-             ("f2", df.filter(d <= "2025-02-09"), df.filter((d > "2025-02-09") & (d <= "2025-02-19")))]
+    df = price_frame(spark)
+    folds = splits.sliced_folds(df, "date_start", [("f1", "2025-01-30", "2025-02-09"), ("f2", "2025-02-09", "2025-02-19")])
     selected, history = forward.forward_select(folds, feat.PRICE_CATEGORICAL, feat.PRICE_NUMERIC, "rent")
     assert "size_sqm" in selected
     assert history[0]["mae_improvement"] is None and set(history[0]) >= {"fold_1_mae", "fold_2_mae"}
@@ -118,7 +120,7 @@ def test_linear_collinear_and_persistence(spark):
 def test_boosting_and_scoring(spark):
     df = price_frame(spark)
     model = ML.fit_boosting(df, ["project_name"], ["size_sqm"], "rent",
-                            {"n_estimators": 5, "max_depth": 2, "min_samples_leaf": 2}, order=["date_start"])
+                            {"n_estimators": 5, "max_depth": 2, "min_samples_leaf": 2})
     assert sum(v for _, v in ML.encoded_importance(model)) == pytest.approx(1.0)
     rooms = df.drop("start_year", "start_month", "rent")
     linear = ML.fit_linear(df, [], ["size_sqm"], "rent")
@@ -147,15 +149,14 @@ def test_tuning_pick_and_price_run(spark):
     d = F.to_date("date_start")
     df = price_frame(spark).withColumn("split", F.when(d <= "2025-02-09", "train").when(d <= "2025-02-19", "validation")
                                        .otherwise("test"))
-    folds = [("f1", df.filter(d <= "2025-01-25"), df.filter((d > "2025-01-25") & (d <= "2025-02-04")))]
+    folds = splits.sliced_folds(df, "date_start", [("f1", "2025-01-25", "2025-02-04")])
     grid = ({"n_estimators": 3, "learning_rate": 0.1, "max_depth": 2, "min_samples_leaf": 2, "subsample": 1.0},
             {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 2, "min_samples_leaf": 2, "subsample": 1.0})
-    best, rows = runs.tune_boosting(folds, ["project_name"], ["size_sqm", "floor"], "rent", grid, threads=2,
-                                    order=["date_start"])
+    best, rows = runs.tune_boosting(folds, ["project_name"], ["size_sqm", "floor"], "rent", grid)
     assert [r["set_number"] for r in rows] == [1, 2]
     assert best["set_number"] == 1          # identical sets tie on MAE and std -> first set
     out = runs.price_run(feat.price_features_and_target(df, keep=("split", "date_start")),
-                         (("f1", "2025-01-25", "2025-02-04"),), grid=grid[:1], threads=1)
+                         (("f1", "2025-01-25", "2025-02-04"),), grid=grid[:1])
     metrics = {(r["model"], r["split"]) for r in out["metrics"].collect()}
     assert metrics == {(m, s) for m in (runs.STEPWISE, runs.BOOSTING) for s in ("validation", "test")}
     assert "size_sqm" in out["selected"]
@@ -185,24 +186,28 @@ def test_small_scale_feature_is_kept():
 
 
 def test_tuning_table_equals_single_fits(spark):
+    """Sets that share an ensemble are read off its stages: as if fitted alone."""
     d = F.to_date("date_start")
     df = price_frame(spark)
-    folds = [("f1", df.filter(d <= "2025-01-25"), df.filter((d > "2025-01-25") & (d <= "2025-02-04")))]
-    params = {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 2, "min_samples_leaf": 2, "subsample": 1.0}
-    row, = runs.tuning_table(folds, ["project_name"], ["size_sqm"], "rent", [params], order=["date_start"])
-    model = ML.fit_boosting(folds[0][1], ["project_name"], ["size_sqm"], "rent", params, order=["date_start"])
-    for part, name in ((folds[0][1], "mean_train_mae"), (folds[0][2], "fold_1_mae")):
-        want = model.predict(part, keep=["rent"]).select(F.avg(F.abs(F.col("rent") - F.col("prediction")))).first()[0]
-        assert row[name] == pytest.approx(want)
-    assert row["mae_gap"] == pytest.approx(row["mean_validation_mae"] - row["mean_train_mae"]) and row["n_estimators"] == 3
+    folds = splits.sliced_folds(df, "date_start", [("f1", "2025-01-25", "2025-02-04")])
+    params = {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 2, "min_samples_leaf": 2, "subsample": 0.8}
+    grid = [params, {**params, "n_estimators": 7}, {**params, "learning_rate": 0.2}]
+    sides = df.filter(d <= "2025-01-25"), df.filter((d > "2025-01-25") & (d <= "2025-02-04"))
+    for number, row in enumerate(runs.tuning_table(folds, ["project_name"], ["size_sqm"], "rent", grid)):
+        model = ML.fit_boosting(sides[0], ["project_name"], ["size_sqm"], "rent", grid[number])
+        for part, name in zip(sides, ("mean_train_mae", "fold_1_mae")):
+            want = model.predict(part, keep=["rent"]).select(F.avg(F.abs(F.col("rent") - F.col("prediction")))).first()[0]
+            assert row[name] == pytest.approx(want)
+        assert row["mae_gap"] == pytest.approx(row["mean_validation_mae"] - row["mean_train_mae"])
+        assert (row["set_number"], row["n_estimators"]) == (number + 1, grid[number]["n_estimators"])
 
 
 def test_registered_tuning_runs_the_whole_grid(spark, monkeypatch):
     from dwell.plans.catalog import models as catalog
     asked = []
 
-    def table(folds, categorical, numeric, target, grid=(), threads=8, order=()):
-        asked.append((len(folds), tuple(grid)))
+    def table(folds, categorical, numeric, target, grid=()):
+        asked.append((len(folds.names), tuple(grid)))
         return [{"set_number": i, "mean_validation_mae": float(abs(i - 11)), "std_validation_mae": 0.0, **p} for i, p in enumerate(grid, 1)]
 
     def run(labelled, windows, grid=(), **kw):

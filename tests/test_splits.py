@@ -63,7 +63,7 @@ def test_folds_reject_bad_dates_and_empty_sides(spark):
     for dates, what in ((["2025-01-01", "2025-02-01", "soon"], "unparseable"), (["2025-01-01", "2025-03-01"], "validation"),
                         (["2025-02-01"], "train")):
         df = spark.createDataFrame([(d,) for d in dates], "date_start string")
-        for make in (splits.rolling_folds, splits.fold_frames):
+        for make in (splits.rolling_folds, splits.sliced_folds):
             with pytest.raises(ValueError, match=what):
                 make(df, "date_start", window)
 
