@@ -41,10 +41,9 @@ PROJECT_COLUMNS = ("project_id", "project_name", "university", "distance_to_camp
 def leases_with_dimensions(leases: DataFrame, units: DataFrame, projects: DataFrame) -> DataFrame:
     """Every lease kept; unit attributes by unit_id, project attributes by project_id.
 
-    projects is bounded (one row per project) and broadcast; units grows with the data and is
-    joined by the planner (AQE picks broadcast when it is small)."""
+    The planner joins both by their size (AQE picks broadcast when one is small)."""
     return (leases.join(units.select(*UNIT_COLUMNS), "unit_id", "left")
-            .join(F.broadcast(projects.select(*PROJECT_COLUMNS)), "project_id", "left"))
+            .join(projects.select(*PROJECT_COLUMNS), "project_id", "left"))
 
 
 def previous_week_market(listings: DataFrame, market: DataFrame) -> DataFrame:

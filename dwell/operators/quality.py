@@ -22,11 +22,12 @@ class Rule:
     severity: str = "FAIL"      # status when failures > 0 (FAIL or WARN)
 
 
-def evaluate(df: DataFrame, rules: Sequence[Rule], first_ordinal: int = 0) -> DataFrame:
-    """One aggregate for all ``rules`` over ``df``; PASS when no row fails."""
+def evaluate(df: DataFrame, rules: Sequence[Rule], ordinals: Sequence[int] | None = None) -> DataFrame:
+    """One aggregate for all ``rules`` over ``df``; PASS when no row fails. ``ordinals``: 0, 1, 2, ... if not given."""
+    ordinals = range(len(rules)) if ordinals is None else ordinals
     aggs = [F.count_if(r.fails).cast("long").alias(f"r{i}") for i, r in enumerate(rules)]
     wide = df.agg(*aggs)
-    meta = F.array(*[F.struct(F.lit(first_ordinal + i).alias("ordinal"), F.lit(r.area).alias("area"),
+    meta = F.array(*[F.struct(F.lit(ordinals[i]).alias("ordinal"), F.lit(r.area).alias("area"),
                               F.lit(r.check).alias("check"), F.col(f"r{i}").alias("failures"),
                               F.lit(r.severity).alias("severity"), F.lit(r.note).alias("note"))
                      for i, r in enumerate(rules)])

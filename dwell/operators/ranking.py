@@ -92,6 +92,20 @@ def _positions(counts: DataFrame, g: list[str], value_col: str, partitions: int
         *g, value_col, "n", (F.col("__offset") + F.col("__before")).alias("__first"), "group_n")
 
 
+def running_ranks(counts: DataFrame, group_cols: Sequence[str], value_col: str, count_cols: Sequence[str]) -> DataFrame:
+    """Distinct-value counts -> the average rank of each value by each of ``count_cols``, in its place
+    (0 rows of the value: the rank that one would have). One range-partitioned table serves all counts."""
+    g, names = list(group_cols), list(count_cols)
+    ranged = materialize(counts.repartitionByRange(*g, value_col).withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy("__range", *g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumns({f"__before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in names})
+    pieces = ranged.groupBy("__range", *g).agg(*[F.sum(c).alias(c) for c in names])
+    across = Window.partitionBy(*g).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)      # a row for each piece
+    offsets = pieces.select(*g, "__range", *[F.coalesce(F.sum(c).over(across), F.lit(0)).alias(f"__offset_{c}") for c in names])
+    return join_keys(placed, offsets, [*g, "__range"]).select(
+        *g, value_col, *[(F.col(f"__offset_{c}") + F.col(f"__before_{c}") + (F.col(c) + 1) / 2.0).alias(c) for c in names])
+
+
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, probs: Sequence[float],
                     partitions: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default, DuckDB ``quantile_cont``)

@@ -1,7 +1,7 @@
 """Statistics (A01–A20): exact, distributed aggregates.
 
 Quantiles are exact with linear interpolation (pandas' default, DuckDB ``quantile_cont``) and
-computed by ``ranking.exact_quantiles``: distinct-value counts, quantile-bucketed positions and at
+computed by ``ranking.exact_quantiles``: distinct-value counts, range-partitioned positions and at
 most two rows per (group, p) at the end — a hot group is never gathered into one task (Spark's
 ``percentile`` would merge all distinct values of a group in one task). Approximate sketches are
 never the result (N7).
@@ -17,13 +17,19 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwell.operators.ranking import join_keys, quantile_columns
+from dwell.operators.ranking import join_keys, materialize, quantile_columns, running_ranks
 
 
 def _r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation over the rows where both are present; null where one of them is constant."""
+    x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)).cast("double") for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def with_quantiles(agg: DataFrame, df: DataFrame, group: Sequence[str], column: str, probs: Sequence[float],
                    names: Sequence[str]) -> DataFrame:
     """Attach exact quantiles of ``column`` per ``group`` to an aggregate keyed by ``group``
@@ -170,51 +176,54 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.join(F.broadcast(keys), "k").select("row", "col", _r6(F.col("corr")).alias("corr"))
 
 
-def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Spearman (average ranks, pairwise-complete nulls), long (row, col, corr).
+FEW_VALUES = 2_000        # distinct values of a column whose rank table is broadcast
+
 
-    Every pair (a, b) ranks a and b inside the rows where both are non-null. Pairs are grouped by
-    that subset: the subset is identified by the set of *nullable* columns of the pair, so all
-    pairs of complete columns share one ranking. Ranks come from ``average_ranks`` (distributed,
-    range-partitioned); rows are then re-assembled per key and every pair's correlation is one
-    aggregate."""
-    from dwell.operators.ranking import average_ranks
+def spearman_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Spearman correlation (average ranks, pairwise-complete nulls) of the given pairs: (row, col, corr).
 
+    A pair ranks its columns inside the rows where both are non-null, a set of null patterns. Values are
+    counted once by (column, value) for every such set of patterns; running sums of these counts are the
+    ranks in each set, so a row sends one entry a column however many sets there are. Rank tables of
+    columns with at most ``FEW_VALUES`` values, whose values are hot, are broadcast."""
     cols = list(columns)
     # pandas semantics: NaN is missing
-    df = df.select(key, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    nullable = {c for c in cols if nulls[c]}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    subsets: dict[tuple[str, ...], set[str]] = {}
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)]
+    pattern = sum((F.when(F.col(f"x{i}").isNotNull(), 1 << i).otherwise(0) for i in range(len(cols))), F.lit(0)).alias("pattern")
+    rows = materialize(df.select(*values).select("*", pattern, F.monotonically_increasing_id().alias("id")))
+    seen = [r["pattern"] for r in rows.select("pattern").distinct().collect()]          # at most 2^columns, in fact a few
+    index = {c: i for i, c in enumerate(cols)}
+    sets: dict[frozenset, int] = {}
+    places = []                                                    # (a, b, set of patterns) of each pair
     for a, b in pairs:
-        subsets.setdefault(tuple(sorted({a, b} & nullable)), set()).update((a, b))
-    subset_id = {s: i for i, s in enumerate(sorted(subsets))}
-    # long (key, subset, column, value) rows for the rows inside each subset
-    entries = []
-    for s, members in subsets.items():
-        keep = F.lit(True)
-        for c in s:
-            keep = keep & F.col(c).isNotNull()
-        for c in sorted(members):
-            entries.append(F.when(keep, F.struct(F.lit(subset_id[s]).alias("subset"), F.lit(c).alias("column"),
-                                                   F.col(c).cast("double").alias("value"))))
-    long = (df.select(key, F.explode(F.array(*entries)).alias("e")).filter(F.col("e").isNotNull())
-            .select(key, "e.subset", "e.column", "e.value"))
-    ranks = average_ranks(long, ["subset", "column"], "value")
-    ranked = long.join(ranks.select("subset", "column", "value", "avg_rank"), ["subset", "column", "value"])
-    wide = ranked.groupBy(key, "subset").pivot("column", cols).agg(F.first("avg_rank"))
-    aggs = []
-    for a, b in pairs:
-        sid = subset_id[tuple(sorted({a, b} & nullable))]
-        aggs.append(F.corr(F.when(F.col("subset") == sid, F.col(a)), F.when(F.col("subset") == sid, F.col(b)))
-                    .alias(f"{a}|{b}"))
-    corr = wide.agg(*aggs)
-    long_corr = corr.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
-    upper = long_corr.select(F.split("pair", r"\|")[0].alias("row"), F.split("pair", r"\|")[1].alias("col"), "corr")
-    lower = upper.select(F.col("col").alias("row"), F.col("row").alias("col"), "corr")
+        i, j = index[a], index[b]
+        both = frozenset(p for p in seen if p >> i & 1 and p >> j & 1)
+        places.append((i, j, sets.setdefault(both, len(sets))))
+    entry = F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"x{i}").alias("value")) for i in range(len(cols))]))
+    long = rows.select("id", "pattern", entry).filter(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(*[F.count_if(F.col("pattern").isin(list(s)) if s else F.lit(False)).alias(f"n{k}")
+                                                   for s, k in sets.items()])
+    ranks = materialize(running_ranks(counts, ["column"], "value", [f"n{k}" for k in sets.values()]))
+    few = [r["column"] for r in ranks.groupBy("column").count().filter(F.col("count") <= FEW_VALUES).collect()]
+    entries = long.select("id", F.col("column").alias("of"), F.col("value").alias("at"))
+    own = (F.col("of") == F.col("column")) & (F.col("at") == F.col("value"))
+    small = F.col("column").isin(few) if few else F.lit(False)
+    ranked = entries.filter(F.col("of").isin(few) if few else F.lit(False)).join(F.broadcast(ranks.filter(small)), own).unionByName(
+        entries.filter(~F.col("of").isin(few) if few else F.lit(True)).join(ranks.filter(~small), own))
+    needed = sorted({(i, k) for a, b, k in places for i in (a, b)})
+    wide = ranked.groupBy("id").agg(*[F.max(F.when(F.col("of") == i, F.col(f"n{k}"))).alias(f"r{i}_{k}") for i, k in needed])
+    found = wide.agg(*[correlation(f"r{i}_{k}", f"r{j}_{k}").alias(f"p{m}") for m, (i, j, k) in enumerate(places)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"p{m}").alias("corr"))
+                                           for m, (a, b) in enumerate(pairs)])))
+
+
+def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spearman matrix, long (row, col, corr)."""
+    cols = list(columns)
+    upper = spearman_pairs(df, cols, [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]])
+    both = F.inline(F.array(F.struct("row", "col", "corr"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"), "corr")))
     diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "row string, col string, corr double")
-    return upper.unionByName(lower).unionByName(diag).select("row", "col", _r6(F.col("corr")).alias("corr"))
+    return upper.select(both).unionByName(diag).select("row", "col", _r6(F.col("corr")).alias("corr"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

@@ -1,19 +1,25 @@
 """The data-quality audit of the five rental tables (Q01–Q24) as Spark plans.
 
-Each section returns (ordinal, area, check, failures, status, note) rows. Row rules of one table
-are evaluated in one aggregate (``operators.quality.evaluate``); key and reference checks use
-grouped counts and anti joins. The full report is the union of all sections in T03 order.
+Results are (ordinal, area, check, failures, status, note) rows. The rules are declared once, each with
+the table it reads and the master tables it looks up; ``checks`` compiles the wanted ones:
+
+* row rules are grouped by table, joined with the masters that one of them needs, and counted in one
+  aggregate a table, so a rule alone reads its own table alone;
+* key rules (primary keys, units per project) are read off one count of (domain, key) over the tables
+  that have the key, each read once;
+* a reference is a row rule: the looked-up master key is absent.
 """
 
 from __future__ import annotations
 
-from typing import Mapping
+from dataclasses import dataclass
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwell.functions.nulls import (any_of, differs, fails, fails_between, fails_isin, not_close)
-from dwell.functions.scalars import (base_id, is_alternative_id, is_iso_date_text, not_lowercase, parse_date,
+from dwell.functions.scalars import (is_alternative_id, is_iso_date_text, not_lowercase, parse_date,
                                      untrimmed, week_to_date)
 from dwell.operators import joins, windows
 from dwell.operators.ordering import status_rank
@@ -50,11 +56,6 @@ DATE_RULES = (("listings", "date_listed", "week_listed"), ("leases", "date_start
 TABLE_ORDER = ("projects", "units", "listings", "leases", "weekly_market")
 
 
-def n_viewings(listings: DataFrame):
-    """Viewings are not in the test binding; the binding's stand-in is week_listed % 7."""
-    return F.col("n_viewings") if "n_viewings" in listings.columns else (F.col("week_listed") % 7)
-
-
 # ------------------------------------------------------------------ Q03 / Q04 / Q05 profiles
 def inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Q03: rows, columns and whole-row duplicates per table (N5 counts)."""
@@ -69,138 +70,154 @@ def inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
-def dictionary(tables: Mapping[str, DataFrame], exact_distinct: bool = True) -> DataFrame:
-    """Q04: (table, column, type, non_null, nulls, distinct) — one aggregate per table. Distinct
-    counts are exact by default; ``exact_distinct=False`` switches to HyperLogLog++ sketches for
-    very wide tables at scale."""
+def dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Q04: (table, column, position, type, non_null, nulls, distinct), exact.
+
+    Each row sends its cells as (column, value) entries, which are counted by value before they are
+    shuffled; distinct values, nulls and rows are then sums over one count table."""
     parts = []
     for name in TABLE_ORDER:
         df = tables[name]
-        dist = F.count_distinct if exact_distinct else F.approx_count_distinct
-        aggs = []
-        for i, c in enumerate(df.columns):
-            aggs += [F.count(c).alias(f"nn{i}"), F.count_if(F.col(c).isNull()).alias(f"nu{i}"),
-                     dist(c).alias(f"d{i}")]
-        wide = df.agg(*aggs)
         types = dict(df.dtypes)
-        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(types[c]).alias("type"),
-                                  F.col(f"nn{i}").cast("long").alias("non_null"),
-                                  F.col(f"nu{i}").cast("long").alias("nulls"),
-                                  F.col(f"d{i}").cast("long").alias("distinct"))
-                         for i, c in enumerate(df.columns)])
-        parts.append(wide.select(F.lit(name).alias("table"), F.inline(rows)))
+        # 0.0 and -0.0 are the same value
+        cell = [F.col(c) + F.lit(0.0) if types[c] in ("double", "float") else F.col(c) for c in df.columns]
+        entries = F.inline(F.array(*[F.struct(F.lit(i).alias("position"), x.cast("string").alias("value")) for i, x in enumerate(cell)]))
+        counts = df.select(entries).groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+        sums = counts.groupBy(F.col("position").alias("of")).agg(
+            F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("non_null"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"),
+            F.count("value").alias("distinct"))
+        columns = df.sparkSession.createDataFrame([(name, c, i, types[c]) for i, c in enumerate(df.columns)],
+                                                  "table string, column string, position int, type string")
+        parts.append(columns.join(sums, F.col("position") == F.col("of"), "left").select(
+            "table", "column", "position", "type", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("non_null", "nulls", "distinct")]))
     return union_all(parts)
 
 
 def missing_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Q05: only columns with nulls: count and percent of rows."""
-    d = dictionary(tables)
-    return (d.filter(F.col("nulls") > 0)
-            .select("table", "column", F.col("nulls").alias("missing"),
-                    F.round(F.col("nulls") * 100.0 / (F.col("non_null") + F.col("nulls")), 6).alias("missing_pct")))
-
-
-# ------------------------------------------------------------------ rule sections
-def conditional_missing(t: Mapping[str, DataFrame], base: int = 100) -> DataFrame:
-    """Q06: leased ⇒ outcomes present; not leased ⇒ outcomes absent; median null ⇒ no open listings.
-    Outcome columns absent from the binding are skipped."""
-    lst, mkt = t["listings"], t["weekly_market"]
-    outcome = [c for c in OUTCOME_COLUMNS if c in lst.columns]
-    leased = F.col("leased")
-    r1 = evaluate(lst, [
-        Rule("Missing", "leased listings have all outcome columns",
-             fails(leased & any_of(F.col(c).isNull() for c in outcome))),
-        Rule("Missing", "unleased listings have no outcome column",
-             fails(~leased & any_of(F.col(c).isNotNull() for c in outcome))),
-    ], base)
-    r2 = evaluate(mkt, [Rule("Missing", "median_asking_rent is null only without open listings",
-                             fails(F.col("median_asking_rent").isNull() & (F.col("n_listings_open") > 0)))], base + 2)
-    return r1.unionByName(r2)
-
-
-def primary_keys(t: Mapping[str, DataFrame], base: int = 200) -> DataFrame:
-    """Q07: excess rows per primary key."""
+    """Q05: only columns with nulls: count and percent of rows; one aggregate a table."""
     parts = []
-    for i, (name, keys) in enumerate(PRIMARY_KEYS.items()):
-        v = windows.duplicate_count(t[name], keys)
-        parts.append(v.select(F.inline(F.array(counted(base + i, "Primary key", f"{name}: {', '.join(keys)} is unique",
-                                                        F.col("duplicates"))))))
+    for name in TABLE_ORDER:
+        df = tables[name]
+        wide = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("missing")) for i, c in enumerate(df.columns)])
+        parts.append(wide.select(F.lit(name).alias("table"), "rows", F.inline(rows)).filter(F.col("missing") > 0).select(
+            "table", "column", "missing", F.round(F.col("missing") * 100.0 / F.col("rows"), 6).alias("missing_pct")))
     return union_all(parts)
 
 
-def foreign_keys(t: Mapping[str, DataFrame], base: int = 300) -> DataFrame:
-    """Q08: child rows whose key is not in the parent key set (null key = failure), via anti join."""
-    parts = []
-    for i, (child, key, parent, pkey) in enumerate(FOREIGN_KEYS):
-        orphans = joins.orphans(t[child].select(key), t[parent], key, pkey)
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("n")).select(
-            F.inline(F.array(counted(base + i, "Foreign key", f"{child}.{key} -> {parent}", F.col("n"))))))
-    return union_all(parts)
+# ------------------------------------------------------------------ the rules
+@dataclass(frozen=True)
+class RowRule:
+    """A rule on the rows of ``table``, which may look at the masters in ``needs`` (columns ``u_...`` of the
+    row's unit, ``p_...`` of its project)."""
+    table: str
+    ordinal: int
+    rule: Rule
+    needs: tuple[str, ...] = ()
+
+
+def row_rules(week_zero: str) -> list[RowRule]:
+    """Q06, Q08, Q09, Q11-Q17 as row rules."""
+    leased = F.col("leased")
+    out = [
+        RowRule("listings", 100, Rule("Missing", "leased listings have all outcome columns",
+                                      fails(leased & any_of(F.col(c).isNull() for c in OUTCOME_COLUMNS)))),
+        RowRule("listings", 101, Rule("Missing", "unleased listings have no outcome column",
+                                      fails(~leased & any_of(F.col(c).isNotNull() for c in OUTCOME_COLUMNS)))),
+        RowRule("weekly_market", 102, Rule("Missing", "median_asking_rent is null only without open listings",
+                                           fails(F.col("median_asking_rent").isNull() & (F.col("n_listings_open") > 0)))),
+    ]
+    for i, (child, key, parent, _) in enumerate(FOREIGN_KEYS):
+        out.append(RowRule(child, 300 + i, Rule("Foreign key", f"{child}.{key} -> {parent}", F.col(f"{MASTERS[parent][1]}known").isNull()), (parent,)))
+    out.append(RowRule("listings", 400, Rule("Cross-table", "listings.project_id matches units.project_id", differs("project_id", "u_project_id")), ("units",)))
+    out += [RowRule("listings", 401 + i, Rule("Cross-table", f"listings.{c} matches projects.{c}", differs(c, f"p_{c}")), ("projects",))
+            for i, c in enumerate(PROJECT_ATTRIBUTES)]
+    out += [RowRule("listings", 405 + i, Rule("Cross-table", f"listings.{c} matches units.{c}", differs(c, f"u_{c}")), ("units",))
+            for i, c in enumerate(UNIT_ATTRIBUTES)]
+    out.append(RowRule("leases", 410, Rule("Cross-table", "leases.project_id matches units.project_id", differs("project_id", "u_project_id")), ("units",)))
+    domain = [
+        ("units", Rule("Domain", "units.floor within 1-8", fails_between("floor", *VALID_FLOOR_RANGE)), ()),
+        ("units", Rule("Domain", "units.size_sqm within 20-50", fails_between("size_sqm", *VALID_SIZE_RANGE_SQM)), ()),
+        ("units", Rule("Domain", "units.room_type in the allowed set", fails_isin("room_type", VALID_ROOM_TYPES)), ()),
+        ("units", Rule("Domain", "units.view in the allowed set", fails_isin("view", VALID_VIEWS)), ()),
+        ("listings", Rule("Domain", "listing rents are positive", any_of([fails(F.col("asking_rent") <= 0), fails(F.col("first_asking_rent") <= 0)])), ()),
+        ("listings", Rule("Domain", "weeks_on_market and n_viewings are not negative",
+                          any_of([fails(F.col("weeks_on_market") < 0), fails(F.col("n_viewings") < 0)])), ()),
+        ("listings", Rule("Domain", "season_listed in the allowed set", fails_isin("season_listed", VALID_SEASONS)), ()),
+        ("listings", Rule("Logic", "week_leased = week_listed + weeks_on_market when leased",
+                          fails(leased & differs("week_leased", F.col("week_listed") + F.col("weeks_on_market")))), ()),
+        ("leases", Rule("Logic", "lease length matches lease_months", differs(F.col("week_end") - F.col("week_start"), joins.lease_term_weeks("lease_months"))), ()),
+        ("leases", Rule("Logic", "is_renewal matches tenant_segment = renewal",
+                        differs("is_renewal", F.coalesce(F.col("tenant_segment") == "renewal", F.lit(False)))), ()),
+        ("leases", Rule("Domain", "leases.rent is positive", fails(F.col("rent") <= 0)), ()),
+        ("weekly_market", Rule("Domain", "occupancy within 0-1", fails_between("occupancy", 0, 1)), ()),
+        ("weekly_market", Rule("Domain", "weekly_market counts are not negative",
+                               any_of([fails(F.col(c) < 0) for c in ("n_searchers", "n_listings_open", "n_units_leased")])), ()),
+        ("weekly_market", Rule("Logic", "occupancy = n_units_leased / total_units", not_close("occupancy", F.col("n_units_leased") / F.col("p_total_units"))),
+         ("projects",)),
+    ]
+    out += [RowRule(table, 500 + i, rule, needs) for i, (table, rule, needs) in enumerate(domain)]
+    for i, (name, date_col, week_col) in enumerate(DATE_RULES):
+        parsed = parse_date(date_col)
+        out += [RowRule(name, 600 + 2 * i, Rule("Date", f"{name}.{date_col} parses as a date", parsed.isNull())),
+                RowRule(name, 601 + 2 * i, Rule("Date", f"{name}: date matches the week number",
+                                                parsed.isNotNull() & differs(parsed, week_to_date(week_col, week_zero))))]
+    return out
+
+
+#: master table -> its key, the prefix of its looked-up columns, and these columns
+MASTERS = {"units": ("unit_id", "u_", ("project_id", *UNIT_ATTRIBUTES)), "projects": ("project_id", "p_", ("total_units", *PROJECT_ATTRIBUTES))}
+
+
+def looked_up(df: DataFrame, master: DataFrame, name: str) -> DataFrame:
+    """``df`` with the attributes of its master row and ``..known`` (null: no such row); one row stays one
+    row even where the master repeats a key."""
+    key, prefix, attributes = MASTERS[name]
+    dim = master.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{prefix}key")).agg(
+        F.min(F.struct(*attributes)).alias(f"{prefix}row"))
+    joined = df.join(dim, F.col(key) == F.col(f"{prefix}key"), "left")
+    return joined.select(*df.columns, F.col(f"{prefix}key").alias(f"{prefix}known"), *[F.col(f"{prefix}row")[c].alias(f"{prefix}{c}") for c in attributes])
 
 
-def cross_table(t: Mapping[str, DataFrame], base: int = 400) -> DataFrame:
-    """Q09 + Q10: detail = master via keyed lookups (J08), and units per project = total_units.
-
-    Units grow with the data: the lookups are plain left joins the planner may broadcast; the
-    project table is bounded and broadcast."""
-    lst, lea, units, projects = t["listings"], t["leases"], t["units"], t["projects"]
-    unit_dim = units.select("unit_id", F.col("project_id").alias("u_project_id"),
-                            *[F.col(c).alias(f"u_{c}") for c in UNIT_ATTRIBUTES])
-    proj_dim = F.broadcast(projects.select(F.col("project_id").alias("p_project_id"),
-                                           *[F.col(c).alias(f"p_{c}") for c in PROJECT_ATTRIBUTES]))
-    lst_j = (lst.join(unit_dim, "unit_id", "left")
-             .join(proj_dim, F.col("project_id") == F.col("p_project_id"), "left"))
-    rules = [Rule("Cross-table", "listings.project_id matches units.project_id",
-                  differs("project_id", "u_project_id"))]
-    rules += [Rule("Cross-table", f"listings.{c} matches projects.{c}", differs(c, f"p_{c}")) for c in PROJECT_ATTRIBUTES]
-    rules += [Rule("Cross-table", f"listings.{c} matches units.{c}", differs(c, f"u_{c}")) for c in UNIT_ATTRIBUTES]
-    r_lst = evaluate(lst_j, rules, base)
-    lea_j = lea.select("unit_id", "project_id").join(unit_dim.select("unit_id", "u_project_id"), "unit_id", "left")
-    r_lea = evaluate(lea_j, [Rule("Cross-table", "leases.project_id matches units.project_id",
-                                  differs("project_id", "u_project_id"))], base + len(rules))
-    sizes = units.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
-    per_project = projects.select("project_id", "total_units").join(sizes, "project_id", "left") \
-        .select("total_units", F.coalesce("n", F.lit(0)).alias("n"))
-    r_cnt = evaluate(per_project, [Rule("Cross-table", "units per project equals projects.total_units",
-                                        differs("n", "total_units"))], base + len(rules) + 1)
-    return union_all([r_lst, r_lea, r_cnt])
-
-
-def domain_logic(t: Mapping[str, DataFrame], base: int = 500) -> DataFrame:
-    """Q11–Q16: domain ranges/sets and derived-value logic; one aggregate per table."""
-    units, lst, lea, mkt, projects = t["units"], t["listings"], t["leases"], t["weekly_market"], t["projects"]
-    r_units = evaluate(units, [
-        Rule("Domain", "units.floor within 1-8", fails_between("floor", *VALID_FLOOR_RANGE)),
-        Rule("Domain", "units.size_sqm within 20-50", fails_between("size_sqm", *VALID_SIZE_RANGE_SQM)),
-        Rule("Domain", "units.room_type in the allowed set", fails_isin("room_type", VALID_ROOM_TYPES)),
-        Rule("Domain", "units.view in the allowed set", fails_isin("view", VALID_VIEWS)),
-    ], base)
-    expected_leased_week = F.col("week_listed") + F.col("weeks_on_market")
-    r_lst = evaluate(lst, [
-        Rule("Domain", "listing rents are positive",
-             any_of([fails(F.col("asking_rent") <= 0), fails(F.col("first_asking_rent") <= 0)])),
-        Rule("Domain", "weeks_on_market and n_viewings are not negative",
-             any_of([fails(F.col("weeks_on_market") < 0), fails(n_viewings(lst) < 0)])),
-        Rule("Domain", "season_listed in the allowed set", fails_isin("season_listed", VALID_SEASONS)),
-        Rule("Logic", "week_leased = week_listed + weeks_on_market when leased",
-             fails(F.col("leased") & differs("week_leased", expected_leased_week))),
-    ], base + 4)
-    term = joins.lease_term_weeks("lease_months")
-    r_lea = evaluate(lea, [
-        Rule("Logic", "lease length matches lease_months", differs(F.col("week_end") - F.col("week_start"), term)),
-        Rule("Logic", "is_renewal matches tenant_segment = renewal",
-             differs("is_renewal", F.coalesce(F.col("tenant_segment") == "renewal", F.lit(False)))),
-        Rule("Domain", "leases.rent is positive", fails(F.col("rent") <= 0)),
-    ], base + 8)
-    mkt_j = mkt.join(F.broadcast(projects.select("project_id", "total_units")), "project_id", "left")
-    expected_occ = F.col("n_units_leased") / F.col("total_units")
-    r_mkt = evaluate(mkt_j, [
-        Rule("Domain", "occupancy within 0-1", fails_between("occupancy", 0, 1)),
-        Rule("Domain", "weekly_market counts are not negative",
-             any_of([fails(F.col(c) < 0) for c in ("n_searchers", "n_listings_open", "n_units_leased")])),
-        Rule("Logic", "occupancy = n_units_leased / total_units", not_close("occupancy", expected_occ)),
-    ], base + 11)
-    return union_all([r_units, r_lst, r_lea, r_mkt])
+def evaluated(t: Mapping[str, DataFrame], chosen: Sequence[RowRule]) -> list[DataFrame]:
+    """One aggregate for each table that one of the rules reads. An absent column is an error."""
+    parts = []
+    for table in TABLE_ORDER:
+        own = [r for r in chosen if r.table == table]
+        if own:
+            frame = t[table]
+            for master in ("units", "projects"):
+                if any(master in r.needs for r in own):
+                    frame = looked_up(frame, t[master], master)
+            parts.append(evaluate(frame, [r.rule for r in own], [r.ordinal for r in own]))
+    return parts
+
+
+def key_rules(t: Mapping[str, DataFrame], wanted: Callable[[str], bool]) -> list[DataFrame]:
+    """Q07 and Q10 from one count of the rows that hold a key, over the tables that have it."""
+    unique = {name: f"{name}: {', '.join(keys)} is unique" for name, keys in PRIMARY_KEYS.items()}
+    per_project = "units per project equals projects.total_units"
+    entries = []
+    for name, keys in PRIMARY_KEYS.items():
+        each = []
+        if wanted(unique[name]) or (name == "projects" and wanted(per_project)):
+            total = F.col("total_units") if name == "projects" else F.lit(None)
+            each.append(F.struct(F.lit(name).alias("domain"), F.to_json(F.struct(*keys)).alias("key"), F.lit(1).alias("own"), F.lit(0).alias("units"),
+                                 total.cast("long").alias("total"), F.lit(name == "projects").alias("has_total")))
+        if name == "units" and wanted(per_project):
+            each.append(F.struct(F.lit("projects").alias("domain"), F.to_json(F.struct("project_id")).alias("key"), F.lit(0).alias("own"),
+                                 F.lit(1).alias("units"), F.lit(None).cast("long").alias("total"), F.lit(False).alias("has_total")))
+        if each:
+            entries.append(t[name].select(F.inline(F.array(*each))))
+    if not entries:
+        return []
+    counts = union_all(entries).groupBy("domain", "key").agg(F.sum("own").alias("own"), F.sum("units").alias("units"), F.min("total").alias("total"))
+    found = counts.agg(*[F.sum(F.when((F.col("domain") == name) & (F.col("own") > 0), F.col("own") - 1)).alias(f"k_{name}") for name in unique],
+                       F.count_if((F.col("domain") == "projects") & (F.col("own") > 0) & differs("units", "total")).alias("sizes"))
+    rows = [counted(200 + i, "Primary key", check, F.coalesce(F.col(f"k_{name}"), F.lit(0))) for i, (name, check) in enumerate(unique.items()) if wanted(check)]
+    if wanted(per_project):
+        rows.append(counted(411, "Cross-table", per_project, F.col("sizes")))
+    return [found.select(F.inline(F.array(*rows)))]
 
 
 def alternative_audit(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -219,50 +236,58 @@ def alternative_rule(t: Mapping[str, DataFrame], base: int = 520) -> DataFrame:
                            "changed_agent_id")
     return a.select(F.inline(F.array(F.struct(
         F.lit(base).alias("ordinal"), F.lit("Logic").alias("area"),
-        F.lit("-B listings pair with their base listing and share the event").alias("check"),
+        F.lit(ALTERNATIVE_CHECK).alias("check"),
         F.col("invalid_pairs").alias("failures"),
         F.when(F.col("invalid_pairs") == 0, "PASS").otherwise("FAIL").alias("status"), note.alias("note")))))
 
 
-def date_checks(t: Mapping[str, DataFrame], week_zero: str, base: int = 600) -> tuple[DataFrame, DataFrame]:
-    """Q17 rules and the Q18 per-table summary (one aggregate per table serves both)."""
-    rules, summaries = [], []
-    for i, (name, date_col, week_col) in enumerate(DATE_RULES):
-        df = t[name]
+def date_summary(t: Mapping[str, DataFrame], week_zero: str) -> DataFrame:
+    """Q18: invalid dates, mismatches with the week number and the range of dates, one aggregate a table."""
+    parts = []
+    for name, date_col, week_col in DATE_RULES:
         parsed = parse_date(date_col)
-        expected = week_to_date(week_col, week_zero)
-        invalid = parsed.isNull()
-        mismatch = parsed.isNotNull() & differs(parsed, expected)
-        agg = df.agg(F.count_if(invalid).cast("long").alias("invalid_dates"),
-                     F.count_if(mismatch).cast("long").alias("week_date_mismatches"),
-                     F.min(parsed).alias("min_date"), F.max(parsed).alias("max_date"))
-        summaries.append(agg.select(F.lit(name).alias("table"), "*"))
-        rules.append(agg.select(F.inline(F.array(
-            counted(base + 2 * i, "Date", f"{name}.{date_col} parses as a date", F.col("invalid_dates")),
-            counted(base + 2 * i + 1, "Date", f"{name}: date matches the week number", F.col("week_date_mismatches"))))))
-    return union_all(rules), union_all(summaries)
-
-
-def raw_vs_processed(raw: Mapping[str, DataFrame], processed: Mapping[str, DataFrame],
-                     base: int = 700) -> tuple[DataFrame, DataFrame]:
-    """Q19: per table raw/processed rows, preserved flag, total missing cells; plus the rules."""
-    rows, rules = [], []
-    for i, name in enumerate(TABLE_ORDER):
+        mismatch = parsed.isNotNull() & differs(parsed, week_to_date(week_col, week_zero))
+        parts.append(t[name].agg(F.count_if(parsed.isNull()).cast("long").alias("invalid_dates"), F.count_if(mismatch).cast("long").alias("week_date_mismatches"),
+                                 F.min(parsed).alias("min_date"), F.max(parsed).alias("max_date")).select(F.lit(name).alias("table"), "*"))
+    return union_all(parts)
+
+
+def raw_vs_processed(raw: Mapping[str, DataFrame], processed: Mapping[str, DataFrame]) -> DataFrame:
+    """Q19: per table raw/processed rows, preserved flag, total missing cells. A table that is its own raw
+    version is read once."""
+    parts = []
+    for name in TABLE_ORDER:
         def summary(df, tag):
             return df.agg(F.count(F.lit(1)).cast("long").alias(f"{tag}_rows"),
                           sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0)).cast("long")
                           .alias(f"{tag}_missing_cells"))
-        r, p = summary(raw[name], "raw"), summary(processed[name], "processed")
-        both = r.select("*", p.select("processed_rows").scalar().alias("processed_rows"),
-                        p.select("processed_missing_cells").scalar().alias("processed_missing_cells"))
-        both = both.select(F.lit(name).alias("table"), "raw_rows", "processed_rows",
-                           (F.col("raw_rows") == F.col("processed_rows")).alias("row_count_preserved"),
-                           "raw_missing_cells", "processed_missing_cells")
-        rows.append(both)
-        rules.append(both.select(F.inline(F.array(counted(
-            base + i, "Raw->processed", f"{name}: row count unchanged",
-            F.when(F.col("row_count_preserved"), 0).otherwise(1))))))
-    return union_all(rows), union_all(rules)
+        r = summary(raw[name], "raw")
+        if raw[name] is processed[name]:
+            both = r.select("*", F.col("raw_rows").alias("processed_rows"), F.col("raw_missing_cells").alias("processed_missing_cells"))
+        else:
+            p = summary(processed[name], "processed")
+            both = r.select("*", p.select("processed_rows").scalar().alias("processed_rows"),
+                            p.select("processed_missing_cells").scalar().alias("processed_missing_cells"))
+        parts.append(both.select(F.lit(name).alias("table"), "raw_rows", "processed_rows",
+                                 (F.col("raw_rows") == F.col("processed_rows")).alias("row_count_preserved"),
+                                 "raw_missing_cells", "processed_missing_cells"))
+    return union_all(parts)
+
+
+def raw_rules(raw: Mapping[str, DataFrame], processed: Mapping[str, DataFrame], wanted: Callable[[str], bool], base: int = 700) -> list[DataFrame]:
+    """Row counts raw against processed; a table that is its own raw version passes unread."""
+    parts = []
+    for i, name in enumerate(TABLE_ORDER):
+        check = f"{name}: row count unchanged"
+        if not wanted(check):
+            continue
+        if raw[name] is processed[name]:
+            parts.append(processed[name].sparkSession.range(1).select(F.inline(F.array(counted(base + i, "Raw->processed", check, F.lit(0))))))
+        else:
+            sides = raw[name].select(F.lit(1).alias("d")).unionByName(processed[name].select(F.lit(-1).alias("d")))
+            parts.append(sides.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d")).select(
+                F.inline(F.array(counted(base + i, "Raw->processed", check, F.when(F.col("d") == 0, 0).otherwise(1))))))
+    return parts
 
 
 def cleanup_effect(raw_listings: DataFrame, listings: DataFrame, rent_range=RENT_REVIEW_RANGE) -> DataFrame:
@@ -289,36 +314,19 @@ def cleanup_effect(raw_listings: DataFrame, listings: DataFrame, rent_range=RENT
                                                       (F.col("raw") - F.col("processed")).alias("fixed"))
 
 
-# ------------------------------------------------------------------ raw twin (test binding)
-def dirty_listings(listings: DataFrame) -> DataFrame:
-    """The deterministic raw twin of listings used by Q19/Q20 (fixed values of the test binding)."""
-    wl = F.col("week_listed")
-    return listings.select(*[
-        (F.when(wl % 50 == 0, F.col("size_sqm") * 10).otherwise(F.col("size_sqm")).alias(c) if c == "size_sqm" else
-         F.when(F.col("floor") == 3, F.concat(F.lit(" "), F.col("room_type"))).otherwise(F.col("room_type")).alias(c)
-         if c == "room_type" else
-         F.when(F.col("floor") == 5, F.upper("view")).otherwise(F.col("view")).alias(c) if c == "view" else
-         F.when(wl % 6 == 0, F.lit(None).cast("boolean")).otherwise(F.col("furnished")).alias(c) if c == "furnished" else
-         F.when(F.col("floor") == 7, F.date_format("date_listed", "dd/MM/yyyy"))
-         .otherwise(F.col("date_listed").cast("string")).alias(c) if c == "date_listed" else
-         F.when(wl % 40 == 0, F.col("asking_rent") * 100).otherwise(F.col("asking_rent")).alias(c)
-         if c == "asking_rent" else F.col(c))
-        for c in listings.columns])
-
-
-def raw_tables(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    out = dict(t)
-    out["listings"] = dirty_listings(t["listings"])
-    return out
+# ------------------------------------------------------------------ report
+ALTERNATIVE_CHECK = "-B listings pair with their base listing and share the event"
 
 
-# ------------------------------------------------------------------ report
-def all_checks(t: Mapping[str, DataFrame], week_zero: str) -> DataFrame:
-    """Every rule result (Q06–Q19 rules) as one DataFrame."""
-    date_rules, _ = date_checks(t, week_zero)
-    _, raw_rules = raw_vs_processed(raw_tables(t), t)
-    return union_all([conditional_missing(t), primary_keys(t), foreign_keys(t), cross_table(t),
-                      domain_logic(t), alternative_rule(t), date_rules, raw_rules])
+def checks(t: Mapping[str, DataFrame], week_zero: str, raw: Mapping[str, DataFrame] | None = None,
+           wanted: Callable[[str, str], bool] = lambda area, check: True) -> DataFrame:
+    """The results of the wanted rules (of Q06-Q19); only what they need is read."""
+    raw = t if raw is None else raw
+    parts = evaluated(t, [r for r in row_rules(week_zero) if wanted(r.rule.area, r.rule.check)])
+    parts += key_rules(t, lambda check: wanted("Cross-table" if check.startswith("units per") else "Primary key", check))
+    if wanted("Logic", ALTERNATIVE_CHECK):
+        parts.append(alternative_rule(t))
+    return union_all(parts + raw_rules(raw, t, lambda check: wanted("Raw->processed", check)))
 
 
 def ordered_report(checks: DataFrame) -> DataFrame:
@@ -360,6 +368,3 @@ def base_listing_summary(listings: DataFrame) -> DataFrame:
         F.count_if(~alt & ~F.col("leased")).cast("long").alias("leased_false"),
     ).select("*", repeats.alias("same_unit_date_repeats"))
 
-
-def base_id_column():
-    return base_id("listing_id")

@@ -127,7 +127,7 @@ def _spearman_sql(cols) -> str:
 
 
 query("a14", sql=_w(_spearman_sql(SPEARMAN_COLUMNS), EDA))(
-    lambda spark, sf: stats.spearman_matrix(eda(spark, sf), "listing_id", SPEARMAN_COLUMNS))
+    lambda spark, sf: stats.spearman_matrix(eda(spark, sf), SPEARMAN_COLUMNS))
 
 
 # A15 / A16 -----------------------------------------------------------------------------------

@@ -714,8 +714,7 @@ def recommendations(spark, sf):
     model = ML.fit_linear(price_part(spark, sf, "train"), ["view"], [], "rent")
     room_rows = (t["leases"].filter(F.col("date_start") > F.lit(binding.PRICE_VALIDATION_END).cast("date"))
                  .join(t["units"].select("unit_id", "floor", "size_sqm", "room_type", "view", "furnished"), "unit_id")
-                 .join(F.broadcast(t["projects"].select("project_id", "project_name", "university", "distance_to_campus_m",
-                                                        "facility_count")), "project_id", "left")
+                 .join(t["projects"].select("project_id", "project_name", "university", "distance_to_campus_m", "facility_count"), "project_id", "left")
                  .withColumn("date_start", F.col("date_start").cast("string"))
                  .withColumnRenamed("rent", "actual"))
     out = runs.recommend_price(model, room_rows, keep=("lease_id", "actual"))

@@ -31,8 +31,8 @@ SELECT col, corr FROM (""" + _spearman_sql(SPEARMAN_COLUMNS) + """) s
 WHERE row = 'weeks_on_market' AND col <> 'weeks_on_market' AND corr IS NOT NULL
 ORDER BY abs(corr) DESC, col LIMIT 5""", EDA))
 def t04(spark, sf):
-    m = stats.spearman_matrix(eda(spark, sf), "listing_id", SPEARMAN_COLUMNS)
-    rel = m.filter((F.col("row") == "weeks_on_market") & (F.col("col") != "weeks_on_market")).select("col", "corr")
+    pairs = [("weeks_on_market", c) for c in SPEARMAN_COLUMNS if c != "weeks_on_market"]
+    rel = stats.spearman_pairs(eda(spark, sf), SPEARMAN_COLUMNS, pairs).select("col", r6("corr").alias("corr"))
     return ordering.top_abs(rel, "corr", 5, ["col"])
 
 

@@ -27,6 +27,19 @@ def p01(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query("p01_missing", sql="""
+SELECT 'listings' AS "table", CAST(count(*) AS BIGINT) AS rows, 'unit_id, first_asking_rent' AS missing FROM listings UNION ALL
+SELECT 'weekly_market', CAST(count(*) AS BIGINT), 'week, occupancy' FROM weekly_market""")
+def p01_missing(spark, sf):
+    """P01 on tables that lack columns: the missing ones in the required order, not in that of dropping."""
+    t = tables(spark, sf)
+    broken = {"listings": (feat.TTL_LISTING_COLUMNS, t["listings"].drop("first_asking_rent", "unit_id")),
+              "weekly_market": (feat.TTL_MARKET_COLUMNS, t["weekly_market"].drop("occupancy", "week"))}
+    parts = [df.agg(F.count(F.lit(1)).cast("long").alias("rows")).select(
+        F.lit(name).alias("table"), "rows", F.lit(", ".join(missing_columns(df, cols))).alias("missing")) for name, (cols, df) in broken.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("p02", sql="""
 SELECT listing_id, CAST(weeks_on_market AS DOUBLE) AS weeks_on_market FROM listings
 WHERE NOT coalesce(ends_with(listing_id, '-B'), false) AND coalesce(leased, false)""")

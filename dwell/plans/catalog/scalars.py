@@ -157,7 +157,7 @@ FROM weekly_market m LEFT JOIN projects p ON p.project_id = m.project_id""")
 def x14(spark, sf):
     t = tables(spark, sf)
     from dwell.functions.nulls import not_close
-    m = t["weekly_market"].join(F.broadcast(t["projects"].select("project_id", "total_units")), "project_id", "left")
+    m = t["weekly_market"].join(t["projects"].select("project_id", "total_units"), "project_id", "left")
     return m.select("project_id", "week", (~not_close("occupancy", F.col("n_units_leased") / F.col("total_units"))).alias("close"))
 
 

@@ -35,7 +35,10 @@ base_listings AS (
     CASE WHEN month(o_orderdate) IN (5,6,7) THEN 'peak' WHEN month(o_orderdate) IN (10,11) THEN 'shoulder'
          WHEN month(o_orderdate) IN (2,3,4) THEN 'off' ELSE 'normal' END AS season_listed,
     o_totalprice AS first_asking_rent, o_totalprice*(1-CAST(o_orderkey%4 AS DOUBLE)/100) AS asking_rent,
-    s.lease_dt IS NOT NULL AS leased, CAST(floor({_days('s.lease_dt')}/7) AS INT) AS week_leased
+    s.lease_dt IS NOT NULL AS leased, CAST(floor({_days('s.lease_dt')}/7) AS INT) AS week_leased,
+    CAST(floor({_days('o_orderdate')}/7) AS INT) % 7 AS n_viewings,
+    CASE WHEN s.lease_dt IS NOT NULL THEN CASE o_orderkey%3 WHEN 0 THEN 'renewal' WHEN 1 THEN 'year1' ELSE 'firstjob' END END AS tenant_segment,
+    CASE WHEN s.lease_dt IS NOT NULL THEN CASE WHEN o_orderkey%2=0 THEN 12 ELSE 6 END END AS lease_months
   FROM orders o JOIN units u ON u.unit_id=o_custkey JOIN projects p ON p.project_id=u.project_id
   LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS lease_dt FROM lineitem JOIN orders ON o_orderkey=l_orderkey
              WHERE l_shipdate>=o_orderdate GROUP BY l_orderkey) s ON s.l_orderkey=o.o_orderkey),
@@ -45,7 +48,7 @@ listings AS (
   SELECT concat(listing_id,'-B') AS listing_id, unit_id, project_id, project_name, university,
     distance_to_campus_m, facility_count, concat(agent_id,'x') AS agent_id, floor, size_sqm, room_type, view,
     furnished, week_listed, date_listed, season_listed, first_asking_rent, asking_rent*1.01 AS asking_rent,
-    leased, week_leased, coalesce(week_leased,347)-week_listed AS weeks_on_market
+    leased, week_leased, n_viewings, tenant_segment, lease_months, coalesce(week_leased,347)-week_listed AS weeks_on_market
   FROM base_listings WHERE unit_id%20=0),
 leases AS (
   SELECT concat('C',CAST(l_orderkey AS VARCHAR),'-',CAST(l_linenumber AS VARCHAR),'-',CAST(l_partkey AS VARCHAR),'-',

@@ -38,7 +38,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; only when it is unset (tests, local bench) create one."""
+    """Use the session's checkpoint folder; only a local session (tests, bench) without one gets its own.
+    On a cluster an unset folder is an error: a machine-local one would not be seen by the executors."""
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active
@@ -46,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return spark.sparkContext.getCheckpointDir() or configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="dwell-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     try:

@@ -8,31 +8,26 @@ test binding (see FIXTURES.md §4) and must stay identical to the DuckDB text in
 
 Scale notes
 -----------
-* ``projects`` is one row per nation (25 rows, bounded by the domain), so it is broadcast.
-* ``units`` is one row per customer and grows with the data: joins against it are left to
-  AQE, which only turns them into broadcast joins when the runtime size is under
-  ``spark.sql.autoBroadcastJoinThreshold``.
+* No join is hinted: the planner and AQE broadcast a side only when its size is under
+  ``spark.sql.autoBroadcastJoinThreshold`` (``projects`` has one row per nation, ``units`` grows).
 * The lease date of an order is ``min(l_shipdate)`` over its lines shipped on/after the order
   date: a partial (map-side) aggregate on ``l_orderkey`` after a shuffle join with orders.
 * ``weekly_market`` is a group-by over (week, project); the exact median comes from the
   distributed quantile operator, so a hot (week, project) is never gathered into one task.
-* ``views()`` memoises per session and input folder; with a checkpoint folder available the
-  five tables are written there once as parquet (a written table cuts lineage and survives
-  executor loss), otherwise they are persisted with lineage retained.
+* ``views()`` writes the five tables once for each version of the input files, as parquet in the
+  checkpoint folder (a written table cuts lineage and survives executor loss).
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.operators.ranking import quantile_columns
-from dwell.session import checkpoint_dir
+from dwell.operators.ranking import join_keys, quantile_columns
+from dwell.session import ensure_checkpoint_dir
 
 TABLES = ("projects", "units", "listings", "leases", "weekly_market")
 BASE_TABLES = ("region", "nation", "customer", "orders", "lineitem")
@@ -59,11 +54,11 @@ PRICE_FOLDS = (
 DATE_SORTED = {"listings": "date_listed", "leases": "date_start"}
 
 _lock = threading.Lock()
-_cache: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_cache: dict[tuple[str, str], tuple[str, dict[str, DataFrame], str]] = {}
 
 
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _weeks_since_zero(c) -> F.Column:
@@ -82,8 +77,8 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     units_per_nation = kept_customers.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_units"))
 
     projects = (
-        nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-        .join(F.broadcast(units_per_nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        nation.join(region, nation.n_regionkey == region.r_regionkey)
+        .join(units_per_nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select(
             F.col("n_nationkey").alias("project_id"),
             F.col("n_name").alias("project_name"),
@@ -121,7 +116,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     base = (
         orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
         .join(units, F.col("unit_id") == F.col("o_custkey"))
-        .join(F.broadcast(projects.drop("total_units", "year_completed")), "project_id")
+        .join(projects.drop("total_units", "year_completed"), "project_id")
         .join(lease_dates, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .select(
             F.concat(F.lit("L"), F.col("o_orderkey").cast("string")).alias("listing_id"),
@@ -135,6 +130,10 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             (F.col("o_totalprice") * (1 - (F.col("o_orderkey") % 4).cast("double") / 100)).alias("asking_rent"),
             F.col("lease_dt").isNotNull().alias("leased"),
             _weeks_since_zero(F.col("lease_dt")).alias("week_leased"),
+            (_weeks_since_zero(F.col("o_orderdate")) % 7).alias("n_viewings"),
+            F.when(F.col("lease_dt").isNotNull(), F.when(F.col("o_orderkey") % 3 == 0, "renewal").when(F.col("o_orderkey") % 3 == 1, "year1")
+                   .otherwise("firstjob")).alias("tenant_segment"),
+            F.when(F.col("lease_dt").isNotNull(), F.when(F.col("o_orderkey") % 2 == 0, 12).otherwise(6)).alias("lease_months"),
         )
     )
     on_market = (F.coalesce(F.col("week_leased"), F.lit(CENSORED_END_WEEK)) - F.col("week_listed")).alias("weeks_on_market")
@@ -146,7 +145,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "floor", "size_sqm", "room_type", "view", "furnished", "week_listed", "date_listed",
         "season_listed", "first_asking_rent",
         (F.col("asking_rent") * ALTERNATIVE_RENT_FACTOR).alias("asking_rent"),
-        "leased", "week_leased", on_market,
+        "leased", "week_leased", "n_viewings", "tenant_segment", "lease_months", on_market,
     )
     listings = primary.unionByName(alternative)
 
@@ -177,7 +176,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
 
     market_rows = (base.select(F.col("week_listed").alias("week"), "project_id", "floor", "unit_id", "asking_rent")
-                   .join(F.broadcast(projects.select("project_id", "total_units")), "project_id"))
+                   .join(projects.select("project_id", "total_units"), "project_id"))
     medians = quantile_columns(market_rows, ["week", "project_id"], "asking_rent", [0.5], ["median_asking_rent"])
     weekly_market = (
         market_rows.groupBy("week", "project_id")
@@ -187,7 +186,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.count_distinct("unit_id").cast("int").alias("n_units_leased"),
             (F.count_distinct("unit_id").cast("double") / F.max("total_units")).alias("occupancy"),
         )
-        .join(medians, ["week", "project_id"], "left")
+        .transform(lambda rows: join_keys(rows, medians, ["week", "project_id"], "left"))
         .withColumn("date", F.date_add(F.lit(WEEK_ZERO).cast("date"), F.col("week") * 7))
         .select("week", "project_id", "n_listings_open", "n_searchers", "n_units_leased", "occupancy",
                 "median_asking_rent", "date")
@@ -201,59 +200,74 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    for name in BASE_TABLES:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(path)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(name.encode())
-    return h.hexdigest()[:16]
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path (local, HDFS, object stores) and the path in it."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence test through the Hadoop FileSystem of the path (local, HDFS, object stores)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _file_system(spark, path)
     return bool(fs.exists(hpath))
 
 
-def views(spark: SparkSession, sf_dir: str, materialize: bool = True) -> dict[str, DataFrame]:
-    """The five rental tables for ``sf_dir``, computed once per session.
+def version(spark: SparkSession, sf_dir: str) -> str:
+    """Names the contents of the base tables: path, length and time of every file of each."""
+    h = hashlib.sha256()
+    for name in BASE_TABLES:
+        fs, hpath = _file_system(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files, listed = fs.listFiles(hpath, True), []
+        while files.hasNext():
+            f = files.next()
+            listed.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+        h.update("\n".join([name, *sorted(listed), ""]).encode())
+    return h.hexdigest()[:24]
+
+
+def raw_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The raw version of the tables: listings before clean-up, all others as they are."""
+    return {**t, "listings": dirty_listings(t["listings"])}
+
+
+def dirty_listings(listings: DataFrame) -> DataFrame:
+    """The deterministic raw twin of listings used by Q19/Q20 (fixed values of the test binding)."""
+    wl = F.col("week_listed")
+    dirty = {
+        "size_sqm": F.when(wl % 50 == 0, F.col("size_sqm") * 10).otherwise(F.col("size_sqm")),
+        "room_type": F.when(F.col("floor") == 3, F.concat(F.lit(" "), F.col("room_type"))).otherwise(F.col("room_type")),
+        "view": F.when(F.col("floor") == 5, F.upper("view")).otherwise(F.col("view")),
+        "furnished": F.when(wl % 6 == 0, F.lit(None).cast("boolean")).otherwise(F.col("furnished")),
+        "date_listed": F.when(F.col("floor") == 7, F.date_format("date_listed", "dd/MM/yyyy")).otherwise(F.col("date_listed").cast("string")),
+        "asking_rent": F.when(wl % 40 == 0, F.col("asking_rent") * 100).otherwise(F.col("asking_rent")),
+    }
+    return listings.select(*[dirty[c].alias(c) if c in dirty else F.col(c) for c in listings.columns])
 
-    With a checkpoint folder the tables are written there as parquet and read back, so every
-    query scans columnar files with pushdown and pruning; otherwise they are persisted.
-    """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    with _lock:
-        if key in _cache:
-            return _cache[key]
-        plans = derive(spark, sf_dir)
-        root = checkpoint_dir(spark) if materialize else None
-        if root:
-            out = {}
-            base = root.rstrip("/") + f"/dwell-binding/v3-{_fingerprint(sf_dir)}"
-            for name, df in plans.items():
-                path = f"{base}/{name}"
-                if not path_exists(spark, f"{path}/_SUCCESS"):
-                    if name in DATE_SORTED:
-                        # range-partitioned and sorted by date: time-split filters prune row groups
-                        n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-                        df = df.repartitionByRange(n, DATE_SORTED[name]).sortWithinPartitions(DATE_SORTED[name])
-                    df.write.mode("overwrite").parquet(path)
-                out[name] = spark.read.parquet(path)
-        else:
-            out = {name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in plans.items()}
-        _cache[key] = out
-        return out
 
+def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five rental tables for ``sf_dir``, written once for each version of its files.
 
-def register(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Register the five tables as temp views (for SQL users)."""
-    tables = views(spark, sf_dir)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return tables
+    They lie in the shared checkpoint folder under the version's name, so every query scans columnar files
+    with pushdown and pruning, and changed files give new tables. A version is complete when its marker
+    is there; a version that this session has replaced is removed."""
+    found = version(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    with _lock:
+        held = _cache.get(key)
+        if held is not None and held[0] == found:
+            return held[1]
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dwell-binding/v4-{found}"
+        if not path_exists(spark, f"{base}/_COMPLETE"):
+            for name, df in derive(spark, sf_dir).items():
+                if name in DATE_SORTED:
+                    # range-partitioned and sorted by date: time-split filters prune row groups
+                    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+                    df = df.repartitionByRange(n, DATE_SORTED[name]).sortWithinPartitions(DATE_SORTED[name])
+                df.write.mode("overwrite").parquet(f"{base}/{name}")
+            fs, marker = _file_system(spark, f"{base}/_COMPLETE")
+            fs.create(marker, True).close()
+        out = {name: spark.read.parquet(f"{base}/{name}") for name in TABLES}
+        _cache[key] = (found, out, base)
+        if held is not None and all(base_ != held[2] for _, _, base_ in _cache.values()):
+            fs, old = _file_system(spark, held[2])
+            fs.delete(old, True)
+        return out

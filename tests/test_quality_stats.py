@@ -40,12 +40,29 @@ def test_average_ranks_match_pandas(spark):
             assert ranks[v] == pytest.approx(r)
 
 
+def test_spearman_of_many_null_patterns_and_chosen_pairs(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    r = np.random.default_rng(5)
+    pdf = pd.DataFrame({c: r.integers(0, 12, 300).astype(float) for c in "abcd"}).assign(e=r.normal(size=300), f=np.nan, g=7.0)
+    for c in "acde":
+        pdf.loc[r.random(300) < 0.3, c] = np.nan
+    df = spark.createDataFrame(pdf)
+    want = pdf.corr(method="spearman")
+    for few in (0, 10, 1000):                       # shuffled and broadcast rank tables
+        monkeypatch.setattr(stats, "FEW_VALUES", few)
+        pairs = [("a", "b"), ("c", "e"), ("e", "a"), ("b", "f"), ("g", "b")]
+        got = {(x["row"], x["col"]): x["corr"] for x in stats.spearman_pairs(df, list("abcdefg"), pairs).collect()}
+        for a, b in pairs:
+            assert got[a, b] is None or got[a, b] != got[a, b] if a in "fg" or b in "fg" else got[a, b] == pytest.approx(want.loc[a, b])
+
+
 def test_spearman_matches_pandas_pairwise(spark):
     pdf = pd.DataFrame({"id": range(12), "a": [1, 2, 2, 3, 5, 4, 7, 7, 9, 8, 10, 11],
                         "b": [2.0, 1.0, None, 4.0, 3.0, 6.0, 5.0, None, 9.0, 7.0, 8.0, 12.0],
                         "c": [5, 5, 5, 1, 2, 3, 4, 4, 9, 9, 1, 0]})
     df = spark.createDataFrame(pdf)
-    got = {(r["row"], r["col"]): r["corr"] for r in stats.spearman_matrix(df, "id", ["a", "b", "c"]).collect()}
+    got = {(r["row"], r["col"]): r["corr"] for r in stats.spearman_matrix(df, ["a", "b", "c"]).collect()}
     exp = pdf[["a", "b", "c"]].corr(method="spearman")
     for a in "abc":
         for b in "abc":
