@@ -2,17 +2,20 @@
 
 Test items are indexed by their words (lower-case ASCII, alphanumeric): a posting holds the item's BM25
 weight of the word as a share of the item's full score, so a passage with all words of an item scores 1.
-Every training text is read as overlapping passages, twice as long as the longest item and half
-overlapping, so each place an item can stand lies in one passage as a whole. Block-max WAND retrieves
-all items whose score reaches ``LEAST_SCORE``; those are verified: ``LEAST_OVERLAP`` of the question and
-of the words of the answer must stand in the passage. The question's overlap is the share of its 5-word
-shingles, or, if that is too small, 1 less the word edits a word that turn it into the nearest stretch of
-the passage: one edit breaks five shingles, but costs a question of 5 words or more a fifth at most. The answer is an
+Items are searched by classes of length (up to 8, 16, 32, ... words), each with an index of its own, so
+that an item's passages do not depend on how long other items are. A class reads every training text as
+overlapping passages, twice as long as its longest possible item and half overlapping, so each place an
+item can stand lies in one passage as a whole. Block-max WAND retrieves all items whose score reaches
+``LEAST_SCORE``; those are verified: ``LEAST_OVERLAP`` of the question and of the words of the answer must
+stand in one stretch of the passage, of half as many words again as the item and 8. The question's overlap
+is the share of its 5-word shingles, or, if that is too small, 1 less the word edits a word that turn it
+into the nearest part of the stretch: one edit breaks five shingles, but costs a question of 5 words or more a fifth at most. The answer is an
 item's last sentence or line (or last third, if there is one only), the question what stands before it.
 
 One map over the documents, no shuffle. The index is built by Spark from whole items; its parts hold at
 most ``MOST_WORDS`` words each (word counts are checked, larger sets are split by item and searched
-part by part), and travel with the function.
+part by part), and travel with the function. Other items move an item's BM25 weights (how many items hold
+a word, their mean length), but nothing else of its search.
 
 Defined results: null or empty texts have no passages, null or wordless items match nothing; equal
 texts under different ids are all reported, and so are different texts under one id (a row each); a row
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from functools import reduce
 from typing import Iterator, NamedTuple
 
 import numpy as np
@@ -65,6 +67,7 @@ class Item(NamedTuple):
     question: np.ndarray   # distinct shingles
     answer: np.ndarray     # distinct words
     asked: np.ndarray      # the question's words in order
+    n_words: int
 
 
 class Index(NamedTuple):
@@ -76,7 +79,7 @@ class Index(NamedTuple):
     most: np.ndarray               # largest share of each word
     rare: tuple[np.ndarray, np.ndarray, np.ndarray]   # of words in RARE items at most: offsets, items, shares
     common: np.ndarray             # of each item: sum of the shares of its other words
-    span: int                      # words of the longest item
+    span: int                      # words of the longest item of the class
 
 
 def item_rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,14 +110,13 @@ def postings(rows: DataFrame) -> DataFrame:
     return scratch.stored(weighted.join(full, "row").select("row", "word", "length", (F.col("weight") / F.col("full")).alias("share")), "bm25-postings")
 
 
-def index_of(items: list[tuple[str, int | None, bytes]], table: pd.DataFrame) -> Index:
-    """items: (row, id, text) with words, a row each; table: their postings."""
-    parts, span = [], 1
+def index_of(items: list[tuple[str, int | None, bytes]], table: pd.DataFrame, span: int) -> Index:
+    """items: (row, id, text) with words, at most ``span``, a row each; table: their postings."""
+    parts = []
     for _, item_id, raw in items:
         h, _, ends = hashes(raw)
         at = answer_start(raw, ends)
-        parts.append(Item(item_id, np.unique(words.shingles(h[:at], SHINGLE)), np.unique(h[at:]), h[:at]))
-        span = max(span, len(h))
+        parts.append(Item(item_id, np.unique(words.shingles(h[:at], SHINGLE)), np.unique(h[at:]), h[:at], len(h)))
     slots = {row: i for i, (row, _, _) in enumerate(items)}
     word = table["word"].to_numpy().astype(np.int64).view(np.uint64)
     codes, code = np.unique(word, return_inverse=True)
@@ -210,9 +212,25 @@ def aligned(question: np.ndarray, passage: np.ndarray) -> float:
     return 1 - int(cost.min()) / len(question)
 
 
-def leaks(raw: bytes | None, index: Index) -> list[dict]:
-    """The verified items of a text, each with its best passage."""
-    h, _, _ = hashes(raw)
+def overlaps(item: Item, passage: np.ndarray) -> tuple[float, float, int] | None:
+    """(question, answer, first word) of the best stretch of a passage in which both overlap enough."""
+    width, step = item.n_words + item.n_words // 2 + 8, item.n_words // 4 + 1
+    best = None
+    for at in range(0, max(1, len(passage) - width + step), step):
+        stretch = passage[at:at + width]
+        answer = np.isin(item.answer, stretch).mean() if len(item.answer) else 1.0
+        if answer < LEAST_OVERLAP:
+            continue
+        question = np.isin(item.question, words.shingles(stretch, SHINGLE)).mean() if len(item.question) else 1.0
+        if question < LEAST_OVERLAP:
+            question = max(question, aligned(item.asked, stretch))
+        if question >= LEAST_OVERLAP and (best is None or question + answer > best[0] + best[1]):
+            best = float(question), float(answer), at
+    return best
+
+
+def leaks(h: np.ndarray, index: Index) -> list[dict]:
+    """The verified items in a text's words, each with its best stretch."""
     if not len(h) or not index.items:
         return []
     at = np.minimum(np.searchsorted(index.codes, h), len(index.codes) - 1)
@@ -228,48 +246,48 @@ def leaks(raw: bytes | None, index: Index) -> list[dict]:
         if p + 1 == n_halves and p:
             continue  # the last half alone lies in the passage before
         terms = np.unique(word[edges[p]:edges[min(p + 2, n_halves)]])
-        passage = h[p * span:(p + 2) * span]
         for i, score in wand(terms.tolist(), index, least):
-            item = index.items[i]
-            question = np.isin(item.question, words.shingles(passage, SHINGLE)).mean() if len(item.question) else 1.0
-            answer = np.isin(item.answer, passage).mean() if len(item.answer) else 1.0
-            if question < LEAST_OVERLAP <= answer:
-                question = max(question, aligned(item.asked, passage))
-            if question >= LEAST_OVERLAP and answer >= LEAST_OVERLAP:
-                best[i] = max(best.get(i, (0.0,)), (float(question + answer), float(score), float(question), float(answer), -p * span))
+            seen = overlaps(index.items[i], h[p * span:(p + 2) * span])
+            if seen is not None:
+                question, answer, first = seen
+                best[i] = max(best.get(i, (0.0,)), (question + answer, float(score), question, answer, -p * span - first))
     return [{"item_id": index.items[i].item_id, "score": s, "question_overlap": q, "answer_overlap": a, "first_word": -w}
             for i, (_, s, q, a, w) in sorted(best.items())]
 
 
 def _indexes(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
     rows = item_rows(items, id_col, text_col)
-    table = postings(rows)
-    total = table.groupBy("row").agg(F.max("length").alias("n")).agg(F.sum("n")).first()[0] or 0
-    parts = -(-total // MOST_WORDS)
+    # the power of two that holds the item's words
+    table = postings(rows).withColumn("power", F.greatest(F.lit(3), F.length(F.bin(F.col("length") - 1))))
+    totals = table.groupBy("row", "power").agg(F.max("length").alias("n")).groupBy("power").agg(F.sum("n").alias("n")).orderBy("power").collect()
     out = []
-    for p in range(parts):
-        own = F.pmod(F.xxhash64("row"), F.lit(parts)) == p
-        shares = table.filter(own).toPandas()       # about MOST_WORDS words
-        texts = [(r["row"], r["item"], bytes(r["raw"])) for r in rows.filter(own).collect()]
-        out.append(index_of([t for t in sorted(texts, key=lambda t: (t[1] is not None, t[1], t[0])) if len(hashes(t[2])[0])], shares))
+    for power, total in totals:
+        parts = -(-total // MOST_WORDS)
+        for p in range(parts):
+            own = table.filter((F.col("power") == power) & (F.pmod(F.xxhash64("row"), F.lit(parts)) == p))
+            shares = own.select("row", "word", "share").toPandas()       # about MOST_WORDS words
+            texts = [(r["row"], r["item"], bytes(r["raw"])) for r in rows.join(own.select("row").distinct(), "row", "left_semi").collect()]
+            out.append(index_of(sorted(texts, key=lambda t: (t[1] is not None, t[1], t[0])), shares, 1 << power))
     return out
 
 
 def leaked_items(text: Column, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Column:
     """LEAKS for a text column."""
-    def search(index: Index) -> Column:
-        @F.pandas_udf(LEAKS)
-        def found(raw: pd.Series) -> pd.Series:
-            return pd.Series([leaks(r, index) for r in raw], dtype=object)
-        return found(text.cast("binary"))
+    indexes = _indexes(items, id_col, text_col)
+    if not indexes:
+        return F.array().cast(LEAKS)
 
-    columns = [search(index) for index in _indexes(items, id_col, text_col)]
-    return reduce(F.concat, columns) if columns else F.array().cast(LEAKS)
+    @F.pandas_udf(LEAKS)
+    def found(raw: pd.Series) -> pd.Series:
+        hashed = (hashes(r)[0] for r in raw)
+        return pd.Series([[leak for index in indexes for leak in leaks(h, index)] for h in hashed], dtype=object)
+
+    return found(text.cast("binary"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and test item found in it: id, item_id, score, question_overlap,
-    answer_overlap, first_word (of the passage)."""
+    answer_overlap, first_word (of the stretch)."""
     found = docs.select(F.col(id_col), F.explode(leaked_items(F.col(text_col), items)).alias("_leak"))
     return found.select(F.col(id_col), "_leak.*")
 

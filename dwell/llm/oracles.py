@@ -26,13 +26,17 @@ FROM sized JOIN reach ON reach.a = sized.doc_id
 GROUP BY sized.doc_id, n
 """
 
-#: The water level of the targets in closed form; Pareto ranks by the same digest of the id.
+#: The water level of the targets in closed form; the scale of the inclusion probabilities from the
+#: distinct sizes; Pareto ranks by the same digest.
 MIX_SQL = r"""
 WITH sizes AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-           (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
-           / 4503599627370496.0 AS u
+           md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS d
     FROM documents),
+units AS (
+    SELECT source, d, max(size) AS size, count(*) AS m,
+           (CAST(CAST('0x' || substr(d, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+    FROM sizes GROUP BY source, d),
 sources AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
     FROM sizes GROUP BY source),
@@ -47,20 +51,30 @@ level AS (SELECT arg_min(level, (r, k)) AS level FROM levels WHERE r > level),
 targets AS (
     SELECT l.*, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM level) * w, CAST(cap AS DOUBLE))) AS target FROM levels l),
 shares AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
-plans AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest FROM shares),
+plans AS (SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest FROM shares),
+distinct_sizes AS (
+    SELECT k, rest, size, sum(m) AS n FROM units JOIN plans ON units.source IS NOT DISTINCT FROM plans.source WHERE size > 0 GROUP BY k, rest, size),
+tried AS (
+    SELECT k, size, (rest - CAST(coalesce(sum(size * n) OVER (PARTITION BY k ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+           / CAST(sum(size * size * n) OVER (PARTITION BY k ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS c
+    FROM distinct_sizes),
+scales AS (SELECT k, arg_max(c, size) AS c FROM tried WHERE c * size < 1 GROUP BY k),
+odds AS (
+    SELECT p.*, units.d, units.size * m AS words, units.u, least(1.0, coalesce(s.c, 0.0) * units.size) AS p
+    FROM units JOIN plans p ON units.source IS NOT DISTINCT FROM p.source LEFT JOIN scales s ON s.k = p.k
+    WHERE units.size > 0 AND coalesce(s.c, 0.0) > 0),
 ranked AS (
-    SELECT d.doc_id, d.size, p.*, row_number() OVER o AS pos,
-           sum(d.size) OVER (PARTITION BY k ORDER BY (u / (1 - u)) / (p / CASE WHEN p > 0 THEN 1 - p END), u, doc_id, size
-                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-    FROM sizes d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source
-    WINDOW o AS (PARTITION BY k ORDER BY (u / (1 - u)) / (p / CASE WHEN p > 0 THEN 1 - p END), u, doc_id, size)),
+    SELECT *, row_number() OVER o AS pos, sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    FROM (SELECT *, CASE WHEN p >= 1 THEN 0.0 ELSE (u / (1 - u)) / (p / CASE WHEN p < 1 THEN 1 - p END) END AS q FROM odds)
+    WINDOW o AS (PARTITION BY k ORDER BY q, d)),
 gaps AS (SELECT k, max(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM ranked GROUP BY k),
 closing AS (
-    SELECT r.k, arg_min(pos, (abs(size - gap), pos)) AS closing_pos FROM ranked r JOIN gaps g ON r.k = g.k
-    WHERE NOT upto <= rest AND abs(size - gap) < gap GROUP BY r.k)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN p > 0 AND (upto <= rest OR coalesce(pos = closing_pos, FALSE)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM ranked LEFT JOIN closing ON ranked.k = closing.k
+    SELECT r.k, arg_min(pos, (abs(words - gap), pos)) AS closing_pos FROM ranked r JOIN gaps g ON r.k = g.k
+    WHERE NOT upto <= rest AND abs(words - gap) < gap GROUP BY r.k),
+chosen AS (
+    SELECT source, d FROM ranked LEFT JOIN closing ON ranked.k = closing.k WHERE upto <= rest OR coalesce(pos = closing_pos, FALSE))
+SELECT s.doc_id, s.size, p.source_size, p.target, CAST(s.size * (p.whole + CASE WHEN c.d IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sizes s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN chosen c ON c.source IS NOT DISTINCT FROM s.source AND c.d = s.d
 """
 
 

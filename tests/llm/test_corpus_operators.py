@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dwell.llm import chunk_dedup, components, difference_cover, near_dups, pareto_mix, resharding, suffix_dedup
 from dwell.llm.queries import laid_out_by_source
@@ -181,6 +182,59 @@ def test_fewest_moves():
         assert sum(map(sum, flow)) - sum(flow[i][i] for i in range(6)) == sum(max(0, a - b) for a, b in zip(old, new))
 
 
+def test_fewest_moves_with_other_numbers_and_capacities():
+    """Against the least cost over all ways to fill small capacities, byte by byte."""
+    def least(old, room):
+        ways = {tuple(room): 0}
+        for i, n in enumerate(old):
+            for _ in range(n):
+                more = {}
+                for left, cost in ways.items():
+                    for j, r in enumerate(left):
+                        if r:
+                            to = left[:j] + (r - 1,) + left[j + 1:]
+                            more[to] = min(more.get(to, 10 ** 9), cost + (i != j))
+                ways = more
+        return min(ways.values())
+
+    r = random.Random(13)
+    for _ in range(60):
+        old, new = [r.randrange(5) for _ in range(r.choice((1, 2, 4)))], [r.randrange(6) for _ in range(r.choice((1, 3, 4)))]
+        if sum(old) > sum(new):
+            with pytest.raises(ValueError):
+                resharding.fewest_moves(old, new)
+            continue
+        flow = resharding.fewest_moves(old, new)
+        assert [sum(f) for f in flow] == old and all(sum(f[j] for f in flow) <= c for j, c in enumerate(new))
+        assert sum(n for i, f in enumerate(flow) for j, n in enumerate(f) if i != j) == least(old, new)
+
+
+def test_reshard_to_more_shards_and_given_capacities(spark, docs, tmp_path):
+    rows = [(i, "x" * (i % 90), f"s{i}") for i in range(2000)]
+    old = F.pmod(F.col("doc_id"), F.lit(3)).cast("int")
+    total = sum(i % 90 + 1 for i in range(2000))
+    for shards, capacities in ((12, None), (2, None), (8, [total] + [0] * 7), (4, [total // 2, total // 4, total // 4, total // 8])):
+        got = resharding.reshard(docs(rows), old, shards, capacities=capacities).collect()
+        sizes = [sum(x["size"] for x in got if x["shard"] == j) for j in range(shards)]
+        room = capacities or [total / shards] * shards
+        assert len(got) == 2000 and sum(sizes) == total and all(n <= c + 2 * 90 for n, c in zip(sizes, room))
+        if capacities is None:
+            assert max(sizes) - min(sizes) <= 4 * 90
+    with pytest.raises(ValueError, match="do not fit"):
+        resharding.reshard(docs(rows), old, capacities=[5, 5])
+
+
+def test_rewrite_leaves_no_emptied_shard(spark, docs, tmp_path):
+    rows = [(i, "x" * 50, "s") for i in range(600)]
+    df, path = docs(rows), str(tmp_path / "shards")
+    old = F.pmod(F.col("doc_id"), F.lit(4)).cast("int")
+    df.withColumn("shard", old).withColumn("slot", F.col("doc_id")).write.partitionBy("shard").parquet(path)
+    resharding.rewrite(resharding.resharded(df, old, capacities=[0, 600 * 51]), path)
+    back = spark.read.parquet(path)
+    assert sorted(r["doc_id"] for r in back.select("doc_id").collect()) == list(range(600))
+    assert {r["shard"] for r in back.select("shard").distinct().collect()} == {1} and not (tmp_path / "shards" / "shard=0").exists()
+
+
 def test_reshard(spark, docs, corpus, tmp_path):
     r = random.Random(11)
     rows = corpus + [(1000 + i, "x" * r.randrange(200), f"s{r.randrange(20)}") for i in range(3000)]
@@ -238,3 +292,37 @@ def test_pareto_mix(docs, corpus):
     copies = pareto_mix.mixed_copies(df)
     assert copies.columns == df.columns and copies.count() == sum(x["copies"] for x in got)
     assert pareto_mix.pareto_mix(docs([])).count() == 0 and pareto_mix.mixed_copies(docs([])).count() == 0
+
+
+def test_inclusion_odds_follow_the_size(spark, docs):
+    """Over many salts a document is in the sample as often as its probability says; large ones are certain."""
+    sizes = [400, 90, 60, *[5 + i for i in range(27)]]
+    whole, salts = sum(sizes), 450
+    # every salt is a source of its own; the ids differ, so the random numbers do
+    many = docs([(s * 1000 + i, " ".join(["w"] * n), f"a{s:03d}") for s in range(salts) for i, n in enumerate(sizes)])
+    # weights 3, 1, 2: targets of 2, 5/6 and 5/3 times the source; the third has one whole copy and samples 2/3
+    got = [x for x in pareto_mix.pareto_mix(many).collect() if x["doc_id"] // 1000 % 3 == 2]
+    salts //= 3
+    assert got[0]["target"] == pytest.approx(whole * 5 / 3)
+    rest = whole * 2 / 3
+    certain: set[int] = set()
+    while True:
+        c = (rest - sum(sizes[i] for i in certain)) / sum(n * n for i, n in enumerate(sizes) if i not in certain)
+        more = {i for i, n in enumerate(sizes) if i not in certain and c * n >= 1}
+        if not more:
+            break
+        certain |= more
+    often = Counter(x["doc_id"] % 1000 for x in got if x["copies"] > 1)
+    for i, n in enumerate(sizes):
+        p = 1.0 if i in certain else c * n
+        assert abs(often[i] / salts - p) < 0.17, (i, n, p, often[i])
+    assert certain and sum(often[i] for i in range(21, 30)) > 1.3 * sum(often[i] for i in range(3, 12))
+
+
+def test_equal_rows_and_null_ids_spread(spark, docs):
+    rows = [(None, f"a b c {i}", "s") for i in range(3000)] + [(9007, "same row here", "s")] * 2000 + [(i, "x y", "t") for i in range(3000)]
+    got = pareto_mix.pareto_mix(docs(rows)).collect()
+    assert len(got) == 8000 and len({x["copies"] for x in got if x["doc_id"] == 9007}) == 1
+    for source_size in {x["source_size"] for x in got}:
+        own = [x for x in got if x["source_size"] == source_size]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 6000

@@ -17,6 +17,11 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def words(n, seed, vocabulary=5000):
+    r = random.Random(seed)
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
 def pairs(df, *cols):
     return sorted(((r["doc_id"] is not None, r["doc_id"], *[r[c] for c in cols]) for r in df.collect()), key=repr)
 
@@ -194,6 +199,28 @@ def test_parts_of_the_index_and_wand_find_all(docs, items, monkeypatch):
         assert {i for i, _ in decontaminate.wand(terms, index, 0.8)} == {i for i, s in sums.items() if s >= 0.8}
 
 
+def test_items_do_not_change_each_others_rows(docs, spark):
+    """An item's passages depend on its own length: a very long item, or any other, changes no other row."""
+    asked = " ".join(words(20, 1))
+    answer = [f"a{i}" for i in range(10)]
+    items = [(1, f"{asked}. {' '.join(answer)}"), (2, " ".join(words(30, 2)) + ". " + " ".join(words(12, 3))), (3, " ".join(words(9, 4)))]
+    long = (9, " ".join(words(3500, 5)) + ". " + " ".join(words(500, 6)))
+    filler = words(1800, 7, 3000)
+    texts = [(1, f"{asked} {' '.join(filler)} {' '.join(reversed(answer))}"),        # the answer's words far away, in another order
+             (2, f"{' '.join(filler)} {items[0][1]} {' '.join(filler)}"), (3, f"{' '.join(filler[:7])} {items[1][1]}"), (4, items[2][1]),
+             (5, " ".join(filler) + " " + long[1] + " " + " ".join(filler))]
+
+    def found(chosen):
+        table = spark.createDataFrame(chosen, "item_id long, text string")
+        return sorted((r["doc_id"], r["item_id"], r["first_word"]) for r in decontaminate.contaminated(docs(texts), table).collect())
+
+    everything = found([*items, long])
+    assert [(d, i) for d, i, _ in everything] == [(2, 1), (3, 2), (4, 3), (5, 9)]
+    for left_out in range(4):
+        chosen = [x for k, x in enumerate([*items, long]) if k != left_out]
+        assert found(chosen) == [r for r in everything if r[1] in {i for i, _ in chosen}]
+
+
 def test_label_model_and_scorer(spark, docs, corpus):
     sf = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{sf}/documents.parquet")
