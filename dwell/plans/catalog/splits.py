@@ -23,7 +23,8 @@ long_folds AS (
 @query("k01", sql=_p("""
 SELECT split, CAST(count(*) AS BIGINT) AS rows, min(date_start) AS first_date, max(date_start) AS last_date FROM price GROUP BY split"""))
 def k01(spark, sf):
-    return price_split(spark, sf).groupBy("split").agg(
+    labelled = splits.chronological_split(feat.price_dataset(tables(spark, sf)), feat.PRICE_DATE, binding.PRICE_TRAIN_END, binding.PRICE_VALIDATION_END)
+    return labelled.groupBy("split").agg(
         F.count(F.lit(1)).cast("long").alias("rows"), F.min("date_start").alias("first_date"),
         F.max("date_start").alias("last_date"))
 

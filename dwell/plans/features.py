@@ -1,14 +1,14 @@
 """Modeling datasets (F01–F07). Training and serving share the same column expressions.
 
 ``lease_time_dataset`` (F02) is one lazy plan: filter completed primary listings (P02), compute
-calendar parts (X08), join the previous-week market (J02, broadcast only when the checked
-market size allows), safe ratios (X10), the missing-history flag (N15) and the matured split
+calendar parts (X08), join the previous-week market (J02), safe ratios (X10), the missing-history flag (N15) and the matured split
 (K02). The gates that the reference raises on (K06 follow-up, F03 invariants, J07 market key)
 are aggregates run once, before the plan is returned.
 """
 
 from __future__ import annotations
 
+import weakref
 from typing import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -173,20 +173,21 @@ def market_gate(market: DataFrame, test_end: str, min_weeks: int = MIN_FOLLOW_UP
     return int(row["rows"])
 
 
-_gates: dict[tuple, tuple] = {}
+#: listings -> [(market, test end, market rows)], as long as the caller holds both DataFrames
+_gates: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _validated(listings: DataFrame, market: DataFrame, test_end: str, chosen: DataFrame) -> int:
     """Run the builder's gates (K06 follow-up, J07 market key, F03 target invariants) once per
     pair of input DataFrame objects and cut-off; DataFrames are immutable plans, so the result is
     reused by every later build on the same inputs. Returns the market row count."""
-    key = (id(listings), id(market), test_end)
-    hit = _gates.get(key)
-    if hit is not None and hit[0] is listings and hit[1] is market:
-        return hit[2]
+    held = [(m, end, rows) for m, end, rows in _gates.get(listings, []) if m() is not None]
+    for m, end, rows in held:
+        if m() is market and end == test_end:
+            return rows
     rows = market_gate(market, test_end)
     check_target_invariants(chosen)
-    _gates[key] = (listings, market, rows)
+    _gates[listings] = [*held, (weakref.ref(market), test_end, rows)]
     return rows
 
 
