@@ -4,8 +4,10 @@ All templates (base phrases and notice texts, as word sequences) go into one suf
 text's words are streamed through it; at each word the automaton knows the longest stretch ending
 there that stands in a template (matching statistics) and which templates hold it. A base phrase is
 found where it is a suffix of that stretch. Long stretches that can't be prolonged are chained per
-template, in the order of both text and template, into spans with the share of the template's words
-they cover. Words in no template reset the automaton, so only runs of template words are streamed.
+template in the order of the text: each goes to the open chain, of several, where it covers the most new
+words of the template, so stray repeats, foreign words and moved sentences cost a chain nothing, and a
+second copy starts a chain of its own. A chain is a span with the share of the template's words it covers.
+Words in no template reset the automaton, so only runs of template words are streamed.
 
 One map over the documents, no shuffle. The automaton is bounded by ``MOST_TEMPLATE_WORDS``; memory
 by the longest text.
@@ -28,7 +30,7 @@ from dwell.llm import words
 from dwell.llm.license_templates import NOTICES, PHRASES
 
 LEAST_MATCH = 4        # words of a stretch that may enter a chain
-GAP = 12               # words of text, and of template, that a chain may leave out between two stretches
+GAP = 40               # foreign words of text that a chain may leave out between two stretches
 LEAST_COVER = 0.5      # share of a notice that gives its label
 MOST_TEMPLATE_WORDS = 100_000
 
@@ -108,12 +110,24 @@ def build(phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, ...]]
     return Automaton(codes, steps, longest, link, ends, found, templates)
 
 
-class Chain(NamedTuple):
-    template: int
-    first: int
-    last: int
-    covered: int
-    template_end: int
+class Chain:
+    """Matches of one template that follow each other in the text, and the template's words they cover."""
+
+    def __init__(self, template: int, first: int):
+        self.template, self.first, self.last, self.mask, self.template_end = template, first, first, 0, -1
+
+    @property
+    def covered(self) -> int:
+        return self.mask.bit_count()
+
+    def gain(self, begin: int, length: int) -> int:
+        """Words of the template that a match at ``begin`` would add."""
+        return (((1 << length) - 1 << begin) & ~self.mask).bit_count()
+
+    def add(self, start: int, end: int, begin: int, length: int) -> None:
+        self.first, self.last = min(self.first, start), max(self.last, end)
+        self.mask |= (1 << length) - 1 << begin
+        self.template_end = begin + length - 1
 
 
 class Hits(NamedTuple):
@@ -126,20 +140,30 @@ def scan(h: np.ndarray, automaton: Automaton) -> Hits:
     at = np.minimum(np.searchsorted(automaton.codes, h), len(automaton.codes) - 1)
     known = automaton.codes[at] == h
     edge = np.flatnonzero(np.diff(known, prepend=False, append=False))
-    places, done, open_chains = [], [], {}
+    places: list[tuple[int, int]] = []
+    done: list[Chain] = []
+    open_chains: dict[int, list[Chain]] = {}
 
     def stretch(end: int, length: int, s: int) -> None:
+        """A longest match goes to the open chain, and to the place in its template, where it adds the most
+        words; one that would add less than half of its words begins a chain (another copy)."""
         start = end - length + 1
+        begins: dict[int, list[int]] = {}
         for t, e in ends[s]:
-            if automaton.templates[t].phrase:
-                continue
-            begin, chain = e - length + 1, open_chains.get(t)
-            if chain and 0 < begin - chain.template_end <= GAP + 1 and 0 < start - chain.last <= GAP + 1:
-                open_chains[t] = chain._replace(last=end, covered=chain.covered + length, template_end=e)
-            elif chain is None or length > chain.covered or start > chain.last:
-                if chain:
-                    done.append(chain)
-                open_chains[t] = Chain(t, start, end, length, e)
+            if not automaton.templates[t].phrase:
+                begins.setdefault(t, []).append(e - length + 1)
+        for t, own in begins.items():
+            chains = open_chains.setdefault(t, [])
+            done.extend(c for c in chains if start - c.last > GAP + 1)
+            chains[:] = [c for c in chains if start - c.last <= GAP + 1]
+            # ties: the chain that covers more, then the place next to its last one
+            choices = [(c.gain(b, length), c.covered, -abs(b - c.template_end - 1), -k, b) for k, c in enumerate(chains) for b in own]
+            best = max(choices, default=(0, 0, 0, 0, 0))
+            if 2 * best[0] >= length:
+                chains[-best[3]].add(start, end, best[4], length)
+            else:
+                chains.append(Chain(t, start))
+                chains[-1].add(start, end, min(own), length)
 
     for begin, stop in zip(edge[::2].tolist(), edge[1::2].tolist()):
         if stop - begin < 2:
@@ -158,7 +182,7 @@ def scan(h: np.ndarray, automaton: Automaton) -> Hits:
                 places.append((t, i - automaton.templates[t].length + 1))
         if length >= LEAST_MATCH:
             stretch(stop - 1, length, s)
-    return Hits(places, done + list(open_chains.values()))
+    return Hits(places, done + [c for chains in open_chains.values() for c in chains])
 
 
 def phrases_within(automaton: Automaton, s: int, length: int) -> list[int]:

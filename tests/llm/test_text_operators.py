@@ -122,6 +122,39 @@ def test_license_notices_are_found_when_edited(label):
     assert licenses.report(" ".join(reversed(notice)).encode(), automaton)[5] == licenses.report(" ".join(reversed(notice)).encode(), automaton)[4]
 
 
+def plain_cover(text: list[str], notice: list[str]) -> float:
+    """Share of the notice's words that lie in four of its words in a row that stand in the text."""
+    grams = {tuple(text[i:i + 4]) for i in range(len(text) - 3)}
+    hit = set()
+    for i in range(len(notice) - 3):
+        if tuple(notice[i:i + 4]) in grams:
+            hit |= set(range(i, i + 4))
+    return len(hit) / len(notice)
+
+
+@pytest.mark.parametrize("label", sorted(NOTICES))
+def test_license_chains_keep_what_stands_there(label):
+    automaton = licenses.build()
+    split = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for number, raw in enumerate(NOTICES[label]):
+        notice = split.findall(raw.translate(LOWER))
+        half, foreign = len(notice) // 2, [f"zz{i}" for i in range(13)]
+        variants = {
+            "as it is": notice, "first words twice": notice[:5] + notice, "last words first": notice[-6:] + ["so"] + notice,
+            "foreign words": notice[:half] + foreign + notice[half:], "moved": notice[half:] + ["and"] + notice[:half],
+            "three edits": [w if i not in (7, half, len(notice) - 6) else "otherwise" for i, w in enumerate(notice)]}
+        for name, words_ in variants.items():
+            spans = [s for s in licenses.report(" ".join(["intro"] * 9 + words_ + ["outro"]).encode(), automaton)[7] if s["label"] == label]
+            want = plain_cover(words_, notice)
+            best = max((s["cover"] for s in spans), default=0.0)
+            assert best >= want - 0.1 if want >= licenses.LEAST_COVER + 0.1 else True, (label, number, name, best, want)
+        twice = licenses.report(" ".join(notice + ["then"] + notice).encode(), automaton)[7]
+        whole = [s for s in twice if s["label"] == label and s["cover"] > 0.9]
+        assert len(whole) >= 2, (label, number)
+        far = notice[:half] + [f"zz{i}" for i in range(licenses.GAP + 5)] + notice[half:]
+        assert max((s["cover"] for s in licenses.report(" ".join(far).encode(), automaton)[7] if s["label"] == label), default=0) < 0.8
+
+
 @pytest.fixture(scope="module")
 def items(spark):
     return spark.createDataFrame([(1, "What is the capital of the far province of Umber. It is the old town of Brenmoor by the lake."),
