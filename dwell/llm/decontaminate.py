@@ -2,8 +2,8 @@
 
 Test items are indexed by their words (lower-case ASCII, alphanumeric): a posting holds the item's BM25
 weight of the word as a share of the item's full score, so a passage with all words of an item scores 1.
-Items are searched by classes of length (up to 8, 16, 32, ... words), each with an index of its own, so
-that an item's passages do not depend on how long other items are. A class reads every training text as
+Items are searched by classes of length (up to 64, 512, 4,096, ... words), each with an index of its own,
+so that an item's passages do not depend on how long other items are. A class reads every training text as
 overlapping passages, twice as long as its longest possible item and half overlapping, so each place an
 item can stand lies in one passage as a whole. Block-max WAND retrieves all items whose score reaches
 ``LEAST_SCORE``; those are verified: ``LEAST_OVERLAP`` of the question and of the words of the answer must
@@ -41,6 +41,7 @@ K1, B = 1.2, 0.75
 LEAST_SCORE = 0.7
 LEAST_OVERLAP = 0.8
 SHINGLE = 5
+CLASS_BITS = 3            # a class holds items up to eight times as long as the one below
 BLOCK = 16                # postings under one maximum
 RARE = 8                  # items of a word that counts in the bound taken for all passages at once
 MOST_WORDS = 4_000_000    # words of the items of one part of the index
@@ -257,8 +258,9 @@ def leaks(h: np.ndarray, index: Index) -> list[dict]:
 
 def _indexes(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
     rows = item_rows(items, id_col, text_col)
-    # the power of two that holds the item's words
-    table = postings(rows).withColumn("power", F.greatest(F.lit(3), F.length(F.bin(F.col("length") - 1))))
+    # the power of eight, 64 or more, that holds the item's words
+    bits = F.length(F.bin(F.col("length") - 1))
+    table = postings(rows).withColumn("power", F.greatest(F.lit(6), F.ceil(bits / CLASS_BITS).cast("int") * CLASS_BITS))
     totals = table.groupBy("row", "power").agg(F.max("length").alias("n")).groupBy("power").agg(F.sum("n").alias("n")).orderBy("power").collect()
     out = []
     for power, total in totals:
