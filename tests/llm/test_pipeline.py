@@ -39,5 +39,6 @@ def test_oracles(spark, name):
     from tools.check_oracles import rows_of
     scratch.folder(spark)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     assert rows_of(queries.QUERIES[name](spark, SF).toPandas()) == rows_of(con.execute(queries.ORACLES[name]).fetchdf())
