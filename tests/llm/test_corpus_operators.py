@@ -144,24 +144,80 @@ def test_suffix_dedup(docs, corpus, hot, monkeypatch):
     assert suffix_dedup.suffix_dedup(docs([])).count() == 0
 
 
-def test_chunk_dedup(docs, corpus):
-    rows = [x for x in corpus if x[0] is not None]
-    got = {r["doc_id"]: r for r in chunk_dedup.chunk_dedup(docs(rows, doc=1, spans="x")).collect()}
-    seen = {}
-    for i, text, *_ in sorted(rows, key=lambda r: r[0]):
-        raw, again = (text or "").encode(), []
-        for c in chunk_dedup.chunks(raw, i, 0):
-            place = (i, int(c["start"]))
-            if seen.setdefault(raw[c["start"]:c["start"] + c["length"]], place) != place:
-                again.append((c["start"], c["length"]))
-        runs = chunk_dedup.cut(raw, [np.array(again, dtype=chunk_dedup.SPAN).tobytes()])
-        assert [(s["start"], s["start"] + s["length"]) for s in got[i]["spans"]] == runs
-        assert got[i]["kept_text"] == chunk_dedup.without(raw, runs) and got[i]["n_removed"] == len(raw) - len(got[i]["kept_text"])
+def plain_chunks(raw):
+    """Borders found one byte at a time, the gear hash of the last 32 bytes summed anew at each."""
+    gear, last = chunk_dedup.GEAR.tolist(), 0
+    for end in range(1, len(raw) + 1):
+        h = sum(gear[raw[end - 1 - j]] << j for j in range(min(32, end))) % 2 ** 32
+        forced = end - last > chunk_dedup.MOST  # seen one byte late, as the byte after it
+        if forced:
+            yield last, last + chunk_dedup.MOST
+            last += chunk_dedup.MOST
+        if end == len(raw) or (h < 2 ** (32 - chunk_dedup.TOP_BITS) and end - last >= chunk_dedup.LEAST):
+            yield last, end
+            last = end
+
+
+def plain_chunk_dedup(texts):
+    """The spans cut from each text, in order: earliest places in a dictionary, runs grown byte by byte."""
+    raws, seen, out = [(t or "").encode() for t in texts], {}, []
+    for n, raw in enumerate(raws):
+        runs = []  # start, end, places in earlier texts that stand for them
+        for a, b in plain_chunks(raw):
+            doc, at = seen.setdefault(raw[a:b], (n, a))
+            if (doc, at) != (n, a):
+                if runs and runs[-1][1] == a:
+                    runs[-1][1], runs[-1][3] = b, (doc, at + b - a)
+                else:
+                    runs.append([a, b, (doc, at), (doc, at + b - a)])
+        merged = []
+        for k, (a, b, (left, at), (right, stop)) in enumerate(runs):
+            floor, ceiling = runs[k - 1][1] if k else 0, runs[k + 1][0] if k + 1 < len(runs) else len(raw)
+            while a > floor and at > 0 and raw[a - 1] == raws[left][at - 1]:
+                a, at = a - 1, at - 1
+            while b < ceiling and stop < len(raws[right]) and raw[b] == raws[right][stop]:
+                b, stop = b + 1, stop + 1
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        out.append([(a, b) for a, b in merged if b - a >= chunk_dedup.LEAST_RUN or b - a == len(raw)])
+    return out
+
+
+def test_chunk_dedup_equals_brute_force(docs, corpus):
+    """Passages at odd places, a stretch without borders in two phases (growth beyond one chunk), texts
+    that repeat themselves, repeated rows and the corpus at large."""
+    r = random.Random(91)
+    word = lambda n: " ".join("".join(r.choices("abcdefghijkl", k=r.randrange(2, 9))) for _ in range(n))
+    shared, flat = [word(51) for _ in range(4)], "x" * 3 + "yz" * 4000
+    rows = [(1000 + i, f"{word(30)} {shared[i % 4]} {word(r.randrange(40))}") for i in range(40)]
+    rows += [(2000, word(20) + flat + "#" + word(30)), (2001, word(23) + flat[r.randrange(400):] + "#" + word(30)), (2002, word(40)[:97] * 30)]
+    texts = {}
+    for i, text, *_ in [x for x in corpus if x[0] is not None] + rows:
+        texts.setdefault(i, text)
+    got = {x["doc_id"]: x for x in chunk_dedup.chunk_dedup(docs([*texts.items(), (1001, texts[1001])], doc=1, spans="x")).collect()}
+    plain = plain_chunk_dedup([texts[i] for i in sorted(texts)])
+    for i, spans in zip(sorted(texts), plain):
+        assert [(s["start"], s["start"] + s["length"]) for s in got[i]["spans"]] == spans, i
+        raw = (texts[i] or "").encode()
+        assert got[i]["kept_text"] == chunk_dedup.without(raw, spans) and got[i]["n_removed"] == sum(b - a for a, b in spans)
     assert got[10]["n_removed"] == got[10]["n_bytes"] and not got[2]["n_removed"]
     assert all(got[i]["n_removed"] > 100 for i in range(51, 56)) and not got[50]["n_removed"]
+    left = sum(shared[i % 4].encode() in got[1000 + i]["kept_text"] for i in range(4, 40))
+    assert left <= 2
     assert chunk_dedup.chunk_dedup(docs([])).count() == 0
 
 
+def test_chunk_dedup_of_null_and_equal_ids(docs):
+    """A null id comes first; rows of one id are told apart by their texts; equal rows don't repeat each other."""
+    r = random.Random(92)
+    a, b = ("".join(r.choices("abcdefgh ", k=900)) for _ in range(2))
+    got = chunk_dedup.chunk_dedup(docs([(None, a), (7, a), (7, b), (7, b), (8, "-" + b), (None, None), (9, "")])).collect()
+    assert sorted((x["doc_id"] or 0, x["n_bytes"], x["n_removed"]) for x in got) == [
+        (0, 0, 0), (0, 900, 0), (7, 900, 0), (7, 900, 0), (7, 900, 900), (8, 901, 900), (9, 0, 0)]
+
+
 def test_chunks_resist_insertions():
     r = random.Random(9)
     raw = bytes(r.randrange(256) for _ in range(20_000))
