@@ -206,17 +206,21 @@ def histogram(groups: Sequence[Group], rows: np.ndarray, slot: np.ndarray | None
     return out
 
 
-def best_splits(layout: Layout, hist: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def best_splits(layout: Layout, hist: np.ndarray, least: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """For each slot: the split's bin (-1: none), its threshold, gain, and the sum and count of all rows
-    and of the left side. Left: at most the bin's values, or not its label."""
-    sums, counts = hist
+    and of the left side. Left: at most the bin's values, or not its label. The last plane of ``hist``
+    is held against ``least``; ``allowed``: the bins that a slot may use (default: all)."""
+    counts = hist[1]
     a, b = layout.first[:-1], layout.first[1:]
-    total, n = sums[:, :b[0]].sum(axis=1), counts[:, :b[0]].sum(axis=1)
+    whole = hist[:, :, :b[0]].sum(axis=2)
+    total, n = whole[:2]
     run = np.cumsum(hist, axis=2)
-    before = np.concatenate((np.zeros((2, len(total), 1)), run), axis=2)[:, :, a][:, :, layout.column]
-    left = np.where(layout.numeric, run - before, np.stack([total, n])[:, :, None] - hist)
+    before = np.concatenate((np.zeros((len(hist), len(total), 1)), run), axis=2)[:, :, a][:, :, layout.column]
+    left = np.where(layout.numeric, run - before, whole[:, :, None] - hist)
     left_n, right_n = left[1], n[:, None] - left[1]
-    fits = (left_n >= least) & (right_n >= least)
+    fits = (left[-1] >= least) & (whole[-1][:, None] - left[-1] >= least)
+    if allowed is not None:
+        fits &= allowed
     with np.errstate(divide="ignore", invalid="ignore"):
         drop = left[0] ** 2 / left_n + (total[:, None] - left[0]) ** 2 / right_n - (total ** 2 / np.maximum(n, 1))[:, None]
     drop = np.where(fits, drop, -np.inf)
@@ -369,11 +373,13 @@ class Ensemble:
         return {k: v / whole for k, v in total.items()} if whole else {}
 
 
-def pack(rows: DataFrame, target: str, layout: Layout, block_rows: int = BLOCK_ROWS, total: int | None = None) -> DataFrame:
-    """Rows (slice, target, columns) as blocks of binned rows, one row each."""
+def pack(rows: DataFrame, target: str, layout: Layout, block_rows: int = BLOCK_ROWS, total: int | None = None,
+         id_cols: Sequence[str] = ()) -> DataFrame:
+    """Rows (slice, target, columns) as blocks of binned rows, one row each. A row's key is the hash of
+    ``id_cols``, else of its values."""
     total = rows.count() if total is None else total
     n_blocks = max(1, -(-total // block_rows))
-    key = F.xxhash64(F.col(target), *[F.col(c) for c in layout.names])
+    key = F.xxhash64(*[F.col(c) for c in id_cols or (target, *layout.names)])
     keyed = rows.select(key.alias("key"), F.col("slice").cast("int"), F.col(target).cast("double").alias("y"),
                         *[F.col(c).alias(f"x{i}") for i, c in enumerate(layout.names)])
     # equal rows have equal keys but need not share a block: they are dealt out by their place as well
@@ -571,24 +577,32 @@ def spark_model(spark: SparkSession, ensemble: Ensemble, positions: Mapping[tupl
                 features_col: str, prediction_col: str) -> GBTRegressionModel:
     """The trees as a Spark ML ensemble (sum of rate * tree, without the mean), by way of the files in
     which Spark ML persists one. ``positions``: vector index of each (column, label)."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/boosted-{uuid.uuid4().hex}"
-    depth = max(1, int(ensemble.spec.params["max_depth"]))
     rate = float(ensemble.spec.params["learning_rate"])
+    nodes = [(t, node) for t, tree in enumerate(ensemble.trees) for node in _node_rows(ensemble.layout, tree, positions)]
+    n = len(ensemble.trees)
+    path = saved_trees(spark, spark.createDataFrame(nodes, TREE_NODES).coalesce(1), "GBTRegressionModel", n, rate, int(ensemble.spec.params["max_depth"]), width,
+                       {"featuresCol": features_col, "predictionCol": prediction_col, "maxIter": n, "stepSize": rate})
+    return GBTRegressionModel.load(path)
 
-    def metadata(kind: str, params: Mapping, **more) -> str:
-        return json.dumps({"class": f"org.apache.spark.ml.regression.{kind}", "timestamp": 0, "sparkVersion": spark.version,
-                           "uid": f"dwell_{uuid.uuid4().hex[:12]}", "paramMap": {"featuresCol": features_col, "impurity": "variance", **params}, "defaultParamMap": {}, **more})
 
-    nodes = [(t, node) for t, tree in enumerate(ensemble.trees) for node in _node_rows(ensemble.layout, tree, positions)]
-    ddl = ("treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: bigint, "
-           "gain: double, leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>")
-    trees = [(t, metadata("DecisionTreeRegressionModel", {"maxDepth": depth}), rate) for t in range(len(ensemble.trees))]
-    top = metadata("GBTRegressionModel", {"maxDepth": depth, "maxIter": len(trees), "predictionCol": prediction_col, "stepSize": rate},
-                   numFeatures=width, numTrees=len(trees))
-    spark.createDataFrame([(top,)], "value string").coalesce(1).write.text(f"{path}/metadata")
+TREE_NODES = ("treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: bigint, "
+              "gain: double, leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>")
+
+
+def saved_trees(spark: SparkSession, nodes: DataFrame, kind: str, n_trees: int, weight: float, depth: int, width: int, params: Mapping) -> str:
+    """A folder of the files in which Spark ML persists an ensemble of the class ``kind``, with these nodes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    shared = {"maxDepth": max(1, depth), "impurity": "variance", "featuresCol": params["featuresCol"]}
+
+    def metadata(name: str, own: Mapping, **more) -> str:
+        return json.dumps({"class": f"org.apache.spark.ml.regression.{name}", "timestamp": 0, "sparkVersion": spark.version,
+                           "uid": f"dwell_{uuid.uuid4().hex[:12]}", "paramMap": {**shared, **own}, "defaultParamMap": {}, **more})
+
+    trees = [(t, metadata("DecisionTreeRegressionModel", {}), weight) for t in range(n_trees)]
+    spark.createDataFrame([(metadata(kind, params, numFeatures=width, numTrees=n_trees),)], "value string").coalesce(1).write.text(f"{path}/metadata")
     spark.createDataFrame(trees, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
-    spark.createDataFrame(nodes, ddl).coalesce(1).write.parquet(f"{path}/data")
-    return GBTRegressionModel.load(path)
+    nodes.write.parquet(f"{path}/data")
+    return path
 
 
 def _node_rows(layout: Layout, tree: Tree, positions: Mapping) -> list[tuple]:

@@ -3,13 +3,11 @@
 * OLS: ``LinearRegression(solver="normal", regParam=0)`` — the distributed normal equations
   (one XᵀX aggregate) on a maximal linearly independent subset of the encoded columns, found
   from one Gram pass, so rank-deficient encodings never reach the quasi-Newton fallback.
-* Random forest: 150 trees, depth 12, min leaf 5, 80 % of features per split, seed 42.
+* Random forest: 150 trees, depth 12, min leaf 5, 80 % of features per split, seed 42; grown by
+  ``dwell.ml.forest`` on the booster's bins, with bootstrap weights by a hash of (tree, row).
 * Gradient boosting (squared loss): 250 trees, rate .05, depth 2, min leaf 10, subsample 1.0,
   seed 42; grown by ``dwell.ml.boosting``, because Spark's booster takes its first tree whole and fits
   the others to doubled residuals. The trees are handed to Spark ML's ensemble model for scoring.
-
-Training data is repartitioned by a stable key and sorted within partitions before forest fits, so
-bootstrap samples do not depend on upstream partitioning.
 """
 
 from __future__ import annotations
@@ -19,11 +17,11 @@ from typing import Mapping, Sequence
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.ml import boosting
+from dwell.ml import boosting, forest
 from dwell.ml.encode import Encoded, fit_preprocessor
 
 # Default hyper-parameters.
@@ -48,13 +46,6 @@ class FittedModel:
         return self.pipeline.transform(df).select(*keep, "prediction")
 
 
-def _stable(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    if not order:
-        return df
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return df.repartition(n, *order).sortWithinPartitions(*order)
-
-
 def _prepare(train: DataFrame, categorical, numeric, target, drop_first) -> tuple[Encoded, DataFrame]:
     feats = [*categorical, *numeric]
     if not feats:
@@ -121,16 +112,27 @@ def fit_linear(train: DataFrame, categorical: Sequence[str], numeric: Sequence[s
 
 def fit_forest(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], target: str,
                params: Mapping | None = None, order: Sequence[str] = ()) -> FittedModel:
-    """Random forest on full one-hot (unseen -> zeros) + numerics."""
+    """Random forest on full one-hot (unseen -> zeros) + numerics. ``order``: columns that tell
+    rows apart, for the bootstrap (default: all values of a row)."""
     p = {**FOREST_DEFAULTS, **(params or {})}
-    enc, data = _prepare(_stable(train, order), categorical, numeric, target, drop_first=False)
-    rf = RandomForestRegressor(featuresCol=enc.features_col, labelCol=LABEL, predictionCol="prediction",
-                               numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
-                               minInstancesPerNode=int(p["min_samples_leaf"]),
-                               featureSubsetStrategy=str(p["max_features"]), seed=int(p["random_state"]),
-                               subsamplingRate=1.0, bootstrap=bool(p.get("bootstrap", True)))
-    model = rf.fit(data.select(enc.features_col, LABEL))
-    return FittedModel("forest", PipelineModel(stages=[*enc.model.stages, model]), enc, model)
+    if not [*categorical, *numeric]:
+        raise ValueError("empty feature list")
+    enc = fit_preprocessor(train, categorical, numeric, drop_first=False)
+    plan, nodes = forest.fit(train, categorical, numeric, target, p, _positions(enc, categorical, numeric), order)
+    model = forest.spark_model(plan, nodes, len(enc.names), enc.features_col, "prediction")
+    fitted = FittedModel("forest", PipelineModel(stages=[*enc.model.stages, model]), enc, model)
+    fitted.importances = np.zeros(len(enc.names))
+    for position, share in forest.importances(plan, nodes).items():
+        fitted.importances[position] = share
+    return fitted
+
+
+def _positions(enc: Encoded, categorical: Sequence[str], numeric: Sequence[str]) -> dict[tuple[str, str | None], int]:
+    """Vector index of each (column, label); label None: a numeric column."""
+    positions: dict[tuple[str, str | None], int] = {(c, None): enc.groups[c][0] for c in numeric}
+    for c in categorical:
+        positions |= {(c, enc.names[i][len(f"category__{c}_"):]): i for i in enc.groups.get(c, [])}
+    return positions
 
 
 def fit_boosting(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], target: str,
@@ -144,9 +146,7 @@ def fit_boosting(train: DataFrame, categorical: Sequence[str], numeric: Sequence
 def boosted_pipeline(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], ensemble: boosting.Ensemble) -> FittedModel:
     """Preprocessing fitted on ``train``, the ensemble's trees as a Spark ML model, and its mean added."""
     enc = fit_preprocessor(train, categorical, numeric, drop_first=False)
-    positions = {(c, None): enc.groups[c][0] for c in numeric}
-    for c in categorical:
-        positions |= {(c, enc.names[i][len(f"category__{c}_"):]): i for i in enc.groups.get(c, [])}
+    positions = _positions(enc, categorical, numeric)
     model = boosting.spark_model(train.sparkSession, ensemble, positions, len(enc.names), enc.features_col, "__boost")
     shift = SQLTransformer(statement=f"SELECT *, __boost + {float(ensemble.mean)!r} AS prediction FROM __THIS__")
     fitted = FittedModel("boosting", PipelineModel(stages=[*enc.model.stages, model, shift]), enc, model)
