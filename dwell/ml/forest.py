@@ -15,6 +15,7 @@ holds the splits of the first phase only.
 
 from __future__ import annotations
 
+import uuid
 from typing import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from dwell.ml import boosting
 from dwell.ml.slices import SliceCounts
 from dwell.operators.ranking import materialize
+from dwell.session import ensure_checkpoint_dir
 
 SLOTS = 64   # nodes whose histograms are held at a time
 NODE = "tree int, node int, split int, threshold double, gain double, n double, value double"
@@ -94,15 +96,17 @@ def _subtree(plan: Plan, tree: int, root: int, flat: np.ndarray, y: np.ndarray,
     level = int(root + 1).bit_length() - 1
     while len(rows):
         rows = rows[np.argsort(node[rows], kind="stable")]
-        nodes, starts = np.unique(node[rows], return_index=True)
-        stops, going = np.append(starts[1:], len(rows)), []
+        nodes, starts, sizes = np.unique(node[rows], return_index=True, return_counts=True)
+        leaf = (sizes < 2 * plan.least) | (level == plan.depth)
+        n, s = np.add.reduceat(weights[rows], starts), np.add.reduceat(weights[rows] * y[rows], starts)
+        out += [(i, -1, 0.0, 0.0, k, v) for i, k, v in zip(nodes[leaf].tolist(), n[leaf].tolist(), (s / n + plan.centre)[leaf].tolist())]
+        rows, going = rows[np.repeat(~leaf, sizes)], []
+        nodes, sizes = nodes[~leaf], sizes[~leaf]
+        stops = np.cumsum(sizes)
+        starts = stops - sizes
         for i in range(0, len(nodes), SLOTS):
             own, part = nodes[i:i + SLOTS], rows[starts[i]:stops[min(i + SLOTS, len(nodes)) - 1]]
             slot = np.searchsorted(own, node[part])
-            if level == plan.depth:
-                n, s = (np.bincount(slot, weights=w) for w in (weights[part], weights[part] * y[part]))
-                out += zip(own.tolist(), [-1] * len(own), [0.0] * len(own), [0.0] * len(own), n.tolist(), (s / n + plan.centre).tolist())
-                continue
             split, threshold, gain, total, n, _, _ = plan.splits(tree, own, plan.histogram(flat[:, part], y[part], weights[part], slot, len(own)))
             out += zip(own.tolist(), split.tolist(), threshold.tolist(), np.where(split < 0, 0.0, gain).tolist(), n.tolist(),
                        (total / n + plan.centre).tolist())
@@ -241,16 +245,19 @@ def fit(rows: DataFrame, categorical: Sequence[str], numeric: Sequence[str], tar
     blocks = materialize(boosting.pack(rows, target, layout, block_rows, total, key))
     tops, left = _top(blocks, plan, total, block_rows)
     n_open = sum(map(len, left.values()))
-    # a number of partitions of its own: small tables of rows still mean many trees to grow
-    dealt = blocks.mapInArrow(_rows_of(plan, tops, left), ROWS).repartition(n_open, "tree", "node")
+    spark = rows.sparkSession
+    # a number of partitions of its own: few bytes still mean many trees to grow
+    dealt = blocks.mapInArrow(_rows_of(plan, tops, left), ROWS).repartition(min(n_open, 4 * spark.sparkContext.defaultParallelism), "tree", "node")
     nodes = dealt.groupBy("tree", "node").applyInArrow(_grown(plan), NODE)
     upper = [(t, int(i), int(top.split[i]), float(top.threshold[i]), float(top.gain[i]), float(top.n[i]), float(top.value[i] + centre))
              for t, top in tops.items() for i in np.flatnonzero(top.split >= 0)]
-    nodes = materialize(nodes.unionByName(rows.sparkSession.createDataFrame(upper, NODE)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"      # a checkpoint would grow the trees twice
+    nodes.unionByName(spark.createDataFrame(upper, NODE)).write.parquet(path)
+    nodes = spark.read.schema(NODE).parquet(path)
     # a sample without any row, as a few rows may give, leaves a tree of one leaf
     empty = [(t, 0, -1, 0.0, 0.0, float(total), float(mean)) for t in
              sorted(set(range(plan.trees)) - {r["tree"] for r in nodes.filter("node = 0").select("tree").collect()})]     # at most a row a tree
-    return plan, nodes.unionByName(rows.sparkSession.createDataFrame(empty, NODE)) if empty else nodes
+    return plan, nodes.unionByName(spark.createDataFrame(empty, NODE)) if empty else nodes
 
 
 def importances(plan: Plan, nodes: DataFrame) -> dict[int, float]:
