@@ -60,6 +60,14 @@ def plain_rules(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(inside), failed
 
 
+def test_a_model_that_removes_spaces_is_refused():
+    with open(MODEL, "rb") as file:
+        model = file.read()
+    flag = model.rindex(b"\x20\x00") + 1
+    with pytest.raises(ValueError, match="normaliser"):     # remove_extra_whitespaces, the normaliser's fourth field
+        token_counts.prove(model[:flag] + b"\x01" + model[flag + 1:])
+
+
 def test_quality_rules(docs, corpus):
     rows = [x[:2] for x in corpus] + [(300, "a b\n\na b\nc#*$ d\n \n a b"), (301, "x y z x y z x"), (302, "a\u0085b c d")]
     got = compression_rules.quality_rules(docs(rows, kept="clash", _rules=1))
