@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwell.functions import scalars as X
-from dwell.plans import audit
 from dwell.plans.catalog.common import _w, ttl
 from dwell.plans.catalog.quality import RAW_LISTINGS_SQL
 from dwell.plans.registry import query, r6, tables
@@ -56,7 +55,7 @@ def x02(spark, sf):
 
 
 def raw(spark, sf):
-    return audit.dirty_listings(tables(spark, sf)["listings"])
+    return binding.dirty_listings(tables(spark, sf)["listings"])
 
 
 @query("x03", sql=RAW_LISTINGS_SQL.strip() + """

@@ -107,3 +107,17 @@ def test_require_strict_boolean_lists_bad_values(spark):
     nulls = spark.createDataFrame([(None,)], "v string")
     with pytest.raises(ValueError):
         X.require_strict_boolean(nulls, "v")
+
+
+def test_raw_listing_queries_read_the_raw_twin(spark, monkeypatch):
+    """X03, X05, X06 see the rows before clean-up."""
+    from dwell.plans.catalog import scalars as Q
+    rows = [(w, f, "studio", "city", 30.0, True, "2020-01-02", 9.0) for w, f in ((1, 3), (2, 5), (3, 7))]
+    listings = spark.createDataFrame(rows, "week_listed int, floor int, room_type string, view string, size_sqm double, furnished boolean, "
+                                           "date_listed string, asking_rent double").withColumn("date_listed", F.to_date("date_listed")).withColumn(
+                                               "listing_id", F.concat(F.lit("L"), F.col("floor")))
+    monkeypatch.setattr(Q, "tables", lambda spark, sf: {"listings": listings})
+    got = {q: {r["listing_id"]: tuple(r)[1:] for r in getattr(Q, q)(spark, "").collect()} for q in ("x03", "x05", "x06")}
+    assert [got["x03"][i][1] for i in ("L3", "L5", "L7")] == [False, False, True]
+    assert [got["x05"][i][0] for i in ("L3", "L5", "L7")] == [True, True, False]
+    assert [got["x06"][i] for i in ("L3", "L5", "L7")] == [(True, False), (False, True), (False, False)]
