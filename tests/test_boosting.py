@@ -141,3 +141,34 @@ def test_too_many_categories_are_an_error(spark, monkeypatch):
     for ask in (lambda: SliceCounts(df, ["g"], []), lambda: encode.fit_preprocessor(df, ["g"], [], False), lambda: encode.modes(df, ["g"])):
         with pytest.raises(ValueError, match="categories: g"):
             ask()
+
+
+@pytest.mark.parametrize("subsample", [1.0, 0.9])
+def test_few_kinds_of_rows_do_not_matter(spark, subsample):
+    """Two categoricals, one with nulls that folds fill differently: one block, many blocks, and kinds of rows."""
+    _, df = noisy(spark)
+    specs = [B.Spec(a, 2, {**BASE, "n_estimators": 30, "min_samples_leaf": 4, "subsample": subsample}, (5, 30)) for a in (0, 1)]
+    one, other = (B.fit(df, ["a", "b"], [], "y", specs, block_rows=n) for n in (B.BLOCK_ROWS, 90))
+    for mine, theirs in zip(one[0], other[0]):
+        assert [t.split.tolist() for t in mine.trees] == [t.split.tolist() for t in theirs.trees] and mine.mean == pytest.approx(theirs.mean)
+    for mine, theirs in zip(one[1], other[1]):
+        assert mine == pytest.approx(theirs)
+
+
+def test_jobs_do_not_grow_with_trees_on_few_kinds(spark):
+    """Growth on one categorical takes the same jobs whatever the trees."""
+    _, df = noisy(spark)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for trees in (2, 40):
+        spark.sparkContext.setJobGroup(f"kinds-{trees}", "")
+        B.fit(df, ["a"], [], "y", [B.Spec(0, 2, {**BASE, "n_estimators": trees}, (trees,))], block_rows=90)
+        jobs.append(len(tracker.getJobIdsForGroup(f"kinds-{trees}")))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs[0] == jobs[1]
+
+
+def test_large_tables_are_cut_into_small_blocks(spark):
+    rows = spark.range(B.PART_ROWS * 3).select(F.lit(0).alias("slice"), (F.col("id") % 5).cast("string").alias("g"), F.lit(1.0).alias("y"))
+    layout = B.layout_of(SliceCounts(rows, ["g"], []), {})
+    sizes = [len(r["y"]) // 8 for r in B.pack(rows, "y", layout, B.PART_ROWS * 2).select("y").collect()]
+    assert sum(sizes) == B.PART_ROWS * 3 and len(sizes) == 3 and max(sizes) < 1.1 * B.PART_ROWS
