@@ -392,6 +392,8 @@ def pack(rows: DataFrame, target: str, layout: Layout, block_rows: int = BLOCK_R
                         *[F.col(c).alias(f"x{i}") for i, c in enumerate(layout.names)])
     # equal rows have equal keys but need not share a block: they are dealt out by their place as well
     dealt = keyed.withColumn("block", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
+    # a number of partitions of its own: blocks are few bytes but much work
+    dealt = dealt.repartition(min(n_blocks, 4 * rows.sparkSession.sparkContext.defaultParallelism), "block")
 
     def binned(table: pa.Table) -> pa.Table:
         codes = np.stack([layout.codes(c, table[f"x{c}"].combine_chunks()) for c in range(len(layout.names))])

@@ -31,7 +31,7 @@ from dwell.session import ensure_checkpoint_dir
 
 SLOTS = 64   # nodes whose histograms are held at a time
 NODE = "tree int, node int, split int, threshold double, gain double, n double, value double"
-ROWS = "tree int, node int, codes binary, y binary, keys binary, weights binary"
+ROWS = "tree int, node int, block int, codes binary, y binary, weights binary"
 
 
 def bootstrap_weights(key: np.ndarray, tree: int, seed: int) -> np.ndarray:
@@ -128,17 +128,23 @@ def _open_nodes(plan: Plan, block: boosting.Block, tops: Mapping[int, boosting.T
 
 def _level(plan: Plan, tops: Mapping[int, boosting.Tree], wanted: Mapping[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}        # of all blocks of the partition
         for batch in batches:
-            for row in batch.to_pylist():
-                block = _block(plan, row)
+            for k in range(batch.num_rows):
+                block = _block(plan, batch.slice(k, 1).to_pylist()[0])
                 for tree, nodes in wanted.items():
                     weights, at = _open_nodes(plan, block, tops, tree)
                     for i in range(0, len(nodes), SLOTS):
                         own = nodes[i:i + SLOTS]
                         rows = np.flatnonzero((weights > 0) & np.isin(at, own))
                         hist = plan.histogram(block.flat[:, rows], block.y[rows] - plan.centre, weights[rows], np.searchsorted(own, at[rows]), len(own))
-                        yield pa.RecordBatch.from_pydict({"tree": pa.array([tree], pa.int32()), "part": pa.array([i], pa.int32()),
-                                                          "hist": pa.array([hist.tobytes()], pa.binary())})
+                        if (tree, i) in sums:
+                            sums[tree, i] += hist
+                        else:
+                            sums[tree, i] = hist
+        for (tree, i), hist in sums.items():
+            yield pa.RecordBatch.from_pydict({"tree": pa.array([tree], pa.int32()), "part": pa.array([i], pa.int32()),
+                                              "hist": pa.array([hist.tobytes()], pa.binary())})
     return run
 
 
@@ -156,12 +162,15 @@ def _choose(plan: Plan, wanted: Mapping[int, np.ndarray]):
     return run
 
 
-def _top(blocks: DataFrame, plan: Plan, total: int, block_rows: int) -> tuple[dict[int, boosting.Tree], dict[int, np.ndarray]]:
-    """Splits of all nodes with more rows than a block, and the nodes left open below them."""
+def _top(blocks: DataFrame, plan: Plan, total: int, block_rows: int) -> tuple[dict[int, boosting.Tree], dict[int, np.ndarray], dict[int, list[int]]]:
+    """Splits of all nodes with more rows than a block, the nodes left open below them, and the leaves
+    among these large nodes (no split, or the last level), whose rows need not be moved."""
     tops = {t: boosting.Tree(0) for t in range(plan.trees)}
     left = {t: np.array([0]) for t in tops}
-    if total <= block_rows:
-        return tops, left
+    leaves: dict[int, list[int]] = {t: [] for t in tops}
+    if total <= block_rows or not plan.depth:
+        return tops, left, leaves
+    blocks = blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)      # histograms are as many as cores
     wanted = dict(left)
     for level in range(plan.depth):
         found = blocks.mapInArrow(_level(plan, tops, wanted), "tree int, part int, hist binary").groupBy("tree", "part").applyInArrow(
@@ -178,16 +187,19 @@ def _top(blocks: DataFrame, plan: Plan, total: int, block_rows: int) -> tuple[di
                 getattr(deeper, name)[:len(tops[tree].split)] = getattr(tops[tree], name)
             tops[tree], more = deeper, []
             for nodes, splits in parts:
-                at = nodes[boosting.set_splits(deeper, nodes, splits, False)]
-                more += [2 * at + 1, 2 * at + 2]
-                left[tree] = np.setdiff1d(left[tree], at)
-            more = np.sort(np.concatenate(more))
+                last = level == plan.depth - 1
+                at = nodes[boosting.set_splits(deeper, nodes, splits, last)]
+                ends = np.concatenate([np.setdiff1d(nodes, at), *((2 * at + 1, 2 * at + 2) if last else ())])
+                leaves[tree] += ends.tolist()
+                more += [] if last else [2 * at + 1, 2 * at + 2]
+                left[tree] = np.setdiff1d(left[tree], nodes)
+            more = np.sort(np.concatenate(more)) if more else np.zeros(0, dtype=np.int64)
             left[tree] = np.union1d(left[tree], more)
             if len(more):
                 wanted[tree] = more
         if not wanted:
             break
-    return tops, left
+    return tops, left, leaves
 
 
 def _rows_of(plan: Plan, tops: Mapping[int, boosting.Tree], left: Mapping[int, np.ndarray]):
@@ -196,30 +208,36 @@ def _rows_of(plan: Plan, tops: Mapping[int, boosting.Tree], left: Mapping[int, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 block = _block(plan, row)
+                codes = (block.flat - plan.layout.first[:-1, None]).astype(_code_type(plan))
                 for tree, nodes in left.items():
                     weights, at = _open_nodes(plan, block, tops, tree)
                     for node in nodes.tolist():
                         rows = np.flatnonzero((weights > 0) & (at == node))
                         if len(rows):
-                            packed = (block.flat[:, rows].astype(np.uint32), block.y[rows], block.key[rows], weights[rows].astype(np.uint8))
-                            yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([node], pa.int32()),
+                            packed = (codes[:, rows], block.y[rows], weights[rows].astype(np.uint8))
+                            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (tree, node, row["block"])),
                                                               *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=names)
     return run
 
 
+def _code_type(plan: Plan) -> type:
+    """A byte a code where all columns' bins fit."""
+    return np.uint8 if np.diff(plan.layout.first).max() <= 256 else np.uint16
+
+
 def _grown(plan: Plan):
     kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
 
     def run(table: pa.Table) -> pa.Table:
         tree, root = table["tree"][0].as_py(), table["node"][0].as_py()
-        parts = table.to_pylist()
-        flat = np.concatenate([np.frombuffer(p["codes"], dtype=np.uint32).reshape(len(plan.layout.names), -1) for p in parts], axis=1).astype(np.int64)
-        y, key, weights = (np.concatenate([np.frombuffer(p[name], dtype=kind) for p in parts])
-                           for name, kind in (("y", np.float64), ("keys", np.uint64), ("weights", np.uint8)))
-        order = np.lexsort((y, key))       # sums do not depend on how rows arrive
-        nodes = _subtree(plan, tree, root, flat[:, order], y[order] - plan.centre, weights[order].astype(np.float64))
+        parts = table.sort_by("block").to_pylist()       # sums do not depend on how blocks arrive; their rows are in order of the key
+        flat = np.concatenate([np.frombuffer(p["codes"], dtype=_code_type(plan)).reshape(len(plan.layout.names), -1) for p in parts], axis=1)
+        y, weights = (np.concatenate([np.frombuffer(p[name], dtype=kind) for p in parts]) for name, kind in (("y", np.float64), ("weights", np.uint8)))
+        flat = flat + plan.layout.first[:-1, None].astype(np.int32)
+        nodes = _subtree(plan, tree, root, flat, y - plan.centre, weights.astype(np.float64))
         columns = [[tree] * len(nodes), *zip(*nodes)]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in NODE.split(", ")])
     return run
@@ -242,15 +260,16 @@ def fit(rows: DataFrame, categorical: Sequence[str], numeric: Sequence[str], tar
             feature[j] = positions.get((name, None if layout.labels[c] is None else layout.labels[c][j - layout.first[c]]), -1)
     centre = float(f"{mean:.3g}")      # only near the mean, so the order of its sum does not matter
     plan = Plan(layout, params, feature, fills[0], centre)
-    blocks = materialize(boosting.pack(rows, target, layout, block_rows, total, key))
-    tops, left = _top(blocks, plan, total, block_rows)
+    blocks = materialize(boosting.pack(rows, target, layout, min(block_rows, boosting.PART_ROWS), total, key))
+    tops, left, leaves = _top(blocks, plan, total, block_rows)
     n_open = sum(map(len, left.values()))
     spark = rows.sparkSession
     # a number of partitions of its own: few bytes still mean many trees to grow
-    dealt = blocks.mapInArrow(_rows_of(plan, tops, left), ROWS).repartition(min(n_open, 4 * spark.sparkContext.defaultParallelism), "tree", "node")
+    dealt = blocks.mapInArrow(_rows_of(plan, tops, left), ROWS).repartition(max(1, min(n_open, 4 * spark.sparkContext.defaultParallelism)), "tree", "node")
     nodes = dealt.groupBy("tree", "node").applyInArrow(_grown(plan), NODE)
     upper = [(t, int(i), int(top.split[i]), float(top.threshold[i]), float(top.gain[i]), float(top.n[i]), float(top.value[i] + centre))
              for t, top in tops.items() for i in np.flatnonzero(top.split >= 0)]
+    upper += [(t, i, -1, 0.0, 0.0, float(tops[t].n[i]), float(tops[t].value[i] + centre)) for t, ends in leaves.items() for i in ends]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"      # a checkpoint would grow the trees twice
     nodes.unionByName(spark.createDataFrame(upper, NODE)).write.parquet(path)
     nodes = spark.read.schema(NODE).parquet(path)

@@ -73,3 +73,27 @@ def test_constant_target_and_null_target(spark):
     assert {r["prediction"] for r in model.predict(df).collect()} == {3.0} and {v for _, v in ML.encoded_importance(model)} == {0.0}
     with pytest.raises(ValueError, match="null"):
         ML.fit_forest(spark.createDataFrame([("a", None), ("b", 1.0)], "g string, y double"), ["g"], [], "y", SMALL)
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_large_leaves_move_no_rows(spark, monkeypatch, depth):
+    """Leaves of more rows than a block come from the histograms: no task gets their rows."""
+    _, df = noisy(spark)
+    params = {**ONE_TREE, "max_depth": depth}
+    want = nodes_of(df, params)[1]
+    moved = []
+    grown = forest._rows_of
+    monkeypatch.setattr(forest, "_rows_of", lambda plan, tops, left: moved.append(sum(map(len, left.values()))) or grown(plan, tops, left))
+    same(want, nodes_of(df, params, block_rows=10)[1])
+    assert moved == [0]
+
+
+def test_moved_rows_are_small(spark):
+    """A moved row takes a byte a column, its target and its weight."""
+    _, df = noisy(spark)
+    enc = ML.fit_preprocessor(df, ["a", "b"], ["x", "z"], drop_first=False)
+    plan, _ = forest.fit(df, ["a", "b"], ["x", "z"], "y", SMALL, ML._positions(enc, ["a", "b"], ["x", "z"]))
+    blocks = forest.boosting.pack(df, "y", plan.layout, 100)
+    moved = blocks.mapInArrow(forest._rows_of(plan, {0: forest.boosting.Tree(0)}, {0: np.array([0])}), forest.ROWS).collect()
+    n = sum(len(r["weights"]) for r in moved)
+    assert 0 < n < 400 and sum(len(r["codes"]) + len(r["y"]) + len(r["weights"]) for r in moved) == n * (4 + 8 + 1)
