@@ -176,7 +176,8 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.join(F.broadcast(keys), "k").select("row", "col", _r6(F.col("corr")).alias("corr"))
 
 
-FEW_VALUES = 2_000        # distinct values of a column whose rank table is broadcast
+FEW_VALUES = 20_000       # distinct values of a column whose rank table is broadcast
+SALTS = 1_000             # rows without a value spread over so many keys
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -184,13 +185,15 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[
 
     A pair ranks its columns inside the rows where both are non-null, a set of null patterns. Values are
     counted once by (column, value) for every such set of patterns; running sums of these counts are the
-    ranks in each set, so a row sends one entry a column however many sets there are. Rank tables of
-    columns with at most ``FEW_VALUES`` values, whose values are hot, are broadcast."""
+    ranks in each set. A row stays one row and looks its ranks up column by column: rank tables of columns
+    with at most ``FEW_VALUES`` values, whose values are hot, are broadcast, so only columns of many values
+    move the rows."""
     cols = list(columns)
     # pandas semantics: NaN is missing
     values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)]
     pattern = sum((F.when(F.col(f"x{i}").isNotNull(), 1 << i).otherwise(0) for i in range(len(cols))), F.lit(0)).alias("pattern")
-    rows = materialize(df.select(*values).select("*", pattern, F.monotonically_increasing_id().alias("id")))
+    salt = (F.monotonically_increasing_id() % SALTS + 1).cast("int").alias("salt")
+    rows = materialize(df.select(*values).select("*", pattern, salt))
     seen = [r["pattern"] for r in rows.select("pattern").distinct().collect()]          # at most 2^columns, in fact a few
     index = {c: i for i, c in enumerate(cols)}
     sets: dict[frozenset, int] = {}
@@ -200,19 +203,24 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[
         both = frozenset(p for p in seen if p >> i & 1 and p >> j & 1)
         places.append((i, j, sets.setdefault(both, len(sets))))
     entry = F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"x{i}").alias("value")) for i in range(len(cols))]))
-    long = rows.select("id", "pattern", entry).filter(F.col("value").isNotNull())
+    long = rows.select("pattern", entry).filter(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(*[F.count_if(F.col("pattern").isin(list(s)) if s else F.lit(False)).alias(f"n{k}")
                                                    for s, k in sets.items()])
     ranks = materialize(running_ranks(counts, ["column"], "value", [f"n{k}" for k in sets.values()]))
-    few = [r["column"] for r in ranks.groupBy("column").count().filter(F.col("count") <= FEW_VALUES).collect()]
-    entries = long.select("id", F.col("column").alias("of"), F.col("value").alias("at"))
-    own = (F.col("of") == F.col("column")) & (F.col("at") == F.col("value"))
-    small = F.col("column").isin(few) if few else F.lit(False)
-    ranked = entries.filter(F.col("of").isin(few) if few else F.lit(False)).join(F.broadcast(ranks.filter(small)), own).unionByName(
-        entries.filter(~F.col("of").isin(few) if few else F.lit(True)).join(ranks.filter(~small), own))
-    needed = sorted({(i, k) for a, b, k in places for i in (a, b)})
-    wide = ranked.groupBy("id").agg(*[F.max(F.when(F.col("of") == i, F.col(f"n{k}"))).alias(f"r{i}_{k}") for i, k in needed])
-    found = wide.agg(*[correlation(f"r{i}_{k}", f"r{j}_{k}").alias(f"p{m}") for m, (i, j, k) in enumerate(places)])
+    sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
+    needed: dict[int, set[int]] = {}                               # the sets in which a column is ranked
+    for i, j, k in places:
+        needed.setdefault(i, set()).add(k)
+        needed.setdefault(j, set()).add(k)
+    ranked = rows.select(*[f"x{i}" for i in needed], "salt")
+    for i in sorted(needed, key=lambda i: -sizes.get(i, 0)):       # those that move the rows first, while they are narrow
+        # rows without a value meet no rank and are spread
+        own = ranks.filter(F.col("column") == i).select(F.col("value").alias("at"), F.when(F.col("value").isNull(), 1).otherwise(0).alias("none"),
+                                                        *[F.col(f"n{k}").alias(f"r{i}_{k}") for k in sorted(needed[i])])
+        own = F.broadcast(own) if sizes.get(i, 0) <= FEW_VALUES else own
+        given = F.when(F.col(f"x{i}").isNull(), F.col("salt")).otherwise(0)
+        ranked = ranked.join(own, (F.col(f"x{i}") == F.col("at")) & (given == F.col("none")), "left").drop("at", "none", f"x{i}")
+    found = ranked.agg(*[correlation(f"r{i}_{k}", f"r{j}_{k}").alias(f"p{m}") for m, (i, j, k) in enumerate(places)])
     return found.select(F.inline(F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"p{m}").alias("corr"))
                                            for m, (a, b) in enumerate(pairs)])))
 

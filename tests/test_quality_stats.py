@@ -130,3 +130,29 @@ def test_small_and_constant_samples(spark):
     assert {r["m"]: r["r2"] for r in regression_metrics(flat, ["m"]).collect()} == {"exact": 1.0, "off": 0.0}
     months = spark.createDataFrame([("2024-01-05", 1.0), (None, 2.0)], "d string, v double")
     assert monthly_trend(months, "d", "v").count() == 1
+
+
+def test_spearman_of_few_values_does_not_move_the_rows(spark):
+    import contextlib
+    import io
+    df = spark.createDataFrame([(float(i % 7), float(i % 5) if i % 3 else None, float(i % 11)) for i in range(200)], "a double, b double, c double")
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        stats.spearman_pairs(df, list("abc"), [("a", "b"), ("a", "c"), ("b", "c")]).explain()
+    assert "hashpartitioning" not in plan.getvalue()
+
+
+def test_spearman_spreads_rows_without_a_value(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FEW_VALUES", 0)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        import contextlib
+        import io
+        df = spark.createDataFrame([(float(i), float(-i) if i % 50 == 0 else None) for i in range(400)], "a double, b double")
+        found = stats.spearman_pairs(df, ["a", "b"], [("a", "b")])
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            found.explain()
+        assert "THEN salt" in plan.getvalue()                       # a key of the join, beside the value
+        assert found.first()["corr"] == pytest.approx(-1.0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
