@@ -220,3 +220,18 @@ def test_registered_tuning_runs_the_whole_grid(spark, monkeypatch):
     chosen = [r["set_number"] for r in catalog.m13(spark, "/root/testdata/sf0.001").filter("chosen").collect()]
     catalog.m23(spark, "/root/testdata/sf0.001")
     assert chosen == [11.0] and asked == [(4, runs.BOOSTING_GRID)] * 2 and len(runs.BOOSTING_GRID) == 12
+
+
+def test_selection_hands_few_blocks_to_a_worker(spark, monkeypatch):
+    import pyarrow as pa
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held, seen = spark.conf.get(name), []
+    with forward.few_blocks(spark):
+        sizes = spark.range(0, 300, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) <= forward.BLOCKS
+    assert spark.conf.get(name) == held
+    monkeypatch.setattr(forward, "few_blocks", lambda s, usual=forward.few_blocks: (seen.append(name), usual(s))[1])
+    rows = spark.createDataFrame([(i % 2, f"v{i % 3}", float(i % 5), float(i % 3)) for i in range(60)], "slice int, c string, n double, y double")
+    folds = splits.SlicedFolds(rows, ("f",), ((0, 1),))
+    assert forward.forward_select(folds, ["c"], ["n"], "y")[0] == ["c"]
+    assert len(seen) == 3 and spark.conf.get(name) == held         # the Gram pass and two rounds
