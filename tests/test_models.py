@@ -235,3 +235,17 @@ def test_selection_hands_few_blocks_to_a_worker(spark, monkeypatch):
     folds = splits.SlicedFolds(rows, ("f",), ((0, 1),))
     assert forward.forward_select(folds, ["c"], ["n"], "y")[0] == ["c"]
     assert len(seen) == 3 and spark.conf.get(name) == held         # the Gram pass and two rounds
+
+
+def test_linear_fit_computes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    train = spark.range(0, 400, 1, 4).selectExpr("concat('v', id % 3) AS c", "cast(id % 7 AS double) AS n", "cast(id % 3 + 2 * (id % 7) AS double) AS y")
+    fitted = ML.fit_linear(train.mapInArrow(rows, train.schema), ["c"], ["n"], "y")
+    assert made.value == 400
+    assert dict(ML.coefficient_table(fitted))["number__n"] == pytest.approx(2.0)
