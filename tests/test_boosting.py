@@ -172,3 +172,40 @@ def test_large_tables_are_cut_into_small_blocks(spark):
     layout = B.layout_of(SliceCounts(rows, ["g"], []), {})
     sizes = [len(r["y"]) // 8 for r in B.pack(rows, "y", layout, B.PART_ROWS * 2).select("y").collect()]
     assert sum(sizes) == B.PART_ROWS * 3 and len(sizes) == 3 and max(sizes) < 1.1 * B.PART_ROWS
+
+
+@pytest.mark.parametrize("subsample, depth", [(1.0, 2), (0.8, 5)])
+def test_held_rows_in_chunks(subsample, depth, monkeypatch):
+    """Rows of several chunks, some after the validation slice: nodes, counts and residuals are those of plain trees."""
+    monkeypatch.setattr(B, "CHUNK", 100)
+    r = np.random.default_rng(5)
+    n = 1003
+    codes = np.stack([r.integers(0, 4, n), r.integers(0, 30, n), r.integers(0, 9, n)])
+    first = np.array([0, 5, 36, 46])
+    layout = B.Layout(["g", "x", "z"], [list("abcd"), None, None], [None, np.arange(30.0), np.arange(9.0)], first, np.repeat(np.arange(3), np.diff(first)),
+                      np.repeat([False, True, True], np.diff(first)), np.arange(46.0), np.arange(46.0))
+    y, key, at = codes[1] / 3 + 4 * (codes[0] == 2) + r.normal(size=n), r.integers(0, 2 ** 63, n).astype(np.uint64), r.integers(0, 4, n).astype(np.int32)
+    halves = [{"codes": codes[:, k].astype(np.uint8).tobytes(), "y": y[k].tobytes(), "keys": key[k].tobytes(), "slices": at[k].tobytes()}
+              for k in (slice(0, 400), slice(400, n))]
+    part = B.Part.joined(layout, halves, True)
+    spec = B.Spec(1, 2, {**BASE, "max_depth": depth, "min_samples_leaf": 3, "learning_rate": 0.3, "subsample": subsample})
+    held, bags = B.Held(layout, part, spec, {}), B.Bags(part)
+    order = np.lexsort((y, key, at))
+    fit, rows = int((at <= 1).sum()), int((at <= 2).sum())
+    flat, guess = codes[:, order] + first[:3, None], np.full(n, y[at <= 1].mean())
+    groups = B.groups_of(layout, flat)
+    for t in range(6):
+        tree = held.grow(bags.of(t, spec, held.n_fit))
+        inside = (np.arange(n) < fit) & B.in_bag(key[order], t, 42, subsample)
+        want, _ = B.grow_tree(layout, flat, groups, y[order] - guess, inside, depth, 3)
+        assert tree.split.tolist() == want.split.tolist() and tree.n.tolist() == want.n.tolist() and np.allclose(tree.value, want.value)
+        guess += 0.3 * want.value[want.leaves(layout, flat)]
+    held.settle()
+    assert held.n == rows < n and np.allclose(held.residual, (y[order] - guess)[:rows])
+
+
+def test_work_is_dealt_evenly(spark):
+    assert sorted(sum(w) for w in ([[5, 4, 3, 3, 3][i] for i in deal] for deal in B.dealt_by_work([5, 4, 3, 3, 3], 2))) == [8, 10]
+    keys = B.task_keys(spark, 7)
+    ids = spark.createDataFrame([(k,) for k in keys], "k int").repartition(7, "k").rdd.glom().map(len).collect()
+    assert len(keys) == 7 and ids == [1] * 7
