@@ -6,15 +6,16 @@ nor the order of rows. A split is the best among all bins of the node's features
 numeric columns count as one feature each); where none of these splits the node, all features are
 tried. The minimum of rows a leaf counts rows, not their weights.
 
-Growth has two phases. While a node has more rows than a block, every level of all trees is one job:
-blocks give histograms of (tree, node), which are summed and read in groups, and only splits reach the
-driver. The rows of the nodes that are left go to one task for each (tree, node), which grows the rest
-of the tree there; a small table starts with its roots in this phase. Nodes stay in tables; the driver
-holds the splits of the first phase only.
+Up to ``HELD_ROWS`` rows, every core gets all blocks and grows its share of the trees; no row is moved for
+a tree. Larger tables grow in two phases. While a node has more rows than a task takes, every level of all
+trees is one job: blocks give histograms of (tree, node), which are summed and read in groups, and only
+splits reach the driver. The rows of the nodes that are left go to one task for each (tree, node), which
+grows the rest of the tree there. Nodes stay in tables; the driver holds the splits of the first phase only.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from typing import Iterator, Mapping, Sequence
 
@@ -29,7 +30,12 @@ from dwell.ml.slices import SliceCounts
 from dwell.operators.ranking import materialize
 from dwell.session import ensure_checkpoint_dir
 
-SLOTS = 64   # nodes whose histograms are held at a time
+SLOTS = 64   # nodes whose histograms are held at a time while nodes are large
+BATCH = 16   # the same in a task, where few of them stay in a core's cache
+FEW = 2048   # rows whose columns are counted together
+HELD_ROWS = 1 << 23    # tables of up to so many rows (a byte a code, target and key each) are held whole by a task
+BAGGED = 0.64          # share of the rows with a weight in a tree's sample, at most about
+ROW = 2.0 ** 26        # weights are counted together with rows, as multiples of this: exact up to 2^26 of each
 NODE = "tree int, node int, split int, threshold double, gain double, n double, value double"
 ROWS = "tree int, node int, block int, codes binary, y binary, weights binary"
 
@@ -49,6 +55,7 @@ class Plan:
         self.trees, self.depth, self.least = (int(params[k]) for k in ("n_estimators", "max_depth", "min_samples_leaf"))
         self.seed, self.bootstrap = int(params["random_state"]), bool(params.get("bootstrap", True))
         self.width = len(np.unique(feature[feature >= 0]))
+        self.unit, self.place = np.unique(feature, return_inverse=True)
         share = params["max_features"]
         self.n_features = max(1, int(share * self.width)) if isinstance(share, float) else self.width
 
@@ -59,7 +66,7 @@ class Plan:
         """For each node, the bins of its random features."""
         if self.n_features >= self.width:
             return None
-        unit, place = np.unique(self.feature, return_inverse=True)
+        unit, place = self.unit, self.place
         of_node = boosting._mixed(nodes.astype(np.uint64) + np.uint64((self.seed << 40) + ((tree + 1) << 20)))
         draw = boosting._mixed(of_node[:, None] ^ boosting._mixed(unit.astype(np.uint64) + np.uint64(1))[None, :])
         draw[:, unit < 0] = np.iinfo(np.uint64).max
@@ -84,36 +91,128 @@ class Plan:
                 have[none] = again
         return found
 
-    def goes_right(self, split: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        code = flat[self.layout.column[split], rows]
-        return np.where(self.layout.numeric[split], code > split, code == split)
+    def counted(self, codes: np.ndarray, y: np.ndarray, weights: np.ndarray, rows: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+        """(2, slots, bins) of the first ``sizes[0]`` of ``rows``, the next ``sizes[1]`` and so on: sum of weighted
+        targets, and of weights and rows together."""
+        first, slots = self.layout.first, len(sizes)
+        bins = int(first[-1])
+        slot = np.repeat(np.arange(slots), sizes)
+        if len(rows) <= FEW:
+            w = np.take(weights, rows).astype(np.float64)
+            at = (np.take(codes, rows, axis=1) + first[:-1, None] + slot * bins).ravel()
+            return np.stack([np.bincount(at, weights=np.broadcast_to(x, (len(codes), len(x))).ravel(), minlength=slots * bins)
+                             for x in (np.take(y, rows) * w, w + ROW)]).reshape(2, slots, bins)
+        out = np.zeros((2, slots, bins))
+        for i in range(0, len(rows), boosting.CHUNK):
+            part, of = rows[i:i + boosting.CHUNK], slot[i:i + boosting.CHUNK]
+            w = np.take(weights, part).astype(np.float64)
+            sums, both = np.take(y, part) * w, w + ROW
+            for c, column in enumerate(codes):
+                a, b = int(first[c]), int(first[c + 1])
+                at = np.take(column, part).astype(np.int64)
+                if slots > 1:
+                    at += of * (b - a)
+                for plane, x in zip(out, (sums, both)):
+                    plane[:, a:b] += np.bincount(at, weights=x, minlength=slots * (b - a)).reshape(slots, b - a)
+        return out
+
+    def best(self, tree: int, nodes: np.ndarray, hist: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``boosting.best_splits`` on what ``counted`` gives, and for nodes without a split again on all features."""
+        layout = self.layout
+        whole = hist[:, :, :layout.first[1]].sum(axis=2)
+        left = np.empty_like(hist)
+        for c in range(len(layout.names)):
+            a, b = int(layout.first[c]), int(layout.first[c + 1])
+            if layout.numeric[a]:
+                np.cumsum(hist[:, :, a:b], axis=2, out=left[:, :, a:b])
+            else:
+                np.subtract(whole[:, :, None], hist[:, :, a:b], out=left[:, :, a:b])
+        rows = np.floor(left[1] / ROW)
+        left[1] -= rows * ROW
+        total, all_rows = whole[0], np.floor(whole[1] / ROW)
+        n = whole[1] - all_rows * ROW
+        # a bin without rows splits as the one before it
+        fits = (rows >= self.least) & (all_rows[:, None] - rows >= self.least) & (hist[1] > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            drop = left[0] * left[0] / left[1]
+            rest = total[:, None] - left[0]
+            rest *= rest
+            rest /= n[:, None] - left[1]
+        drop += rest
+        allowed, slots = self.allowed(tree, nodes), np.arange(len(nodes))
+        free = np.where(fits, drop, -np.inf)
+        best = (free if allowed is None else np.where(allowed, free, -np.inf)).argmax(axis=1)
+        own = np.divide(total * total, n, out=np.zeros_like(n), where=n > 0)
+        enough = boosting.LEAST_GAIN * np.maximum(own, 1e-300)
+
+        def gained(at):
+            may = free[slots, at] if allowed is None else np.where(allowed[slots, at], free[slots, at], -np.inf)
+            return may - own
+        gain = gained(best)
+        if allowed is not None and (gain <= enough).any():
+            again = free.argmax(axis=1)
+            none = gain <= enough
+            best, gain = np.where(none, again, best), np.where(none, free[slots, again] - own, gain)
+        split, threshold = np.where(gain > enough, best, -1), np.full(len(nodes), 0.5)
+        for k in np.flatnonzero((split >= 0) & layout.numeric[best]):
+            at = int(best[k])
+            after = int((hist[1, k, at + 1:layout.first[layout.column[at] + 1]] > 0).argmax()) + at + 1
+            threshold[k] = (layout.high[at] + layout.low[after]) / 2
+            split[k] = at + np.searchsorted(layout.high[at:after], threshold[k], side="right") - 1
+            if layout.low[after] < layout.high[after]:
+                threshold[k] = layout.high[split[k]]
+        return split, threshold, gain, total, n, left[0][slots, best], left[1][slots, best]
+
+
+def _subtree(plan: Plan, tree: int, root: int, codes: np.ndarray, y: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> list[tuple]:
+    """The nodes at and below ``root`` on its rows (places in the columns), as (node, split, threshold, gain, n, value).
+    Nodes of a level go together in batches, depth first; of two children the smaller one is counted, the other is the rest."""
+    layout, out = plan.layout, []
+
+    def leaf(node: int, s: float, n: float):
+        out.append((node, -1, 0.0, 0.0, n, s / n + plan.centre))
 
-
-def _subtree(plan: Plan, tree: int, root: int, flat: np.ndarray, y: np.ndarray, weights: np.ndarray) -> list[tuple]:
-    """The nodes at and below ``root`` on its rows, as (node, split, threshold, gain, n, value)."""
-    out, node = [], np.full(len(y), root, dtype=np.int64)
-    rows = np.arange(len(y))
     level = int(root + 1).bit_length() - 1
-    while len(rows):
-        rows = rows[np.argsort(node[rows], kind="stable")]
-        nodes, starts, sizes = np.unique(node[rows], return_index=True, return_counts=True)
-        leaf = (sizes < 2 * plan.least) | (level == plan.depth)
-        n, s = np.add.reduceat(weights[rows], starts), np.add.reduceat(weights[rows] * y[rows], starts)
-        out += [(i, -1, 0.0, 0.0, k, v) for i, k, v in zip(nodes[leaf].tolist(), n[leaf].tolist(), (s / n + plan.centre)[leaf].tolist())]
-        rows, going = rows[np.repeat(~leaf, sizes)], []
-        nodes, sizes = nodes[~leaf], sizes[~leaf]
-        stops = np.cumsum(sizes)
-        starts = stops - sizes
-        for i in range(0, len(nodes), SLOTS):
-            own, part = nodes[i:i + SLOTS], rows[starts[i]:stops[min(i + SLOTS, len(nodes)) - 1]]
-            slot = np.searchsorted(own, node[part])
-            split, threshold, gain, total, n, _, _ = plan.splits(tree, own, plan.histogram(flat[:, part], y[part], weights[part], slot, len(own)))
-            out += zip(own.tolist(), split.tolist(), threshold.tolist(), np.where(split < 0, 0.0, gain).tolist(), n.tolist(),
-                       (total / n + plan.centre).tolist())
-            part, slot = part[split[slot] >= 0], slot[split[slot] >= 0]
-            node[part] = 2 * node[part] + 1 + plan.goes_right(split[slot], flat, part)
-            going.append(part)
-        rows, level = np.concatenate(going) if going else rows[:0], level + 1
+    if not len(rows):
+        return out
+    if level == plan.depth or len(rows) < 2 * plan.least:
+        w = weights[rows].astype(np.float64)
+        leaf(root, float((y[rows] * w).sum()), float(w.sum()))
+        return out
+    todo = [(level, [root], [rows], plan.counted(codes, y, weights, rows, [len(rows)]))]
+    while todo:
+        level, nodes, held, hist = todo.pop()
+        found = plan.best(tree, np.array(nodes), hist)
+        pairs = []                # (parent's place, smaller child, its rows, larger child, its rows)
+        for k, (node, split, threshold, gain, s, n, left_s, left_n) in enumerate(zip(nodes, *(x.tolist() for x in found[:7]))):
+            if split < 0:
+                leaf(node, s, n)
+                continue
+            out.append((node, split, threshold, gain, n, s / n + plan.centre))
+            if level + 1 == plan.depth:
+                leaf(2 * node + 1, left_s, left_n)
+                leaf(2 * node + 2, s - left_s, n - left_n)
+                continue
+            c = int(layout.column[split])
+            code = np.take(codes[c], held[k])
+            right = code > split - int(layout.first[c]) if layout.numeric[split] else code == split - int(layout.first[c])
+            sides = []
+            for i, side, s_side, n_side in ((2 * node + 1, ~right, left_s, left_n), (2 * node + 2, right, s - left_s, n - left_n)):
+                own = np.take(held[k], np.flatnonzero(side))
+                if len(own) < 2 * plan.least:
+                    leaf(i, s_side, n_side)
+                sides.append((i, own))
+            if max(len(own) for _, own in sides) >= 2 * plan.least:
+                pairs.append((k, *sorted(sides, key=lambda x: len(x[1]))))
+        held = None
+        for i in range(0, len(pairs), BATCH // 2):
+            some = pairs[i:i + BATCH // 2]
+            small = plan.counted(codes, y, weights, np.concatenate([own for _, (_, own), _ in some]), [len(own) for _, (_, own), _ in some])
+            large = hist[:, [k for k, *_ in some]] - small
+            grow = [(j, side, child) for j, (_, *sides) in enumerate(some) for side, child in enumerate(sides) if len(child[1]) >= 2 * plan.least]
+            todo.append((level + 1, [i for _, _, (i, _) in grow], [own for _, _, (_, own) in grow],
+                         np.stack([(small, large)[side][:, j] for j, side, _ in grow], axis=1)))
+        del hist
     return out
 
 
@@ -211,7 +310,7 @@ def _rows_of(plan: Plan, tops: Mapping[int, boosting.Tree], left: Mapping[int, n
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = _block(plan, row)
-                codes = (block.flat - plan.layout.first[:-1, None]).astype(_code_type(plan))
+                codes = (block.flat - plan.layout.first[:-1, None]).astype(boosting.code_type(plan.layout))
                 for tree, nodes in left.items():
                     weights, at = _open_nodes(plan, block, tops, tree)
                     for node in nodes.tolist():
@@ -223,26 +322,52 @@ def _rows_of(plan: Plan, tops: Mapping[int, boosting.Tree], left: Mapping[int, n
     return run
 
 
-def _code_type(plan: Plan) -> type:
-    """A byte a code where all columns' bins fit."""
-    return np.uint8 if np.diff(plan.layout.first).max() <= 256 else np.uint16
-
-
 def _grown(plan: Plan):
     kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
 
     def run(table: pa.Table) -> pa.Table:
         tree, root = table["tree"][0].as_py(), table["node"][0].as_py()
         parts = table.sort_by("block").to_pylist()       # sums do not depend on how blocks arrive; their rows are in order of the key
-        flat = np.concatenate([np.frombuffer(p["codes"], dtype=_code_type(plan)).reshape(len(plan.layout.names), -1) for p in parts], axis=1)
+        codes = np.concatenate([np.frombuffer(p["codes"], dtype=boosting.code_type(plan.layout)).reshape(len(plan.layout.names), -1) for p in parts], axis=1)
         y, weights = (np.concatenate([np.frombuffer(p[name], dtype=kind) for p in parts]) for name, kind in (("y", np.float64), ("weights", np.uint8)))
-        flat = flat + plan.layout.first[:-1, None].astype(np.int32)
-        nodes = _subtree(plan, tree, root, flat, y - plan.centre, weights.astype(np.float64))
+        nodes = _subtree(plan, tree, root, codes, y - plan.centre, weights, np.arange(len(y)))
         columns = [[tree] * len(nodes), *zip(*nodes)]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in NODE.split(", ")])
     return run
 
 
+def _grow_whole(blocks: DataFrame, plan: Plan) -> DataFrame:
+    """Each task has all rows and grows some of the trees."""
+    n = max(1, min(plan.trees, blocks.sparkSession.sparkContext.defaultParallelism))
+    keys = boosting.task_keys(blocks.sparkSession, n)
+    keys = keys if len(keys) == n else list(range(n))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+    names = [c.split()[0] for c in NODE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[dict]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row.pop("task"), []).append(row)
+        while held:
+            task, rows = held.popitem()
+            rows.sort(key=lambda r: r["block"])
+            codes = np.concatenate([np.frombuffer(r["codes"], dtype=boosting.code_type(plan.layout)).reshape(len(plan.layout.names), -1) for r in rows], axis=1)
+            y, key = np.concatenate([np.frombuffer(r["y"]) for r in rows]) - plan.centre, np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in rows])
+            rows.clear()
+            for c, name in enumerate(plan.layout.names):
+                if name in plan.fill:
+                    codes[c][codes[c] == plan.layout.first[c + 1] - plan.layout.first[c] - 1] = plan.layout.code(c, plan.fill[name])
+            for tree in range(keys.index(task), plan.trees, n):
+                weights = np.concatenate([plan.weights(key[a:a + boosting.CHUNK], tree).astype(np.uint8) for a in range(0, len(key), boosting.CHUNK)])
+                nodes = _subtree(plan, tree, 0, codes, y, weights, np.flatnonzero(weights))
+                columns = [[tree] * len(nodes), *zip(*nodes)] if nodes else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    each = blocks.select("block", "codes", "y", "keys", F.explode(F.array(*[F.lit(k) for k in keys])).alias("task")).repartition(n, "task")
+    return each.mapInArrow(run, NODE)
+
+
 def fit(rows: DataFrame, categorical: Sequence[str], numeric: Sequence[str], target: str, params: Mapping,
         positions: Mapping[tuple[str, str | None], int], key: Sequence[str] = (), block_rows: int = boosting.BLOCK_ROWS) -> tuple[Plan, DataFrame]:
     """The nodes of all trees (tree, node as in a heap, split, threshold, gain, n, value). ``positions``:
@@ -258,15 +383,19 @@ def fit(rows: DataFrame, categorical: Sequence[str], numeric: Sequence[str], tar
     for c, name in enumerate(layout.names):
         for j in range(int(layout.first[c]), int(layout.first[c + 1]) - 1):
             feature[j] = positions.get((name, None if layout.labels[c] is None else layout.labels[c][j - layout.first[c]]), -1)
-    centre = float(f"{mean:.3g}")      # only near the mean, so the order of its sum does not matter
+    # only near the mean, so the order of its sum does not matter; few binary digits, so that whole targets have exact sums
+    centre = math.ldexp(round(math.ldexp(math.frexp(mean)[0], 10)), math.frexp(mean)[1] - 10)
     plan = Plan(layout, params, feature, fills[0], centre)
     blocks = materialize(boosting.pack(rows, target, layout, min(block_rows, boosting.PART_ROWS), total, key))
-    tops, left, leaves = _top(blocks, plan, total, block_rows)
-    n_open = sum(map(len, left.values()))
     spark = rows.sparkSession
-    # a number of partitions of its own: few bytes still mean many trees to grow
-    dealt = blocks.mapInArrow(_rows_of(plan, tops, left), ROWS).repartition(max(1, min(n_open, 4 * spark.sparkContext.defaultParallelism)), "tree", "node")
-    nodes = dealt.groupBy("tree", "node").applyInArrow(_grown(plan), NODE)
+    if total <= (block_rows if block_rows < boosting.BLOCK_ROWS else HELD_ROWS):
+        tops, leaves, nodes = {}, {}, _grow_whole(blocks, plan)
+    else:
+        tops, left, leaves = _top(blocks, plan, total * (BAGGED if plan.bootstrap else 1), block_rows)
+        n_open = sum(map(len, left.values()))
+        # a number of partitions of its own: few bytes still mean many trees to grow
+        dealt = blocks.mapInArrow(_rows_of(plan, tops, left), ROWS).repartition(max(1, min(n_open, 16 * spark.sparkContext.defaultParallelism)), "tree", "node")
+        nodes = dealt.groupBy("tree", "node").applyInArrow(_grown(plan), NODE)
     upper = [(t, int(i), int(top.split[i]), float(top.threshold[i]), float(top.gain[i]), float(top.n[i]), float(top.value[i] + centre))
              for t, top in tops.items() for i in np.flatnonzero(top.split >= 0)]
     upper += [(t, i, -1, 0.0, 0.0, float(tops[t].n[i]), float(tops[t].value[i] + centre)) for t, ends in leaves.items() for i in ends]

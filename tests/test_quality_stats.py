@@ -156,3 +156,19 @@ def test_spearman_spreads_rows_without_a_value(spark, monkeypatch):
         assert found.first()["corr"] == pytest.approx(-1.0)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_many_quantiles_look_at_few_targets_each(spark):
+    """255 quantiles of 30,000 values: as numpy has them, and no value goes through all 255."""
+    import numpy as np
+    from dwell.operators import ranking
+    r = np.random.default_rng(2)
+    values = {"a": np.round(r.normal(size=30_000), 4), "b": np.array([3.0]), "c": np.repeat([1.0, 5.0, 9.0], [500, 1, 20])}
+    rows = [(g, float(v), int(n)) for g, x in values.items() for v, n in zip(*np.unique(x, return_counts=True))]
+    counts = spark.createDataFrame(rows, "g string, v double, n long").coalesce(1)
+    probs = [1.0, 0.0, *[i / 255 for i in range(1, 255)]]
+    found = {(q["g"], q["p_index"]): q["quantile"] for q in ranking.quantiles_from_counts(counts, ["g"], "v", "n", probs).collect()}
+    for g, x in values.items():
+        assert [found[g, i] for i in range(len(probs))] == pytest.approx(np.quantile(x, probs).tolist())
+    plan = ranking.quantiles_from_counts(counts, ["g"], "v", "n", probs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan
