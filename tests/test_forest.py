@@ -97,3 +97,41 @@ def test_moved_rows_are_small(spark):
     moved = blocks.mapInArrow(forest._rows_of(plan, {0: forest.boosting.Tree(0)}, {0: np.array([0])}), forest.ROWS).collect()
     n = sum(len(r["weights"]) for r in moved)
     assert 0 < n < 400 and sum(len(r["codes"]) + len(r["y"]) + len(r["weights"]) for r in moved) == n * (4 + 8 + 1)
+
+
+def test_held_tables_move_no_rows(spark, monkeypatch):
+    """A table that a task holds grows there: rows are not dealt out for each tree."""
+    _, df = noisy(spark)
+    monkeypatch.setattr(forest, "_rows_of", lambda *a: pytest.fail("rows were moved"))
+    assert {r[0] for r in nodes_of(df, SMALL)[1]} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("bootstrap, share", [(True, 0.8), (False, 1.0)])
+def test_counting_the_smaller_child_is_enough(bootstrap, share):
+    """Every node of a subtree has the split that its own rows' histogram gives; more rows than are counted together."""
+    r = np.random.default_rng(7)
+    n = 3 * forest.FEW
+    codes = np.stack([r.integers(0, 4, n), r.integers(0, 30, n), r.integers(0, 9, n)]).astype(np.uint8)
+    first = np.array([0, 5, 36, 46])
+    layout = forest.boosting.Layout(["g", "x", "z"], [list("abcd"), None, None], [None, np.arange(30.0), np.arange(9.0)], first, np.repeat(np.arange(3), np.diff(first)),
+                                    np.repeat([False, True, True], np.diff(first)), np.arange(46.0), np.arange(46.0))
+    feature = np.array([0, 1, 2, 3, -1, *[4] * 30, -1, *[5] * 9, -1])
+    plan = forest.Plan(layout, {**SMALL, "max_features": share, "bootstrap": bootstrap}, feature, {}, 2.0)
+    y = np.round(codes[1] / 3 + 4 * (codes[0] == 2) + r.normal(size=n)) - 2.0
+    weights = plan.weights(r.integers(0, 2 ** 63, n).astype(np.uint64), 1).astype(np.uint8)
+    nodes = {x[0]: x for x in forest._subtree(plan, 1, 0, codes, y, weights, np.flatnonzero(weights))}
+    flat, at = codes + first[:3, None], np.zeros(n, dtype=np.int64)
+    for node in sorted(nodes):
+        rows = np.flatnonzero((at == node) & (weights > 0))
+        _, split, threshold, gain, count, value = nodes[node]
+        assert count == weights[rows].sum() and value == pytest.approx(np.average(y[rows], weights=weights[rows]) + 2.0)
+        hist = plan.histogram(flat[:, rows], y[rows], weights[rows].astype(float), np.zeros(len(rows), dtype=np.int64), 1)
+        want = plan.splits(1, np.array([node]), hist)
+        if split >= 0:
+            assert split == want[0][0] and threshold == want[1][0] and gain == pytest.approx(want[2][0])
+            rows = np.flatnonzero(at == node)
+            code = flat[layout.column[split], rows]
+            at[rows] = 2 * node + 1 + (code > split if layout.numeric[split] else code == split)
+        else:
+            assert node >= 31 or len(rows) < 10 or want[0][0] < 0
+    assert len(nodes) > 40
