@@ -209,3 +209,20 @@ def test_work_is_dealt_evenly(spark):
     keys = B.task_keys(spark, 7)
     ids = spark.createDataFrame([(k,) for k in keys], "k int").repartition(7, "k").rdd.glom().map(len).collect()
     assert len(keys) == 7 and ids == [1] * 7
+
+
+def test_rounds_count_the_smaller_child():
+    """What the driver makes of the smaller children's histograms are those of all open nodes."""
+    r = np.random.default_rng(9)
+    m = B._Growing(B.Spec(0, 0, {**BASE, "max_depth": 3}), 0.0)
+    sides = [r.integers(1, 9, (2, 5)).astype(float) for _ in range(2)]
+    m.open(np.stack([sides[0] + sides[1]], axis=1), tuple(np.array([v]) for v in (2, 0, 0, 0, 9.0, 0, 7.0)), np.array([0]))
+    assert m.counted.tolist() == [2] and m.nodes.tolist() == [1, 2] and m.level == 1
+    assert np.array_equal(m.whole(sides[1][:, None]), np.stack(sides, axis=1))
+
+
+def test_bins_without_rows_take_no_split():
+    """What is left of sums of a bin without rows must not draw the threshold away from the values that a node has."""
+    layout = B.Layout(["x"], [None], [np.arange(4.0)], np.array([0, 5]), np.zeros(5, dtype=np.int64), np.ones(5, dtype=bool), np.array([0, 1, 2, 3, np.nan]), np.array([0, 1, 2, 3, np.nan]))
+    split, threshold, *_ = B.best_splits(layout, np.array([[[-5.0, -1e-9, 0, 5.0, 0]], [[5.0, 0, 0, 5.0, 0]]]), 1)
+    assert (split[0], threshold[0]) == (1, 1.5)
